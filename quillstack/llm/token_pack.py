@@ -13,7 +13,8 @@ copying.  A shard's offset in the corpus follows from the totals of the shards b
 A file is moved in place when it is whole, so a lost or repeated task does no harm.
 
 Words are encoded by the tokenizers library and remembered; texts are cut at ASCII white space,
-which this kind of vocabulary drops and never spans.
+which this kind of vocabulary drops and never spans.  New words go to the library many at a time,
+with a mark between them that is one token.
 
 Defined results: a null text counts as empty and has the end id alone; null keys come first;
 repeated keys are ordered by text hash, then by place in the input; repeated rows are written
@@ -24,56 +25,108 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
+from itertools import compress, repeat
+from operator import is_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import folder, opened, put_whole, scratch, ship, stored, table
+from .common import ASCII_LOWER, folder, opened, put_whole, scratch, ship, stored, table
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
 LENGTH = 2048
 #: Bytes of text for one shard, before encoding.
 SHARD_BYTES = 64 << 20
+#: Words that a worker remembers with their ids, about 200 bytes each.
 REMEMBERED = 1_000_000
+#: Words that are new are encoded in lines of so many, with a mark between them.
+LINE = 256
+MARK = "\x01"
+#: Text encoded at once.
+PIECE_BYTES = 2 << 20
+
+
+#: A full stop or comma between an ASCII letter or digit and white space is a piece of its own.
+STOP = re.compile(rb"(?<=[a-z0-9])(?=[.,](?:[ \t\r\n]|\Z))")
+
+
+def cut(text: bytes, lower: bool) -> list[bytes]:
+    """Pieces of a text that the vocabulary never joins, with fewer variants of a word.
+
+    A-Z are lower-cased, where the vocabulary lower-cases (`lower`) and that can't change what it
+    sees: combining marks could compose with a small letter alone, and the strings of special
+    tokens are in small letters.
+    """
+    if lower and b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text:
+        text = STOP.sub(b" ", text.translate(ASCII_LOWER))
+    return text.split()
 
 
 class Encoder:
-    """Ids of texts; ids of words are remembered."""
+    """Ids of texts by the tokenizers library; ids of words are remembered as bytes."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.wide = self.library.get_vocab_size() > 1 << 16
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.ids: list[tuple[int, ...]] = []
+        self.dtype = np.dtype(np.uint32 if self.library.get_vocab_size() > 1 << 16 else np.uint16)
+        mark = self.library.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        same = lambda a, b: self.library.encode(a).ids == self.library.encode(b).ids
+        self.lower = same("A", "a") and same("B.\nC, 1.", "b .\nc , 1 .")
+        self.ids: dict[bytes, bytes] = {}
+
+    def _learn(self, words: list[bytes]) -> None:
+        import numpy as np
 
-    def encode(self, text: bytes):
-        """numpy array of the text's ids."""
+        sole = [w for w in words if self.mark is None or len(w) > 200 or MARK.encode() in w or b"<" in w]
+        odd = set(sole)
+        plain = [w for w in words if w not in odd]
+        lines = [plain[i : i + LINE] for i in range(0, len(plain), LINE)]
+        texts = [f" {MARK} ".join(x.decode("utf-8", "replace") for x in line) for line in lines]
+        for line, e in zip(lines, self.library.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, self.dtype)
+            cuts = np.flatnonzero(ids == self.mark)
+            raw, size = ids.tobytes(), self.dtype.itemsize
+            ends = [*(cuts * size).tolist(), len(raw)]
+            if len(ends) != len(line):
+                raise ValueError("a word holds the mark")
+            at = 0
+            for w, end in zip(line, ends):
+                self.ids[w] = raw[at:end]
+                at = end + size
+        for w in sole:
+            self.ids[w] = np.array(self.library.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def encode(self, texts: list[bytes]):
+        """Arrays of the texts' ids, one by one."""
         import numpy as np
 
-        words = text.split()
-        new = [w for w in dict.fromkeys(words) if w not in self.at]
-        if new:
-            if len(self.at) + len(new) > REMEMBERED:
-                self.clear()
-                new = list(dict.fromkeys(words))
-            got = self.library.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            for w, e in zip(new, got):
-                self.at[w] = len(self.ids)
-                self.ids.append(e.ids)
-        ids, at = self.ids, self.at
-        out: list[int] = []
-        for w in words:
-            out += ids[at[w]]
-        return np.array(out, np.uint32 if self.wide else np.uint16)
+        at = 0
+        while at < len(texts):
+            end, held = at, 0
+            while end < len(texts) and (end == at or held + len(texts[end]) <= PIECE_BYTES):
+                held += len(texts[end])
+                end += 1
+            words = [cut(t, self.lower) for t in texts[at:end]]
+            found = [list(map(self.ids.get, w)) for w in words]
+            new = set()
+            for w, f in zip(words, found):
+                new.update(compress(w, map(is_, f, repeat(None))))
+            if new:
+                if len(self.ids) + len(new) > REMEMBERED:
+                    self.ids = {}
+                    new = set().union(*words)
+                self._learn(list(new))
+            for w, f in zip(words, found):
+                yield np.frombuffer(b"".join(map(self.ids.__getitem__, w) if None in f else f), self.dtype)
+            at = end
 
 
 _encoders: dict[str, Encoder] = {}
@@ -90,14 +143,14 @@ class _Shard:
 
     BATCH = 256
 
-    def __init__(self, path: str, length: int, wide: bool):
+    def __init__(self, path: str, length: int, dtype):
         import numpy as np
         import pyarrow as pa
 
         self.np, self.pa = np, pa
         self.length, self.rest, self.n = length, [], 0
         self.held = 0
-        self.kind = pa.uint32() if wide else pa.uint16()
+        self.dtype, self.kind = dtype, pa.from_numpy_dtype(dtype)
         self.schema = pa.schema([("ids", pa.list_(self.kind, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.store, self.path = opened(path)
         self.store.create_dir(os.path.dirname(self.path), recursive=True)
@@ -114,7 +167,7 @@ class _Shard:
 
     def _flush(self, last: bool) -> None:
         np, pa = self.np, self.pa
-        flat = np.concatenate(self.rest) if self.rest else np.zeros(0, np.uint16)
+        flat = np.concatenate(self.rest) if self.rest else np.zeros(0, self.dtype)
         full = len(flat) // self.length * self.length
         pad = -len(flat) % self.length if last else 0
         body = np.concatenate([flat, np.zeros(pad, flat.dtype)]) if last else flat[:full]
@@ -122,7 +175,7 @@ class _Shard:
         if len(body):
             mask = np.ones(len(body), bool)
             mask[len(body) - pad :] = False
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (body.astype(self.kind.to_pandas_dtype(), copy=False), mask)]
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (body, mask)]
             self.writer.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def close(self) -> None:
@@ -156,11 +209,10 @@ def write_packed(docs: DataFrame, vocabulary: str, to: str | None = None, end: i
         keys: list = []
         sizes: list[int] = []
         for b in batches:
-            for k, t, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for k, ids, s in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), b.column(2).to_pylist()):
                 if shard is None:
                     number, data, index = s, f"{to}/{s:05d}.arrow", f"{to}/{s:05d}.index.arrow"
-                    shard = _Shard(data, length, enc.wide)
-                ids = enc.encode(t)
+                    shard = _Shard(data, length, enc.dtype)
                 shard.add(ids)
                 shard.add(np.array([end], ids.dtype))
                 keys.append(k)
