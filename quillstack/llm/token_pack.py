@@ -1,7 +1,7 @@
 """Token-ID output: Arrow IPC files of fixed-size-list batches, and their reader.
 
 Documents are dealt by ranges of their key and sorted, so shard after shard holds the whole
-corpus in order.  Each task encodes its documents, appends the end id to each, packs the stream
+corpus in order.  There are as many shards as the input has partitions.  Each task encodes its documents, appends the end id to each, packs the stream
 into sequences of `length` ids and writes, under names made from the shard's number,
 
 * ``NNNNN.arrow``: ``ids`` fixed_size_list<uint16|uint32>[length] and ``mask``
@@ -24,6 +24,7 @@ each; an empty table makes no file and an empty result; other columns of the inp
 from __future__ import annotations
 
 import bisect
+import gc
 import os
 import re
 import zlib
@@ -39,15 +40,13 @@ from .common import ASCII_LOWER, folder, opened, put_whole, scratch, ship, store
 VOCABULARY = "word_bpe_49k.json"
 END = 1
 LENGTH = 2048
-#: Bytes of text for one shard, before encoding.
-SHARD_BYTES = 64 << 20
 #: Words that a worker remembers with their ids, about 200 bytes each.
 REMEMBERED = 1_000_000
 #: Words that are new are encoded in lines of so many, with a mark between them.
 LINE = 256
 MARK = "\x01"
 #: Text encoded at once.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 
 #: A full stop or comma between an ASCII letter or digit and white space is a piece of its own.
@@ -193,9 +192,7 @@ def write_packed(docs: DataFrame, vocabulary: str, to: str | None = None, end: i
     scratch(spark)
     to = to or folder(spark, "packed")
     narrow = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    if shards is None:
-        size = narrow.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-        shards = max(spark.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
+    shards = shards or max(spark.sparkContext.defaultParallelism, narrow.rdd.getNumPartitions())
     dealt = narrow.withColumn("h", F.xxhash64("t")).withColumn("place", F.monotonically_increasing_id())
     order = [F.asc_nulls_first("k"), "h", "place"]
     dealt = dealt.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("k", F.col("t").cast("binary").alias("t"), F.spark_partition_id().alias("shard"))
@@ -206,6 +203,7 @@ def write_packed(docs: DataFrame, vocabulary: str, to: str | None = None, end: i
 
         shard = None
         enc = encoder(vocabulary)
+        gc.disable()  # millions of words, and no cycles among them
         keys: list = []
         sizes: list[int] = []
         for b in batches:
@@ -217,6 +215,7 @@ def write_packed(docs: DataFrame, vocabulary: str, to: str | None = None, end: i
                 shard.add(np.array([end], ids.dtype))
                 keys.append(k)
                 sizes.append(len(ids) + 1)
+        gc.enable()
         if shard is None:
             return
         shard.close()
