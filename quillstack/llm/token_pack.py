@@ -52,6 +52,9 @@ PIECE_BYTES = 1 << 20
 #: A full stop or comma between an ASCII letter or digit and white space is a piece of its own.
 STOP = re.compile(rb"(?<=[a-z0-9])(?=[.,](?:[ \t\r\n]|\Z))")
 
+#: Every ASCII letter or digit becomes an a.
+SHAPE = bytes(97 if chr(c).isalnum() and c < 128 else c for c in range(256))
+
 
 def cut(text: bytes, lower: bool) -> list[bytes]:
     """Pieces of a text that the vocabulary never joins, with fewer variants of a word.
@@ -61,7 +64,12 @@ def cut(text: bytes, lower: bool) -> list[bytes]:
     tokens are in small letters.
     """
     if lower and b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text:
-        text = STOP.sub(b" ", text.translate(ASCII_LOWER))
+        text = text.translate(ASCII_LOWER)
+        shape = text.translate(SHAPE)
+        if all(shape.count(b"a" + x) == shape.count(x) for x in (b". ", b", ")):  # the usual case, without a pattern
+            text = text.replace(b". ", b" . ").replace(b", ", b" , ")
+        else:
+            text = STOP.sub(b" ", text)
     return text.split()
 
 
