@@ -1,7 +1,7 @@
 """Language identification: scripts narrow the candidates, Viterbi labels spans of mixed text.
 
 Learning: of each language a bounded number of labelled documents (about `TRAIN_DOCS`, those of
-smallest hash) is read whole; hashed character n-grams of their words give log-probabilities, and
+smallest hash) is read whole; hashed byte n-grams of their words give log-probabilities, and
 the scripts of their letters say which languages a script can be.
 
 Predicting: every word of the whole text scores each candidate language; Viterbi with a switching
@@ -14,13 +14,15 @@ other texts go through the full recursion.
 
 Defined results: null text, or one without a letter: ``und`` and 0; letters of an unknown script
 alone: the most frequent language and 0; no labelled rows: ``und`` and 0 for all; a null key is
-held out; words over 32 letters are read in pieces of 32; repeated rows are predicted each; an
+held out; words (runs of letters) over 32 letters are read in pieces of 32; repeated rows are predicted each; an
 empty table gives an empty result; other columns are ignored, and lang is read in learning alone.
 """
 
 from __future__ import annotations
 
 import zlib
+from itertools import compress, repeat
+from operator import is_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +37,8 @@ BUCKETS = 1 << 15
 GRAMS = (1, 2, 3, 4)
 PENALTY = 8.0
 FOLDS = 5
-#: Documents under this score are rejected where documents are filtered.
-LEAST_SCORE = 0.2
+#: Where documents are filtered, those at or under this score are rejected: mixed texts stay.
+LEAST_SCORE = 0.0
 REMEMBERED = 500_000
 PIECE = 32
 #: A language has a script if this share of its letters is of it.
@@ -64,19 +66,47 @@ def script(letter: str) -> str:
     return SCRIPTS[max(i, 0)][1]
 
 
-def pieces(token: str) -> list[str]:
+#: A-Z become small, other ASCII characters but a-z become spaces.
+TOKENS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+
+
+def tokens(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "replace").translate(TOKENS).split() if text else []
+
+
+def pieces(token: bytes) -> list[bytes]:
     """The runs of letters of a token, lower-cased, in pieces of at most PIECE letters."""
-    t = token.lower()
-    runs = [t] if t.isalpha() else "".join(c if c.isalpha() or c in "'’" else " " for c in t).replace("'", " ").replace("’", " ").split()
-    return [r[i : i + PIECE] for r in runs for i in range(0, len(r), PIECE)]
+    if token.isascii():
+        return [token] if len(token) <= PIECE else [token[i : i + PIECE] for i in range(0, len(token), PIECE)]
+    t = token.decode("utf-8", "replace").lower()
+    runs = [t] if t.isalpha() else "".join(c if c.isalpha() else " " for c in t).split()
+    return [r[i : i + PIECE].encode() for r in runs for i in range(0, len(r), PIECE)]
+
+
+def grams(words: list[bytes]):
+    """(buckets, owner): buckets of the words' byte n-grams, with a word's ends marked, and of the
+    words themselves; owner is the word's place."""
+    import numpy as np
+
+    raw = np.frombuffer(b"".join(b"^%b$" % w for w in words), np.uint8).astype(np.uint64)
+    n = np.fromiter(map(len, words), int, len(words)) + 2
+    of = np.repeat(np.arange(len(words)), n)
+    buckets, owner = [], []
+    code = np.zeros(len(raw), np.uint64)
+    for k in range(1, max(GRAMS) + 1):
+        code = code[: len(raw) - k + 1] * np.uint64(257) + raw[k - 1 :]
+        if k in GRAMS:
+            own = of[: len(code)] == of[k - 1 :]
+            h = (code[own] + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
+            buckets.append((h >> np.uint64(40)).astype(int) % BUCKETS)
+            owner.append(of[: len(code)][own])
+    buckets.append(np.fromiter((zlib.crc32(w) % BUCKETS for w in words), int, len(words)))
+    owner.append(np.arange(len(words)))
+    return buckets, owner
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of a word's character n-grams, with its ends marked, and of the word itself."""
-    w = f"^{word}$"
-    out = [zlib.crc32(w[i : i + n].encode()) % BUCKETS for n in GRAMS for i in range(len(w) - n + 1)]
-    out.append(zlib.crc32(w.encode(), 1) % BUCKETS)
-    return out
+def script_of(word: bytes) -> str:
+    return "latin" if word[0] < 128 else script(word.decode()[0])
 
 
 class Model:
@@ -93,22 +123,26 @@ class Model:
         self.of_script = {n: share[i] >= SCRIPT_SHARE for i, n in enumerate(NAMES)}
         self.usual = int(np.argmax(documents)) if len(langs) else -1
 
-    def words(self, words: list[str]):
+    def words(self, words: list[bytes]):
         """Scores of words: one row each; languages that the word's script rules out get -20."""
         import numpy as np
 
+        s = np.zeros((len(words), len(self.langs)))
         if not words:
-            return np.zeros((0, len(self.langs)), np.float32)
-        lists = [grams(w) for w in words]
-        n = np.fromiter(map(len, lists), int, len(lists))
-        flat = np.fromiter((g for x in lists for g in x), int, int(n.sum()))
-        s = np.add.reduceat(self.logp[flat], np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0) / np.sqrt(n)[:, None]
-        for i, w in enumerate(words):
-            can = self.of_script[script(w[0])]
-            if not can.any():
-                s[i] = 0
-            elif not can.all():
-                s[i] = np.where(can, s[i], -20)
+            return s
+        n = np.zeros(len(words))
+        for buckets, owner in zip(*grams(words)):
+            if len(buckets):
+                sums = np.vstack([np.zeros(len(self.langs)), np.cumsum(self.logp[buckets], axis=0, dtype=float)])
+                ends = np.searchsorted(owner, np.arange(len(words) + 1))
+                s += sums[ends[1:]] - sums[ends[:-1]]
+                n += np.diff(ends)
+        s /= np.sqrt(n)[:, None]
+        for name in set(map(script_of, words)):
+            can = self.of_script[name]
+            if not can.all():
+                own = np.fromiter((script_of(w) == name for w in words), bool, len(words))
+                s[own] = np.where(can, s[own], -20) if can.any() else 0
         return s
 
 
@@ -119,9 +153,9 @@ def viterbi(s, penalty: float = PENALTY):
     n, k = s.shape
     if k < 2 or n == 0:
         return np.zeros(n, int)
-    s = s.astype(float)
     top = int(s.sum(0).argmax())
-    gain = np.vstack([np.zeros(k), np.cumsum(s - s[:, top : top + 1], axis=0)])
+    gain = np.zeros((n + 1, k))
+    np.cumsum(s - s[:, top : top + 1], axis=0, out=gain[1:])
     if (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty:
         return np.full(n, top)
     rows = s.tolist()
@@ -142,6 +176,8 @@ def viterbi(s, penalty: float = PENALTY):
 class Reader:
     """Predicts texts; remembers the scores of tokens."""
 
+    TEXTS = 1 << 19
+
     def __init__(self, model: Model):
         self.model = model
         self.clear()
@@ -149,45 +185,64 @@ class Reader:
     def clear(self) -> None:
         import numpy as np
 
-        self.at: dict[str, int] = {}
+        self.at: dict[bytes, int] = {}
         self.scores = np.zeros((1 << 12, len(self.model.langs)), np.float32)
         self.letters = np.zeros(1 << 12, np.int32)
 
-    def learn(self, tokens: list[str]) -> None:
+    def learn(self, new: list[bytes]) -> None:
         import numpy as np
 
-        if len(self.at) + len(tokens) > REMEMBERED:
-            self.clear()
-        words = [pieces(t) for t in tokens]
+        words = [pieces(t) for t in new]
         flat = [w for x in words for w in x]
-        s = self.model.words(flat)
         n = np.fromiter(map(len, words), int, len(words))
-        sums = np.zeros((len(words), s.shape[1]), np.float32)
-        np.add.at(sums, np.repeat(np.arange(len(words)), n), s)
-        base, end = len(self.at), len(self.at) + len(tokens)
+        sums = np.vstack([np.zeros(len(self.model.langs)), np.cumsum(self.model.words(flat), axis=0)])
+        ends = np.concatenate([[0], np.cumsum(n)])
+        base, end = len(self.at), len(self.at) + len(new)
         while end > len(self.scores):
             self.scores = np.vstack([self.scores, np.zeros_like(self.scores)])
             self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        self.scores[base:end] = sums
-        self.letters[base:end] = [sum(map(len, x)) for x in words]
-        self.at.update(zip(tokens, range(base, end)))
+        self.scores[base:end] = sums[ends[1:]] - sums[ends[:-1]]
+        self.letters[base:end] = [sum(len(w) if w.isascii() else len(w.decode()) for w in x) for x in words]
+        self.at.update(zip(new, range(base, end)))
+
+    def read_all(self, texts: list[str | None]):
+        """What `read` gives, for each text."""
+        start = 0
+        while start < len(texts):
+            end, held = start, 0
+            while end < len(texts) and (end == start or held + len(texts[end] or "") <= self.TEXTS):
+                held += len(texts[end] or "")
+                end += 1
+            words = [tokens(t) for t in texts[start:end]]
+            if self.model.langs:
+                found = [list(map(self.at.get, w)) for w in words]
+                new = set()
+                for w, f in zip(words, found):
+                    new.update(compress(w, map(is_, f, repeat(None))))
+                if new:
+                    if len(self.at) + len(new) > REMEMBERED:
+                        self.clear()
+                        new, found = set().union(*words), [[None]] * len(words)
+                    self.learn(list(new))
+                for w, f in zip(words, found):
+                    yield self._of(list(map(self.at.__getitem__, w)) if None in f else f)
+            else:
+                yield from [("und", 0.0, [])] * len(words)
+            start = end
 
     def read(self, text: str | None):
         """(language, score, [(first word, end, language)])"""
+        return next(self.read_all([text]))
+
+    def _of(self, ids: list[int]):
         import numpy as np
 
-        tokens = text.split() if text else []
-        if not tokens or not self.model.langs:
+        if not ids:
             return "und", 0.0, []
-        new = [t for t in dict.fromkeys(tokens) if t not in self.at]
-        if new:
-            if len(self.at) + len(new) > REMEMBERED:
-                self.clear()
-                new = list(dict.fromkeys(tokens))
-            self.learn(new)
-        ids = np.fromiter(map(self.at.__getitem__, tokens), int, len(tokens))
+        ids = np.array(ids)
         letters = self.letters[ids]
-        if not letters.any():
+        total = int(letters.sum())
+        if not total:
             return "und", 0.0, []
         s = self.scores[ids]
         if not s.any():
@@ -196,11 +251,10 @@ class Reader:
         weight = np.bincount(path, letters, len(self.model.langs))
         best = int(weight.argmax())
         sums = s.sum(0, dtype=float)
-        sure = 1 / np.exp(np.minimum((sums - sums[best]) / np.sqrt(len(tokens)), 50)).sum()
-        cut = np.flatnonzero(np.diff(path)) + 1
-        edges = [0, *cut.tolist(), len(path)]
+        sure = 1 / np.exp(np.minimum((sums - sums[best]) / np.sqrt(len(ids)), 50)).sum()
+        edges = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
         spans = [(a, b, self.model.langs[path[a]]) for a, b in zip(edges, edges[1:])]
-        return self.model.langs[best], float(min(1.0, weight[best] / weight.sum() * sure)), spans
+        return self.model.langs[best], float(min(1.0, weight[best] / total * sure)), spans
 
 
 def held_out(key: Column) -> Column:
@@ -230,10 +284,11 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
             for l, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if l not in total:
                     total[l] = np.zeros(BUCKETS + len(NAMES), np.int64)
-                for token in t.split():
-                    for w in pieces(token):
-                        np.add.at(total[l], grams(w), 1)
-                        total[l][BUCKETS + NAMES.index(script(w[0]))] += len(w)
+                flat = [w for x in tokens(t) for w in pieces(x)]
+                if flat:
+                    total[l][:BUCKETS] += np.bincount(np.concatenate(grams(flat)[0]), minlength=BUCKETS)
+                    for w in flat:
+                        total[l][BUCKETS + NAMES.index(script_of(w))] += len(w)
         for l, c in total.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([l] * len(at)), pa.array(at.astype(np.int32)), pa.array(c[at])], names=["l", "at", "n"])
@@ -260,7 +315,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
         reader = Reader(shared.value)
         for b in batches:
-            got = [reader.read(t) for t in b.column(1).to_pylist()]
+            got = list(reader.read_all(b.column(1).to_pylist()))
             spans = pa.array([[{"start": x, "end": y, "lang": l} for x, y, l in g[2]] for g in got], kind)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), spans], names=[key, "lang_pred", "score", "spans"])
 
@@ -268,7 +323,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 
 
 def with_language(docs: DataFrame, model: Model, text: str = "text", least: float = LEAST_SCORE, langs: list[str] | None = None) -> DataFrame:
-    """The rows of `docs` that have a language (of `langs`, if given) with a score of `least` or more."""
+    """The rows of `docs` that have a language (of `langs`, if given) with a score over `least`."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -279,8 +334,8 @@ def with_language(docs: DataFrame, model: Model, text: str = "text", least: floa
 
         reader = Reader(shared.value)
         for b in batches:
-            got = [reader.read(t)[:2] for t in b.column(at).to_pylist()]
-            yield b.filter(pa.array([l != "und" and s >= least and (langs is None or l in langs) for l, s in got], pa.bool_()))
+            got = [g[:2] for g in reader.read_all(b.column(at).to_pylist())]
+            yield b.filter(pa.array([l != "und" and s > least and (langs is None or l in langs) for l, s in got], pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
 
