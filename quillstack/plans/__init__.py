@@ -1 +1,6 @@
-"""See the modules of this folder."""
+"""Registered queries."""
+
+
+def load() -> None:
+    """Register all queries."""
+    from . import retrieval  # noqa: F401
