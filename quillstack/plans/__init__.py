@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Register all queries."""
-    from . import retrieval  # noqa: F401
+    from . import judging, mining, pages, retrieval, statistics, tables  # noqa: F401

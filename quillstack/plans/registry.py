@@ -22,13 +22,13 @@ DIALECTS = {
         "each": "transform({0}, x -> {1})", "only": "filter({0}, x -> {1})", "any": "exists({0}, x -> {1})", "join": "array_join({0}, {1})", "len": "CAST(size({0}) AS BIGINT)",
         "part": "split({0}, {1}, -1)", "distinct": "array_distinct({0})", "at": "element_at({0}, {1})", "json": "get_json_object({0}, '$.{1}')", "has": "contains({0}, {1})",
         "like": "({0} RLIKE {1})", "swap": "regexp_replace({0}, {1}, {2})", "sortset": "array_sort(collect_set({0}))", "slice": "slice({0}, 1, {1})", "has_item": "array_contains({0}, {1})",
-        "epoch": "unix_micros({0})", "dot": "aggregate(zip_with({0}, {1}, (p, q) -> CAST(p AS DOUBLE) * CAST(q AS DOUBLE)), 0e0, (s, p) -> s + p)", "trim": "btrim({0}, {1})", "slot": "regexp_replace({0}, {1}, {2})", "date": "date_format({0}, 'yyyy-MM-dd')",
+        "epoch": "unix_micros(CAST({0} AS TIMESTAMP))", "dot": "aggregate(zip_with({0}, {1}, (p, q) -> CAST(p AS DOUBLE) * CAST(q AS DOUBLE)), 0e0, (s, p) -> s + p)", "trim": "btrim({0}, {1})", "slot": "regexp_replace({0}, {1}, {2})", "date": "date_format({0}, 'yyyy-MM-dd')",
     },
     "duck": {
         "div": "(({0}) // ({1}))", "sha": "sha256({0})", "series": "generate_series({0}, {1})", "unnest": "unnest({0})", "int": "CAST({0} AS INT)",
         "long": "CAST({0} AS BIGINT)", "agg": "string_agg({0}, {1} ORDER BY {2}, {0})", "alln": "regexp_extract_all({0}, {1})",
         "each": "list_transform({0}, lambda x: {1})", "only": "list_filter({0}, lambda x: {1})", "any": "(len(list_filter({0}, lambda x: {1})) > 0)", "join": "array_to_string({0}, {1})", "len": "CAST(len({0}) AS BIGINT)",
-        "part": "string_split({0}, {1})", "distinct": "list_distinct({0})", "at": "list_extract({0}, {1})", "json": "json_extract_string({0}, '$.{1}')", "has": "contains({0}, {1})",
+        "part": "string_split({0}, {1})", "distinct": "list_distinct({0})", "at": "list_extract({0}, {1})", "json": "CASE WHEN json_valid({0}) THEN json_extract_string({0}, '$.{1}') END", "has": "contains({0}, {1})",
         "like": "regexp_matches({0}, {1})", "swap": "regexp_replace({0}, {1}, {2}, 'g')", "sortset": "list_sort(list_distinct(list({0})))", "slice": "list_slice({0}, 1, {1})", "has_item": "list_contains({0}, {1})",
         "epoch": "epoch_us({0})", "dot": "list_dot_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))", "trim": "trim({0}, {1})", "slot": "regexp_replace({0}, {1}, {2})", "date": "strftime({0}, '%Y-%m-%d')",
     },
