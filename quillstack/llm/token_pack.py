@@ -41,7 +41,7 @@ VOCABULARY = "word_bpe_49k.json"
 END = 1
 LENGTH = 2048
 #: Words that a worker remembers with their ids, about 200 bytes each.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_800_000
 #: Words that are new are encoded in lines of so many, with a mark between them.
 LINE = 256
 MARK = "\x01"
