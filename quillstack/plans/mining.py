@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .registry import query, shared
+from ..operators.ordinal import with_ordinal
+from .registry import query, shared, told, views
 from .retrieval import read
 
 _STRIP = "regexp_replace(regexp_replace(text, '" + T.FILLER + "', ''), '^\\s+|\\s+$', '', 'g')"
@@ -85,12 +86,34 @@ shared("answer_flags", f"""WITH {ANSWERS} SELECT conv_id, turn, {' + '.join(f"CA
 <like(lower(text);'nie ma|nie zawiera|nie znalaz|brak informacji|nie mogę')> AS refused FROM ans""")
 NUMBERS = r"<distinct(<only(<each(<alln(text;'[0-9][0-9\s.,]{1,12}[0-9]|[0-9]{2,}')>;<swap(x;'[\s.,]';'')>)>;length(x) BETWEEN 3 AND 6)>)>"
 shared("answer_numbers", f"WITH {ANSWERS}, n AS (SELECT conv_id, turn, {NUMBERS} AS v FROM ans) SELECT conv_id, turn, least(<len(v)>, 8) AS n_numbers FROM n")
-shared("stride_sample", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT doc_id FROM documents) d), s AS (SELECT doc_id, i, greatest(1, <div(n;50)>) AS step FROM r) SELECT doc_id FROM s WHERE i % step = 0 AND <div(i;step)> < 50")
+
+
+@query("stride_sample", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents), s AS (SELECT doc_id, i, greatest(1, n // 50) AS step FROM r) SELECT doc_id FROM s WHERE i % step = 0 AND i // step < 50")
+def stride_sample(spark, sf_dir, limit=50):
+    """Every n-th document, `limit` of them."""
+    rows, n = with_ordinal(read(spark, sf_dir, "documents").select("doc_id"), ["doc_id"])
+    step = max(1, n // limit)
+    return rows.where((F.col("ordinal") % step == 0) & (F.col("ordinal") < step * limit)).select("doc_id")
+
+
 # Scores of the deterministic judge: from the subject's letters.
 CAND = f"{SUBJ}, cand AS (SELECT doc_id, source, subject, least(1e0, length(subject) / 2e1) AS well_formed, least(1e0, 0.4e0 + length(replace(subject, ' ', '')) / 4e1) AS specific, CASE WHEN doc_id % 2 = 0 THEN 0.7e0 ELSE 0.5e0 END AS product FROM subj)"
 shared("candidate_gate", f"WITH {CAND} SELECT doc_id, subject, CASE WHEN well_formed < 0.6e0 THEN 'malformed' WHEN specific < 0.5e0 THEN 'vague' ELSE 'kept' END AS outcome FROM cand")
-PROBE = f"{CAND}, acc AS (SELECT doc_id, subject, row_number() OVER (ORDER BY doc_id, subject) AS i FROM cand WHERE well_formed >= 0.6e0 AND specific >= 0.5e0 AND product >= 0.6e0), kinds AS (SELECT 'price' AS kind, 'Ile kosztuje \"{{s}}\"?' AS t UNION ALL SELECT 'procedure' AS kind, 'Jak zamontować \"{{s}}\"?' AS t)"
-shared("probe_questions", f"WITH {PROBE} SELECT doc_id, kind, replace(t, '{{s}}', subject) AS q FROM acc CROSS JOIN kinds WHERE i % 2 = 1".replace("{{s}}", "{s}"))
+ACCEPTED = f"WITH {CAND} SELECT doc_id, subject FROM cand WHERE well_formed >= 0.6e0 AND specific >= 0.5e0 AND product >= 0.6e0"
+PROBES = {"price": 'Ile kosztuje "{s}"?', "procedure": 'Jak zamontować "{s}"?'}
+
+
+@query("probe_questions", f"""WITH acc AS (SELECT *, row_number() OVER (ORDER BY doc_id, subject) AS i FROM ({ACCEPTED})), kinds AS (SELECT 'price' AS kind, '{PROBES["price"]}' AS t UNION ALL SELECT 'procedure', '{PROBES["procedure"]}')
+SELECT doc_id, kind, replace(t, '{{s}}', subject) AS q FROM acc, kinds WHERE i % 2 = 1""")
+def probe_questions(spark, sf_dir):
+    """Two questions about every second accepted subject."""
+    said = told(ACCEPTED, "spark")
+    views(spark, sf_dir, said)
+    rows, _ = with_ordinal(spark.sql(said.replace("\\", "\\\\")), ["doc_id", "subject"])
+    forms = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(t).alias("t")) for k, t in PROBES.items()]))
+    return rows.where("ordinal % 2 = 0").withColumn("f", forms).select("doc_id", "f.kind", F.replace("f.t", F.lit("{s}"), F.col("subject")).alias("q"))
+
+
 # Subjects are benchmark items' openings; a document is gold if it holds one.
 GROUND = "su AS (SELECT item_id, lower(substr(text, 1, 24)) AS s FROM benchmark), lo AS (SELECT doc_id, source, lower(text) AS t FROM documents), hit AS (SELECT item_id, doc_id, source FROM lo JOIN su ON <has(t;s)>), nh AS (SELECT item_id, count(*) AS n_pages, min(doc_id) AS first_page FROM hit GROUP BY item_id)"
 shared("grounded", f"WITH {GROUND} SELECT su.item_id, coalesce(n_pages, 0) > 0 AS grounded FROM su LEFT JOIN nh ON su.item_id = nh.item_id")
