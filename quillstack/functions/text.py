@@ -42,8 +42,8 @@ STEM = "^(.{4,}?)(?:" + "|".join(SUFFIXES) + ")$"
 
 
 def fold(c: Column) -> Column:
-    """Letters without their marks."""
-    return F.translate(c, FOLD_FROM, FOLD_TO)
+    """Letters without their marks; plain ASCII is left as it is."""
+    return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(F.translate(c, FOLD_FROM, FOLD_TO))
 
 
 def stem(w: Column) -> Column:
@@ -51,11 +51,12 @@ def stem(w: Column) -> Column:
     return F.when((F.char_length(w) <= 4) | w.rlike("^[0-9]+$"), w).otherwise(F.regexp_replace(w, STEM, "$1"))
 
 
-def tokenise(c: Column, drop_stop: bool = True) -> Column:
+def tokenise(c: Column, drop_stop: bool = True, stemmed: bool = True) -> Column:
     """array<string>: lower, fold, words, without stop words and single characters, stemmed."""
     words = F.regexp_extract_all(fold(F.lower(c)), F.lit("[0-9a-z]+"), F.lit(0))
     keep = lambda w: (F.char_length(w) >= 2) & (~w.isin(STOP) if drop_stop else F.lit(True))
-    return F.transform(F.filter(words, keep), stem)
+    kept = F.filter(words, keep)
+    return F.transform(kept, stem) if stemmed else kept
 
 
 def cite_tokens(c: Column) -> Column:

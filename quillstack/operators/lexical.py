@@ -47,6 +47,31 @@ def scores(post: DataFrame, terms: DataFrame) -> DataFrame:
     return post.join(w, "term").groupBy("q", "doc").agg(F.sum(part).alias("score"))
 
 
+#: Query terms up to this number are broadcast (about 50 bytes each).
+BROADCAST_TERMS = 100_000
+
+
+def score_queries(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """What `scores` gives, without an index: only the query terms' postings are counted, in the
+    pass that tokenises, so no other token is shuffled."""
+    n, avglen = docs.agg(F.count("*"), F.avg(F.size(tokenise(F.col(text), stemmed=False)))).first()
+    times = terms.groupBy("q", "term").agg(F.count("*").alias("times"))
+    few = F.broadcast if times.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else (lambda df: df)
+    vocab = few(times.select("term").distinct())
+    # explode_outer: explode would add a filter on the tokens' number, which tokenises once more.
+    t = docs.select(F.col(key).alias("doc"), tokenise(F.col(text)).alias("terms"))
+    t = t.select("doc", F.size("terms").cast("long").alias("dl"), F.explode_outer("terms").alias("term"))
+    hit = t.join(vocab, "term", "left_semi").groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
+    # By document, and not coalesced: the sums over (q, doc) need no further shuffle.
+    hit = hit.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc").persist(StorageLevel.MEMORY_AND_DISK)
+    df = hit.groupBy("term").agg(F.count("*").alias("df"))
+    idf_ = df.select("term", F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    w = few(idf_.join(few(times), "term"))
+    norm = K1 * (1 - B + B * F.col("dl") / F.lit(avglen or 1.0))
+    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
+    return hit.join(w, "term").groupBy("q", "doc").agg(F.sum(part).alias("score"))
+
+
 def top(scored: DataFrame, k: int, group: str = "q", item: str = "doc", score: str = "score") -> DataFrame:
     """The k best of each group with their rank; scores are compared at nine places, ties by item."""
     order = Window.partitionBy(group).orderBy(F.desc(F.round(score, 9)), item)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +15,8 @@ def with_ordinal(rows: DataFrame, order: list[str], name: str = "ordinal", parts
     """
     spark = rows.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    # Kept: the ranges come from a sample that another run would draw anew, and both uses need the same.
+    dealt = rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
     sizes = {r[0]: r[1] for r in dealt.groupBy("__part").count().collect()}
     begins, n = [], 0
     for p in range(max(sizes, default=-1) + 1):

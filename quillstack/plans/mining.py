@@ -119,9 +119,10 @@ GROUND = "su AS (SELECT item_id, lower(substr(text, 1, 24)) AS s FROM benchmark)
 shared("grounded", f"WITH {GROUND} SELECT su.item_id, coalesce(n_pages, 0) > 0 AS grounded FROM su LEFT JOIN nh ON su.item_id = nh.item_id")
 shared("verified_subset", f"WITH {GROUND} SELECT item_id, first_page AS page FROM nh WHERE n_pages = 1")
 OV = f"""ov AS (SELECT item_id, doc_id, source, round(n / m, 9) AS score FROM (SELECT i.item_id, d.doc_id, d.source, count(*) * 1e0 AS n, max(i.m) AS m FROM it i JOIN dt d ON i.term = d.term GROUP BY i.item_id, d.doc_id, d.source) x)"""
-TERMS = "it AS (SELECT item_id, term, count(*) OVER (PARTITION BY item_id) AS m FROM (SELECT DISTINCT item_id, <unnest(<part(lower(text);' ')>)> AS term FROM benchmark) a), dt AS (SELECT DISTINCT doc_id, source, <unnest(<part(lower(text);' ')>)> AS term FROM documents)"
-GOLD = f"{TERMS}, {OV}, best AS (SELECT item_id, max(score) AS best FROM ov GROUP BY item_id), pick AS (SELECT o.item_id, min(doc_id) AS gold FROM ov o JOIN best b ON o.item_id = b.item_id AND o.score = b.best WHERE best >= 0.66e0 GROUP BY o.item_id), sp AS (SELECT o.item_id, count(*) - 1 AS spilled FROM ov o JOIN pick p ON o.item_id = p.item_id JOIN documents d ON d.doc_id = p.gold AND d.source = o.source WHERE o.score >= 0.66e0 GROUP BY o.item_id)"
-shared("gold_select", f"WITH {GOLD} SELECT b.item_id, gold, round(best, 6) AS best_score, coalesce(spilled, 0) AS spilled FROM best b LEFT JOIN pick ON b.item_id = pick.item_id LEFT JOIN sp ON b.item_id = sp.item_id")
-shared("oracle_label", f"WITH {GOLD} SELECT item_id, doc_id, round(score, 6) AS score, score >= 0.66e0 AS relevant FROM ov WHERE score >= 0.3e0")
+TERMS = "it AS (SELECT item_id, term, count(*) OVER (PARTITION BY item_id) AS m FROM (SELECT DISTINCT item_id, <unnest(<part(lower(text);' ')>)> AS term FROM benchmark) a), dt AS (SELECT DISTINCT doc_id, source, term FROM (SELECT doc_id, source, <unnest(<part(lower(text);' ')>)> AS term FROM documents) z WHERE term IN (SELECT term FROM it))"
+OVERLAP = f"{TERMS}, {OV}"
+GOLD = f"{OVERLAP}, best AS (SELECT item_id, max(score) AS best FROM ov GROUP BY item_id), pick AS (SELECT o.item_id, min(doc_id) AS gold FROM ov o JOIN best b ON o.item_id = b.item_id AND o.score = b.best WHERE best >= 0.66e0 GROUP BY o.item_id), sp AS (SELECT o.item_id, count(*) - 1 AS spilled FROM ov o JOIN pick p ON o.item_id = p.item_id JOIN documents d ON d.doc_id = p.gold AND d.source = o.source WHERE o.score >= 0.66e0 GROUP BY o.item_id)"
+shared("gold_select", f"WITH {GOLD} SELECT b.item_id, gold, round(best, 6) AS best_score, coalesce(spilled, 0) AS spilled FROM best b LEFT JOIN pick ON b.item_id = pick.item_id LEFT JOIN sp ON b.item_id = sp.item_id", keep=(OVERLAP, "ov"))
+shared("oracle_label", f"WITH {GOLD} SELECT item_id, doc_id, round(score, 6) AS score, score >= 0.66e0 AS relevant FROM ov WHERE score >= 0.3e0", keep=(OVERLAP, "ov"))
 shared("oracle_rows", f"""WITH {GOLD}, {GROUND} SELECT b.item_id, CASE WHEN gold IS NOT NULL AND n_pages > 0 AND best >= 0.5e0 THEN 'positive' WHEN gold IS NULL AND best <= 0.3e0 THEN 'negative' ELSE 'dropped' END AS kind
-FROM best b LEFT JOIN pick ON b.item_id = pick.item_id LEFT JOIN nh ON b.item_id = nh.item_id""")
+FROM best b LEFT JOIN pick ON b.item_id = pick.item_id LEFT JOIN nh ON b.item_id = nh.item_id""", keep=(OVERLAP, "ov"))

@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import re
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import read
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -17,7 +20,7 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 #: <name(a;b)> in a shared text; arguments are parted by semicolons.
 DIALECTS = {
     "spark": {
-        "div": "(({0}) div ({1}))", "sha": "sha2({0}, 256)", "series": "sequence({0}, {1})", "unnest": "explode({0})", "int": "CAST({0} AS INT)",
+        "div": "(({0}) div ({1}))", "sha": "sha2({0}, 256)", "series": "sequence({0}, {1})", "unnest": "explode_outer({0})", "int": "CAST({0} AS INT)",
         "long": "CAST({0} AS BIGINT)", "agg": "array_join(transform(array_sort(collect_list(struct({2}, {0}))), x -> x.{0}), {1})", "alln": "regexp_extract_all({0}, {1}, 0)",
         "each": "transform({0}, x -> {1})", "only": "filter({0}, x -> {1})", "any": "exists({0}, x -> {1})", "join": "array_join({0}, {1})", "len": "CAST(size({0}) AS BIGINT)",
         "part": "split({0}, {1}, -1)", "distinct": "array_distinct({0})", "at": "element_at({0}, {1})", "json": "get_json_object({0}, '$.{1}')", "has": "contains({0}, {1})",
@@ -47,7 +50,7 @@ def told(text: str, dialect: str) -> str:
 def views(spark: SparkSession, sf_dir: str, text: str) -> None:
     for t in TABLES:
         if re.search(rf"\b{t}\b", text):
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+            read(spark, sf_dir, t).createOrReplaceTempView(t)
 
 
 def query(name: str, sql: str | None = None):
@@ -60,11 +63,22 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-def shared(name: str, text: str) -> None:
+def spark_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    said = told(text, "spark")
+    views(spark, sf_dir, said)
+    return spark.sql(said.replace("\\", "\\\\"))
+
+
+def shared(name: str, text: str, keep: tuple[str, str] | None = None) -> None:
+    """`keep`: (common tables that the text begins with, the last one's name), which several parts
+    of the text read: Spark makes it once and keeps it, for it would be put in each place anew."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        said = told(text, "spark")
-        views(spark, sf_dir, said)
-        return spark.sql(said.replace("\\", "\\\\"))
+        if not keep:
+            return spark_sql(spark, sf_dir, text)
+        begin, last = keep
+        spark_sql(spark, sf_dir, f"WITH {begin} SELECT * FROM {last}").persist(StorageLevel.MEMORY_AND_DISK).createOrReplaceTempView(f"kept_{last}")
+        return spark_sql(spark, sf_dir, text.replace(begin, f"{last} AS (SELECT * FROM kept_{last})"))
 
     run.__name__ = name
     QUERIES[name] = run

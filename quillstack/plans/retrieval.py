@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import lexical as L
 from ..operators import vector as V
+from ..sources.tables import read
 from .registry import query
 
 LIST = ", ".join(f"'{w}'" for w in T.STOP)
@@ -41,10 +42,6 @@ PAGES = """pg AS (SELECT q, page, round(max(score) + 0.18e0 * (sum(score) - max(
        arg_min(CASE WHEN scale <> 'page' THEN chunk END, struct_pack(w := -score, r := rank)) FILTER (scale <> 'page') AS focus, min(rank) AS first FROM hit GROUP BY q, page)"""
 
 
-def read(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def vector_queries(spark, sf_dir, n=20):
     return read(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
 
@@ -55,8 +52,8 @@ def vector_hits(spark, sf_dir, n=24):
 
 
 def bm25(spark, sf_dir, k=8):
-    post = L.postings(read(spark, sf_dir, "documents"))
-    return L.top(L.scores(post, L.query_terms(read(spark, sf_dir, "benchmark"), "item_id", "text", 8)), k)
+    terms = L.query_terms(read(spark, sf_dir, "benchmark"), "item_id", "text", 8)
+    return L.top(L.score_queries(read(spark, sf_dir, "documents"), terms), k)
 
 
 # --- lexical ---

@@ -128,3 +128,12 @@ def test_windows_on_a_stream(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(n) from windows").first()[0] == batch.count()
+
+
+def test_ordinals_are_a_global_order(spark):
+    from quillstack.operators.ordinal import with_ordinal
+
+    rows, n = with_ordinal(spark.range(5000).select((F.col("id") * 7919 % 5003).alias("v")).repartition(6), ["v"], parts=7)
+    got = [(r.v, r.ordinal) for r in rows.collect()]
+    assert n == 5000 and [o for _, o in sorted(got)] == list(range(5000))
+    assert with_ordinal(spark.range(0), ["id"])[1] == 0
