@@ -21,7 +21,11 @@ def ascii_lower(c: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder; where it has fewer partitions than there are cores (one small file),
+    it is dealt anew, for one row group would be one task's work."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def scratch(spark: SparkSession) -> str:
