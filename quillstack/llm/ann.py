@@ -5,19 +5,19 @@ centres; one random rotation is drawn.  Every row is then put in its nearest cen
 lists are cut into blocks, so a hot list is many blocks.
 
 Search: a query probes its nearest lists.  In a block, the rotated vectors are read in column
-blocks.  After each, a hypothesis test abandons candidates: with `rest` dimensions left, a random
-rotation makes the missing part of the inner product about normal with mean 0 and deviation
-|q_rest| |x_rest| / sqrt(rest); where partial + Z deviations stays under the query's bar, the
-candidate goes.  The bar starts as the query's K-th best in the sample (so it never exceeds the
-true one) and rises with what a block shows.  Survivors get their exact score in double precision
-on the original vectors, summed from the first component to the last.
+blocks.  After d of D dimensions a hypothesis test abandons candidates.  Were the whole inner product
+c |q| |x|, a random rotation would make the partial one about normal, with mean d/D of it and variance
+(1 + c^2) d (D - d) / (D^2 (D + 2)) |q|^2 |x|^2; where it is Z deviations under what the query's bar
+would give, the candidate goes.  The bar is the query's K-th best in the sample, so it never exceeds
+the true one.  Survivors get their exact score in double precision on the original vectors, summed
+from the first component to the last.  The sample's K best are found too, so K are always returned.
 
 The number of probed lists is found on the sample: the smallest that holds `COVER` of the true
 neighbours of sample rows.  It so follows the data; on vectors without any clusters it is most lists.
 
 Defined results: vectors that are null, zero, of another length than the first valid one, or hold
-null or non-finite components take no part, as queries or candidates; repeated ids are separate
-candidates but never their own query's; ties go to the smaller id; fewer candidates than K: all
+null or non-finite components take no part, as queries or candidates; rows that repeat an id and its
+vector count once, and no row is a candidate for a query of its id; ties go to the smaller id; fewer candidates than K: all
 that are found; an empty table gives an empty result; other columns of the input are ignored.
 """
 
@@ -36,7 +36,9 @@ EVERY = 20
 SAMPLE = 4096
 #: Share of the sample rows' true neighbours that the probed lists have to hold.
 COVER = 0.98
-Z = 3.5
+Z = 3.0
+#: Share of candidates under which the rest is read pair by pair.
+SPARSE = 0.15
 COLUMNS = 16
 #: Rows of one block of candidates and of one block of queries.
 BLOCK, QUERIES = 4096, 2048
@@ -59,13 +61,6 @@ def _kmeans(x, n: int, rounds: int = 12, seed: int = 7):
     return c
 
 
-def _top(scores, k: int):
-    """k-th largest of each row."""
-    import numpy as np
-
-    return -np.partition(-scores, k - 1, axis=1)[:, k - 1] if scores.shape[1] >= k else np.full(len(scores), -np.inf)
-
-
 class Fit:
     """What a bounded sample teaches: centres, rotation, number of probes; small enough to ship."""
 
@@ -101,12 +96,18 @@ class Fit:
     def home(self, x):
         return (x @ self.centres.T).argmax(1)
 
-    def bars(self, ids, q):
+    def known(self, ids, q):
+        """(bar, positions in the sample, scores) of the k best of the sample for each query."""
         import numpy as np
 
         s = q @ self.x.T
         s[ids[:, None] == self.ids[None, :]] = -np.inf
-        return _top(s, self.k)
+        k = min(self.k, s.shape[1])
+        at = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        best = np.take_along_axis(s, at, axis=1)
+        bar = best.min(1) if k == self.k else np.full(len(q), -np.inf)
+        exact = exact_scores(self.x[at.ravel()], np.repeat(q, k, axis=0)).reshape(at.shape)
+        return bar, at, np.where(np.isfinite(best), exact, -np.inf)
 
 
 def exact_scores(x, q):
@@ -119,38 +120,51 @@ def exact_scores(x, q):
     return out
 
 
-def scan_block(xi, x, qi, q, bars, rotation, k: int, z: float = Z, columns: int = COLUMNS):
-    """(query position, candidate position, score) of each query's k best in a block, at least
-    those that reach its bar."""
+def scan_block(xi, x, qi, q, bars, rotation, k: int, z: float = Z, columns: int = COLUMNS, at_once: int = 256):
+    """(query position, candidate position, score) of each query's k best in a block, of those that
+    reach its bar."""
     import numpy as np
 
     rx, rq = x @ rotation, q @ rotation
     d = x.shape[1]
-    tail = lambda m: np.sqrt(np.maximum(np.cumsum((m * m)[:, ::-1], axis=1)[:, ::-1], 0))
-    tx, tq = tail(rx), tail(rq)
-    edges = list(range(0, d, columns)) + [d]
-    part = (rq[:, : edges[1]] @ rx[:, : edges[1]].T)
-    slack = 1e-9
-    # first column block: all pairs of the block at once
-    if len(edges) > 2:
-        far = z / math.sqrt(d - edges[1])
-        alive = part + far * tq[:, edges[1]][:, None] * tx[:, edges[1]][None, :] >= bars[:, None] - slack
-    else:
-        alive = part >= bars[:, None] - slack
-    a, b = np.nonzero(alive)
-    s = part[a, b]
-    for lo, hi in zip(edges[1:-1], edges[2:]):
-        s = s + np.einsum("ij,ij->i", rq[a, lo:hi], rx[b, lo:hi])
-        bound = s if hi == d else s + z / math.sqrt(d - hi) * tq[a, hi] * tx[b, hi]
-        keep = bound >= bars[a] - slack
-        a, b, s = a[keep], b[keep], s[keep]
+    nx, nq = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
+    cos = np.clip(np.nan_to_num(bars / (nq * nx.min()), neginf=0.0), 0, 1)
+    wide = z * np.sqrt(1 + cos * cos) * nq
+    slack = 1e-9 * (1 + nq * nx.max())
+    edges = [*range(columns, d, columns), d]
+
+    def least(m, rows):
+        """(of each query, and times |x|): what a partial product of m dimensions has to reach."""
+        return m / d * bars[rows] - slack[rows], wide[rows] * math.sqrt(m * (d - m) / (d * d * (d + 2)))
+
+    found = []
+    for lo in range(0, len(q), at_once):
+        rows = np.arange(lo, min(lo + at_once, len(q)))
+        part = alive = pairs = None
+        for m, before in zip(edges, [0, *edges]):
+            base, dev = least(m, rows)
+            if pairs is None:  # many are left: all pairs of the block at once
+                step = rq[rows, before:m] @ rx[:, before:m].T
+                part = step if part is None else part + step
+                fit = part >= base[:, None] - dev[:, None] * nx[None, :]
+                alive = fit if alive is None else alive & fit
+                if m < d and alive.mean() < SPARSE:
+                    a, b = np.nonzero(alive)
+                    pairs = a, b, part[a, b]
+            else:
+                a, b, s = pairs
+                s = s + np.einsum("ij,ij->i", rq[rows[a], before:m], rx[b, before:m])
+                fit = s >= base[a] - dev[a] * nx[b]
+                pairs = a[fit], b[fit], s[fit]
+        a, b = pairs[:2] if pairs is not None else np.nonzero(alive)
+        found.append((rows[a], b))
+    a, b = (np.concatenate(c) for c in zip(*found))
     other = xi[b] != qi[a]
     a, b = a[other], b[other]
     s = exact_scores(x[b], q[a])
     order = np.lexsort((xi[b], -s, a))
     a, b, s = a[order], b[order], s[order]
-    first = np.searchsorted(a, a)
-    top = np.arange(len(a)) - first < k
+    top = np.arange(len(a)) - np.searchsorted(a, a) < k
     return a[top], b[top], s[top]
 
 
@@ -201,10 +215,13 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, key: str = "vec_i
                 q, ids = matrix(b.column(1)), b.column(0).to_numpy()
                 order = np.argsort(-(q @ f.centres.T), axis=1, kind="stable")[:, : f.probes].astype(np.int32)
                 lists = pa.ListArray.from_arrays(np.arange(0, order.size + 1, order.shape[1], dtype=np.int32), order.ravel())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f.bars(ids, q)), lists], names=["id", "v", "bar", "lists"])
+                bar, at, score = f.known(ids, q)
+                ends = np.arange(0, at.size + 1, at.shape[1], dtype=np.int32)
+                near, far = (pa.ListArray.from_arrays(ends, pa.array(x.ravel())) for x in (f.ids[at], score))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bar), lists, near, far], names=["id", "v", "bar", "lists", "near", "near_score"])
 
     placed = stored(valid.mapInArrow(place, "id long, v array<double>, list int"), "ann-lists")
-    asked = stored(valid.where(F.col("id") % every == 0).mapInArrow(probe, "id long, v array<double>, bar double, lists array<int>"), "ann-queries")
+    asked = stored(valid.where(F.col("id") % every == 0).mapInArrow(probe, "id long, v array<double>, bar double, lists array<int>, near array<long>, near_score array<double>"), "ann-queries")
     n_queries = asked.count()
     # Blocks: one row for each list (at most MAX_LISTS) says into how many parts it is cut.
     parts = placed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
@@ -241,6 +258,8 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, key: str = "vec_i
         return pa.table({"query_id": qi[a], "vec_id": xi[b], "score": s})
 
     found = rows.unionByName(queries).groupBy("list", "part", "side").applyInArrow(scan, "query_id long, vec_id long, score double")
+    known = asked.select("id", F.explode(F.arrays_zip("near", "near_score")).alias("n")).select(F.col("id").alias("query_id"), F.col("n.near").alias("vec_id"), F.col("n.near_score").alias("score"))
+    found = found.unionByName(known.where(F.col("score") > float("-inf"))).distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

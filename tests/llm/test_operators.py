@@ -179,6 +179,24 @@ def test_nearest_edges(spark, monkeypatch):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def test_nearest_of_near_copies(spark):
+    """A tight cluster: its inner products lie far over what unrelated vectors have."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((1500, 64))
+    x[:60] = x[0] + 0.05 * rng.standard_normal((60, 64))
+    x *= rng.uniform(0.5, 2, (1500, 1))
+    df = spark.createDataFrame([(i * 5, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.search(df).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    scores = x @ x.T
+    np.fill_diagonal(scores, -np.inf)
+    want = {i * 5: set((np.argsort(-scores[i])[:20] * 5).tolist()) for i in range(0, 1500, 4)}
+    assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
+    assert sum(len(want[q] & set(got[q])) for q in want) >= 0.95 * 20 * len(want)
+    assert all(len(want[i * 5] & set(got[i * 5])) >= 19 for i in range(0, 60, 4))
+
+
 # --- 5 ---
 def test_warc(spark):
     big = "x" * 5000
