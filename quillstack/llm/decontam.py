@@ -32,7 +32,7 @@ from .common import folder, opened, put_whole, ship, table
 
 WIDTH = 10
 SHARD_BYTES = 24 << 20
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20  # about 80 MB of windows
 SAMPLED = 16
 #: Words are runs of ASCII letters and digits (lower-cased) and of all bytes of other characters.
 WORD_BYTES = bytes((c + 32 if 65 <= c <= 90 else c) if chr(c).isalnum() or c >= 128 else 32 for c in range(256))

@@ -32,6 +32,8 @@ WEIGHTS = (3, 1, 2)
 TOTAL, REPEATS = 1.5, 2
 BLOCK, LEAST_BLOCKS = 1024, 512
 BUCKET_DOCS, CHUNK = 4096, 1 << 14
+#: Plans of sources up to this number are broadcast (about 100 bytes each).
+BROADCAST_SOURCES = 10_000
 GOLDEN = 0.6180339887498949
 PRIME = 2147483647
 WORD = r"[^\x20\x09-\x0D]+"
@@ -117,7 +119,8 @@ def mix_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     if not plan:
         zero = F.lit(0).cast("long")
         return light.select("k", "h", "size", zero.alias("source_size"), F.lit(0.0).alias("target"), zero.alias("taken"))
-    plans = F.broadcast(spark.createDataFrame([tuple(p.values()) for p in plan], names))
+    plans = spark.createDataFrame([tuple(p.values()) for p in plan], names)
+    plans = F.broadcast(plans) if len(plan) <= BROADCAST_SOURCES else plans
     rows = light.join(plans, light["src"].eqNullSafe(plans["src"])).drop("src")
     # Place of each document in its source's stream: buckets by hash, a running sum in each.
     rows = rows.withColumn("bucket", F.pmod("h", "buckets"))
