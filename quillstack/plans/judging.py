@@ -16,7 +16,7 @@ from .statistics import OUT
 FACETS = ["cena koszt cennik price cost pricing", "wymiary szerokość wysokość dimensions width height", "montaż instalacja installation assembly",
           "parametry techniczne specyfikacja technical specifications", "opcje akcesoria wyposażenie options accessories", "bezpieczeństwo zabezpieczenia safety security"]
 FACET = "fc AS (" + " UNION ALL ".join(f"SELECT {i} AS facet, '{f}' AS name" for i, f in enumerate(FACETS)) + ")"
-shared("facet_expand", f"""WITH {FACET}, s AS (SELECT item_id, substr(text, 1, 24) AS base, facet, name, ((length(text) * 7 + facet * 13 + item_id) % 101) / 1e2 AS score FROM benchmark CROSS JOIN fc),
+shared("facet_expand", f"""WITH {FACET}, s AS (SELECT item_id, text AS base, facet, name, ((length(text) * 7 + facet * 13 + item_id) % 101) / 1e2 AS score FROM benchmark CROSS JOIN fc),
 t AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, facet) AS place FROM s)
 SELECT DISTINCT item_id, facet, base || ' ' || name AS variant, score FROM t WHERE place <= 2 AND score >= 0.7e0""")
 
@@ -24,7 +24,7 @@ POOL = f"""{OUT}, cand AS (SELECT q, vec_id, s, 64 - n AS list, r FROM rk WHERE
 one AS (SELECT *, row_number() OVER (PARTITION BY q, vec_id ORDER BY list, r) AS pick FROM cand),
 pool AS (SELECT q, vec_id, s, row_number() OVER (PARTITION BY q ORDER BY list, r) AS ord, count(*) OVER (PARTITION BY q) AS candidates FROM one WHERE pick = 1)"""
 LEX = f"""{TERMS}, {OV}, lx AS (SELECT item_id AS q, doc_id * 8 AS vec_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM ov)"""
-HPOOL = f"""{OUT}, {LEX}, cand AS (SELECT q, vec_id, s, 64 - n AS list, r FROM rk WHERE r <= 24 UNION ALL SELECT q, vec_id, 0e0 AS s, 99 AS list, r FROM lx WHERE r <= 20 AND q < 40),
+HPOOL = f"""{OUT}, {LEX}, cand AS (SELECT q, vec_id, s, 64 - n AS list, r FROM rk WHERE r <= 24 UNION ALL SELECT q, vec_id, 0e0 AS s, 99 AS list, r FROM lx WHERE r <= 20),
 one AS (SELECT *, row_number() OVER (PARTITION BY q, vec_id ORDER BY list, r) AS pick FROM cand),
 pool AS (SELECT q, vec_id, s, row_number() OVER (PARTITION BY q ORDER BY list, r) AS ord, count(*) OVER (PARTITION BY q) AS candidates FROM one WHERE pick = 1)"""
 shared("candidate_pool", f"WITH {POOL} SELECT q AS query_id, <long(ord)> AS ord, vec_id, round(s, 6) AS score, candidates FROM pool WHERE ord <= 64")

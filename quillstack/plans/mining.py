@@ -58,7 +58,7 @@ def text_flat(spark, sf_dir):
 
 # Headings: short lines, mostly of capitals.  Titles of the documents' first words, in capitals, are among the lines.
 HEAD = r"""ln AS (SELECT doc_id, source, <unnest(<part(line;'~')>)> AS raw FROM (SELECT doc_id, source, upper(replace(substr(text, 1, 12 + CAST(doc_id % 30 AS INT)), 'ß', 'ss')) || '~' || replace(replace(text, '~', ' '), chr(10), '~') || '~DATA SHEET~SECTION ' || CAST(doc_id % 7 AS VARCHAR(9)) || ' PART A' AS line FROM documents) t),
-st AS (SELECT doc_id, source, <trim(<trim(<swap(raw;'[ \t\r\n\f\v]+';' ')>;' ')>;' -–—:|')> AS s FROM ln WHERE length(raw) < 400),
+st AS (SELECT doc_id, source, <trim(<trim(<swap(raw;'[ \t\r\n\f\v]+';' ')>;' ')>;' -–—:|')> AS s FROM ln),
 hd AS (SELECT doc_id, source, s, <part(s;' ')> AS w, length(<swap(s;'[^\p{{L}}]';'')>) AS letters, length(<swap(s;'[^\p{{Lu}}]';'')>) AS caps FROM st),
 head AS (SELECT DISTINCT doc_id, source, s FROM hd WHERE length(s) BETWEEN 3 AND 60 AND <len(w)> BETWEEN 1 AND 6 AND NOT <like(s;'[.,\x3B:]$')>
          AND lower(<at(w;-1)>) NOT IN ('i','oraz','lub','w','we','z','ze','na','do','od','za','o','u','dla','przy','po','pod','nad','bez','przez','gdzie','które','który','która','jest','są','aby','że')
@@ -114,8 +114,8 @@ def probe_questions(spark, sf_dir):
     return rows.where("ordinal % 2 = 0").withColumn("f", forms).select("doc_id", "f.kind", F.replace("f.t", F.lit("{s}"), F.col("subject")).alias("q"))
 
 
-# Subjects are benchmark items' openings; a document is gold if it holds one.
-GROUND = "su AS (SELECT item_id, lower(substr(text, 1, 24)) AS s FROM benchmark), lo AS (SELECT doc_id, source, lower(text) AS t FROM documents), hit AS (SELECT item_id, doc_id, source FROM lo JOIN su ON <has(t;s)>), nh AS (SELECT item_id, count(*) AS n_pages, min(doc_id) AS first_page FROM hit GROUP BY item_id)"
+# Subjects are benchmark items; a document is gold if it holds one.
+GROUND = "su AS (SELECT item_id, lower(text) AS s FROM benchmark), lo AS (SELECT doc_id, source, lower(text) AS t FROM documents), hit AS (SELECT item_id, doc_id, source FROM lo JOIN su ON <has(t;s)>), nh AS (SELECT item_id, count(*) AS n_pages, min(doc_id) AS first_page FROM hit GROUP BY item_id)"
 shared("grounded", f"WITH {GROUND} SELECT su.item_id, coalesce(n_pages, 0) > 0 AS grounded FROM su LEFT JOIN nh ON su.item_id = nh.item_id")
 shared("verified_subset", f"WITH {GROUND} SELECT item_id, first_page AS page FROM nh WHERE n_pages = 1")
 OV = f"""ov AS (SELECT item_id, doc_id, source, round(n / m, 9) AS score FROM (SELECT i.item_id, d.doc_id, d.source, count(*) * 1e0 AS n, max(i.m) AS m FROM it i JOIN dt d ON i.term = d.term GROUP BY i.item_id, d.doc_id, d.source) x)"""

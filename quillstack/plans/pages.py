@@ -9,7 +9,7 @@ from ..operators import citations as C
 from .registry import query, shared
 from .retrieval import T, read
 
-shared("cache_lookup", """WITH c AS (SELECT vec_id, embedding AS e, label % 2 AS ns FROM embeddings WHERE vec_id % 3 = 0), p AS (SELECT vec_id AS probe_id, embedding AS pe, label % 2 AS ns FROM embeddings WHERE vec_id % 3 = 1 AND vec_id < 200),
+shared("cache_lookup", """WITH c AS (SELECT vec_id, embedding AS e, label % 2 AS ns FROM embeddings WHERE vec_id % 50 <> 0), p AS (SELECT vec_id AS probe_id, embedding AS pe, label % 2 AS ns FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT probe_id, vec_id, round(<dot(pe;e)>, 9) AS sim FROM p JOIN c ON p.ns = c.ns), r AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY sim DESC, vec_id) AS place FROM s)
 SELECT probe_id, vec_id AS entry_id, round(sim, 6) AS similarity, sim >= 0.95e0 AS served FROM r WHERE place = 1""")
 shared("cache_evict", """WITH e AS (SELECT event_id, <epoch(ts)> AS created, CASE WHEN event_id % 3 = 0 THEN <epoch(ts)> + (event_id % 100) * 3600000000 END AS last_used FROM events),
@@ -24,7 +24,7 @@ SPLIT = CITED.replace("'\\'", "chr(92)") + r""", body AS (SELECT conv_id, turn,
 ln AS (SELECT conv_id, turn, <unnest(<part(block;'~')>)> AS raw FROM body), st AS (SELECT conv_id, turn, <trim(raw;' `')> AS s FROM ln),
 cite AS (SELECT conv_id, turn, try_cast(<json(s;page)> AS INT) AS page, <json(s;quote)> AS quote, try_cast(<json(s;article_id)> AS INT) AS article FROM st WHERE s LIKE '{%' AND <json(s;quote)> <> '')"""
 shared("citation_split", f"WITH {SPLIT} SELECT conv_id, turn, page, quote, article FROM cite")
-shared("citation_resolve", f"""WITH {SPLIT}, att AS (SELECT a.conv_id, a.turn, doc_id, doc_id % 3 AS article, doc_id % 10 AS page, row_number() OVER (PARTITION BY a.conv_id, a.turn ORDER BY doc_id) AS rank FROM body a JOIN documents d ON d.doc_id % 50 = a.conv_id % 50 OR d.doc_id = a.turn),
+shared("citation_resolve", f"""WITH {SPLIT}, att AS (SELECT a.conv_id, a.turn, doc_id, doc_id % 3 AS article, doc_id % 10 AS page, row_number() OVER (PARTITION BY a.conv_id, a.turn ORDER BY doc_id) AS rank FROM (SELECT conv_id, turn, <unnest(<series(conv_id;conv_id + 11)>)> AS near FROM body) a JOIN documents d ON d.doc_id = a.near),
 m AS (SELECT c.conv_id, c.turn, c.page, doc_id, row_number() OVER (PARTITION BY c.conv_id, c.turn ORDER BY CASE WHEN c.article = a.article THEN 0 ELSE 1 END, rank) AS pick, c.article AS want, a.article AS have FROM cite c JOIN att a ON a.conv_id = c.conv_id AND a.turn = c.turn AND a.page = c.page AND (c.article IS NULL OR c.article = a.article OR c.turn % 2 = 0))
 SELECT conv_id, turn, page, doc_id FROM m WHERE pick = 1""")
 
@@ -65,12 +65,12 @@ SELECT l_orderkey, chunk, <agg(word;' ';l_linenumber)> AS text FROM i GROUP BY l
 
 # Words of a page: those of a turn, eight a line, boxes by length.
 def page_words(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text", F.slice(cite_tokens(F.col("text")), 1, 400).alias("t"))
+    c = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text", cite_tokens(F.col("text")).alias("t"))
     word = lambda t, i: F.struct((i % 8 * 12.0).alias("x0"), (F.floor(i / 8) * 2.0).alias("y0"), (i % 8 * 12.0 + F.char_length(t)).alias("x1"), (F.floor(i / 8) * 2.0 + 1.5).alias("y1"), t.alias("token"), F.floor(i / 8).cast("int").alias("line"))
     return c.withColumn("words", F.transform("t", word))
 
 
-@query("word_boxes", "SELECT id, i - 1 AS ord, token, CAST((i - 1) // 8 AS INT) AS line, ((i - 1) % 8) * 12e0 AS x0, ((i - 1) % 8) * 12e0 + length(token) AS x1 FROM (SELECT conv_id * 100 + turn AS id, unnest(t) AS token, generate_subscripts(t, 1) AS i FROM (SELECT conv_id, turn, list_slice(regexp_extract_all(lower(translate(text, '" + T.FOLD_FROM + "', '" + T.FOLD_TO + "')), '[0-9a-z]+'), 1, 400) AS t FROM conversations))")
+@query("word_boxes", "SELECT id, i - 1 AS ord, token, CAST((i - 1) // 8 AS INT) AS line, ((i - 1) % 8) * 12e0 AS x0, ((i - 1) % 8) * 12e0 + length(token) AS x1 FROM (SELECT conv_id * 100 + turn AS id, unnest(t) AS token, generate_subscripts(t, 1) AS i FROM (SELECT conv_id, turn, regexp_extract_all(lower(translate(text, '" + T.FOLD_FROM + "', '" + T.FOLD_TO + "')), '[0-9a-z]+') AS t FROM conversations))")
 def word_boxes(spark, sf_dir):
     w = page_words(spark, sf_dir).select("id", F.posexplode("words").alias("ord", "w"))
     return w.select("id", F.col("ord").cast("long").alias("ord"), "w.token", "w.line", "w.x0", "w.x1")

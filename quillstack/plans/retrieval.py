@@ -29,30 +29,30 @@ def tok(x: str) -> str:
 POST = f"""tok AS (SELECT doc_id AS doc, {tok("text")} AS t FROM documents), lens AS (SELECT doc, CAST(len(t) AS BIGINT) AS dl FROM tok),
 post AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(t) AS term FROM tok) GROUP BY ALL),
 idf AS (SELECT term, count(*) AS df, ln(1 + ((SELECT count(*) FROM lens) - count(*) + 5e-1) / (count(*) + 5e-1)) AS idf FROM post GROUP BY term),
-qt AS (SELECT item_id AS q, unnest(list_slice({tok("text")}, 1, 8)) AS term FROM benchmark),
+qt AS (SELECT item_id AS q, unnest({tok("text")}) AS term FROM benchmark),
 sc AS (SELECT q, doc, sum(idf * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * dl / (SELECT avg(dl) FROM lens)))) AS score
        FROM qt JOIN idf USING (term) JOIN post USING (term) JOIN lens USING (doc) GROUP BY q, doc)"""
 TOPK = ", top AS (SELECT q, doc, score, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc) AS rank FROM sc WHERE round(score, 9) > 0)"
-#: DuckDB: vector hits of queries vec_id < 20, at depth 24.
-HITS = """sc AS (SELECT a.vec_id AS q, b.vec_id, round(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])), 9) AS score
-       FROM embeddings a JOIN embeddings b ON a.vec_id < 20 AND a.vec_id <> b.vec_id),
+#: DuckDB: vector hits at depth 24.  Query q is the row whose vec_id is 50 q, and there are as many as such rows.
+HITS = """sc AS (SELECT a.vec_id // 50 AS q, b.vec_id, round(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])), 9) AS score
+       FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
 hit AS (SELECT *, vec_id // 8 AS page, CAST(vec_id % 8 AS INT) AS chunk, CASE WHEN vec_id % 8 = 0 THEN 'page' ELSE 'region' END AS scale
        FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM sc) WHERE rank <= 24)"""
 PAGES = """pg AS (SELECT q, page, round(max(score) + 0.18e0 * (sum(score) - max(score)), 9) AS score, count(*) AS n_chunks,
        arg_min(CASE WHEN scale <> 'page' THEN chunk END, struct_pack(w := -score, r := rank)) FILTER (scale <> 'page') AS focus, min(rank) AS first FROM hit GROUP BY q, page)"""
 
 
-def vector_queries(spark, sf_dir, n=20):
-    return read(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
+def vector_queries(spark, sf_dir):
+    return read(spark, sf_dir, "embeddings").where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
 
 
 def vector_hits(spark, sf_dir, n=24):
     found = V.inner_products(read(spark, sf_dir, "embeddings"), vector_queries(spark, sf_dir))
-    return V.with_chunks(V.hits(found, n))
+    return V.with_chunks(V.hits(found, n)).withColumn("q", F.floor(F.col("q") / 50))
 
 
 def bm25(spark, sf_dir, k=8):
-    terms = L.query_terms(read(spark, sf_dir, "benchmark"), "item_id", "text", 8)
+    terms = L.query_terms(read(spark, sf_dir, "benchmark"), "item_id", "text")
     return L.top(L.score_queries(read(spark, sf_dir, "documents"), terms), k)
 
 
@@ -82,7 +82,7 @@ def bm25_idf(spark, sf_dir):
 @query("bm25_scores", f"WITH {POST} SELECT q AS item_id, doc AS doc_id, round(score, 6) AS score FROM sc")
 def bm25_scores(spark, sf_dir):
     post = L.postings(read(spark, sf_dir, "documents"))
-    got = L.scores(post, L.query_terms(read(spark, sf_dir, "benchmark"), "item_id", "text", 8))
+    got = L.scores(post, L.query_terms(read(spark, sf_dir, "benchmark"), "item_id", "text"))
     return got.select(F.col("q").alias("item_id"), F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
@@ -101,17 +101,17 @@ def matched_terms(spark, sf_dir):
 
 
 # --- vectors and pages ---
-@query("vector_topk", f"WITH {HITS} SELECT q AS query_id, CAST(rank AS INT) AS rank, vec_id, round(score, 6) AS score FROM hit WHERE rank <= 10")
+@query("vector_topk", f"WITH {HITS} SELECT q * 50 AS query_id, CAST(rank AS INT) AS rank, vec_id, round(score, 6) AS score FROM hit WHERE rank <= 10")
 def vector_topk(spark, sf_dir):
-    return vector_hits(spark, sf_dir, 10).select(F.col("q").alias("query_id"), "rank", "vec_id", F.round("score", 6).alias("score"))
+    return vector_hits(spark, sf_dir, 10).select((F.col("q") * 50).alias("query_id"), "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
-@query("hit_scale", f"WITH {HITS} SELECT q AS query_id, vec_id, page, chunk, scale FROM hit")
+@query("hit_scale", f"WITH {HITS} SELECT q * 50 AS query_id, vec_id, page, chunk, scale FROM hit")
 def hit_scale(spark, sf_dir):
     """Hits with their crops' scales, by a left join with the crop table: unknown crops are regions."""
     crops = V.with_chunks(read(spark, sf_dir, "embeddings").select("vec_id")).select("vec_id", "scale")
     found = vector_hits(spark, sf_dir).drop("scale").join(crops, "vec_id", "left")
-    return found.select(F.col("q").alias("query_id"), "vec_id", "page", "chunk", F.coalesce("scale", F.lit("region")).alias("scale"))
+    return found.select((F.col("q") * 50).alias("query_id"), "vec_id", "page", "chunk", F.coalesce("scale", F.lit("region")).alias("scale"))
 
 
 @query("page_aggregate", f"WITH {HITS}, {PAGES} SELECT q AS query_id, page, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, first) AS INT) AS rank, round(score, 6) AS score, n_chunks, focus FROM pg")
@@ -140,14 +140,14 @@ def variant_fuse(spark, sf_dir):
 
 
 HYBRID = f"""{POST.replace("sc AS", "lsc AS").replace("FROM sc", "FROM lsc")}, ltop AS (SELECT q, doc, score, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc) AS rank FROM lsc WHERE round(score, 9) > 0),
-{FUSED}, lists AS (SELECT g AS q, page, rank, 0 AS list, 'visual' AS source FROM fu WHERE rank <= 20 UNION ALL SELECT q, doc, rank, 1, 'lexical' FROM ltop WHERE rank <= 20 AND q < 10),
+{FUSED}, lists AS (SELECT g AS q, page, rank, 0 AS list, 'visual' AS source FROM fu WHERE rank <= 20 UNION ALL SELECT q, doc, rank, 1, 'lexical' FROM ltop WHERE rank <= 20),
 rr AS (SELECT q, page, round(sum(1e0 / (60 + rank)), 12) AS rrf, array_to_string(list_sort(list(source)), ',') AS sources, min(struct_pack(list, rank)) AS seen FROM lists GROUP BY q, page),
 hy AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY rrf DESC, seen, page) AS rank FROM rr)"""
 
 
 def lists(spark, sf_dir):
     visual = fused(spark, sf_dir).where("rank <= 20").select(F.col("g").alias("q"), "page", "rank", F.lit(0).alias("list"), F.lit("visual").alias("source"))
-    lexical = bm25(spark, sf_dir, 20).where("q < 10").select("q", F.col("doc").alias("page"), "rank", F.lit(1).alias("list"), F.lit("lexical").alias("source"))
+    lexical = bm25(spark, sf_dir, 20).select("q", F.col("doc").alias("page"), "rank", F.lit(1).alias("list"), F.lit("lexical").alias("source"))
     return visual.unionByName(lexical).withColumn("weight", F.lit(1.0))
 
 
@@ -227,14 +227,14 @@ def retrieval_funnel(spark, sf_dir):
     return sums.join(F.broadcast(pages)).select("hits", "chunks", "pages", "calls")
 
 
-# Modes of a query pair: baseline, visual, hybrid (each one's best 4).
+# Modes of a query pair: baseline (its first variant's), visual, hybrid (each one's best 4).
 MODES = f"""{HYBRID}, base AS (SELECT q, page, min(rank) AS first FROM hit WHERE rank <= 12 GROUP BY q, page), bp AS (SELECT q, page, row_number() OVER (PARTITION BY q ORDER BY first) AS rank FROM base),
-modes AS (SELECT 'baseline' AS mode, q, page, rank FROM bp WHERE rank <= 4 AND q < 10 UNION ALL SELECT 'hybrid', q, page, rank FROM hy WHERE rank <= 4 UNION ALL SELECT 'visual', g, page, rank FROM fu WHERE rank <= 4)"""
+modes AS (SELECT 'baseline' AS mode, q // 2 AS q, page, rank FROM bp WHERE rank <= 4 AND q % 2 = 0 UNION ALL SELECT 'hybrid', q, page, rank FROM hy WHERE rank <= 4 UNION ALL SELECT 'visual', g, page, rank FROM fu WHERE rank <= 4)"""
 
 
 def modes(spark, sf_dir):
     of = lambda df, name, q: df.where("rank <= 4").select(F.lit(name).alias("mode"), F.col(q).alias("q"), "page", "rank")
-    return of(baseline(spark, sf_dir).where("q < 10"), "baseline", "q").unionByName(of(hybrid(spark, sf_dir), "hybrid", "q")).unionByName(of(fused(spark, sf_dir), "visual", "g"))
+    return of(baseline(spark, sf_dir).where("q % 2 = 0").withColumn("g", F.floor(F.col("q") / 2)), "baseline", "g").unionByName(of(hybrid(spark, sf_dir), "hybrid", "q")).unionByName(of(fused(spark, sf_dir), "visual", "g"))
 
 
 @query("mode_agreement", f"WITH {MODES} SELECT q AS query_id, page, count(*) AS n_modes, string_agg(mode, ',' ORDER BY mode) AS modes FROM modes GROUP BY q, page")

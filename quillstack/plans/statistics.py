@@ -10,8 +10,8 @@ from __future__ import annotations
 from .registry import shared
 
 OUT = """dims AS (SELECT 16 AS n UNION ALL SELECT 32 AS n UNION ALL SELECT 64 AS n),
-qs AS (SELECT vec_id AS q, embedding AS e, label % 3 AS kind FROM embeddings WHERE vec_id < 40),
-sc AS (SELECT n, q, kind, b.vec_id, round(<dot(<slice(b.embedding;n)>;<slice(qs.e;n)>)>, 9) AS s FROM embeddings b JOIN qs ON b.vec_id <> qs.q CROSS JOIN dims),
+qs AS (SELECT <div(vec_id;50)> AS q, vec_id AS own, embedding AS e, label % 3 AS kind FROM embeddings WHERE vec_id % 50 = 0),
+sc AS (SELECT n, q, kind, b.vec_id, round(<dot(<slice(b.embedding;n)>;<slice(qs.e;n)>)>, 9) AS s FROM embeddings b JOIN qs ON b.vec_id <> qs.own CROSS JOIN dims),
 rk AS (SELECT *, row_number() OVER (PARTITION BY n, q ORDER BY s DESC, vec_id) AS r FROM sc),
 pg AS (SELECT n, q, kind, <div(vec_id;8)> AS page, min(r) AS r FROM rk WHERE r <= 12 GROUP BY n, q, kind, <div(vec_id;8)>),
 pr AS (SELECT *, row_number() OVER (PARTITION BY n, q ORDER BY r) AS rank FROM pg),
