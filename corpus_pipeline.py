@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir); its result is written as Parquet and rea
 next one's docs.  All but the last keep the columns of `documents`; the last has a row for each
 document of the mix: doc_id, start, n_tokens, ids_crc32, read back from the packed files.
 
-Near-dedup takes the parameters of the operator's query: shingles of 4 words, 4 bits at most.
+Near-dedup links fingerprints of 4 words' shingles at 4 bits, as the operator's query does, and texts
+of a similarity of about 0.8 or more in shingles of five words.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays: that of the smallest doc_id."""
-    return simhash.without_copies(docs)
+    return simhash.without_copies(docs, similar=True)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,13 @@ bits from each, so all points up to r bits around each fingerprint are made, and
 a point are linked through it (they are at most 2r apart).  For an odd distance the pairs at one
 bit more are not certain, so `DISTANCE` has to be even for this way.
 
+`classes(similar=True)` also links texts whose sets of five-word shingles are about 0.8 similar or
+more.  Such texts' 64 bits differ in 4 to 14 places, too many for pigeonhole blocks, so their blocks
+are others: `BANDS` keys, each of `BAND_ROWS` min-wise hashes of the shingles, of which similar texts
+share one at least (99.5% of pairs at 0.8).  Each fingerprint of a block is compared with the
+block's smallest by the Hamming distance of 256-bit SimHashes, at most `WIDE_DISTANCE`: rows grow
+with the blocks, no block is gathered in a task, and all members of a block are near each other.
+
 Classes are the connected components: stars are contracted (each fingerprint to its smallest
 neighbour) in rounds, each written to the shared folder.
 
@@ -28,11 +35,13 @@ import itertools
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .common import ASCII_LOWER, ship, stored, table
 
 WORDS, DISTANCE, BLOCKS, BUCKET = 4, 4, 7, 2048
+#: The other way's shingles, blocks, and bits apart of its 256 (0.8 similar: 39 expected).
+SIMILAR_WORDS, BANDS, BAND_ROWS, WIDE_DISTANCE = 5, 28, 8, 48
 #: Texts of more words are hashed in pieces of so many shingles, to bound memory.
 PIECE = 1 << 16
 
@@ -54,8 +63,45 @@ def _bits(text: bytes | None, width: int) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, width: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, h, fp) of every row; fp is the fingerprint as a signed long, h a hash of the whole text."""
+def _mixed(x, seed: int):
+    """A bijective mix of 64-bit values, another one for each seed."""
+    import numpy as np
+
+    x = x + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))
+    for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(times)
+    return x ^ (x >> np.uint64(31))
+
+
+def _sketch(text: bytes | None, width: int = SIMILAR_WORDS) -> tuple[list[int], list[int]]:
+    """(256-bit SimHash as four signed longs, block keys) of a text's set of shingles; both are
+    empty without a word.  Repeats in one piece of `PIECE` shingles count once."""
+    import numpy as np
+    from xxhash import xxh64_intdigest as h
+
+    words = text.translate(ASCII_LOWER).split() if text else []
+    if not words:
+        return [], []
+    width = min(width, len(words))
+    n, total = len(words) - width + 1, 0
+    ones, least = np.zeros(256, np.int64), np.full(BANDS * BAND_ROWS, (1 << 64) - 1, np.uint64)
+    times = _mixed(np.arange(BANDS * BAND_ROWS, dtype=np.uint64), 7) | np.uint64(1)
+    for a in range(0, n, PIECE):
+        some = words[a : a + PIECE + width - 1]
+        got = np.unique(np.fromiter((h(s, 42) for s in map(b" ".join, zip(*(some[i:] for i in range(width))))), np.uint64))
+        total += len(got)
+        wide = np.stack([_mixed(got, k) for k in range(4)], axis=1)
+        ones += np.unpackbits(wide.astype(">u8").view(np.uint8).reshape(-1, 32), axis=1).sum(0, dtype=np.int64)
+        for b in range(0, len(got), 1024):
+            least = np.minimum(least, (got[b : b + 1024, None] * times).min(0))
+    bits = np.packbits(ones * 2 > total).view(">u8").astype(np.uint64).view(np.int64).tolist()
+    keys = [h(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, BAND_ROWS))]
+    return bits, np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def fingerprints(docs: DataFrame, width: int = WORDS, key: str = "doc_id", text: str = "text", similar: bool = False) -> DataFrame:
+    """(key, h, fp) of every row; fp is the fingerprint as a signed long, h a hash of the whole text.
+    With `similar` also wide and bands, what `_sketch` gives."""
     ship(docs.sparkSession)
 
     def work(batches):
@@ -63,10 +109,15 @@ def fingerprints(docs: DataFrame, width: int = WORDS, key: str = "doc_id", text:
         import pyarrow as pa
 
         for b in batches:
-            fp = np.array([_bits(t, width) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp)], names=[key, "h", "fp"])
-
-    schema = StructType([StructField(key, docs.schema[key].dataType), StructField("h", LongType()), StructField("fp", LongType())])
+            texts = b.column(1).to_pylist()
+            fp = np.array([_bits(t, width) for t in texts], np.uint64).view(np.int64)
+            out = [b.column(0), b.column(2), pa.array(fp)]
+            if similar:
+                out += [pa.array(list(x), pa.list_(pa.int64())) for x in zip(*map(_sketch, texts))] or [pa.array([], pa.list_(pa.int64()))] * 2
+            yield pa.RecordBatch.from_arrays(out, names=names)
+
+    kinds = {key: docs.schema[key].dataType, "h": LongType(), "fp": LongType()} | ({"wide": ArrayType(LongType()), "bands": ArrayType(LongType())} if similar else {})
+    names, schema = list(kinds), StructType([StructField(n, t) for n, t in kinds.items()])
     return docs.select(F.col(key), F.col(text).cast("binary").alias("t"), F.xxhash64(text).alias("h")).mapInArrow(work, schema)
 
 
@@ -143,6 +194,15 @@ def close_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS,
     return links.distinct()
 
 
+def similar_links(rows: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
+    """(a, b), a < b: links from (fp, wide, bands), by min-wise blocks and wide fingerprints."""
+    keyed = rows.select("fp", *(F.get("wide", F.lit(i)).alias(f"w{i}") for i in range(4)), F.posexplode("bands").alias("band", "block"))
+    least = keyed.groupBy("band", "block").agg(F.min(F.struct("fp", "w0", "w1", "w2", "w3")).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    apart = sum((F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"least.w{i}"))) for i in range(4)), F.lit(0))
+    met = keyed.join(least, ["band", "block"]).where((F.col("fp") > F.col("least.fp")) & (apart <= distance))
+    return met.select(F.col("least.fp").alias("a"), F.col("fp").alias("b")).distinct()
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node of the component of every node of `links` (a, b).
 
@@ -181,13 +241,18 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
 
 
-def classes(docs: DataFrame, width: int = WORDS, distance: int = DISTANCE, blocks: int = BLOCKS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def classes(docs: DataFrame, width: int = WORDS, distance: int = DISTANCE, blocks: int = BLOCKS, key: str = "doc_id", text: str = "text", similar: bool = False) -> DataFrame:
     """(key, h, fp, component, stays): component is the smallest key of the document's class, and
-    stays is true for the row (or the equal rows) that has it."""
-    fps = stored(fingerprints(docs, width, key, text), "simhash")
+    stays is true for the row (or the equal rows) that has it.  `similar`: texts of similar sets of
+    five-word shingles are linked, too."""
+    fps = stored(fingerprints(docs, width, key, text, similar), "simhash")
     first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("h").alias("h")))
     distinct = stored(fps.groupBy("fp").agg(first.alias("low")), "simhash-distinct")
-    roots = components(close_links(distinct.select("fp"), distance, blocks))
+    links = close_links(distinct.select("fp"), distance, blocks)
+    if similar:
+        # Each text once: copies have one sketch.
+        links = links.unionByName(similar_links(fps.dropDuplicates(["h"]).select("fp", "wide", "bands"))).distinct()
+    roots = components(links)
     # Fingerprints without links are their own class; the rest meet at their root.
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = stored(named, "simhash-named")

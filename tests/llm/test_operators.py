@@ -4,6 +4,7 @@ import collections
 import hashlib
 import json
 import math
+import random
 import re
 import zlib
 
@@ -348,6 +349,35 @@ def brute_classes(fps, distance=4):
     return [find(i) for i in range(len(fps))]
 
 
+def brute_shingles(text, width=5):
+    w = re.sub("[A-Z]+", lambda m: m[0].lower(), text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", w)
+    return {" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def test_simhash_similar(spark):
+    """Texts with a few words changed are one class, by whatever copy they are like; others are not."""
+    rng = random.Random(5)
+    rows, family = [], {}
+    for f in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        for c in range(15 if f else 60):
+            new = list(words)
+            for _ in range(3 if c else 0):
+                new[rng.randrange(400)] = f"n{rng.randrange(10**6)}"
+            family[len(rows)] = f
+            rows.append((len(rows), " ".join(new)))
+    rows += [(1000, None), (1001, ""), (1002, " \n"), (1003, "one"), (1004, "One"), (1005, "two words"), (1006, "a b c d e " * 90_000)]
+    got = {r.doc_id: r.component for r in simhash.classes(spark.createDataFrame(rows, "doc_id long, text string"), similar=True).collect()}
+    first = {}
+    for i, f in family.items():
+        first.setdefault(f, i)
+    assert all(got[i] == first[f] for i, f in family.items())
+    assert [got[i] for i in range(1000, 1007)] == [1000, 1000, 1000, 1003, 1003, 1005, 1006]
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert simhash.classes(none, similar=True).count() == 0
+
+
 def test_simhash_edges(docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     fps = [brute_fp(t) for _, t in rows]
