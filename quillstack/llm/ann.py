@@ -17,7 +17,7 @@ neighbours of sample rows.  It so follows the data; on vectors without any clust
 
 Defined results: vectors that are null, zero, of another length than the first valid one, or hold
 null or non-finite components take no part, as queries or candidates; rows that repeat an id and its
-vector count once, and no row is a candidate for a query of its id; ties go to the smaller id; fewer candidates than K: all
+vector are made one before anything else, and no row is a candidate for a query of its id; ties go to the smaller id; fewer candidates than K: all
 that are found; an empty table gives an empty result; other columns of the input are ignored.
 """
 
@@ -181,7 +181,8 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, key: str = "vec_i
     spark = vectors.sparkSession
     ship(spark)
     result = "query_id long, rank int, vec_id long, score double"
-    valid = _valid(vectors, key, vector)
+    # Each id and vector once from here on: repeats would fill blocks' K places and raise the bar.
+    valid = stored(_valid(vectors, key, vector).distinct(), "ann-rows")
     n_rows = valid.count()
     # About 1.3 * sample rows pass the hash filter, however many rows or tasks there are.
     share = min(1.0, 1.3 * sample / max(1, n_rows))

@@ -198,6 +198,21 @@ def test_nearest_of_near_copies(spark):
     assert all(len(want[i * 5] & set(got[i * 5])) >= 19 for i in range(0, 60, 4))
 
 
+def test_nearest_of_a_repeated_row(spark):
+    """One row repeated for a third of all rows: it counts once, and takes no other's place."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((600, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    hot = (1001, (x[:40].sum(0) * 2).tolist())
+    df = spark.createDataFrame(rows + [hot] * 300, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.search(df, cover=1.0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    want = {q: [j for j, _ in w] for q, w in brute_near(*map(list, zip(*rows, hot)), 20, 20).items()}
+    assert got.keys() == want.keys() and all(len(set(v)) == len(v) == 20 for v in got.values())
+    assert sum(len(set(want[q]) & set(got[q])) for q in want) >= 0.99 * 20 * len(want)
+
+
 # --- 5 ---
 def test_warc(spark):
     big = "x" * 5000
