@@ -16,9 +16,11 @@ bit more are not certain, so `DISTANCE` has to be even for this way.
 `classes(similar=True)` also links texts whose sets of five-word shingles are about 0.8 similar or
 more.  Such texts' 64 bits differ in 4 to 14 places, too many for pigeonhole blocks, so their blocks
 are others: `BANDS` keys, each of `BAND_ROWS` min-wise hashes of the shingles, of which similar texts
-share one at least (99.5% of pairs at 0.8).  Each fingerprint of a block is compared with the
-block's smallest by the Hamming distance of 256-bit SimHashes, at most `WIDE_DISTANCE`: rows grow
-with the blocks, no block is gathered in a task, and all members of a block are near each other.
+share one at least (99.5% of pairs at 0.8).  Members of a block are compared by the Hamming distance
+of 256-bit SimHashes, at most `WIDE_DISTANCE`.  In `ROUNDS` rounds two members of each block are compared
+with all others and classes are made; then all pairs of different classes that are left in a block
+are.  So whatever near pairs of a block connect is connected, and a large block of one class's copies
+costs rows by its members and not by their pairs.  Joins spread the blocks; none is gathered in a task.
 
 Classes are the connected components: stars are contracted (each fingerprint to its smallest
 neighbour) in rounds, each written to the shared folder.
@@ -42,6 +44,8 @@ from .common import ASCII_LOWER, ship, stored, table
 WORDS, DISTANCE, BLOCKS, BUCKET = 4, 4, 7, 2048
 #: The other way's shingles, blocks, and bits apart of its 256 (0.8 similar: 39 expected).
 SIMILAR_WORDS, BANDS, BAND_ROWS, WIDE_DISTANCE = 5, 28, 8, 48
+#: Rounds in which two members of each block are compared with its others, before all pairs left are.
+ROUNDS = 2
 #: Texts of more words are hashed in pieces of so many shingles, to bound memory.
 PIECE = 1 << 16
 
@@ -194,13 +198,37 @@ def close_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS,
     return links.distinct()
 
 
-def similar_links(rows: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
-    """(a, b), a < b: links from (fp, wide, bands), by min-wise blocks and wide fingerprints."""
-    keyed = rows.select("fp", *(F.get("wide", F.lit(i)).alias(f"w{i}") for i in range(4)), F.posexplode("bands").alias("band", "block"))
-    least = keyed.groupBy("band", "block").agg(F.min(F.struct("fp", "w0", "w1", "w2", "w3")).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    apart = sum((F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"least.w{i}"))) for i in range(4)), F.lit(0))
-    met = keyed.join(least, ["band", "block"]).where((F.col("fp") > F.col("least.fp")) & (apart <= distance))
-    return met.select(F.col("least.fp").alias("a"), F.col("fp").alias("b")).distinct()
+def similar_links(rows: DataFrame, linked: DataFrame, distance: int = WIDE_DISTANCE, rounds: int = ROUNDS) -> DataFrame:
+    """(a, b), a < b: links from (fp, h, wide, bands), by min-wise blocks and wide fingerprints, that
+    with those in `linked` connect what all near pairs of members of one block connect."""
+    wide = [f"w{i}" for i in range(4)]
+    keyed = rows.select("fp", "h", *(F.get("wide", F.lit(i)).alias(w) for i, w in enumerate(wide)), F.posexplode("bands").alias("band", "block"))
+    blocks = keyed.groupBy("band", "block").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high")
+    keyed = stored(keyed.join(blocks.select("band", "block"), ["band", "block"], "left_semi"), "similar-blocks")
+    roots, found = components(linked), linked
+    for r in range(rounds + 1):
+        # Blocks whose members are of one class already have nothing to add.
+        named = keyed.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        several = named.groupBy("band", "block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        rest = stored(named.join(several.select("band", "block"), ["band", "block"], "left_semi"), "similar-rest")
+        if not rest.limit(1).count():
+            break
+        mine = ["root", "h", "fp", *wide]
+        if r < rounds:
+            # Two members of a block are compared with all others: any one, and one of the last class.
+            by = F.xxhash64("h", F.lit(r))
+            ends = rest.groupBy("band", "block").agg(F.min(F.struct(by.alias("by"), *mine)).alias("one"), F.max(F.struct("root", by.alias("by"), *mine[1:])).alias("two"))
+            other = ends.select("band", "block", F.explode(F.array(*(F.struct(*(F.col(f"{e}.{c}").alias(c) for c in mine)) for e in ("one", "two")))).alias("o"))
+        else:  # what is left: all pairs of two classes
+            other = rest.select("band", "block", F.struct(*mine).alias("o"))
+        apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"o.{w}"))) for w in wide), F.lit(0))
+        once = F.lit(True) if r < rounds else F.col("h") < F.col("o.h")
+        met = rest.join(other, ["band", "block"]).where(once & (F.col("root") != F.col("o.root")) & (apart <= distance))
+        new = stored(met.select(F.least("fp", "o.fp").alias("a"), F.greatest("fp", "o.fp").alias("b")).distinct(), "similar-links")
+        found = found.unionByName(new)
+        if r < rounds:
+            roots = components(found)
+    return found.distinct()
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -251,7 +279,7 @@ def classes(docs: DataFrame, width: int = WORDS, distance: int = DISTANCE, block
     links = close_links(distinct.select("fp"), distance, blocks)
     if similar:
         # Each text once: copies have one sketch.
-        links = links.unionByName(similar_links(fps.dropDuplicates(["h"]).select("fp", "wide", "bands"))).distinct()
+        links = similar_links(fps.dropDuplicates(["h"]).select("fp", "h", "wide", "bands"), stored(links, "simhash-links"))
     roots = components(links)
     # Fingerprints without links are their own class; the rest meet at their root.
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))

@@ -393,6 +393,24 @@ def test_simhash_similar(spark):
     assert simhash.classes(none, similar=True).count() == 0
 
 
+def sketched(spark, wides):
+    """Rows of one block, with so many of the 256 bits set."""
+    bits = lambda w: [int.from_bytes(w.to_bytes(32, "big")[i : i + 8], "big", signed=True) for i in (0, 8, 16, 24)]
+    return spark.createDataFrame([(i, i, bits(w), [7]) for i, w in enumerate(wides)], "fp long, h long, wide array<long>, bands array<long>")
+
+
+def test_similar_links_of_one_block(spark):
+    """Members far from their block's smallest, and those linked by others only, are linked too."""
+    far, step = (1 << 100) - 1, lambda i: ((1 << 40) - 1) << 100 + 8 * i
+    wides = [0, far, far | 1 << 120, *(far | step(i) for i in range(1, 14))]  # a chain, not all near each other
+    none = spark.createDataFrame([], "a long, b long")
+    links = [tuple(r) for r in simhash.similar_links(sketched(spark, wides), none).collect()]
+    want = brute_classes(wides, 48)
+    root = {r.node: r.root for r in simhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert all((want[i] == want[j]) == (root.get(i, i) == root.get(j, j)) for i in range(len(wides)) for j in range(i))
+    assert len(set(want)) == 2 and all((wides[a] ^ wides[b]).bit_count() <= 48 for a, b in links)
+
+
 def test_simhash_edges(docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     fps = [brute_fp(t) for _, t in rows]
