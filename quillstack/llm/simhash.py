@@ -13,14 +13,15 @@ bits from each, so all points up to r bits around each fingerprint are made, and
 a point are linked through it (they are at most 2r apart).  For an odd distance the pairs at one
 bit more are not certain, so `DISTANCE` has to be even for this way.
 
-`classes(similar=True)` also links texts whose sets of five-word shingles are about 0.8 similar or
-more.  Such texts' 64 bits differ in 4 to 14 places, too many for pigeonhole blocks, so their blocks
-are others: `BANDS` keys, each of `BAND_ROWS` min-wise hashes of the shingles, of which similar texts
-share one at least (99.5% of pairs at 0.8).  Members of a block are compared by the Hamming distance
-of 256-bit SimHashes, at most `WIDE_DISTANCE`.  In `ROUNDS` rounds two members of each block are compared
-with all others and classes are made; then all pairs of different classes that are left in a block
-are.  So whatever near pairs of a block connect is connected, and a large block of one class's copies
-costs rows by its members and not by their pairs.  Joins spread the blocks; none is gathered in a task.
+`classes(similar=True)` also links texts whose sets of five-word shingles have a Jaccard similarity of
+`SIMILAR` or more.  Such texts' 64 bits differ in 4 to 14 places, too many for pigeonhole blocks, so
+their blocks are others: `BANDS` keys, each of `BAND_ROWS` min-wise hashes of the shingles, of which
+similar texts share one at least (99.5% of pairs at 0.8).  Members of a block within `WIDE_DISTANCE` bits
+of 256-bit SimHashes are candidates; the shingle sets themselves, made of the texts again, decide.  In
+`ROUNDS` rounds two members of each block are compared with all others and classes are made; then all
+pairs of different classes that are left in a block are.  So whatever similar pairs of a block connect
+is connected, and a large block of one class's copies costs rows by its members and not by their
+pairs.  Joins spread the blocks; none is gathered in a task.
 
 Classes are the connected components: stars are contracted (each fingerprint to its smallest
 neighbour) in rounds, each written to the shared folder.
@@ -42,8 +43,9 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from .common import ASCII_LOWER, ship, stored, table
 
 WORDS, DISTANCE, BLOCKS, BUCKET = 4, 4, 7, 2048
-#: The other way's shingles, blocks, and bits apart of its 256 (0.8 similar: 39 expected).
-SIMILAR_WORDS, BANDS, BAND_ROWS, WIDE_DISTANCE = 5, 28, 8, 48
+#: The other way's shingles, least similarity, blocks, and bits apart of its 256 that candidates have
+#: at most (0.8 similar: 39 expected, deviation 6; so this is a filter 6 deviations wide).
+SIMILAR_WORDS, SIMILAR, BANDS, BAND_ROWS, WIDE_DISTANCE = 5, 0.8, 28, 8, 76
 #: Rounds in which two members of each block are compared with its others, before all pairs left are.
 ROUNDS = 2
 #: Texts of more words are hashed in pieces of so many shingles, to bound memory.
@@ -77,6 +79,20 @@ def _mixed(x, seed: int):
     return x ^ (x >> np.uint64(31))
 
 
+def _shingles(text: bytes | None, width: int = SIMILAR_WORDS):
+    """The different hashes of a text's shingles, all of them."""
+    import numpy as np
+    from xxhash import xxh64_intdigest as h
+
+    words = text.translate(ASCII_LOWER).split() if text else []
+    width = min(width, len(words))
+    got = np.zeros(0, np.uint64)
+    for a in range(0, len(words) - width + 1 if words else 0, PIECE):
+        some = words[a : a + PIECE + width - 1]
+        got = np.union1d(got, np.fromiter((h(s, 42) for s in map(b" ".join, zip(*(some[i:] for i in range(width))))), np.uint64))
+    return got
+
+
 def _sketch(text: bytes | None, width: int = SIMILAR_WORDS) -> tuple[list[int], list[int]]:
     """(256-bit SimHash as four signed longs, block keys) of a text's set of shingles; both are
     empty without a word.  Repeats in one piece of `PIECE` shingles count once."""
@@ -198,14 +214,39 @@ def close_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS,
     return links.distinct()
 
 
-def similar_links(rows: DataFrame, linked: DataFrame, distance: int = WIDE_DISTANCE, rounds: int = ROUNDS) -> DataFrame:
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(h, shingles): the set of hashes of the five-word shingles of each of (h, t)."""
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            sets = [np.sort(_shingles(t)).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["h", "shingles"])
+
+    return texts.select("h", "t").mapInArrow(work, StructType([StructField("h", LongType()), StructField("shingles", ArrayType(LongType()))]))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """Those of `pairs` (h, other, ...) whose shingle sets have a Jaccard similarity of `least` or more."""
+    x, y = (sets.select(F.col("h").alias(k), F.col("shingles").alias(f"of_{k}"), F.size("shingles").alias(f"n_{k}")) for k in ("h", "other"))
+    near = pairs.join(x, "h").join(y, "other").where(F.least("n_h", "n_other") >= least * F.greatest("n_h", "n_other") - 1e-6)
+    both = F.size(F.array_intersect("of_h", "of_other"))
+    return near.where(both / (F.col("n_h") + F.col("n_other") - both) >= least).select(*pairs.columns)
+
+
+def similar_links(rows: DataFrame, linked: DataFrame, texts: DataFrame | None = None, distance: int = WIDE_DISTANCE, rounds: int = ROUNDS) -> DataFrame:
     """(a, b), a < b: links from (fp, h, wide, bands), by min-wise blocks and wide fingerprints, that
-    with those in `linked` connect what all near pairs of members of one block connect."""
+    with those in `linked` connect what all near pairs of members of one block connect.  With `texts`
+    (h, t) a pair within `distance` is a candidate only, and linked if its shingle sets are similar."""
     wide = [f"w{i}" for i in range(4)]
     keyed = rows.select("fp", "h", *(F.get("wide", F.lit(i)).alias(w) for i, w in enumerate(wide)), F.posexplode("bands").alias("band", "block"))
     blocks = keyed.groupBy("band", "block").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high")
     keyed = stored(keyed.join(blocks.select("band", "block"), ["band", "block"], "left_semi"), "similar-blocks")
-    roots, found = components(linked), linked
+    roots, found, tried, sets = components(linked), linked, None, None
+    if texts is not None:
+        sets = stored(shingle_sets(texts.join(keyed.select("h").distinct(), "h", "left_semi")), "similar-sets")
     for r in range(rounds + 1):
         # Blocks whose members are of one class already have nothing to add.
         named = keyed.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -224,8 +265,13 @@ def similar_links(rows: DataFrame, linked: DataFrame, distance: int = WIDE_DISTA
         apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"o.{w}"))) for w in wide), F.lit(0))
         once = F.lit(True) if r < rounds else F.col("h") < F.col("o.h")
         met = rest.join(other, ["band", "block"]).where(once & (F.col("root") != F.col("o.root")) & (apart <= distance))
-        new = stored(met.select(F.least("fp", "o.fp").alias("a"), F.greatest("fp", "o.fp").alias("b")).distinct(), "similar-links")
-        found = found.unionByName(new)
+        ends = F.least("fp", "o.fp").alias("a"), F.greatest("fp", "o.fp").alias("b")
+        new = met.select(*ends, F.least("h", "o.h").alias("h"), F.greatest("h", "o.h").alias("other")).distinct()
+        if sets is not None:
+            new = stored(new if tried is None else new.join(tried, ["h", "other"], "left_anti"), "similar-pairs")
+            tried = new.select("h", "other") if tried is None else tried.unionByName(new.select("h", "other"))
+            new = confirmed(new, sets)
+        found = found.unionByName(stored(new.select("a", "b").distinct(), "similar-links"))
         if r < rounds:
             roots = components(found)
     return found.distinct()
@@ -279,7 +325,8 @@ def classes(docs: DataFrame, width: int = WORDS, distance: int = DISTANCE, block
     links = close_links(distinct.select("fp"), distance, blocks)
     if similar:
         # Each text once: copies have one sketch.
-        links = similar_links(fps.dropDuplicates(["h"]).select("fp", "h", "wide", "bands"), stored(links, "simhash-links"))
+        texts = docs.select(F.xxhash64(text).alias("h"), F.col(text).cast("binary").alias("t"))
+        links = similar_links(fps.dropDuplicates(["h"]).select("fp", "h", "wide", "bands"), stored(links, "simhash-links"), texts)
     roots = components(links)
     # Fingerprints without links are their own class; the rest meet at their root.
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))

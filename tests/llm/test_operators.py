@@ -404,13 +404,36 @@ def test_similar_links_of_one_block(spark):
     far, step = (1 << 100) - 1, lambda i: ((1 << 40) - 1) << 100 + 8 * i
     wides = [0, far, far | 1 << 120, *(far | step(i) for i in range(1, 14))]  # a chain, not all near each other
     none = spark.createDataFrame([], "a long, b long")
-    links = [tuple(r) for r in simhash.similar_links(sketched(spark, wides), none).collect()]
+    links = [tuple(r) for r in simhash.similar_links(sketched(spark, wides), none, distance=48).collect()]
     want = brute_classes(wides, 48)
     root = {r.node: r.root for r in simhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all((want[i] == want[j]) == (root.get(i, i) == root.get(j, j)) for i in range(len(wides)) for j in range(i))
     assert len(set(want)) == 2 and all((wides[a] ^ wides[b]).bit_count() <= 48 for a, b in links)
 
 
+def test_similar_texts_have_similar_sets(spark):
+    """Classes are what pairs of 0.8 similar sets (or of 4 bits) connect: those of 0.6 to 0.8 stay."""
+    rng = random.Random(8)
+    rows = []
+    for f in range(24):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        for c in range(8):
+            new = list(words)
+            for _ in range(c * f // 8):
+                new[rng.randrange(300)] = f"n{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(new)))
+    got = {r.doc_id: r.component for r in simhash.classes(spark.createDataFrame(rows, "doc_id long, text string"), similar=True).collect()}
+    sets, fps = [brute_shingles(t) for _, t in rows], [brute_fp(t) for _, t in rows]
+    near = [(i, j, len(sets[i] & sets[j]) / len(sets[i] | sets[j])) for i in range(len(rows)) for j in range(i) if i // 8 == j // 8]
+    low = list(range(len(rows)))
+    for _ in rows:
+        for i, j, s in near:
+            if s >= 0.8 or (fps[i] ^ fps[j]).bit_count() <= 4:
+                low[i] = low[j] = min(low[i], low[j])
+    assert sum(0.6 < s < 0.8 for *_, s in near) > 100 and sum(0.8 <= s < 0.85 for *_, s in near) > 20
+    assert [got[i] for i, _ in rows] == low
+
+
 def test_simhash_edges(docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     fps = [brute_fp(t) for _, t in rows]
