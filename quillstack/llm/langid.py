@@ -9,8 +9,9 @@ penalty finds the best sequence of languages; runs of one language are spans.  T
 is that with most letters, the score its share of the letters times the confidence of the sums.
 
 A path of one language is the best one if no other gains more than one penalty on any stretch (a
-detour of k stretches costs at least k penalties); that is tested with running minima, and only
-other texts go through the full recursion.
+detour of k stretches costs at least k penalties) and no two together on a first and a last stretch
+(a path wholly outside the language has k stretches, but k - 1 penalties); that is tested with running
+minima, and only other texts go through the full recursion.
 
 Defined results: null text, or one without a letter: ``und`` and 0; letters of an unknown script
 alone: the most frequent language and 0; no labelled rows: ``und`` and 0 for all; a null key is
@@ -156,7 +157,8 @@ def viterbi(s, penalty: float = PENALTY):
     top = int(s.sum(0).argmax())
     gain = np.zeros((n + 1, k))
     np.cumsum(s - s[:, top : top + 1], axis=0, out=gain[1:])
-    if (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty:
+    around = gain.max() + (gain[-1] - gain).max()  # of a first and a last stretch outside
+    if around <= penalty and (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty:
         return np.full(n, top)
     rows = s.tolist()
     cost, back = rows[0][:], []

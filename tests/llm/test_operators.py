@@ -279,6 +279,24 @@ def test_viterbi_shortcut_is_exact():
         assert abs(s[np.arange(40), path].sum() - 8 * (np.diff(path) != 0).sum() - best) < 1e-9
 
 
+def test_viterbi_without_the_top_language():
+    """Two halves in two languages, and a third between them that has the largest sum."""
+    assert langid.viterbi(np.array([(5, -5, 0.1), (-5, 5, 0.1)])).tolist() == [0, 1]
+    rng, met = np.random.default_rng(2), 0
+    for _ in range(300):
+        n = int(rng.integers(2, 12))
+        a, b, c = rng.uniform(0.5, 6), rng.uniform(0.5, 6), rng.uniform(0, 1)
+        half = (np.arange(n) < n // 2)[:, None]
+        s = np.where(half, (a, -a, c), (-b, b, c)) + rng.standard_normal((n, 3)) * 0.2
+        cost = s[0].copy()
+        for row in s[1:]:
+            cost = np.maximum(cost, cost.max() - 8) + row
+        path = langid.viterbi(s)
+        met += s.sum(0).argmax() not in path
+        assert abs(s[np.arange(n), path].sum() - 8 * (np.diff(path) != 0).sum() - cost.max()) < 1e-9
+    assert met > 20
+
+
 def test_mixed_text_has_spans(spark, sf):
     table = spark.read.parquet(f"{sf}/documents.parquet")
     model = langid.learn(table)
