@@ -20,6 +20,14 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, or with underscores before it, so that no column of `df` has it (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder; where it has fewer partitions than there are cores (one small file),
     it is dealt anew, for one row group would be one task's work."""
@@ -35,7 +43,7 @@ def scratch(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillstack-")
         spark.conf.set("spark.checkpoint.dir", base)
@@ -81,12 +89,26 @@ def opened(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + os.path.abspath(uri) if not uri.startswith("file:") else "file://" + uri[5:])
 
 
+def move_over(store, part: str, path: str) -> None:
+    """Move `part` to `path`; where the store refuses to move over a file, that one goes first: it is
+    another attempt's of the same task, and holds the same."""
+    try:
+        store.move(part, path)
+    except OSError:
+        store.delete_file(path)
+        store.move(part, path)
+
+
 def put_whole(uri: str, write) -> None:
     """Let `write(stream)` fill a temporary file beside `uri`, then move it there: a task that
-    is lost or runs twice leaves one whole file."""
+    is lost or runs twice leaves one whole file, and one that fails none."""
     store, path = opened(uri)
     store.create_dir(os.path.dirname(path), recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.tmp"
-    with store.open_output_stream(part, compression=None) as out:
-        write(out)
-    store.move(part, path)
+    try:
+        with store.open_output_stream(part, compression=None) as out:
+            write(out)
+    except BaseException:
+        store.delete_file(part)
+        raise
+    move_over(store, part, path)
