@@ -1,16 +1,19 @@
 """Token-ID output: Arrow IPC files of fixed-size-list batches, and their reader.
 
 Documents are dealt by ranges of their key and sorted, so shard after shard holds the whole
-corpus in order.  There are as many shards as the input has partitions.  Each task encodes its documents, appends the end id to each, packs the stream
-into sequences of `length` ids and writes, under names made from the shard's number,
+corpus in order.  With `as_stored` the order is that of the rows in the Parquet files that the input is read from (the
+mix's, in the pipeline).  There are as many shards as the input has partitions.  Each task encodes its
+documents, appends the end id to each, packs the stream into sequences of `length` ids and
+writes, under names made from the shard's number,
 
 * ``NNNNN.arrow``: ``ids`` fixed_size_list<uint16|uint32>[length] and ``mask``
   fixed_size_list<bool>[length] (true: a token; false: padding behind the shard's last one),
 * ``NNNNN.index.arrow``: the shard's documents (key, position of the first id, number of ids).
 
-The files are not compressed: a reader maps one into memory and takes any sequence without
-copying.  A shard's offset in the corpus follows from the totals of the shards before it.
-A file is moved in place when it is whole, so a lost or repeated task does no harm.
+The files are not compressed: a reader maps one into memory and takes any sequence and its mask without
+copying (a mask is a slice of the file's bits).  A shard's offset in the corpus follows from the totals of
+the shards before it.  A file is moved in place when it is whole, over one that another attempt of the task
+left there, so a lost or repeated task does no harm; one that fails removes what it has written.
 
 Words are encoded by the tokenizers library and remembered; texts are cut at ASCII white space,
 which this kind of vocabulary drops and never spans.  New words go to the library many at a time,
@@ -18,7 +21,8 @@ with a mark between them that is one token.
 
 Defined results: a null text counts as empty and has the end id alone; null keys come first;
 repeated keys are ordered by text hash, then by place in the input; repeated rows are written
-each; an empty table makes no file and an empty result; other columns of the input are ignored.
+each; an empty table makes no file and an empty result; other columns of the input are ignored;
+`as_stored` for an input that is no scan of Parquet files: in order of the key.
 """
 
 from __future__ import annotations
@@ -31,17 +35,18 @@ import zlib
 from itertools import compress, repeat
 from operator import is_
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import ASCII_LOWER, folder, opened, put_whole, scratch, ship, stored, table
+from .common import ASCII_LOWER, folder, move_over, opened, put_whole, scratch, ship, stored, table
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
 LENGTH = 2048
-#: Words that a worker remembers with their ids, about 200 bytes each.
-REMEMBERED = 1_800_000
+#: Words that a worker remembers with their ids, about 200 bytes each: at most 300 MB a worker.
+REMEMBERED = 1_500_000
 #: Words that are new are encoded in lines of so many, with a mark between them.
 LINE = 256
 MARK = "\x01"
@@ -189,20 +194,37 @@ class _Shard:
         self._flush(True)
         self.writer.close()
         self.out.close()
-        self.store.move(self.part, self.path)
+        move_over(self.store, self.part, self.path)
 
+    def drop(self) -> None:
+        self.out.close()
+        self.store.delete_file(self.part)
+
+
+def stored_place(docs: DataFrame):
+    """Columns (file's number, its name, row in it) that tell the order in which rows are stored; nothing where
+    `docs` is no scan of Parquet files."""
+    name = F.col("_metadata.file_name")
+    place = [F.regexp_extract(name, r"part-(\d+)", 1).try_cast("long").alias("p1"), name.alias("p2"), F.col("_metadata.row_index").alias("p3")]
+    try:
+        docs.select(*place)
+    except AnalysisException:
+        return []
+    return place
 
-def write_packed(docs: DataFrame, vocabulary: str, to: str | None = None, end: int = END, length: int = LENGTH, shards: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+
+def write_packed(docs: DataFrame, vocabulary: str, to: str | None = None, end: int = END, length: int = LENGTH, shards: int | None = None, key: str = "doc_id", text: str = "text", as_stored: bool = False) -> DataFrame:
     """Write `docs` as packed shards under `to` and return the manifest: (shard, base, n_tokens,
     n_documents, path, index), in corpus order."""
     spark = docs.sparkSession
     ship(spark)
     scratch(spark)
     to = to or folder(spark, "packed")
-    narrow = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    first = stored_place(docs) if as_stored else []
+    narrow = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), *first)
     shards = shards or max(spark.sparkContext.defaultParallelism, narrow.rdd.getNumPartitions())
     dealt = narrow.withColumn("h", F.xxhash64("t")).withColumn("place", F.monotonically_increasing_id())
-    order = [F.asc_nulls_first("k"), "h", "place"]
+    order = ["p1", "p2", "p3"] if first else [F.asc_nulls_first("k"), "h", "place"]
     dealt = dealt.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("k", F.col("t").cast("binary").alias("t"), F.spark_partition_id().alias("shard"))
 
     def work(batches):
@@ -211,22 +233,28 @@ def write_packed(docs: DataFrame, vocabulary: str, to: str | None = None, end: i
 
         shard = None
         enc = encoder(vocabulary)
-        gc.disable()  # millions of words, and no cycles among them
         keys: list = []
         sizes: list[int] = []
-        for b in batches:
-            for k, ids, s in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), b.column(2).to_pylist()):
-                if shard is None:
-                    number, data, index = s, f"{to}/{s:05d}.arrow", f"{to}/{s:05d}.index.arrow"
-                    shard = _Shard(data, length, enc.dtype)
-                shard.add(ids)
-                shard.add(np.array([end], ids.dtype))
-                keys.append(k)
-                sizes.append(len(ids) + 1)
-        gc.enable()
-        if shard is None:
-            return
-        shard.close()
+        gc.disable()  # millions of words, and no cycles among them
+        try:
+            for b in batches:
+                for k, ids, s in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), b.column(2).to_pylist()):
+                    if shard is None:
+                        number, data, index = s, f"{to}/{s:05d}.arrow", f"{to}/{s:05d}.index.arrow"
+                        shard = _Shard(data, length, enc.dtype)
+                    shard.add(ids)
+                    shard.add(np.array([end], ids.dtype))
+                    keys.append(k)
+                    sizes.append(len(ids) + 1)
+            if shard is None:
+                return
+            shard.close()
+        except BaseException:
+            if shard is not None:
+                shard.drop()
+            raise
+        finally:
+            gc.enable()
         n = np.array(sizes, np.int64)
         rows = pa.table({"key": pa.array(keys, b.schema.field(0).type), "start": np.cumsum(n) - n, "n_tokens": n})
 
@@ -264,12 +292,12 @@ class Packed:
             n += self.file.get_batch(j).num_rows
 
     def sequence(self, i: int):
-        """(ids, mask) of sequence `i`."""
+        """(ids, mask) of sequence `i`: views of the file, as a numpy and an Arrow array of booleans."""
         b = bisect.bisect_right(self.starts, i) - 1
         batch = self.file.get_batch(b)
         at = i - self.starts[b]
         ids = batch.column(0).values.to_numpy(zero_copy_only=True)[at * self.length : (at + 1) * self.length]
-        return ids, batch.column(1)[at].as_py()
+        return ids, batch.column(1).values.slice(at * self.length, self.length)
 
     def tokens(self):
         """The shard's ids without padding, batch by batch."""
