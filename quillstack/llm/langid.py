@@ -4,9 +4,13 @@ Learning: of each language a bounded number of labelled documents (about `TRAIN_
 smallest hash) is read whole; hashed byte n-grams of their words give log-probabilities, and
 the scripts of their letters say which languages a script can be.
 
-Predicting: every word of the whole text scores each candidate language; Viterbi with a switching
-penalty finds the best sequence of languages; runs of one language are spans.  The text's language
-is that with most letters, the score its share of the letters times the confidence of the sums.
+A further state, noise, is learned from the same words: their letters in another order, and letters
+drawn evenly from theirs.  So letters that are no words have a better explanation than any language.
+
+Predicting: every word of the whole text scores each candidate language and noise; Viterbi with a
+switching penalty finds the best sequence of them; runs of one language are spans, those of noise are
+``und``.  The text's language is that with most letters, the score its share of all letters times the
+confidence of its words' sums: low for noise, and about a half for a text half in one and half in another language.
 
 A path of one language is the best one if no other gains more than one penalty on any stretch (a
 detour of k stretches costs at least k penalties) and no two together on a first and a last stretch
@@ -14,13 +18,14 @@ detour of k stretches costs at least k penalties) and no two together on a first
 minima, and only other texts go through the full recursion.
 
 Defined results: null text, or one without a letter: ``und`` and 0; letters of an unknown script
-alone: the most frequent language and 0; no labelled rows: ``und`` and 0 for all; a null key is
+alone: the most frequent language and 0; noise alone: the likeliest language and 0; no labelled rows: ``und`` and 0 for all; a null key is
 held out; words (runs of letters) over 32 letters are read in pieces of 32; repeated rows are predicted each; an
 empty table gives an empty result; other columns are ignored, and lang is read in learning alone.
 """
 
 from __future__ import annotations
 
+import random
 import zlib
 from itertools import compress, repeat
 from operator import is_
@@ -31,15 +36,15 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 
 from .common import ship, table
 
+#: Every label is a language that is learned; each takes 128 KB of the model.
 TRAIN_DOCS = 400
-#: Languages learned at most: the most frequent ones.
-LANGUAGES = 256
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3, 4)
 PENALTY = 8.0
 FOLDS = 5
-#: Where documents are filtered, those at or under this score are rejected: mixed texts stay.
-LEAST_SCORE = 0.0
+#: Where documents are filtered, those at or under this score are rejected.  Texts of two languages in
+#: halves stay; tests/llm has the shares of clean, mixed, junk and foreign texts that stay.
+LEAST_SCORE = 0.25
 REMEMBERED = 500_000
 PIECE = 32
 #: A language has a script if this share of its letters is of it.
@@ -110,31 +115,42 @@ def script_of(word: bytes) -> str:
     return "latin" if word[0] < 128 else script(word.decode()[0])
 
 
+def scrambled(word: bytes) -> list[bytes]:
+    """A word's letters in another order, and as many drawn evenly from its letters' range: always the same."""
+    letters = list(word.decode())
+    rng = random.Random(zlib.crc32(word))
+    rng.shuffle(letters)
+    known = "abcdefghijklmnopqrstuvwxyz" if word.isascii() else letters
+    return ["".join(letters).encode(), "".join(rng.choices(known, k=len(letters))).encode()]
+
+
 class Model:
-    """Log-probabilities of n-grams and scripts of languages: BUCKETS x languages numbers."""
+    """Log-probabilities of n-grams, of each language and (last) of noise, and the languages' scripts."""
 
     def __init__(self, langs: list[str], counts, scripts, documents):
+        """`counts` has a column for each language and one for noise."""
         import numpy as np
 
         self.langs = langs
-        p = (counts + 0.05) / (counts.sum(0, keepdims=True) + 0.05 * BUCKETS)
-        logp = np.log(p)
-        self.logp = (logp - logp.mean(1, keepdims=True)).astype(np.float32)
+        if not langs:
+            return
+        logp = np.log((counts + 0.05) / (counts.sum(0, keepdims=True) + 0.05 * BUCKETS))
+        self.logp = (logp - logp[:, :-1].mean(1, keepdims=True)).astype(np.float32)
         share = scripts / np.maximum(scripts.sum(0, keepdims=True), 1)
-        self.of_script = {n: share[i] >= SCRIPT_SHARE for i, n in enumerate(NAMES)}
-        self.usual = int(np.argmax(documents)) if len(langs) else -1
+        self.of_script = {n: np.append(share[i] >= SCRIPT_SHARE, True) for i, n in enumerate(NAMES)}
+        self.usual = int(np.argmax(documents))
 
     def words(self, words: list[bytes]):
-        """Scores of words: one row each; languages that the word's script rules out get -20."""
+        """Scores of words: one row each, noise last; languages that the word's script rules out get -20."""
         import numpy as np
 
-        s = np.zeros((len(words), len(self.langs)))
+        s = np.zeros((len(words), len(self.langs) + 1))
         if not words:
             return s
         n = np.zeros(len(words))
         for buckets, owner in zip(*grams(words)):
             if len(buckets):
-                sums = np.vstack([np.zeros(len(self.langs)), np.cumsum(self.logp[buckets], axis=0, dtype=float)])
+                sums = np.vstack([np.zeros(s.shape[1]), np.cumsum(self.logp[buckets], axis=0, dtype=float)])
                 ends = np.searchsorted(owner, np.arange(len(words) + 1))
                 s += sums[ends[1:]] - sums[ends[:-1]]
                 n += np.diff(ends)
@@ -143,7 +159,7 @@ class Model:
             can = self.of_script[name]
             if not can.all():
                 own = np.fromiter((script_of(w) == name for w in words), bool, len(words))
-                s[own] = np.where(can, s[own], -20) if can.any() else 0
+                s[own] = np.where(can, s[own], -20) if can[:-1].any() else 0
         return s
 
 
@@ -188,7 +204,7 @@ class Reader:
         import numpy as np
 
         self.at: dict[bytes, int] = {}
-        self.scores = np.zeros((1 << 12, len(self.model.langs)), np.float32)
+        self.scores = np.zeros((1 << 12, len(self.model.langs) + 1), np.float32)
         self.letters = np.zeros(1 << 12, np.int32)
 
     def learn(self, new: list[bytes]) -> None:
@@ -197,7 +213,7 @@ class Reader:
         words = [pieces(t) for t in new]
         flat = [w for x in words for w in x]
         n = np.fromiter(map(len, words), int, len(words))
-        sums = np.vstack([np.zeros(len(self.model.langs)), np.cumsum(self.model.words(flat), axis=0)])
+        sums = np.vstack([np.zeros(len(self.model.langs) + 1), np.cumsum(self.model.words(flat), axis=0)])
         ends = np.concatenate([[0], np.cumsum(n)])
         base, end = len(self.at), len(self.at) + len(new)
         while end > len(self.scores):
@@ -250,13 +266,16 @@ class Reader:
         if not s.any():
             return self.model.langs[self.model.usual], 0.0, []
         path = viterbi(s)
-        weight = np.bincount(path, letters, len(self.model.langs))
-        best = int(weight.argmax())
-        sums = s.sum(0, dtype=float)
-        sure = 1 / np.exp(np.minimum((sums - sums[best]) / np.sqrt(len(ids)), 50)).sum()
+        n = len(self.model.langs)
+        weight = np.bincount(path, letters, n + 1)[:n]
+        best = int(weight.argmax()) if weight.any() else int(s[:, :n].sum(0).argmax())
+        own = s[path == best, :n] if (path != best).any() else s[:, :n]  # the words that it is given
+        sums = own.sum(0, dtype=float)
+        sure = 1 / np.exp(np.minimum((sums - sums[best]) / np.sqrt(max(1, len(own))), 50)).sum()
         edges = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
-        spans = [(a, b, self.model.langs[path[a]]) for a, b in zip(edges, edges[1:])]
-        return self.model.langs[best], float(min(1.0, weight[best] / total * sure)), spans
+        names = [*self.model.langs, "und"]
+        spans = [(a, b, names[path[a]]) for a, b in zip(edges, edges[1:])]
+        return names[best], float(min(1.0, weight[best] / total * sure)), spans
 
 
 def held_out(key: Column) -> Column:
@@ -270,9 +289,9 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("l").isNotNull() & F.col("t").isNotNull() & ~held_out(F.col("k")))
-    sizes = sorted(rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect())
+    sizes = sorted(rows.groupBy("l").count().collect())
     if not sizes:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros((len(NAMES), 0)), [])
+        return Model([], None, None, [])
     langs = [r[0] for r in sizes]
     shares = spark.createDataFrame([(r[0], min(1.0, train_docs / r[1])) for r in sizes], "l string, share double")
     part = F.shiftrightunsigned(F.xxhash64("k", "t"), 11) / F.lit(float(1 << 53))
@@ -281,26 +300,31 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     def count(batches):
         import pyarrow as pa
 
-        total: dict[str, np.ndarray] = {}
+        total: dict[str | None, np.ndarray] = {}
+
+        def add(l, flat):
+            if l not in total:
+                total[l] = np.zeros(BUCKETS + len(NAMES), np.int64)
+            if flat:
+                total[l][:BUCKETS] += np.bincount(np.concatenate(grams(flat)[0]), minlength=BUCKETS)
+
         for b in batches:
             for l, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if l not in total:
-                    total[l] = np.zeros(BUCKETS + len(NAMES), np.int64)
                 flat = [w for x in tokens(t) for w in pieces(x)]
-                if flat:
-                    total[l][:BUCKETS] += np.bincount(np.concatenate(grams(flat)[0]), minlength=BUCKETS)
-                    for w in flat:
-                        total[l][BUCKETS + NAMES.index(script_of(w))] += len(w)
+                add(l, flat)
+                add(None, [x for w in flat for x in scrambled(w)])
+                for w in flat:
+                    total[l][BUCKETS + NAMES.index(script_of(w))] += len(w)
         for l, c in total.items():
             at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([l] * len(at)), pa.array(at.astype(np.int32)), pa.array(c[at])], names=["l", "at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([l] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], names=["l", "at", "n"])
 
-    counts = np.zeros((BUCKETS + len(NAMES), len(langs)))
-    column = {l: i for i, l in enumerate(langs)}
+    counts = np.zeros((BUCKETS + len(NAMES), len(langs) + 1))
+    column = {l: i for i, l in enumerate([*langs, None])}
     summed = sample.mapInArrow(count, "l string, at int, n long").groupBy("l", "at").agg(F.sum("n").alias("n"))
     for r in summed.toLocalIterator():  # at most languages x (BUCKETS + scripts) numbers
         counts[r[1], column[r[0]]] = r[2]
-    return Model(langs, counts[:BUCKETS], counts[BUCKETS:], [r[1] for r in sizes])
+    return Model(langs, counts[:BUCKETS], counts[BUCKETS:, :-1], [r[1] for r in sizes])
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
