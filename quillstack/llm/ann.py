@@ -1,7 +1,8 @@
 """Nearest neighbours by inner product: probed lists, scanned by an adaptive number of dimensions.
 
-Fit: spherical k-means on a bounded sample (the `SAMPLE` rows of smallest hash) gives the lists'
-centres; one random rotation is drawn.  Every row is then put in its nearest centre's list, and
+Fit: spherical k-means on a bounded sample (rows of smallest hash: an eighth of the rows, `SAMPLE` of them, or more
+where there are more lists, but never over `MOST`) gives the lists' centres; there are about sqrt(rows) / 4
+lists, and one random rotation is drawn.  Every row is then put in its nearest centre's list, and
 lists are cut into blocks, so a hot list is many blocks.
 
 Search: a query probes its nearest lists.  In a block, the rotated vectors are read in column
@@ -15,10 +16,10 @@ from the first component to the last.  The sample's K best are found too, so K a
 The number of probed lists is found on the sample: the smallest that holds `COVER` of the true
 neighbours of sample rows.  It so follows the data; on vectors without any clusters it is most lists.
 
-Defined results: vectors that are null, zero, of another length than the first valid one, or hold
-null or non-finite components take no part, as queries or candidates; rows that repeat an id and its
-vector are made one before anything else, and no row is a candidate for a query of its id; ties go to the smaller id; fewer candidates than K: all
-that are found; an empty table gives an empty result; other columns of the input are ignored.
+Defined results: vectors that are null, zero, of another length than the commonest (the shorter of two
+as common), or hold null or non-finite components take no part, as queries or candidates; rows that
+repeat an id and its vector are made one before anything else, and no row is a candidate for a query of its
+id; an id with several vectors is in a result once, with its best score; ties go to the smaller id; fewer candidates than K: all that are found; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from .common import ship, stored, table
 
 K = 20
 EVERY = 20
-#: Rows that the lists, the bar and the number of probes are fitted on (64-d: 2 MB).
-SAMPLE = 4096
+#: Rows that the lists, the bar and the number of probes are fitted on (64-d: 2 MB; 32 MB at most).
+SAMPLE, MOST = 4096, 1 << 16
 #: Share of the sample rows' true neighbours that the probed lists have to hold.
 COVER = 0.98
 Z = 3.0
@@ -42,7 +43,8 @@ SPARSE = 0.15
 COLUMNS = 16
 #: Rows of one block of candidates and of one block of queries.
 BLOCK, QUERIES = 4096, 2048
-MAX_LISTS = 1024
+#: A list has that many rows of the sample on average.
+SAMPLE_OF_LIST = 8
 
 
 def _kmeans(x, n: int, rounds: int = 12, seed: int = 7):
@@ -61,6 +63,14 @@ def _kmeans(x, n: int, rounds: int = 12, seed: int = 7):
     return c
 
 
+def lists_of(n_rows: int) -> int:
+    return round(math.sqrt(n_rows) / 4)
+
+
+def sample_of(n_rows: int, k: int = K) -> int:
+    return min(MOST, n_rows, max(4 * k, min(SAMPLE, n_rows // 8), SAMPLE_OF_LIST * lists_of(n_rows)))
+
+
 class Fit:
     """What a bounded sample teaches: centres, rotation, number of probes; small enough to ship."""
 
@@ -72,7 +82,7 @@ class Fit:
         rng = np.random.default_rng(seed)
         q, r = np.linalg.qr(rng.standard_normal((d, d)))
         self.rotation = q * np.sign(np.diag(r))
-        n = max(1, min(MAX_LISTS, len(x) // 8, round(math.sqrt(n_rows) / 4)))
+        n = max(1, min(len(x) // SAMPLE_OF_LIST, lists_of(n_rows)))
         self.centres = _kmeans(x, n, seed=seed)
         self.probes = self._probes(cover)
 
@@ -174,7 +184,7 @@ def _valid(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & ok)
 
 
-def search(vectors: DataFrame, k: int = K, every: int = EVERY, key: str = "vec_id", vector: str = "embedding", cover: float = COVER, sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, k: int = K, every: int = EVERY, key: str = "vec_id", vector: str = "embedding", cover: float = COVER) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each row whose id `every` divides."""
     import numpy as np
 
@@ -183,16 +193,15 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, key: str = "vec_i
     result = "query_id long, rank int, vec_id long, score double"
     # Each id and vector once from here on: repeats would fill blocks' K places and raise the bar.
     valid = stored(_valid(vectors, key, vector).distinct(), "ann-rows")
-    n_rows = valid.count()
-    # About 1.3 * sample rows pass the hash filter, however many rows or tasks there are.
-    share = min(1.0, 1.3 * sample / max(1, n_rows))
-    low = F.shiftrightunsigned(F.xxhash64("id", "v"), 11) < F.lit(int(share * (1 << 53)))
-    got = valid.where(low).orderBy(F.xxhash64("id", "v"), "id").limit(sample).collect()
-    if not got:
+    usual = valid.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    if not usual:
         return spark.createDataFrame([], result)
-    d = len(got[0]["v"])
-    got = [r for r in got if len(r["v"]) == d]
+    d, n_rows = usual
     valid = valid.where(F.size("v") == d)
+    # About 1.3 times as many rows pass the hash filter, however many rows or tasks there are.
+    sample = sample_of(n_rows, k)
+    low = F.shiftrightunsigned(F.xxhash64("id", "v"), 11) < F.lit(int(min(1.0, 1.3 * sample / n_rows) * (1 << 53)))
+    got = valid.where(low | F.lit(n_rows <= 4 * sample)).orderBy(F.xxhash64("id", "v"), "id").limit(sample).collect()
     fit = spark.sparkContext.broadcast(Fit(np.array([r["id"] for r in got]), np.array([r["v"] for r in got]), n_rows, k, cover))
 
     def matrix(column):
@@ -260,7 +269,7 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, key: str = "vec_i
 
     found = rows.unionByName(queries).groupBy("list", "part", "side").applyInArrow(scan, "query_id long, vec_id long, score double")
     known = asked.select("id", F.explode(F.arrays_zip("near", "near_score")).alias("n")).select(F.col("id").alias("query_id"), F.col("n.near").alias("vec_id"), F.col("n.near_score").alias("score"))
-    found = found.unionByName(known.where(F.col("score") > float("-inf"))).distinct()
+    found = found.unionByName(known.where(F.col("score") > float("-inf"))).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
