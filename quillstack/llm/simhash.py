@@ -18,10 +18,12 @@ bit more are not certain, so `DISTANCE` has to be even for this way.
 their blocks are others: `BANDS` keys, each of `BAND_ROWS` min-wise hashes of the shingles, of which
 similar texts share one at least (99.5% of pairs at 0.8).  Members of a block within `WIDE_DISTANCE` bits
 of 256-bit SimHashes are candidates; the shingle sets themselves, made of the texts again, decide.  In
-`ROUNDS` rounds two members of each block are compared with all others and classes are made; then all
-pairs of different classes that are left in a block are.  So whatever similar pairs of a block connect
-is connected, and a large block of one class's copies costs rows by its members and not by their
-pairs.  Joins spread the blocks; none is gathered in a task.
+`ROUNDS` rounds two members of each block are compared with all others and classes are made.  Among the
+members of blocks that then still hold several classes, whatever similar pairs are left is found by prefixes of their sets: with
+shingles in order of how few of these members have them, two sets of `SIMILAR` or more share one among the first n - ceil(0.8 n) + 1
+of each.  So large groups cost rows by their members, and not by their pairs: copies of one text are one
+class after the rounds, and texts with so much of their own that they are in no class have prefixes of their
+own, whatever else they share.  Joins spread the blocks; none is gathered in a task.
 
 Classes are the connected components: stars are contracted (each fingerprint to its smallest
 neighbour) in rounds, each written to the shared folder.
@@ -40,13 +42,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import ASCII_LOWER, ship, stored, table
+from .common import ASCII_LOWER, fresh, ship, stored, table
 
 WORDS, DISTANCE, BLOCKS, BUCKET = 4, 4, 7, 2048
 #: The other way's shingles, least similarity, blocks, and bits apart of its 256 that candidates have
 #: at most (0.8 similar: 39 expected, deviation 6; so this is a filter 6 deviations wide).
 SIMILAR_WORDS, SIMILAR, BANDS, BAND_ROWS, WIDE_DISTANCE = 5, 0.8, 28, 8, 76
-#: Rounds in which two members of each block are compared with its others, before all pairs left are.
+#: Rounds in which two members of each block are compared with its others, before what is left is.
 ROUNDS = 2
 #: Texts of more words are hashed in pieces of so many shingles, to bound memory.
 PIECE = 1 << 16
@@ -236,6 +238,25 @@ def confirmed(pairs: DataFrame, sets: DataFrame, least: float = SIMILAR) -> Data
     return near.where(both / (F.col("n_h") + F.col("n_other") - both) >= least).select(*pairs.columns)
 
 
+def prefix_pairs(rows: DataFrame, sets: DataFrame, wide: list[str], distance: int, least: float = SIMILAR) -> DataFrame:
+    """(a, b, h, other): pairs of `rows` (h, fp, root, `wide`) of different classes that can have a similarity of
+    `least` or more, for each shares a shingle of the other's prefix."""
+    rows = stored(rows.dropDuplicates(["h"]).join(sets, "h").withColumn("n", F.size("shingles")), "similar-members")
+    each = rows.select("h", "root", "n", F.explode("shingles").alias("s"))
+    often = each.groupBy("s").agg(F.count("*").alias("of"), F.min("root").alias("low"), F.max("root").alias("high")).where("of > 1")
+    met = each.join(often, "s").groupBy("h", "n").agg(F.array_sort(F.collect_list(F.struct("of", "s", (F.col("low") < F.col("high")).alias("mixed")))).alias("known"))
+    # A set's shingles that no other has come first in its prefix, and meet nothing.
+    prefix = F.floor((1 - least) * F.col("n") + 1e-6) + 1
+    left = F.greatest(F.lit(0), prefix - (F.col("n") - F.size("known"))).cast("int")
+    keys = met.select("h", F.explode(F.filter(F.slice("known", F.lit(1), left), lambda x: x["mixed"])).alias("x")).select("h", F.col("x.s").alias("s"))
+    mine = ["h", "fp", "root", "n", *wide]
+    keyed = stored(keys.join(rows.select(*mine), "h"), "similar-prefixes")
+    other = keyed.select("s", F.struct(*mine).alias("o"))
+    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"o.{w}"))) for w in wide), F.lit(0))
+    fit = (F.col("h") < F.col("o.h")) & (F.col("root") != F.col("o.root")) & (apart <= distance) & (F.least("n", "o.n") >= least * F.greatest("n", "o.n") - 1e-6)
+    return keyed.join(other, "s").where(fit).select(F.least("fp", "o.fp").alias("a"), F.greatest("fp", "o.fp").alias("b"), "h", F.col("o.h").alias("other")).distinct()
+
+
 def similar_links(rows: DataFrame, linked: DataFrame, texts: DataFrame | None = None, distance: int = WIDE_DISTANCE, rounds: int = ROUNDS) -> DataFrame:
     """(a, b), a < b: links from (fp, h, wide, bands), by min-wise blocks and wide fingerprints, that
     with those in `linked` connect what all near pairs of members of one block connect.  With `texts`
@@ -255,18 +276,21 @@ def similar_links(rows: DataFrame, linked: DataFrame, texts: DataFrame | None =
         if not rest.limit(1).count():
             break
         mine = ["root", "h", "fp", *wide]
-        if r < rounds:
-            # Two members of a block are compared with all others: any one, and one of the last class.
-            by = F.xxhash64("h", F.lit(r))
-            ends = rest.groupBy("band", "block").agg(F.min(F.struct(by.alias("by"), *mine)).alias("one"), F.max(F.struct("root", by.alias("by"), *mine[1:])).alias("two"))
-            other = ends.select("band", "block", F.explode(F.array(*(F.struct(*(F.col(f"{e}.{c}").alias(c) for c in mine)) for e in ("one", "two")))).alias("o"))
-        else:  # what is left: all pairs of two classes
-            other = rest.select("band", "block", F.struct(*mine).alias("o"))
-        apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"o.{w}"))) for w in wide), F.lit(0))
-        once = F.lit(True) if r < rounds else F.col("h") < F.col("o.h")
-        met = rest.join(other, ["band", "block"]).where(once & (F.col("root") != F.col("o.root")) & (apart <= distance))
-        ends = F.least("fp", "o.fp").alias("a"), F.greatest("fp", "o.fp").alias("b")
-        new = met.select(*ends, F.least("h", "o.h").alias("h"), F.greatest("h", "o.h").alias("other")).distinct()
+        if r == rounds and sets is not None:
+            new = prefix_pairs(rest.select(*mine), sets, wide, distance)
+        else:
+            if r < rounds:
+                # Two members of a block are compared with all others: any one, and one of the last class.
+                by = F.xxhash64("h", F.lit(r))
+                ends = rest.groupBy("band", "block").agg(F.min(F.struct(by.alias("by"), *mine)).alias("one"), F.max(F.struct("root", by.alias("by"), *mine[1:])).alias("two"))
+                other = ends.select("band", "block", F.explode(F.array(*(F.struct(*(F.col(f"{e}.{c}").alias(c) for c in mine)) for e in ("one", "two")))).alias("o"))
+            else:  # bits alone decide: all pairs of two classes
+                other = rest.select("band", "block", F.struct(*mine).alias("o"))
+            apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"o.{w}"))) for w in wide), F.lit(0))
+            once = F.lit(True) if r < rounds else F.col("h") < F.col("o.h")
+            met = rest.join(other, ["band", "block"]).where(once & (F.col("root") != F.col("o.root")) & (apart <= distance))
+            ends = F.least("fp", "o.fp").alias("a"), F.greatest("fp", "o.fp").alias("b")
+            new = met.select(*ends, F.least("h", "o.h").alias("h"), F.greatest("h", "o.h").alias("other")).distinct()
         if sets is not None:
             new = stored(new if tried is None else new.join(tried, ["h", "other"], "left_anti"), "similar-pairs")
             tried = new.select("h", "other") if tried is None else tried.unionByName(new.select("h", "other"))
@@ -341,7 +365,7 @@ def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **h
     """The rows of `docs` of which one document of each class stays: that of the smallest key, of
     equal keys that of the smallest text hash, of equal rows one."""
     found = stored(classes(docs, key=key, text=text, **how), "simhash-stays")
-    h = "__text_hash"
+    h = fresh(docs, "text_hash")
     same = lambda a, b: a[key].eqNullSafe(b[key]) & (a[h] == b["h"])
     rows, gone = docs.withColumn(h, F.xxhash64(text)), found.where("not stays").select(key, "h")
     kept = rows.join(gone, same(rows, gone), "left_anti")
