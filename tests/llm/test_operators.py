@@ -129,10 +129,41 @@ def test_packed_random_access(spark, docs, library, tmp_path):
         assert len(flat) == m.n_tokens
         for i in (0, len(flat) // 16 - 1):
             ids, mask = p.sequence(i)
-            assert ids.tolist() == flat[i * 16 : i * 16 + 16].tolist() and all(mask)
+            assert ids.tolist() == flat[i * 16 : i * 16 + 16].tolist() and mask.true_count == 16
         ids, mask = p.sequence(-(-len(flat) // 16) - 1)
-        assert sum(mask) == (len(flat) - 1) % 16 + 1
-        assert not ids.flags.owndata
+        assert mask.to_pylist() == [j <= (len(flat) - 1) % 16 for j in range(16)]
+        # Views: of the ids' memory, and of the bits of the batch's mask.
+        bits = p.file.get_batch(p.file.num_record_batches - 1).column(1).values.buffers()[1]
+        assert not ids.flags.owndata and mask.buffers()[1].address == bits.address
+
+
+def test_pack_as_stored(spark, library, tmp_path):
+    """In order of the files' rows; an input that is no scan is in order of its key."""
+    rows = [(7, "one two"), (3, None), (7, "one two"), (1, "three"), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for i in range(3):
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/x")
+    import pyarrow.parquet as pq
+
+    files = sorted(tmp_path.glob("x/part-*"))
+    want = brute_pack([tuple(r.values()) for f in files for r in pq.read_table(f).to_pylist()], library)
+    assert rows_of(token_pack.pack(spark.read.parquet(f"{tmp_path}/x"), as_stored=True), "*") == sorted(want, key=repr)
+    assert [r.doc_id for r in token_pack.pack(df, as_stored=True).orderBy("start").collect()] == [1, 3, 7, 7, 9]
+    assert not list(tmp_path.glob("**/*.tmp"))
+
+
+def test_a_failed_attempt_leaves_nothing(tmp_path):
+    from quillstack.llm import common
+
+    def fails(out):
+        out.write(b"half")
+        raise RuntimeError
+
+    with pytest.raises(RuntimeError):
+        common.put_whole(f"file://{tmp_path}/d/x", fails)
+    for _ in range(2):
+        common.put_whole(f"file://{tmp_path}/d/x", lambda out: out.write(b"whole"))
+    assert [f.name for f in (tmp_path / "d").iterdir()] == ["x"] and (tmp_path / "d/x").read_bytes() == b"whole"
 
 
 # --- 4 ---
@@ -161,6 +192,63 @@ def test_nearest_recall(spark, sf):
     assert right / (20 * len(want)) >= 0.9
 
 
+def near_ones(x, every, k=20):
+    """Positions of the k nearest of every so many-th row, by numpy."""
+    ask = np.arange(0, len(x), every)
+    scores = x[ask] @ x.T
+    scores[np.arange(len(ask)), ask] = -np.inf
+    return dict(zip(ask.tolist(), np.argsort(-scores, axis=1, kind="stable")[:, :k].tolist()))
+
+
+@pytest.mark.parametrize("clusters", [0, 60])
+def test_nearest_recall_of_many_rows(spark, clusters):
+    """24,000 rows, of which an eighth is the sample: most true neighbours are found by scanning alone."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((24_000, 32))
+    if clusters:
+        x = 0.5 * x + rng.standard_normal((clusters, 32))[rng.integers(0, clusters, len(x))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    got = collections.defaultdict(list)
+    for r in ann.search(df, every=100).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    want = near_ones(x, 100)
+    assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
+    assert sum(len(set(want[q]) & set(got[q])) for q in want) >= 0.9 * 20 * len(want)
+
+
+@pytest.mark.parametrize("d", [8, 64])
+def test_scan_of_a_block_alone(d):
+    """What reaches the bar is found, though most candidates are abandoned early."""
+    rng = np.random.default_rng(d)
+    x, q = rng.standard_normal((5000, d)) * rng.uniform(0.5, 2, (5000, 1)), rng.standard_normal((40, d))
+    s = q @ x.T
+    bars = np.sort(s, axis=1)[:, -60]
+    rotation = np.linalg.qr(rng.standard_normal((d, d)))[0]
+    a, b, got = ann.scan_block(np.arange(5000), x, np.arange(10_000, 10_040), q, bars, rotation, 20)
+    want = {(i, j) for i in range(40) for j in np.argsort(-s[i])[:20].tolist()}
+    assert len(want & set(zip(a.tolist(), b.tolist()))) >= 0.99 * len(want) and np.allclose(got, s[a, b])
+
+
+def test_nearest_of_mixed_lengths(spark):
+    """Vectors of the commonest length take part, whichever comes first; an id of two vectors is there once."""
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(200)]
+    want = brute_near(*map(list, zip(*rows)), 20, 20)
+    odd = [(1000 + i, rng.standard_normal(9).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.search(df, cover=1.0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got.keys() == want.keys() and sum(len({j for j, _ in want[q]} & set(got[q])) for q in want) >= 0.99 * 200
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.1]), (1, [0.9, 0.1])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in ann.search(twice).collect()] == [(0, 1, 1, 0.9)]
+
+
+def test_sample_and_lists_follow_the_rows():
+    assert [ann.sample_of(n) for n in (10, 500, 24_000, 10**6)] == [10, 80, 3000, 4096]
+    assert ann.sample_of(10**8) == 8 * 2500 and ann.sample_of(10**12) == ann.MOST
+
+
 def test_nearest_edges(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK", 16)
     monkeypatch.setattr(ann, "QUERIES", 4)
@@ -266,6 +354,106 @@ def test_language_edges(spark, docs):
     assert {r.lang_pred for r in langid.identify(docs, none).collect()} == {"und"}
 
 
+def brute_language(docs):
+    """The whole method again, word by word in plain Python: {doc_id: (language, score)}."""
+
+    def split(text):
+        low = "".join(c.lower() if c.isalpha() else " " for c in text or "")
+        return [w for w in low.split()]
+
+    def buckets(word):
+        raw = b"^" + word.encode() + b"$"
+        out = []
+        for n in (1, 2, 3, 4):
+            for i in range(len(raw) - n + 1):
+                code = 0
+                for c in raw[i : i + n]:
+                    code = (code * 257 + c) % (1 << 64)
+                out.append(((code + n) * 0x9E3779B97F4A7C15 % (1 << 64) >> 40) % langid.BUCKETS)
+        return [*out, zlib.crc32(word.encode()) % langid.BUCKETS]
+
+    known = [r for r in docs if zlib.crc32(str(r.doc_id).encode()) % 5 and r.lang]
+    langs = sorted({r.lang for r in known})
+    counts = {l: collections.Counter() for l in [*langs, None]}
+    for r in known:
+        for w in split(r.text):
+            counts[r.lang].update(buckets(w))
+            for x in langid.scrambled(w.encode()):
+                counts[None].update(buckets(x.decode()))
+    log = lambda l, b: math.log((counts[l][b] + 0.05) / (sum(counts[l].values()) + 0.05 * langid.BUCKETS))
+    memo = {}
+
+    def scores(word):
+        if word not in memo:
+            bs = buckets(word)
+            table = [[log(l, b) for l in [*langs, None]] for b in bs]
+            memo[word] = [sum(row[j] - sum(row[:-1]) / len(langs) for row in table) / math.sqrt(len(bs)) for j in range(len(langs) + 1)]
+        return memo[word]
+
+    out = {}
+    for r in docs:
+        words = split(r.text)
+        if not words:
+            out[r.doc_id] = ("und", 0.0)
+            continue
+        s = [scores(w) for w in words]
+        cost, back = list(s[0]), []
+        for row in s[1:]:
+            best = max(range(len(cost)), key=cost.__getitem__)
+            back.append([j if cost[j] >= cost[best] - 8 else best for j in range(len(cost))])
+            cost = [max(cost[j], cost[best] - 8) + row[j] for j in range(len(cost))]
+        path = [max(range(len(cost)), key=cost.__getitem__)]
+        for b in reversed(back):
+            path.append(b[path[-1]])
+        path.reverse()
+        weight = [sum(len(w) for w, p in zip(words, path) if p == j) for j in range(len(langs))]
+        best = max(range(len(langs)), key=weight.__getitem__) if any(weight) else max(range(len(langs)), key=lambda j: sum(x[j] for x in s))
+        own = [x for x, p in zip(s, path) if p == best] or s
+        sums = [sum(x[j] for x in own) for j in range(len(langs))]
+        sure = 1 / sum(math.exp(min(50, (v - sums[best]) / math.sqrt(len(own)))) for v in sums)
+        out[r.doc_id] = (langs[best], weight[best] / sum(map(len, words)) * sure)
+    return out
+
+
+def test_language_of_table_against_brute_force(spark, sf):
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    few = table.where("length(text) < 3000").unionByName(
+        spark.createDataFrame([(10**6, "qzxv jkwq zzxq vkjh", None), (10**6 + 1, None, None), (10**6 + 2, "12 34", None)], "doc_id long, text string, lang string")
+    )
+    want = brute_language(few.collect())
+    got = {r.doc_id: r for r in langid.identify(few, langid.learn(few)).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k].lang_pred == l and abs(got[k].score - x) < 1e-3 for k, (l, x) in want.items())
+
+
+def test_every_label_is_learned(spark):
+    rows = [(i, f"{chr(97 + i % 26) * 3}{chr(97 + i // 26 % 26) * 3} " * 20, f"l{i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs = langid.learn(df).langs
+    assert sorted(langs) == sorted(l for i, _, l in rows if zlib.crc32(str(i).encode()) % 5)
+
+
+def test_what_a_filter_keeps(spark):
+    """Clean and mixed texts stay; junk and texts of languages that were not learned go."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.learn(table)
+    clean = table.where(langid.held_out(F.col("doc_id")) & F.expr("length(text) > 200"))
+    n = clean.count()
+    assert langid.with_language(clean, model).count() >= 0.99 * n > 100
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9)))
+    junk = [" ".join(word() for _ in range(rng.choice([5, 20, 100, 400]))) for _ in range(100)]
+    junk += ["".join(rng.choices("aAbBzZxXqQ0189#$%&* ", k=300)) for _ in range(50)] + ["12 34 !!", "", None]
+    foreign = ["Rząd rozważa wprowadzenie nowej ustawy dotyczącej transportu publicznego oraz cen energii w całym kraju", "Hallitus harkitsee uutta lakia, joka koskee julkista liikennettä ja energian hintoja koko maassa",
+               "Vláda zvažuje nový zákon o veřejné dopravě a cenách energií v celé zemi", "Правительство рассматривает новый закон", "A kormány új törvényt fontolgat a tömegközlekedésről és az energiaárakról az egész országban"]
+    bad = spark.createDataFrame([(i, t) for i, t in enumerate(junk + foreign)], "doc_id long, text string")
+    assert langid.with_language(bad, model).count() <= 0.02 * bad.count()
+    of = {l: [r.text[:600] for r in table.where(f"lang = '{l}' and length(text) > 700").orderBy("doc_id").limit(20).collect()] for l in ("en", "de", "fr", "es")}
+    mixed = [(i, of["en"][i] + " " + of[o][i]) for o in ("de", "fr", "es") for i in range(20)]
+    both = spark.createDataFrame(mixed, "doc_id long, text string")
+    assert langid.with_language(both, model).count() == both.count()
+
+
 def test_viterbi_shortcut_is_exact():
     rng = np.random.default_rng(1)
     for _ in range(60):
@@ -325,13 +513,13 @@ def brute_entropy(text):
     out = []
     for m in re.finditer(secret_scan.CANDIDATE, text or ""):
         hit = m[0]
-        if any(re.search(p, hit) for p in secret_scan.ALLOWED):
+        if any(re.search(p, hit) for p in secret_scan.ALLOWED) or "/" in hit and all(re.search(secret_scan.ALLOWED_PART, p) for p in hit.split("/")):
             continue
         is_hex = re.search("^[0-9a-fA-F]+$", re.sub("=+$", "", hit))
         _, w, least = secret_scan.CLASSES["hex" if is_hex else "base64"]
-        hit = hit.lower() if is_hex else hit
+        hit = re.sub("=+$", "", hit).lower() if is_hex else hit
         good = [i for i in range(len(hit) - w + 1) if -sum(c / w * math.log2(c / w) for c in collections.Counter(hit[i : i + w]).values()) >= least - 1e-9]
-        if good:
+        if good and not re.search(secret_scan.ALLOWED_SPAN, m[0][good[0] : good[-1] + w]):
             out.append((m.start() + good[0], 3, m.start() + good[-1] + w))
     base = brute_secrets(text)
     return [s for s in out if not any(b[0] <= s[0] and b[2] >= s[2] for b in base)]
@@ -348,6 +536,30 @@ def test_secrets(spark, sf, docs, which):
     assert which == "table" or any(x[1] for x in got) and any(x[2] for x in got)
 
 
+def test_secrets_of_long_runs(spark):
+    """Runs over pieces' edges, hex of the window's length, placeholder words beside a secret, many matches."""
+    rng = random.Random(1)
+    run = lambda n, of="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/": "".join(rng.choices(of, k=n))
+    texts = [run(20) + " word " + run(4095) + " " + run(4097) + "= é " + run(19) + " " + run(25, "0123456789abcdef"), run(8192 + 18), "a" * 5000 + run(30) + "b1" * 3000, "/a1" * 30_000,
+             "EXAMPLE_KEY=" + run(40) + "7", "f00dbabe1234cafe9876", ("token=abcdefgh1 " + run(30) + "4 deadbeefdeadbeefdeadbeefdeadbeef01 ") * 1500, run(100_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: ([tuple(s) for s in r.base], [tuple(s) for s in r.extra]) for r in secret_scan.scan(df).collect()}
+    assert got == {i: (brute_secrets(t), brute_entropy(t)) for i, t in enumerate(texts)}
+    assert len(got[4][1]) == len(got[5][1]) == 1 and len(got[6][1]) == 1500 and not got[3][1]
+
+
+def test_a_megabyte_run_takes_seconds(spark):
+    import time
+
+    rng = random.Random(2)
+    text = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1 << 20))
+    df = spark.createDataFrame([(1, text), (2, "token=abcdefgh1 " * 60_000)], "doc_id long, text string").repartition(2)
+    t = time.time()
+    got = {r.doc_id: r for r in secret_scan.scan(df).collect()}
+    assert time.time() - t < 30
+    assert [tuple(s) for s in got[1].extra] == [(0, 3, 1 << 20)] and len(got[2].base) == 60_000
+
+
 def test_secret_query(spark, sf):
     df = QUERIES["op7_secret_scan"](spark, sf)
     assert "Python" not in df._jdf.queryExecution().toString()
@@ -504,32 +716,108 @@ def test_components_of_a_path(spark):
 
 
 # --- 9 ---
-def test_targets():
-    got = mixing.targets({"b": 10, "a": 1000, None: 5})
-    assert got == {"a": pytest.approx(1492.5), "b": pytest.approx(20 if 1522.5 / 6 > 20 else 0), None: pytest.approx(10)}
+def brute_targets(sizes, weights=(3, 1, 2), total=1.5, repeats=2):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % 3] for i, s in enumerate(order)}
+    full, words = set(), sum(sizes.values())
+    while True:
+        rest = total * words - sum(repeats * sizes[s] for s in full)
+        share = rest / (sum(weight[s] for s in order if s not in full) or 1)
+        more = {s for s in order if s not in full and weight[s] * share > repeats * sizes[s]}
+        if not more:
+            return {s: float(repeats * sizes[s]) if s in full else weight[s] * share for s in order}
+        full |= more
+
+
+def count_words(text):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+
+
+def test_targets(spark):
+    sizes = [("b", 10), ("a", 1000), (None, 5), ("c", 0)]
+    plans = mixing.source_plans(spark.createDataFrame([(*x, 1) for x in sizes], "src string, size long, docs long")).orderBy("s").collect()
+    assert [p.src for p in plans] == ["a", "b", "c", None]
+    assert {p.src: p.target for p in plans} == {k: pytest.approx(v) for k, v in brute_targets(dict(sizes)).items()}
+    assert plans[0].low == 0 and all(a.high == b.low for a, b in zip(plans, plans[1:]))
 
 
 @pytest.mark.parametrize("which", ["edges", "table"])
-def test_mixing(spark, sf, docs, which):
+def test_mixing(spark, sf, docs, which, monkeypatch):
     df = docs if which == "edges" else spark.read.parquet(f"{sf}/documents.parquet")
     got = mixing.mix(df).collect()
     assert len(got) == df.count()
     sizes, of = collections.Counter(), {}
     for r in df.collect():
-        n = len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+        n = count_words(r.text)
         sizes[r.source] += n
         of.setdefault(r.doc_id, (n, r.source))
-    want, took = mixing.targets(sizes), collections.Counter()
+    want, took = brute_targets(sizes), collections.Counter()
     for r in got:
         n, s = of[r.doc_id]
         assert r["size"] == n and r.source_size == sizes[s] and r.target == pytest.approx(want[s]) and 0 <= r.taken <= 2 * n
+        assert (r.first_slot is None) == (r.taken == 0)
         took[s] += r.taken
     for s in sizes:
-        assert took[s] == pytest.approx(want[s], rel=0.01, abs=2), s
-    assert rows_of(mixing.mix(df.repartition(5)), "doc_id", "size", "taken") == rows_of(spark.createDataFrame(got), "doc_id", "size", "taken")
+        assert took[s] == pytest.approx(want[s], rel=0.01, abs=4), s
+    cols = ["doc_id", "size", "taken", "first_slot"]
+    assert rows_of(mixing.mix(df.repartition(5)), *cols) == rows_of(spark.createDataFrame(got, mixing.mix(df).schema), *cols)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(mixing, "RANGE_SOURCES", 2)
+    assert rows_of(mixing.mix(df), *cols) == rows_of(spark.createDataFrame(got, mixing.mix(df).schema), *cols)
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_the_schedule_decides(spark):
+    """Other points give another mix: other orders and counts, as near the targets while they are even, and
+    far from them if they are not."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    of = {r.doc_id: r.source for r in df.collect()}
+
+    def corput(slot):
+        halves = [F.pmod(F.floor(slot / F.lit(float(1 << i))), F.lit(2)) / F.lit(float(2 << i)) for i in range(24)]
+        return sum(halves, F.lit(0.0))
+
+    mixes = {}
+    for name, points in (("golden", mixing.golden), ("corput", corput), ("low half", lambda s: mixing.golden(s) / 2)):
+        mixes[name] = {r.doc_id: r for r in mixing.mix(df, points=points).collect()}
+    off = {}
+    for name, rows in mixes.items():
+        took, goal = collections.Counter(), {}
+        for i, r in rows.items():
+            took[of[i]] += r.taken
+            goal[of[i]] = r.target
+        off[name] = max(abs(took[s] / goal[s] - 1) for s in goal)
+    assert off["golden"] < 0.01 and off["corput"] < 0.01 and off["low half"] > 0.5
+    a, b = mixes["golden"], mixes["corput"]
+    assert sum(a[i].first_slot != b[i].first_slot for i in a) > 0.9 * len(a) and any(a[i].taken != b[i].taken for i in a)
+
+
+def test_slots_interleave_sources(spark):
+    """Any stretch of the mix holds each source near its share."""
+    df = spark.createDataFrame([(i, "w " * 100, f"s{i % 3}") for i in range(3000)], "doc_id long, text string, source string")
+    plans = mixing.source_plans(df.groupBy("source").agg(F.lit(100_000).cast("long").alias("size"), F.count("*").alias("docs")).withColumnRenamed("source", "src"))
+    slots = sorted((r.slot, r.s) for r in mixing.schedule(plans).collect())
+    share = collections.Counter(s for _, s in slots)
+    for at in range(0, len(slots) - 100, 100):
+        some = collections.Counter(s for _, s in slots[at : at + 100])
+        assert all(abs(some[s] - 100 * share[s] / len(slots)) < 5 for s in share)
+
+
+def test_every_pass_goes_over_all_blocks(spark):
+    for blocks in (1, 2, 3, 5, 17, 1000, 1023):
+        rows = spark.range(2 * blocks).select("id", mixing.shuffled(F.col("id"), F.lit(blocks).cast("long"), 11).alias("b")).orderBy("id").collect()
+        for turn in (0, 1):
+            assert sorted(r.b for r in rows[turn * blocks : (turn + 1) * blocks]) == list(range(blocks))
+        assert blocks < 10 or [r.b for r in rows[:blocks]] not in (list(range(blocks)), [r.b for r in rows[blocks:]])
+
+
+def test_mixed_rows_clash_with_no_column(spark):
+    names = ["doc_id", "text", "source", "k", "h", "slot", "row_hash", "_k"]
+    df = spark.createDataFrame([(i, f"a b {i}", "s", 1, 2, 3, 4, 5) for i in range(50)], names)
+    got = mixing.mixed(df)
+    assert got.columns == names and {tuple(r) for r in got.collect()} <= {tuple(r) for r in df.collect()} and got.count() >= 50
+
+
 def test_mixing_is_native(spark, sf):
     assert "Python" not in QUERIES["op9_mixing"](spark, sf)._jdf.queryExecution().toString()
 
