@@ -2,10 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the
 next one's docs.  All but the last keep the columns of `documents`; the last has a row for each
-document of the mix: doc_id, start, n_tokens, ids_crc32, read back from the packed files.
+document of the mix: doc_id, start, n_tokens, ids_crc32, read back from the packed files.  Those hold the
+documents in the mix's order: its stage writes the rows in order of slots, and the last one keeps that order.
 
 Near-dedup links fingerprints of 4 words' shingles at 4 bits, as the operator's query does, and texts
-of a similarity of about 0.8 or more in shingles of five words.
+of a similarity of 0.8 or more in shingles of five words.
+
+Defined results: documents with a null or empty text have no language and go in the first stage; null ids,
+sources and labels are kept as they are; of repeated rows one stays; very long texts are read whole; an empty
+table gives an empty result; other columns, whatever their names, are carried along to the last stage.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from quillstack.llm.common import stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language, or with one that is hardly sure, go."""
+    """Documents without a language go: no letters, junk of letters, languages that no label has."""
     return langid.with_language(docs, langid.learn(docs))
 
 
@@ -32,13 +37,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out, so that sources come near their targets."""
+    """Documents are repeated or left out, so that sources come near their targets; in the mix's order."""
     return mixing.mixed(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of the mix in Arrow files; a row for each document, read from them."""
-    return token_pack.pack(docs)
+    return token_pack.pack(docs, as_stored=True)
 
 
 STAGES = [
