@@ -267,7 +267,7 @@ def similar_links(rows: DataFrame, linked: DataFrame, texts: DataFrame | None =
     keyed = stored(keyed.join(blocks.select("band", "block"), ["band", "block"], "left_semi"), "similar-blocks")
     roots, found, tried, sets = components(linked), linked, None, None
     if texts is not None:
-        sets = stored(shingle_sets(texts.join(keyed.select("h").distinct(), "h", "left_semi")), "similar-sets")
+        sets = stored(shingle_sets(texts.join(keyed.select("h").distinct(), "h", "left_semi")).dropDuplicates(["h"]), "similar-sets")
     for r in range(rounds + 1):
         # Blocks whose members are of one class already have nothing to add.
         named = keyed.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -348,9 +348,11 @@ def classes(docs: DataFrame, width: int = WORDS, distance: int = DISTANCE, block
     distinct = stored(fps.groupBy("fp").agg(first.alias("low")), "simhash-distinct")
     links = close_links(distinct.select("fp"), distance, blocks)
     if similar:
-        # Each text once: copies have one sketch.
-        texts = docs.select(F.xxhash64(text).alias("h"), F.col(text).cast("binary").alias("t"))
-        links = similar_links(fps.dropDuplicates(["h"]).select("fp", "h", "wide", "bands"), stored(links, "simhash-links"), texts)
+        # Each text once: copies have one sketch, and the text is that of one row (or of rows of one key).
+        once = stored(fps.dropDuplicates(["h"]), "simhash-once")
+        texts = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.col(text).cast("binary").alias("t"))
+        texts = texts.join(once.select(F.col(key).alias("of"), F.col("h").alias("of_h")), (F.col("h") == F.col("of_h")) & F.col("k").eqNullSafe(F.col("of")), "left_semi")
+        links = similar_links(once.select("fp", "h", "wide", "bands"), stored(links, "simhash-links"), texts.select("h", "t"))
     roots = components(links)
     # Fingerprints without links are their own class; the rest meet at their root.
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
