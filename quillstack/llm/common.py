@@ -60,7 +60,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     and no executor's loss can take it away."""
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove tables that `stored` made, when all that was made of them is stored itself."""
+    for df in tables:
+        if df is not None:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Narrow rows that are broadcast at most: about 20 MB.
+BROADCAST_ROWS = 300_000
+
+
+def if_few(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """`df`, to be broadcast if it has no more than so many rows (they are counted)."""
+    rows = BROADCAST_ROWS if rows is None else rows
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 _shipped: set[str] = set()

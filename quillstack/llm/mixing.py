@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, stored, table
+from .common import discard, fresh, if_few, stored, table
 
 WEIGHTS = (3, 1, 2)
 TOTAL, REPEATS = 1.5, 2
@@ -190,6 +190,7 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int =
     k, h, slot, row = (fresh(docs, n) for n in ("k", "h", "slot", "row_hash"))
     took = took.select(F.col("k").alias(k), F.col("h").alias(h), F.explode(F.filter(copies, lambda x: x.isNotNull())).alias(slot))
     rows = docs.withColumn(row, row_hash(key, text, seed))
+    took = if_few(stored(took, "mix-copies"))
     met = rows.join(took, (F.col(row) == F.col(h)) & F.col(key).eqNullSafe(F.col(k)))
     to = max(docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return met.repartitionByRange(to, slot, h, key).sortWithinPartitions(slot, h, key).select(*docs.columns)

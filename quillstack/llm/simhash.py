@@ -22,8 +22,8 @@ of 256-bit SimHashes are candidates; the shingle sets themselves, made of the te
 members of blocks that then still hold several classes, whatever similar pairs are left is found by prefixes of their sets: with
 shingles in order of how few of these members have them, two sets of `SIMILAR` or more share one among the first n - ceil(0.8 n) + 1
 of each.  So large groups cost rows by their members, and not by their pairs: copies of one text are one
-class after the rounds, and texts with so much of their own that they are in no class have prefixes of their
-own, whatever else they share.  Joins spread the blocks; none is gathered in a task.
+class after the rounds, and texts with so much of their own that they are in no class share too little behind
+any shingle of their prefix, whatever else they share.  Joins spread the blocks; none is gathered in a task.
 
 Classes are the connected components: stars are contracted (each fingerprint to its smallest
 neighbour) in rounds, each written to the shared folder.
@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import ASCII_LOWER, fresh, ship, stored, table
+from .common import ASCII_LOWER, discard, fresh, if_few, ship, stored, table
 
 WORDS, DISTANCE, BLOCKS, BUCKET = 4, 4, 7, 2048
 #: The other way's shingles, least similarity, blocks, and bits apart of its 256 that candidates have
@@ -248,32 +248,42 @@ def prefix_pairs(rows: DataFrame, sets: DataFrame, wide: list[str], distance: in
     # A set's shingles that no other has come first in its prefix, and meet nothing.
     prefix = F.floor((1 - least) * F.col("n") + 1e-6) + 1
     left = F.greatest(F.lit(0), prefix - (F.col("n") - F.size("known"))).cast("int")
-    keys = met.select("h", F.explode(F.filter(F.slice("known", F.lit(1), left), lambda x: x["mixed"])).alias("x")).select("h", F.col("x.s").alias("s"))
-    mine = ["h", "fp", "root", "n", *wide]
-    keyed = stored(keys.join(rows.select(*mine), "h"), "similar-prefixes")
+    keys = met.select("h", F.size("known").alias("known_n"), F.posexplode(F.slice("known", F.lit(1), left)).alias("at", "x")).where("x.mixed")
+    # What two sets share comes, in both, from the first shingle that they share on: `rest` are so many at most.
+    keys = keys.select("h", F.col("x.s").alias("s"), (F.col("known_n") - F.col("at")).alias("rest"))
+    mine = ["h", "rest", "fp", "root", "n", *wide]
+    keyed = stored(keys.join(rows.select("h", "fp", "root", "n", *wide), "h"), "similar-prefixes")
     other = keyed.select("s", F.struct(*mine).alias("o"))
     apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"o.{w}"))) for w in wide), F.lit(0))
-    fit = (F.col("h") < F.col("o.h")) & (F.col("root") != F.col("o.root")) & (apart <= distance) & (F.least("n", "o.n") >= least * F.greatest("n", "o.n") - 1e-6)
-    return keyed.join(other, "s").where(fit).select(F.least("fp", "o.fp").alias("a"), F.greatest("fp", "o.fp").alias("b"), "h", F.col("o.h").alias("other")).distinct()
+    fit = (F.col("h") < F.col("o.h")) & (F.col("root") != F.col("o.root")) & (apart <= distance) & (F.least("rest", "o.rest") >= least / (1 + least) * (F.col("n") + F.col("o.n")) - 1e-6)
+    pairs = keyed.join(other, "s").where(fit).select(F.least("fp", "o.fp").alias("a"), F.greatest("fp", "o.fp").alias("b"), "h", F.col("o.h").alias("other"))
+    pairs = stored(pairs.distinct(), "similar-prefix-pairs")
+    discard(rows, keyed)
+    return pairs
 
 
 def similar_links(rows: DataFrame, linked: DataFrame, texts: DataFrame | None = None, distance: int = WIDE_DISTANCE, rounds: int = ROUNDS) -> DataFrame:
-    """(a, b), a < b: links from (fp, h, wide, bands), by min-wise blocks and wide fingerprints, that
+    """(a, b), a < b: links from (fp, h, wide, bands; k with `texts`), by min-wise blocks and wide fingerprints, that
     with those in `linked` connect what all near pairs of members of one block connect.  With `texts`
-    (h, t) a pair within `distance` is a candidate only, and linked if its shingle sets are similar."""
+    (h, k, t) a pair within `distance` is a candidate only, and linked if its shingle sets are similar."""
     wide = [f"w{i}" for i in range(4)]
-    keyed = rows.select("fp", "h", *(F.get("wide", F.lit(i)).alias(w) for i, w in enumerate(wide)), F.posexplode("bands").alias("band", "block"))
+    own = ["h", "k"] if texts is not None else ["h"]
+    keyed = rows.select("fp", *own, *(F.get("wide", F.lit(i)).alias(w) for i, w in enumerate(wide)), F.posexplode("bands").alias("band", "block"))
     blocks = keyed.groupBy("band", "block").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high")
-    keyed = stored(keyed.join(blocks.select("band", "block"), ["band", "block"], "left_semi"), "similar-blocks")
+    table_ = keyed = stored(keyed.join(blocks.select("band", "block"), ["band", "block"], "left_semi"), "similar-blocks")
     roots, found, tried, sets = components(linked), linked, None, None
     if texts is not None:
-        sets = stored(shingle_sets(texts.join(keyed.select("h").distinct(), "h", "left_semi")).dropDuplicates(["h"]), "similar-sets")
+        wanted = if_few(keyed.select(F.col("h").alias("of_h"), F.col("k").alias("of")).distinct())
+        some = texts.join(wanted, (F.col("h") == F.col("of_h")) & F.col("k").eqNullSafe(F.col("of")), "left_semi")
+        sets = stored(shingle_sets(some).dropDuplicates(["h"]), "similar-sets")
+        keyed = keyed.drop("k")
     for r in range(rounds + 1):
         # Blocks whose members are of one class already have nothing to add.
         named = keyed.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         several = named.groupBy("band", "block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
         rest = stored(named.join(several.select("band", "block"), ["band", "block"], "left_semi"), "similar-rest")
         if not rest.limit(1).count():
+            discard(rest)
             break
         mine = ["root", "h", "fp", *wide]
         if r == rounds and sets is not None:
@@ -296,9 +306,12 @@ def similar_links(rows: DataFrame, linked: DataFrame, texts: DataFrame | None =
             tried = new.select("h", "other") if tried is None else tried.unionByName(new.select("h", "other"))
             new = confirmed(new, sets)
         found = found.unionByName(stored(new.select("a", "b").distinct(), "similar-links"))
+        discard(rest)
         if r < rounds:
             roots = components(found)
-    return found.distinct()
+    all_ = stored(found.distinct(), "similar-found")
+    discard(table_, sets)
+    return all_
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -324,18 +337,24 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     def sign(e: DataFrame):
         return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
+    def parts(n: int) -> int:
+        """Files of a round's edges, of about a million each: a round has hardly more than the last."""
+        return max(1, min(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), n >> 20))
+
     edges = stored(links.select("a", "b"), "stars")
     before = sign(edges)
     for _ in range(rounds):
         if not before[0]:
             break
-        edges = stored(star(star(edges, True), False), "stars")
+        last, edges = edges, stored(star(star(edges, True), False).coalesce(parts(before[0])), "stars")
         after = sign(edges)
+        discard(last)
         if tuple(after) == tuple(before):
             break
         before = after
     else:
         raise RuntimeError("components did not settle")
+    # The last round's edges stay: what follows reads them.
     return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
 
 
@@ -351,8 +370,8 @@ def classes(docs: DataFrame, width: int = WORDS, distance: int = DISTANCE, block
         # Each text once: copies have one sketch, and the text is that of one row (or of rows of one key).
         once = stored(fps.dropDuplicates(["h"]), "simhash-once")
         texts = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.col(text).cast("binary").alias("t"))
-        texts = texts.join(once.select(F.col(key).alias("of"), F.col("h").alias("of_h")), (F.col("h") == F.col("of_h")) & F.col("k").eqNullSafe(F.col("of")), "left_semi")
-        links = similar_links(once.select("fp", "h", "wide", "bands"), stored(links, "simhash-links"), texts.select("h", "t"))
+        links = similar_links(once.select("fp", "h", F.col(key).alias("k"), "wide", "bands"), stored(links, "simhash-links"), texts)
+        discard(once)
     roots = components(links)
     # Fingerprints without links are their own class; the rest meet at their root.
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -370,6 +389,7 @@ def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **h
     h = fresh(docs, "text_hash")
     same = lambda a, b: a[key].eqNullSafe(b[key]) & (a[h] == b["h"])
     rows, gone = docs.withColumn(h, F.xxhash64(text)), found.where("not stays").select(key, "h")
+    gone = if_few(gone)
     kept = rows.join(gone, same(rows, gone), "left_anti")
     again = found.where("stays").groupBy(key, "h").count().where("count > 1").select(key, "h")
     if again.limit(1).count():  # repeated rows: one of each
