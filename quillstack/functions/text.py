@@ -20,6 +20,7 @@ PREFIXES = [
     "ile kosztuje", "ile kosztuj", "ile kosztuja", "ile kosztują", "ile", "czy", "gdzie", "kiedy", "wymien", "wymień", "opisz", "co to jest", "co to",
     "informacje na temat", "informacje o", "informacja o", "what is", "what are", "show me", "show", "how much", "list",
 ]
+# A filler before the subject, and what is cut off a phrase.
 FILLER = r"(?i)^\s*(?:pokaz|pokaż|podaj|wymien|wymień|opisz)?\s*(?:informacje|informacja)\s+(?:na\s+temat|o)\s+"
 TRIM = " ?.,:"
 

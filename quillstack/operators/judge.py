@@ -11,22 +11,85 @@ from typing import Protocol
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenise
+from ..functions.text import query_variants, tokenise
+
+
+#: Characters of a page that are judged; least score of a facet that is added, and how many are at most.
+CLIP, FACET_THRESHOLD, MAX_FACETS = 6000, 0.7, 2
 
 
 class Judge(Protocol):
     def score(self, pairs: DataFrame) -> DataFrame: ...
 
+    def sweep(self, questions: DataFrame, pages: DataFrame) -> DataFrame: ...
+
 
 class OverlapJudge:
     """Three times the share of the query's distinct tokens that the text has; null for no text."""
 
+    def sweep(self, questions: DataFrame, pages: DataFrame) -> DataFrame:
+        """(q, key, raw) of every page of (key, text) for every question of (q, query), those of 0 left out:
+        by a join on terms, so no page is tokenised for each question."""
+        asked = questions.select("q", F.array_distinct(tokenise(F.col("query"))).alias("t"))
+        asked = asked.select("q", F.greatest(F.size("t"), F.lit(1)).alias("of"), F.explode("t").alias("term"))
+        vocab = F.broadcast(asked.select("term").distinct())  # the stated questions' terms
+        has = pages.select("key", F.explode(F.array_distinct(tokenise(F.substring("text", 1, CLIP)))).alias("term")).join(vocab, "term", "left_semi")
+        return has.join(asked, "term").groupBy("q", "key", "of").agg(F.count("*").alias("n")).select("q", "key", (3 * F.col("n") / F.col("of")).alias("raw"))
+
     def score(self, pairs: DataFrame) -> DataFrame:
-        q, t = F.array_distinct(tokenise(F.col("query"))), tokenise(F.substring("text", 1, 6000))
+        q, t = F.array_distinct(tokenise(F.col("query"))), tokenise(F.substring("text", 1, CLIP))
         share = F.size(F.array_intersect(q, t)) / F.greatest(F.size(q), F.lit(1))
         return pairs.withColumn("raw", F.when(F.length(F.trim("text")) > 0, 3 * share))
 
 
+def valid(raw):
+    return ~F.isnan(raw) & raw.between(0, 3)
+
+
+def expand(questions: DataFrame, facets: list[str], judge: Judge | None = None) -> DataFrame:
+    """(q, ord, variant) of (q, query): the question, its noun phrase, and the last of these with each of the
+    best facets that the judge finds asked for.  One invalid score, or none, leaves the local variants."""
+    named = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(f).alias("facet")) for i, f in enumerate(facets))))
+    pairs = questions.select("q", F.col("query").alias("question"), named.alias("f")).select("q", "question", "f.i", F.col("f.facet").alias("query"), F.col("question").alias("text"))
+    scored = (judge or OverlapJudge()).score(pairs)
+    best = F.array_sort(F.collect_list(F.struct((-F.col("raw") / 3).alias("down"), "i", F.col("query").alias("facet"))))
+    good = F.min(F.coalesce(valid(F.col("raw")), F.lit(False)).cast("int")) == 1
+    by = scored.groupBy("q", "question").agg(best.alias("best"), good.alias("good"))
+    own = query_variants(F.col("question"))
+    top = F.filter(F.slice("best", 1, MAX_FACETS), lambda x: -x["down"] >= FACET_THRESHOLD)
+    more = F.when(F.col("good"), F.transform(top, lambda x: F.concat_ws(" ", F.element_at("own", -1), x["facet"]))).otherwise(F.array().cast("array<string>"))
+    rows = by.withColumn("own", own).select("q", F.array_distinct(F.concat("own", more)).alias("v"))
+    return rows.select("q", F.posexplode("v").alias("ord", "variant"))
+
+
+def order_pages(scored: DataFrame, by: str = "q", place: str = "prior") -> DataFrame:
+    """Adds score and rank: judged pages best first, those without a score behind them in the search's order."""
+    order = Window.partitionBy(by).orderBy(F.desc_nulls_last("raw"), place)
+    return scored.withColumn("score", F.col("raw") / 3).withColumn("rank", F.row_number().over(order))
+
+
+def gate(scored: DataFrame, scope: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """(q, answerable, scope, verdict): the best of a question's pages (q, raw), its `scope` (q, scope), both 0..1."""
+    best = scored.groupBy("q").agg(F.round(F.max("raw") / 3, 4).alias("answerable"))
+    rows = scope.join(best, "q", "left").select("q", "answerable", F.round("scope", 4).alias("scope"))
+    return rows.withColumn("verdict", verdict(F.col("scope"), F.col("answerable"), threshold))
+
+
+def corpus_scope(questions: DataFrame, pages: DataFrame) -> DataFrame:
+    """(q, scope): share of a question's distinct tokens that any page has."""
+    asked = questions.select("q", F.explode_outer(F.array_distinct(tokenise(F.col("query")))).alias("term"))
+    vocab = F.broadcast(asked.select("term").distinct())
+    known = pages.select(F.explode(F.array_distinct(tokenise(F.col("text")))).alias("term")).join(vocab, "term", "left_semi").distinct().withColumn("known", F.lit(1.0))
+    return asked.join(known, "term", "left").groupBy("q").agg(F.avg(F.coalesce("known", F.lit(0.0))).alias("scope"))
+
+
+def fold_shards(scored: DataFrame, shards: DataFrame) -> DataFrame:
+    """(q, answerable, shards): each shard's best page of (q, key, raw), and of these the best: a shard that
+    has nothing can't outvote one that does.  `shards` has (key, shard)."""
+    each = scored.join(shards, "key").groupBy("q", "shard").agg((F.max("raw") / 3).alias("best"))
+    return each.groupBy("q").agg(F.round(F.max("best"), 4).alias("answerable"), F.count("*").alias("shards"))
+
+
 def rerank(scored: DataFrame, limit: int, by: str = "q", place: str = "ord") -> DataFrame:
     """Candidates with raw scores in the judge's order; one invalid score of a query puts the
     search's order back for all of it.  Candidates without a text go."""

@@ -1,24 +1,58 @@
-"""Judge stages with the deterministic judge: a query's share of terms found in a text.
-
-`quillstack.operators.judge` has the same rules for a judge of one's own.
-"""
+"""Judge stages over texts, with the deterministic judge of `quillstack.operators.judge`: a query's share of
+terms found in a text.  Questions are benchmark items, pages are documents, crops the first part of them."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.judge import plan_shards
-from .mining import OV, TERMS
+from ..operators import judge as J
+from ..operators import lexical as L
+from .mining import OV, PHRASE, TERMS
 from .registry import query, shared
-from .retrieval import read
-from .statistics import OUT
+from .retrieval import POST, TOPK, bm25, read, tok
+from .statistics import OUT, RK
 
+# Facets that a question may ask for.
 FACETS = ["cena koszt cennik price cost pricing", "wymiary szerokość wysokość dimensions width height", "montaż instalacja installation assembly",
           "parametry techniczne specyfikacja technical specifications", "opcje akcesoria wyposażenie options accessories", "bezpieczeństwo zabezpieczenia safety security"]
+CROP = 1500
 FACET = "fc AS (" + " UNION ALL ".join(f"SELECT {i} AS facet, '{f}' AS name" for i, f in enumerate(FACETS)) + ")"
-shared("facet_expand", f"""WITH {FACET}, s AS (SELECT item_id, text AS base, facet, name, ((length(text) * 7 + facet * 13 + item_id) % 101) / 1e2 AS score FROM benchmark CROSS JOIN fc),
-t AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, facet) AS place FROM s)
-SELECT DISTINCT item_id, facet, base || ' ' || name AS variant, score FROM t WHERE place <= 2 AND score >= 0.7e0""")
+# Every third item names a facet, every other third an opening.
+ASKED = f"CASE item_id % 3 WHEN 0 THEN text || ' {FACETS[0]}' WHEN 1 THEN 'Ile kosztuje ' || text || ' {FACETS[2]}' ELSE text END"
+
+
+def share(question: str, text: str) -> str:
+    """DuckDB: share of the question's distinct tokens that the text has."""
+    return f"len(list_intersect(list_distinct({question}), {text})) * 1e0 / greatest(len(list_distinct({question})), 1)"
+
+
+def questions(spark, sf_dir):
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), F.col("text").alias("query"))
+
+
+def candidates(spark, sf_dir, k):
+    """(q, query, doc, ord, retrieval_score, text) of the k best pages of each question."""
+    pool = bm25(spark, sf_dir, k).select("q", "doc", F.col("rank").alias("ord"), F.col("score").alias("retrieval_score"))
+    pages = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return pages.join(F.broadcast(pool), "doc").join(F.broadcast(questions(spark, sf_dir)), "q")  # k rows for each stated question
+
+
+CANDIDATES = f"{POST}{TOPK}, cand AS (SELECT q, doc, rank AS ord, score AS s, b.text AS query, d.text AS page FROM top JOIN benchmark b ON b.item_id = q JOIN documents d ON d.doc_id = doc"
+
+
+@query("facet_expand", f"""WITH {FACET}, ask AS (SELECT item_id AS conv_id, 0 AS turn, {ASKED} AS text FROM benchmark), {PHRASE},
+s AS (SELECT conv_id, text, phrase, facet, name, {share(tok("name"), tok("text"))} AS score FROM np CROSS JOIN fc),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, facet) AS place FROM s),
+own AS (SELECT conv_id, 0 AS ord, trim(text, chr(32) || chr(10)) AS variant, length(phrase) >= 3 AS more FROM np UNION ALL SELECT conv_id, 1, phrase, true FROM np WHERE length(phrase) >= 3),
+base AS (SELECT conv_id, max(ord) AS last, arg_max(variant, ord) AS base FROM own GROUP BY conv_id)
+SELECT conv_id AS item_id, CAST(ord AS INT) AS ord, variant FROM own UNION ALL SELECT t.conv_id, CAST(last + place AS INT), base || ' ' || name FROM t JOIN base USING (conv_id) WHERE place <= 2 AND score >= 0.7e0""")
+def facet_expand(spark, sf_dir):
+    """The question stays first; facets go behind its last local variant."""
+    i = F.col("item_id") % 3
+    text = F.when(i == 0, F.concat("text", F.lit(" " + FACETS[0]))).when(i == 1, F.concat(F.lit("Ile kosztuje "), "text", F.lit(" " + FACETS[2]))).otherwise(F.col("text"))
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), text.alias("query"))
+    return J.expand(asked, FACETS).withColumnRenamed("q", "item_id")
+
 
 POOL = f"""{OUT}, cand AS (SELECT q, vec_id, s, 64 - n AS list, r FROM rk WHERE r <= 24),
 one AS (SELECT *, row_number() OVER (PARTITION BY q, vec_id ORDER BY list, r) AS pick FROM cand),
@@ -27,32 +61,83 @@ LEX = f"""{TERMS}, {OV}, lx AS (SELECT item_id AS q, doc_id * 8 AS vec_id, row_n
 HPOOL = f"""{OUT}, {LEX}, cand AS (SELECT q, vec_id, s, 64 - n AS list, r FROM rk WHERE r <= 24 UNION ALL SELECT q, vec_id, 0e0 AS s, 99 AS list, r FROM lx WHERE r <= 20),
 one AS (SELECT *, row_number() OVER (PARTITION BY q, vec_id ORDER BY list, r) AS pick FROM cand),
 pool AS (SELECT q, vec_id, s, row_number() OVER (PARTITION BY q ORDER BY list, r) AS ord, count(*) OVER (PARTITION BY q) AS candidates FROM one WHERE pick = 1)"""
-shared("candidate_pool", f"WITH {POOL} SELECT q AS query_id, <long(ord)> AS ord, vec_id, round(s, 6) AS score, candidates FROM pool WHERE ord <= 64")
-shared("candidate_pool_hybrid", f"WITH {HPOOL} SELECT q AS query_id, <long(ord)> AS ord, vec_id, round(s, 6) AS score, candidates FROM pool WHERE ord <= 64")
+shared("candidate_pool", f"WITH {POOL} SELECT q AS query_id, <long(ord)> AS ord, vec_id, round(s, 6) AS score, candidates FROM pool WHERE ord <= 64", keep=(RK, "rk"))
+shared("candidate_pool_hybrid", f"WITH {HPOOL} SELECT q AS query_id, <long(ord)> AS ord, vec_id, round(s, 6) AS score, candidates FROM pool WHERE ord <= 64", keep=(RK, "rk"))
 shared("judge_validate", """WITH raw AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'nan' WHEN 1 THEN '-1' WHEN 2 THEN '4' WHEN 3 THEN 'true' WHEN 4 THEN '2' WHEN 5 THEN '2.5' END AS said FROM events),
 v AS (SELECT event_id, said, CASE WHEN <like(said;'^-?[0-9]+(\\.[0-9]+)?$')> THEN try_cast(said AS DOUBLE) END AS x FROM raw)
 SELECT event_id, said, CASE WHEN x >= 0 AND x <= 3 THEN x END AS score FROM v""".replace("\\\\", "\\"))
-# Raw scores 0..3; blind candidates have none and go; an invalid one puts the search's order back.
-shared("judge_rerank", f"""WITH {POOL}, j AS (SELECT q, vec_id, s, ord, CASE WHEN vec_id % 11 = 0 THEN NULL WHEN q % 5 = 0 AND vec_id % 7 = 0 THEN 4e0 ELSE CAST((vec_id * 7 + q) % 4 AS DOUBLE) END AS raw FROM pool WHERE ord <= 64),
-f AS (SELECT *, max(CASE WHEN raw > 3 OR raw < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY q) = 1 AS fell FROM j),
-k AS (SELECT q, vec_id, s, fell, raw / 3 AS score, row_number() OVER (PARTITION BY q ORDER BY CASE WHEN fell THEN 0 ELSE -raw END, ord) AS rank FROM f WHERE fell OR raw IS NOT NULL)
-SELECT q AS query_id, <long(rank)> AS rank, vec_id, CASE WHEN NOT fell THEN round(score, 6) END AS score, round(s, 6) AS retrieval_score, fell FROM k WHERE rank <= 24""")
-shared("page_rerank", f"""WITH {OUT}, p AS (SELECT q, page, rank AS prior, CASE WHEN page % 5 = 0 OR rank > 16 THEN NULL ELSE ((page * 7 + q) % 4) / 3e0 END AS score FROM pr WHERE n = 64)
-SELECT q AS query_id, page, <long(prior)> AS prior, round(score, 6) AS score, <long(row_number() OVER (PARTITION BY q ORDER BY CASE WHEN score IS NULL THEN 1 ELSE 0 END, score DESC, prior))> AS rank FROM p""")
-shared("gate_verdict", """WITH s AS (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE (doc_id % 10) / 1e1 END AS scope, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE (n_chars % 100) / 1e2 END AS answerable FROM documents)
-SELECT doc_id, scope, answerable, CASE WHEN scope < 0.5e0 THEN 'out-of-scope' WHEN answerable < 0.3e0 THEN 'not-in-corpus' ELSE 'ok' END AS verdict FROM s""")
-shared("xray_sweep", f"""WITH {TERMS}, {OV}, c AS (SELECT count(*) AS pages, <long(sum(CASE WHEN length(trim(text)) < 20 THEN 1 ELSE 0 END))> AS blind, ceil(sum(least(length(text), 6000) / 1.7e0 + 48) / 4.8e4) AS shards FROM documents),
-b AS (SELECT item_id, count(*) AS touched, max(score) AS best FROM ov GROUP BY item_id)
-SELECT item_id, pages, blind, pages - blind AS judged, item_id % 9 <> 0 AS exhaustive, touched, round(best, 6) AS best FROM b CROSS JOIN c""")
-shared("xray_rank", f"WITH {TERMS}, {OV}, r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM ov) SELECT item_id, <long(rank)> AS rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 10")
-shared("facet_fold", """WITH s AS (SELECT source, doc_id % 4 AS shard, max(CASE WHEN doc_id % 3 = 0 THEN NULL ELSE (n_chars % 97) / 9.7e1 END) AS answerable, max(CASE WHEN source < 'src5' THEN NULL ELSE (n_chars % 89) / 8.9e1 END) AS premise FROM documents GROUP BY source, doc_id % 4)
-SELECT source, max(answerable) AS answerable, max(premise) AS premise, count(*) AS shards FROM s GROUP BY source""")
-
-
-@query("shard_plan", """WITH RECURSIVE o AS (SELECT source, doc_id, least(length(text), 6000) / 1.7e0 + 48 AS cost, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+
+
+@query("judge_rerank", f"""WITH {CANDIDATES} WHERE rank <= 24), j AS (SELECT *, {share(tok("query"), tok(f"substr(page, 1, {CROP})"))} AS score FROM cand)
+SELECT q AS query_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, ord) AS INT) AS rank, doc AS doc_id, round(score, 6) AS score, round(s, 6) AS retrieval_score, false AS fell FROM j""")
+def judge_rerank(spark, sf_dir):
+    """The first part of each candidate page, judged; an invalid score would put the search's order back."""
+    crops = candidates(spark, sf_dir, 24).withColumn("text", F.substring("text", 1, CROP))
+    got = J.rerank(J.OverlapJudge().score(crops), 24)
+    return got.select(F.col("q").alias("query_id"), "rank", F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), F.round("retrieval_score", 6).alias("retrieval_score"), "fell")
+
+
+@query("page_rerank", f"""WITH {CANDIDATES} WHERE rank <= 16), j AS (SELECT *, CASE WHEN trim(page) <> '' THEN {share(tok("query"), tok(f"substr(page, 1, {J.CLIP})"))} END AS score FROM cand)
+SELECT q AS query_id, doc AS doc_id, CAST(ord AS INT) AS prior, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC NULLS LAST, ord) AS INT) AS rank FROM j""")
+def page_rerank(spark, sf_dir):
+    """Whole pages, up to what is judged of one."""
+    got = J.order_pages(J.OverlapJudge().score(candidates(spark, sf_dir, 16)), place="ord")
+    return got.select(F.col("q").alias("query_id"), F.col("doc").alias("doc_id"), F.col("ord").alias("prior"), F.round("score", 6).alias("score"), "rank")
+
+
+@query("gate_verdict", f"""WITH {CANDIDATES} WHERE rank <= 4), best AS (SELECT q, round(max({share(tok("query"), tok(f"substr(page, 1, {J.CLIP})"))}), 4) AS answerable FROM cand GROUP BY q),
+w AS (SELECT item_id AS q, unnest(list_distinct({tok("text")})) AS term FROM benchmark), sp AS (SELECT q, round(avg(CASE WHEN term IN (SELECT term FROM post) THEN 1e0 ELSE 0e0 END), 4) AS scope FROM w GROUP BY q)
+SELECT q AS item_id, answerable, scope, CASE WHEN scope < 0.5e0 THEN 'out-of-scope' WHEN answerable < 0.3e0 THEN 'not-in-corpus' ELSE 'ok' END AS verdict FROM sp LEFT JOIN best USING (q)""")
+def gate_verdict(spark, sf_dir):
+    """Is the answer on the four best pages, and are the question's terms the corpus's?"""
+    scored = J.OverlapJudge().score(candidates(spark, sf_dir, 4))
+    scope = J.corpus_scope(questions(spark, sf_dir), read(spark, sf_dir, "documents"))
+    return J.gate(scored, scope).withColumnRenamed("q", "item_id")
+
+
+SHARDS = """o AS (SELECT source, doc_id, least(length(text), 6000) / 1.7e0 + 48 AS cost, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
 f AS (SELECT source, doc_id, i, CAST(0 AS BIGINT) AS shard, cost AS size FROM o WHERE i = 1 UNION ALL
-SELECT o.source, o.doc_id, o.i, CASE WHEN f.size + o.cost > 48000 THEN f.shard + 1 ELSE f.shard END, CASE WHEN f.size + o.cost > 48000 THEN o.cost ELSE f.size + o.cost END FROM f JOIN o ON o.source = f.source AND o.i = f.i + 1)
-SELECT source, doc_id, shard FROM f""")
+SELECT o.source, o.doc_id, o.i, CASE WHEN f.size + o.cost > 48000 THEN f.shard + 1 ELSE f.shard END, CASE WHEN f.size + o.cost > 48000 THEN o.cost ELSE f.size + o.cost END FROM f JOIN o ON o.source = f.source AND o.i = f.i + 1)"""
+SWEPT = f"""it AS (SELECT item_id, list_distinct({tok("text")}) AS t FROM benchmark), qw AS (SELECT item_id, len(t) AS m, unnest(t) AS term FROM it),
+dw AS (SELECT doc_id, unnest(list_distinct({tok(f"substr(text, 1, {J.CLIP})")})) AS term FROM documents), sw AS (SELECT item_id, doc_id, count(*) * 1e0 / max(m) AS score FROM qw JOIN dw USING (term) GROUP BY ALL)"""
+
+
+def swept(spark, sf_dir):
+    pages = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    return J.OverlapJudge().sweep(questions(spark, sf_dir), pages)
+
+
+@query("shard_plan", f"WITH RECURSIVE {SHARDS} SELECT source, doc_id, shard FROM f")
 def shard_plan(spark, sf_dir):
-    cost = F.least(F.char_length("text"), F.lit(6000)) / 1.7 + 48
-    return plan_shards(read(spark, sf_dir, "documents").select("source", "doc_id", cost.alias("cost")), "source", "doc_id", 48_000)
+    cost = F.least(F.char_length("text"), F.lit(J.CLIP)) / 1.7 + 48
+    return J.plan_shards(read(spark, sf_dir, "documents").select("source", "doc_id", cost.alias("cost")), "source", "doc_id", 48_000)
+
+
+@query("xray_sweep", f"""WITH RECURSIVE {SHARDS}, {SWEPT}, c AS (SELECT count(*) AS pages, CAST(count(*) FILTER (trim(text) = '') AS BIGINT) AS blind FROM documents),
+k AS (SELECT count(DISTINCT source || '/' || CAST(shard AS VARCHAR)) AS shards FROM f), b AS (SELECT item_id, count(*) AS touched, round(max(score), 6) AS best FROM sw GROUP BY item_id)
+SELECT item_id, pages, blind, pages - blind AS judged, shards, pages - blind = (SELECT count(*) FROM documents WHERE trim(text) <> '') AS exhaustive, touched, best FROM b, c, k""")
+def xray_sweep(spark, sf_dir):
+    """Every page with a text is judged for every question, in shards; pages without one are blind."""
+    pages = read(spark, sf_dir, "documents")
+    blind = F.coalesce(F.length(F.trim("text")) == 0, F.lit(True))
+    n, n_blind = pages.agg(F.count("*"), F.coalesce(F.sum(blind.cast("long")), F.lit(0))).first()
+    shards = shard_plan(spark, sf_dir).select("source", "shard").distinct().count()
+    judged = n - n_blind
+    each = swept(spark, sf_dir).groupBy("q").agg(F.count("*").alias("touched"), F.round(F.max("raw") / 3, 6).alias("best"))
+    said = {"pages": n, "blind": n_blind, "judged": judged, "shards": shards}
+    return each.select(F.col("q").alias("item_id"), *(F.lit(v).cast("long").alias(c) for c, v in said.items()), F.lit(judged + n_blind == n).alias("exhaustive"), "touched", "best")
+
+
+@query("xray_rank", f"WITH {SWEPT}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sw) SELECT item_id, CAST(rank AS INT) AS rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 10")
+def xray_rank(spark, sf_dir):
+    """The ten best pages of the sweep; ties keep the corpus's order."""
+    best = L.top(swept(spark, sf_dir), 10, item="key", score="raw")
+    return best.select(F.col("q").alias("item_id"), "rank", F.col("key").alias("doc_id"), F.round(F.col("raw") / 3, 6).alias("score"))
+
+
+@query("facet_fold", f"""WITH RECURSIVE {SHARDS}, {SWEPT}, e AS (SELECT item_id, source, shard, max(score) AS best FROM sw JOIN f USING (doc_id) GROUP BY ALL)
+SELECT item_id, round(max(best), 4) AS answerable, count(*) AS shards FROM e GROUP BY item_id""")
+def facet_fold(spark, sf_dir):
+    """Evidence of each shard, folded by the largest."""
+    shards = shard_plan(spark, sf_dir).select(F.col("doc_id").alias("key"), F.struct("source", "shard").alias("shard"))
+    return J.fold_shards(swept(spark, sf_dir), shards).withColumnRenamed("q", "item_id")

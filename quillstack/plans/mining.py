@@ -56,7 +56,7 @@ def text_flat(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.flat(F.col("text")).alias("flat"))
 
 
-# Headings: short lines, mostly of capitals.  Titles of the documents' first words, in capitals, are among the lines.
+# Headings (their stop words are fixed values): short lines, mostly of capitals.  Titles of the documents' first words, in capitals, are among the lines.
 HEAD = r"""ln AS (SELECT doc_id, source, <unnest(<part(line;'~')>)> AS raw FROM (SELECT doc_id, source, upper(replace(substr(text, 1, 12 + CAST(doc_id % 30 AS INT)), 'ß', 'ss')) || '~' || replace(replace(text, '~', ' '), chr(10), '~') || '~DATA SHEET~SECTION ' || CAST(doc_id % 7 AS VARCHAR(9)) || ' PART A' AS line FROM documents) t),
 st AS (SELECT doc_id, source, <trim(<trim(<swap(raw;'[ \t\r\n\f\v]+';' ')>;' ')>;' -–—:|')> AS s FROM ln),
 hd AS (SELECT doc_id, source, s, <part(s;' ')> AS w, length(<swap(s;'[^\p{{L}}]';'')>) AS letters, length(<swap(s;'[^\p{{Lu}}]';'')>) AS caps FROM st),
@@ -70,6 +70,7 @@ ok AS (SELECT *, lower(<swap(s;'[^0-9a-zA-ZąćęłńóśźżĄĆĘŁŃÓŚŹŻ]
 subj AS (SELECT doc_id, source, <trim(s;'()[]{}')> AS subject FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS pick FROM ok WHERE k <> '') x WHERE pick = 1)"""
 shared("heading_mine", f"WITH {HEAD} SELECT doc_id, s AS heading FROM head")
 shared("subject_mine", f"WITH {SUBJ} SELECT doc_id, subject FROM subj")
+# Forms of questions.
 FORMS = """forms AS (SELECT 'a' AS form, 'Co to jest "{s}"?' AS t UNION ALL SELECT 'b' AS form, '{s} — jakie są parametry techniczne?' AS t UNION ALL SELECT 'c' AS form, '{s} — jakie warianty są dostępne?' AS t UNION ALL SELECT 'd' AS form, 'Do czego służy "{s}"?' AS t)"""
 QUES = f"{SUBJ}, {FORMS}, ques AS (SELECT doc_id, subject, form, replace(t, '{{s}}', subject) AS q FROM subj CROSS JOIN forms)"
 shared("question_forms", f"WITH {QUES} SELECT doc_id, form, q FROM ques")
@@ -81,6 +82,7 @@ p AS (SELECT conv_id, i, <at(<part(spec;',')>;<int(i)>)> AS s FROM i),
 v AS (SELECT conv_id, i, CAST(regexp_extract(s, '^([0-9]+):', 1) AS INT) AS a, CAST(regexp_extract(s, ':([0-9]+)', 1) AS INT) AS lo, try_cast(regexp_extract(s, '-([0-9]+)$', 1) AS INT) AS hi FROM p WHERE <like(s;'^[0-9]+:[0-9]+(-[0-9]+)?$')>)
 SELECT conv_id, a AS article, lo + 1 AS first_page, coalesce(hi, lo) + 1 AS last_page FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, a ORDER BY i DESC) AS pick FROM v) x WHERE pick = 1""".replace("CAST(regexp_extract(s, '^", "try_cast(regexp_extract(s, '^").replace("CAST(regexp_extract(s, ':(", "try_cast(regexp_extract(s, ':("))
 ANSWERS = """ans AS (SELECT conv_id, turn, text || CASE conv_id % 5 WHEN 0 THEN ' UniPro SNP 3 956 zł' WHEN 1 THEN ' brak informacji' WHEN 2 THEN ' PRIME 2500 x 2100, 2500' ELSE '' END AS text FROM conversations WHERE role <> 'user')"""
+# Product families.
 FAMILIES = ["UniPro SNP", "UniPro", "PRIME", "RenoSystem", "DoorPro", "roletow", "uchyln", "Novum", "Progress", "Komfort", "Select", "City", "Connect", "MakroPro"]
 shared("answer_flags", f"""WITH {ANSWERS} SELECT conv_id, turn, {' + '.join(f"CASE WHEN <has(lower(text);'{f.lower()}')> THEN 1 ELSE 0 END" for f in FAMILIES)} AS n_families,
 <like(lower(text);'nie ma|nie zawiera|nie znalaz|brak informacji|nie mogę')> AS refused FROM ans""")
@@ -100,6 +102,7 @@ def stride_sample(spark, sf_dir, limit=50):
 CAND = f"{SUBJ}, cand AS (SELECT doc_id, source, subject, least(1e0, length(subject) / 2e1) AS well_formed, least(1e0, 0.4e0 + length(replace(subject, ' ', '')) / 4e1) AS specific, CASE WHEN doc_id % 2 = 0 THEN 0.7e0 ELSE 0.5e0 END AS product FROM subj)"
 shared("candidate_gate", f"WITH {CAND} SELECT doc_id, subject, CASE WHEN well_formed < 0.6e0 THEN 'malformed' WHEN specific < 0.5e0 THEN 'vague' ELSE 'kept' END AS outcome FROM cand")
 ACCEPTED = f"WITH {CAND} SELECT doc_id, subject FROM cand WHERE well_formed >= 0.6e0 AND specific >= 0.5e0 AND product >= 0.6e0"
+# Probes.
 PROBES = {"price": 'Ile kosztuje "{s}"?', "procedure": 'Jak zamontować "{s}"?'}
 
 
@@ -121,7 +124,7 @@ shared("verified_subset", f"WITH {GROUND} SELECT item_id, first_page AS page FRO
 OV = f"""ov AS (SELECT item_id, doc_id, source, round(n / m, 9) AS score FROM (SELECT i.item_id, d.doc_id, d.source, count(*) * 1e0 AS n, max(i.m) AS m FROM it i JOIN dt d ON i.term = d.term GROUP BY i.item_id, d.doc_id, d.source) x)"""
 TERMS = "it AS (SELECT item_id, term, count(*) OVER (PARTITION BY item_id) AS m FROM (SELECT DISTINCT item_id, <unnest(<part(lower(text);' ')>)> AS term FROM benchmark) a), dt AS (SELECT DISTINCT doc_id, source, term FROM (SELECT doc_id, source, <unnest(<part(lower(text);' ')>)> AS term FROM documents) z WHERE term IN (SELECT term FROM it))"
 OVERLAP = f"{TERMS}, {OV}"
-GOLD = f"{OVERLAP}, best AS (SELECT item_id, max(score) AS best FROM ov GROUP BY item_id), pick AS (SELECT o.item_id, min(doc_id) AS gold FROM ov o JOIN best b ON o.item_id = b.item_id AND o.score = b.best WHERE best >= 0.66e0 GROUP BY o.item_id), sp AS (SELECT o.item_id, count(*) - 1 AS spilled FROM ov o JOIN pick p ON o.item_id = p.item_id JOIN documents d ON d.doc_id = p.gold AND d.source = o.source WHERE o.score >= 0.66e0 GROUP BY o.item_id)"
+GOLD = f"{OVERLAP}, best AS (SELECT item_id, max(score) AS best FROM ov GROUP BY item_id), pick AS (SELECT o.item_id, min(doc_id) AS gold FROM ov o JOIN best b ON o.item_id = b.item_id AND o.score = b.best WHERE best >= 0.66e0 GROUP BY o.item_id), sp AS (SELECT o.item_id, count(*) AS spilled FROM ov o JOIN pick p ON o.item_id = p.item_id JOIN documents d ON d.doc_id = p.gold WHERE o.score >= 0.66e0 AND o.source <> d.source GROUP BY o.item_id)"
 shared("gold_select", f"WITH {GOLD} SELECT b.item_id, gold, round(best, 6) AS best_score, coalesce(spilled, 0) AS spilled FROM best b LEFT JOIN pick ON b.item_id = pick.item_id LEFT JOIN sp ON b.item_id = sp.item_id", keep=(OVERLAP, "ov"))
 shared("oracle_label", f"WITH {GOLD} SELECT item_id, doc_id, round(score, 6) AS score, score >= 0.66e0 AS relevant FROM ov WHERE score >= 0.3e0", keep=(OVERLAP, "ov"))
 shared("oracle_rows", f"""WITH {GOLD}, {GROUND} SELECT b.item_id, CASE WHEN gold IS NOT NULL AND n_pages > 0 AND best >= 0.5e0 THEN 'positive' WHEN gold IS NULL AND best <= 0.3e0 THEN 'negative' ELSE 'dropped' END AS kind

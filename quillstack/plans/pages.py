@@ -13,7 +13,7 @@ shared("cache_lookup", """WITH c AS (SELECT vec_id, embedding AS e, label % 2 AS
 s AS (SELECT probe_id, vec_id, round(<dot(pe;e)>, 9) AS sim FROM p JOIN c ON p.ns = c.ns), r AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY sim DESC, vec_id) AS place FROM s)
 SELECT probe_id, vec_id AS entry_id, round(sim, 6) AS similarity, sim >= 0.95e0 AS served FROM r WHERE place = 1""")
 shared("cache_evict", """WITH e AS (SELECT event_id, <epoch(ts)> AS created, CASE WHEN event_id % 3 = 0 THEN <epoch(ts)> + (event_id % 100) * 3600000000 END AS last_used FROM events),
-r AS (SELECT event_id FROM e ORDER BY coalesce(last_used, created) DESC, event_id DESC LIMIT 2000)
+r AS (SELECT event_id FROM e ORDER BY coalesce(last_used, created) DESC, event_id LIMIT 2000)
 SELECT event_id, <long(row_number() OVER (ORDER BY event_id))> AS ord FROM r""")
 shared("worth_caching", """WITH r AS (SELECT user_id, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS answered, max(CASE WHEN event_type = 'error' AND value > 60 THEN 1 ELSE 0 END) AS refused, max(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS tile FROM events GROUP BY user_id)
 SELECT user_id, answered = 1 AND refused = 0 AND tile = 1 AS worth FROM r""")
