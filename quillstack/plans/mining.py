@@ -42,13 +42,16 @@ def query_variants(spark, sf_dir):
 _REV = """d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '0' || CAST(1 + doc_id % 9 AS VARCHAR(9)) || '.0' || CAST(1 + doc_id % 8 AS VARCHAR(9)) || '.2024 ' WHEN 1 THEN '01.01.2020 x CBG/PL-PLN/10.04.2025 ' ELSE '' END || text AS text FROM documents)"""
 
 
+def dated(text):
+    day, month = (F.lpad((1 + F.col("doc_id") % n).cast("string"), 2, "0") for n in (9, 8))
+    head = F.when(F.col("doc_id") % 3 == 0, F.concat(day, F.lit("."), month, F.lit(".2024 "))).when(F.col("doc_id") % 3 == 1, "01.01.2020 x CBG/PL-PLN/10.04.2025 ").otherwise("")
+    return F.concat(head, text)
+
+
 @query("revision_extract", f"""WITH {_REV}, r AS (SELECT doc_id, regexp_extract(text, 'CBG/PL-PLN/([0-9]{{2}}\\.[0-9]{{2}}\\.[0-9]{{4}})', 1) AS a, regexp_extract(substr(text, 1, 400), '[0-9]{{2}}\\.[0-9]{{2}}\\.[0-9]{{4}}') AS b FROM d)
 SELECT doc_id, CASE WHEN a <> '' THEN a[7:10] || '-' || a[4:5] || '-' || a[1:2] WHEN b <> '' THEN b[7:10] || '-' || b[4:5] || '-' || b[1:2] END AS revision FROM r""")
 def revision_extract(spark, sf_dir):
-    d = read(spark, sf_dir, "documents")
-    day, month = (F.lpad((1 + F.col("doc_id") % n).cast("string"), 2, "0") for n in (9, 8))
-    head = F.when(F.col("doc_id") % 3 == 0, F.concat(day, F.lit("."), month, F.lit(".2024 "))).when(F.col("doc_id") % 3 == 1, "01.01.2020 x CBG/PL-PLN/10.04.2025 ").otherwise("")
-    return d.select("doc_id", T.revision(F.concat(head, "text")).alias("revision"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.revision(dated("text")).alias("revision"))
 
 
 @query("text_flat", "SELECT doc_id, lower(trim(regexp_replace(replace(replace(text, chr(173), ''), chr(160), ' '), '\\s+', ' ', 'g'))) AS flat FROM documents")
@@ -84,6 +87,7 @@ SELECT conv_id, a AS article, lo + 1 AS first_page, coalesce(hi, lo) + 1 AS last
 ANSWERS = """ans AS (SELECT conv_id, turn, text || CASE conv_id % 5 WHEN 0 THEN ' UniPro SNP 3 956 zł' WHEN 1 THEN ' brak informacji' WHEN 2 THEN ' PRIME 2500 x 2100, 2500' ELSE '' END AS text FROM conversations WHERE role <> 'user')"""
 # Product families.
 FAMILIES = ["UniPro SNP", "UniPro", "PRIME", "RenoSystem", "DoorPro", "roletow", "uchyln", "Novum", "Progress", "Komfort", "Select", "City", "Connect", "MakroPro"]
+ANY_FAMILY = "max(CASE WHEN " + " OR ".join(f"<has(lower(text);'{f.lower()}')>" for f in FAMILIES) + " THEN 1 ELSE 0 END)"
 shared("answer_flags", f"""WITH {ANSWERS} SELECT conv_id, turn, {' + '.join(f"CASE WHEN <has(lower(text);'{f.lower()}')> THEN 1 ELSE 0 END" for f in FAMILIES)} AS n_families,
 <like(lower(text);'nie ma|nie zawiera|nie znalaz|brak informacji|nie mogę')> AS refused FROM ans""")
 NUMBERS = r"<distinct(<only(<each(<alln(text;'[0-9][0-9\s.,]{1,12}[0-9]|[0-9]{2,}')>;<swap(x;'[\s.,]';'')>)>;length(x) BETWEEN 3 AND 6)>)>"

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import sidecar as SIDE
 from ..streaming import events as S
+from .mining import _REV as DATED
+from .mining import ANY_FAMILY, dated
 from .registry import query, shared
 from .retrieval import read
 
@@ -15,9 +18,33 @@ k AS (SELECT tile, chunk, coalesce(scale, CASE WHEN chunk = 0 THEN 'page' ELSE '
 SELECT e.vec_id, coalesce(k.scale, 'region') AS scale FROM embeddings e LEFT JOIN k ON k.tile = <div(e.vec_id;8)> AND k.chunk = e.vec_id % 8 + CASE WHEN e.vec_id % 17 = 0 THEN 100 ELSE 0 END""")
 shared("stale_tiles", """WITH rec AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN url || '#old' WHEN page_id % 4 = 1 THEN NULL ELSE url END AS source FROM pages WHERE page_id % 6 <> 0)
 SELECT p.page_id, r.page_id IS NULL AS missing FROM pages p LEFT JOIN rec r ON p.page_id = r.page_id WHERE r.page_id IS NULL OR r.source IS NULL OR r.source <> p.url""")
-shared("text_sidecar", r"SELECT source AS title, doc_id AS page, text, length(<trim(text;' ')>) < 20 AS visual_only, CASE WHEN <like(substr(text, 1, 400);'[0-9]{2}\.[0-9]{2}\.[0-9]{4}')> THEN 'dated' END AS revision FROM documents")
-shared("sidecar_report", "SELECT source AS title, count(*) AS pages, <long(sum(CASE WHEN length(<trim(text;' ')>) < 200 THEN 1 ELSE 0 END))> AS visual_only, count(DISTINCT lang) AS revisions, <long(sum(n_chars))> AS chars FROM documents GROUP BY source")
-shared("answers_upsert", """WITH a AS (SELECT conv_id AS n, turn, text FROM conversations WHERE turn <= 2), u AS (SELECT n, text, row_number() OVER (PARTITION BY n ORDER BY turn DESC) AS pick FROM a) SELECT n, text FROM u WHERE pick = 1""")
+_DATED_REV = r"""CASE WHEN regexp_extract(text, 'CBG/PL-PLN/([0-9]{2}\.[0-9]{2}\.[0-9]{4})', 1) <> '' THEN strftime(strptime(regexp_extract(text, 'CBG/PL-PLN/([0-9]{2}\.[0-9]{2}\.[0-9]{4})', 1), '%d.%m.%Y'), '%Y-%m-%d')
+WHEN regexp_extract(substr(text, 1, 400), '[0-9]{2}\.[0-9]{2}\.[0-9]{4}') <> '' THEN strftime(strptime(regexp_extract(substr(text, 1, 400), '[0-9]{2}\.[0-9]{2}\.[0-9]{4}'), '%d.%m.%Y'), '%Y-%m-%d') END"""
+_SIDE = f"""{DATED}, side AS (SELECT source AS title, documents.doc_id AS page, d.text, length(trim(d.text, chr(32) || chr(9) || chr(10) || chr(13))) < {SIDE.BLIND_CHARS} AS visual_only, {_DATED_REV.replace('text', 'd.text')} AS revision FROM documents JOIN d ON d.doc_id = documents.doc_id)"""
+
+
+@query("text_sidecar", f"WITH {_SIDE} SELECT * FROM side")
+def text_sidecar(spark, sf_dir):
+    """Documents with a date line before some; their revision is that date."""
+    d = read(spark, sf_dir, "documents").withColumn("text", dated("text"))
+    return SIDE.build(d, "source", "doc_id", "text")
+
+
+@query("sidecar_report", f"WITH {_SIDE} SELECT title, count(*) AS pages, count(*) FILTER (visual_only) AS visual_only, count(DISTINCT revision) AS revisions, max(revision) AS newest FROM side GROUP BY title")
+def sidecar_report(spark, sf_dir):
+    return SIDE.report(text_sidecar(spark, sf_dir))
+
+
+@query("answers_upsert", """SELECT conv_id AS n, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id""")
+def answers_upsert(spark, sf_dir):
+    """Each conversation's first turn is what was there; the last of its later turns replaces it."""
+    c = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("n"), "turn", "text")
+    first = c.groupBy("n").agg(F.min("turn").alias("turn"))
+    old = c.join(first, ["n", "turn"]).select("n", "text")
+    new = c.join(first, ["n", "turn"], "left_anti").groupBy("n").agg(F.max_by("text", "turn").alias("text"))
+    return SIDE.upsert(old, new, "n")
+
+
 shared("transcribe_todo", """WITH k AS (SELECT page_id, substr(<sha(url || '|' || CAST(length(html) AS VARCHAR(20)) || '|m1')>, 1, 20) AS k FROM pages), done AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN k ELSE substr(k, 2) END AS k FROM k WHERE page_id % 2 = 0)
 SELECT k.page_id, k.k AS page_key FROM k LEFT JOIN done ON k.page_id = done.page_id AND k.k = done.k WHERE done.page_id IS NULL""")
 shared("preamble", """WITH p AS (SELECT conv_id, turn, '  • strona ' || CAST(turn AS VARCHAR(9)) || ' — ' || role AS line FROM conversations) SELECT conv_id, 'Pytanie: ' || CAST(conv_id AS VARCHAR(9)) || chr(10) || <agg(line;chr(10);turn)> AS preamble FROM p GROUP BY conv_id""")
@@ -28,8 +55,8 @@ shared("usage_fold", """WITH s AS (SELECT user_id, event_type, CASE WHEN event_i
 l AS (SELECT user_id, event_type, used, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS back FROM s WHERE used <> 0)
 SELECT s.user_id, <long(sum(CASE WHEN s.event_type = 'click' THEN s.used ELSE 0 END))> AS additive, <long(max(coalesce(l.used, 0)))> AS cumulative FROM s LEFT JOIN l ON s.user_id = l.user_id AND l.event_type = 'view' AND back = 1 GROUP BY s.user_id""")
 shared("token_ratio", "WITH t AS (SELECT source, n_chars / 4e0 AS transcript, 1032e0 + doc_id % 3 * 258 AS image FROM documents) SELECT source, round(avg(transcript / image), 9) AS mean_ratio, round(sum(transcript) / sum(image), 9) AS total_ratio, sum(transcript) < sum(image) AS cheaper FROM t GROUP BY source")
-shared("answer_quality", """WITH r AS (SELECT conv_id, count(*) AS cites, <long(sum(CASE WHEN length(text) > 100 THEN 1 ELSE 0 END))> AS verified, CASE WHEN conv_id % 3 = 0 THEN NULL ELSE conv_id % 2 = 0 END AS on_gold FROM conversations GROUP BY conv_id)
-SELECT <long(sum(CASE WHEN on_gold THEN 1 ELSE 0 END))> AS on_gold, <long(sum(CASE WHEN on_gold IS NOT NULL THEN 1 ELSE 0 END))> AS scored, <long(sum(CASE WHEN cites > 0 THEN 1 ELSE 0 END))> AS cited, <long(sum(CASE WHEN cites = verified THEN 1 ELSE 0 END))> AS all_verified, count(*) AS n FROM r""")
+shared("answer_quality", f"""WITH r AS (SELECT conv_id, {ANY_FAMILY} AS family, count(*) AS cites, <long(sum(CASE WHEN length(text) > 100 THEN 1 ELSE 0 END))> AS verified, CASE WHEN conv_id % 3 = 0 THEN NULL ELSE conv_id % 2 = 0 END AS on_gold FROM conversations GROUP BY conv_id)
+SELECT <long(sum(CASE WHEN on_gold THEN 1 ELSE 0 END))> AS on_gold, <long(sum(CASE WHEN on_gold IS NOT NULL THEN 1 ELSE 0 END))> AS scored, <long(sum(CASE WHEN cites > 0 THEN 1 ELSE 0 END))> AS cited, <long(sum(CASE WHEN cites = verified THEN 1 ELSE 0 END))> AS all_verified, <long(sum(family))> AS named_a_family, count(*) AS n FROM r""")
 
 
 @query("delta_fold", """WITH d AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN 'TATY--- ' ELSE '' END || text || CASE WHEN turn % 4 = 2 THEN '---CY' ELSE '' END AS t FROM conversations),

@@ -14,31 +14,40 @@ def fold_deltas(deltas: DataFrame, key: str, order: str, text: str) -> DataFrame
     return deltas.groupBy(key).agg(whole.alias("a")).select(key, F.substring_index("a", MARK, 1).alias("answer"))
 
 
-def stream_deltas(deltas: DataFrame, key: str, text: str) -> DataFrame:
+def stream_deltas(deltas: DataFrame, key: str, text: str, order: str | None = None, last: str | None = None) -> DataFrame:
     """(key, shown) for a stream of deltas: what may be shown so far, never part of a marker that
-    goes on in a later delta; nothing after the marker."""
+    goes on in a later delta; nothing after the marker.
+
+    Only the held-back tail is kept of an answer, and no more than a flag after its marker.  Deltas of one
+    batch are taken in the order of the column `order`; the one with a true `last` shows the tail and ends
+    the answer's state.  A null delta is an empty one."""
 
     def show(k, batches, state):
         import pandas as pd
 
-        buffer, shown, done = state.get if state.exists else ("", 0, False)
-        out = ""
-        for b in batches:
-            for t in b[text]:
-                if done:
-                    break
-                buffer += t
-                if MARK in buffer:
-                    end, done = buffer.index(MARK), True
-                else:
-                    end = max(shown, len(buffer) - len(MARK) + 1)
-                out += buffer[shown:end]
-                shown = max(shown, end)
-        state.update((buffer, shown, done))
+        tail, done = state.get if state.exists else ("", False)
+        rows = pd.concat(list(batches))
+        rows = rows.sort_values(order, kind="stable") if order else rows
+        ended = bool(last and rows[last].fillna(False).any())
+        out = tail + "".join(t for t in rows[text] if isinstance(t, str))
+        if done:
+            out = tail = ""
+        elif MARK in out:
+            out, tail, done = out[: out.index(MARK)], "", True
+        else:
+            # The longest end that a marker could begin with stays.
+            keep = next(n for n in range(min(len(MARK) - 1, len(out)), -1, -1) if out.endswith(MARK[:n]))
+            out, tail = out[: len(out) - keep], out[len(out) - keep :]
+        if ended:
+            out += tail
+            if state.exists:
+                state.remove()
+        else:
+            state.update((tail, done))
         yield pd.DataFrame({key: [k[0]], "shown": [out]})
 
     kind = deltas.schema[key].dataType.simpleString()
-    return deltas.groupBy(key).applyInPandasWithState(show, f"{key} {kind}, shown string", "buffer string, shown int, done boolean", "append", "NoTimeout")
+    return deltas.groupBy(key).applyInPandasWithState(show, f"{key} {kind}, shown string", "tail string, done boolean", "append", "NoTimeout")
 
 
 def windowed(events: DataFrame, size: str, late: str | None = None) -> DataFrame:
