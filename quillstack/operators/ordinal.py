@@ -25,3 +25,29 @@ def with_ordinal(rows: DataFrame, order: list[str], name: str = "ordinal", parts
     inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
     begin = F.element_at(F.lit(begins or [0]), F.col("__part") + 1)
     return dealt.withColumn(name, (inside + begin).cast("long")).drop("__part"), n
+
+
+def with_group_ordinal(rows: DataFrame, group: list[str], order: list[str], name: str = "ordinal", parts: int | None = None) -> DataFrame:
+    """`rows` with their place (from 0) in `order` in their group, and the group's size as `<name>_of`.
+
+    Rows are dealt by ranges of both, so a large group is many tasks'; a group's counts in the ranges that
+    it spans, a row for each, say where its part of a range begins."""
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, *group, *order).withColumn("__part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = dealt.groupBy(*group, "__part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*group).orderBy("__part")
+    begins = counts.select(*group, "__part", (F.sum("n").over(before) - F.col("n")).alias("__begin"), F.sum("n").over(Window.partitionBy(*group)).alias(f"{name}_of"))
+    inside = F.row_number().over(Window.partitionBy("__part", *group).orderBy(*order)) - 1
+    ranked = dealt.withColumn("__inside", inside)
+    same = ranked["__part"] == begins["__part"]
+    for g in group:
+        same = same & ranked[g].eqNullSafe(begins[g])
+    met = ranked.join(begins, same)
+    return met.select(*(ranked[c] for c in rows.columns), (F.col("__inside") + F.col("__begin")).cast("long").alias(name), F.col(f"{name}_of"))
+
+
+def nearest_rank(percent: int, n):
+    """Place (from 0) of a percentile: round(percent / 100 * n) - 1, halves to even, inside the group."""
+    whole, rest = F.floor(F.lit(percent) * n / 100), F.pmod(F.lit(percent) * n, F.lit(100))
+    near = whole + F.when((rest > 50) | ((rest == 50) & (F.pmod(whole, F.lit(2)) == 1)), 1).otherwise(0)
+    return F.least(n - 1, F.greatest(F.lit(0), near - 1))

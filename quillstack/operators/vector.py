@@ -13,11 +13,19 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def inner_products(vectors: DataFrame, queries: DataFrame, max_queries: int = 4096) -> DataFrame:
-    """(q, vec_id, score) of every query and other vector; the queries (q, qv) are a stated small
-    set, and are broadcast only if there are at most `max_queries`."""
-    few = queries.limit(max_queries + 1).count() <= max_queries
-    side = F.broadcast(queries) if few else queries.hint("shuffle_replicate_nl")
-    met = vectors.join(side, vectors["vec_id"] != queries["q"])
+    """(q, vec_id, score) of every query and other vector; the queries (q, qv) are a stated set.
+
+    Up to `max_queries` are broadcast.  More are cut into blocks of so many, and the vectors into parts: a
+    part meets a block by an equi-join on both numbers, so no side is copied to all tasks at once."""
+    n = queries.count()
+    if n <= max_queries:
+        met = vectors.join(F.broadcast(queries), vectors["vec_id"] != queries["q"])
+    else:
+        blocks, parts = -(-n // max_queries), max(vectors.rdd.getNumPartitions(), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+        place = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+        asked = queries.select("q", "qv", place("q", blocks).alias("block")).withColumn("part", every(parts))
+        met = vectors.withColumn("part", place("vec_id", parts)).withColumn("block", every(blocks)).join(asked, ["block", "part"]).where(F.col("vec_id") != F.col("q"))
     return met.select("q", "vec_id", F.round(dot(F.col("embedding"), F.col("qv")), 9).alias("score"))
 
 

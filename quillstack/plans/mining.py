@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.contain import containing
 from ..operators.ordinal import with_ordinal
 from .registry import query, shared, told, views
 from .retrieval import read
@@ -123,8 +124,26 @@ def probe_questions(spark, sf_dir):
 
 # Subjects are benchmark items; a document is gold if it holds one.
 GROUND = "su AS (SELECT item_id, lower(text) AS s FROM benchmark), lo AS (SELECT doc_id, source, lower(text) AS t FROM documents), hit AS (SELECT item_id, doc_id, source FROM lo JOIN su ON <has(t;s)>), nh AS (SELECT item_id, count(*) AS n_pages, min(doc_id) AS first_page FROM hit GROUP BY item_id)"
-shared("grounded", f"WITH {GROUND} SELECT su.item_id, coalesce(n_pages, 0) > 0 AS grounded FROM su LEFT JOIN nh ON su.item_id = nh.item_id")
-shared("verified_subset", f"WITH {GROUND} SELECT item_id, first_page AS page FROM nh WHERE n_pages = 1")
+
+
+def held(spark, sf_dir):
+    pages = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    return containing(pages, read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("s")))
+
+
+@query("grounded", f"WITH {GROUND} SELECT su.item_id, coalesce(n_pages, 0) > 0 AS grounded FROM su LEFT JOIN nh ON su.item_id = nh.item_id")
+def grounded(spark, sf_dir):
+    found = held(spark, sf_dir).select(F.col("item").alias("item_id")).distinct().withColumn("found", F.lit(True))
+    return read(spark, sf_dir, "benchmark").select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("found", F.lit(False)).alias("grounded"))
+
+
+@query("verified_subset", f"WITH {GROUND} SELECT item_id, first_page AS page FROM nh WHERE n_pages = 1")
+def verified_subset(spark, sf_dir):
+    """Items that exactly one page holds."""
+    one = held(spark, sf_dir).groupBy("item").agg(F.count("*").alias("n"), F.min("key").alias("page")).where("n = 1")
+    return one.select(F.col("item").alias("item_id"), "page")
+
+
 OV = f"""ov AS (SELECT item_id, doc_id, source, round(n / m, 9) AS score FROM (SELECT i.item_id, d.doc_id, d.source, count(*) * 1e0 AS n, max(i.m) AS m FROM it i JOIN dt d ON i.term = d.term GROUP BY i.item_id, d.doc_id, d.source) x)"""
 TERMS = "it AS (SELECT item_id, term, count(*) OVER (PARTITION BY item_id) AS m FROM (SELECT DISTINCT item_id, <unnest(<part(lower(text);' ')>)> AS term FROM benchmark) a), dt AS (SELECT DISTINCT doc_id, source, term FROM (SELECT doc_id, source, <unnest(<part(lower(text);' ')>)> AS term FROM documents) z WHERE term IN (SELECT term FROM it))"
 OVERLAP = f"{TERMS}, {OV}"

@@ -9,12 +9,6 @@ from ..operators import citations as C
 from .registry import query, shared
 from .retrieval import T, read
 
-shared("cache_lookup", """WITH c AS (SELECT vec_id, embedding AS e, label % 2 AS ns FROM embeddings WHERE vec_id % 50 <> 0), p AS (SELECT vec_id AS probe_id, embedding AS pe, label % 2 AS ns FROM embeddings WHERE vec_id % 50 = 0),
-s AS (SELECT probe_id, vec_id, round(<dot(pe;e)>, 9) AS sim FROM p JOIN c ON p.ns = c.ns), r AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY sim DESC, vec_id) AS place FROM s)
-SELECT probe_id, vec_id AS entry_id, round(sim, 6) AS similarity, sim >= 0.95e0 AS served FROM r WHERE place = 1""")
-shared("cache_evict", """WITH e AS (SELECT event_id, <epoch(ts)> AS created, CASE WHEN event_id % 3 = 0 THEN <epoch(ts)> + (event_id % 100) * 3600000000 END AS last_used FROM events),
-r AS (SELECT event_id FROM e ORDER BY coalesce(last_used, created) DESC, event_id LIMIT 2000)
-SELECT event_id, <long(row_number() OVER (ORDER BY event_id))> AS ord FROM r""")
 shared("worth_caching", """WITH r AS (SELECT user_id, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS answered, max(CASE WHEN event_type = 'error' AND value > 60 THEN 1 ELSE 0 END) AS refused, max(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS tile FROM events GROUP BY user_id)
 SELECT user_id, answered = 1 AND refused = 0 AND tile = 1 AS worth FROM r""")
 shared("index_fingerprint", "WITH s AS (SELECT label, count(*) AS n, min(vec_id) AS lo, max(vec_id) AS hi FROM embeddings GROUP BY label) SELECT label, substr(<sha(CAST(n AS VARCHAR(20)) || '|' || CAST(lo AS VARCHAR(20)) || '|' || CAST(hi AS VARCHAR(20)))>, 1, 16) AS fingerprint FROM s")
@@ -24,7 +18,7 @@ SPLIT = CITED.replace("'\\'", "chr(92)") + r""", body AS (SELECT conv_id, turn,
 ln AS (SELECT conv_id, turn, <unnest(<part(block;'~')>)> AS raw FROM body), st AS (SELECT conv_id, turn, <trim(raw;' `')> AS s FROM ln),
 cite AS (SELECT conv_id, turn, try_cast(<json(s;page)> AS INT) AS page, <json(s;quote)> AS quote, try_cast(<json(s;article_id)> AS INT) AS article FROM st WHERE s LIKE '{%' AND <json(s;quote)> <> '')"""
 shared("citation_split", f"WITH {SPLIT} SELECT conv_id, turn, page, quote, article FROM cite")
-shared("citation_resolve", f"""WITH {SPLIT}, att AS (SELECT a.conv_id, a.turn, doc_id, doc_id % 3 AS article, doc_id % 10 AS page, row_number() OVER (PARTITION BY a.conv_id, a.turn ORDER BY doc_id) AS rank FROM (SELECT conv_id, turn, <unnest(<series(conv_id;conv_id + 11)>)> AS near FROM body) a JOIN documents d ON d.doc_id = a.near),
+shared("citation_resolve", f"""WITH {SPLIT}, att AS (SELECT a.conv_id, a.turn, doc_id, doc_id % 3 AS article, doc_id % 10 AS page, row_number() OVER (PARTITION BY a.conv_id, a.turn ORDER BY doc_id) AS rank FROM body a JOIN (SELECT doc_id, doc_id % n AS conv FROM documents CROSS JOIN (SELECT max(conv_id) + 1 AS n FROM conversations) c) d ON d.conv = a.conv_id),
 m AS (SELECT c.conv_id, c.turn, c.page, doc_id, row_number() OVER (PARTITION BY c.conv_id, c.turn ORDER BY CASE WHEN c.article = a.article THEN 0 ELSE 1 END, rank) AS pick, c.article AS want, a.article AS have FROM cite c JOIN att a ON a.conv_id = c.conv_id AND a.turn = c.turn AND a.page = c.page AND (c.article IS NULL OR c.article = a.article OR c.turn % 2 = 0))
 SELECT conv_id, turn, page, doc_id FROM m WHERE pick = 1""")
 

@@ -7,7 +7,11 @@ Judged signals are documents' lengths against their quality labels, latencies th
 
 from __future__ import annotations
 
-from .registry import shared
+from pyspark.sql import functions as F
+
+from ..operators.ordinal import nearest_rank, with_group_ordinal
+from .registry import query, shared
+from .retrieval import read
 
 #: The three modes' hits at the greatest depth that is read, made once and kept.
 RK = """dims AS (SELECT 16 AS n UNION ALL SELECT 32 AS n UNION ALL SELECT 64 AS n),
@@ -55,18 +59,38 @@ r AS (SELECT source, fwd, rev, row_number() OVER (PARTITION BY source ORDER BY f
 SELECT source, round(avg(abs(fwd - (3 - rev))), 9) AS mean_drift, round(max(abs(fwd - (3 - rev))), 9) AS max_drift,
 max(CASE WHEN rf = 1 AND rr = 1 THEN 1 ELSE 0 END) = 1 AS top1_stable, sum(CASE WHEN rf <= 3 AND rr <= 3 THEN 1 ELSE 0 END) = least(3, count(*)) AS top3_stable FROM r GROUP BY source""")
 # Nearest rank round(p/100 * n) - 1, halves to even.
-shared("latency_percentiles", """WITH v AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL),
+_PERCENTILES = """WITH v AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL),
 p AS (SELECT 50 AS p UNION ALL SELECT 95 AS p UNION ALL SELECT 99 AS p),
 k AS (SELECT *, p * n AS x FROM v CROSS JOIN p),
 r AS (SELECT *, <div(x;100)> + CASE WHEN x % 100 > 50 OR (x % 100 = 50 AND <div(x;100)> % 2 = 1) THEN 1 ELSE 0 END AS near FROM k)
-SELECT event_type, p AS percentile, value FROM r WHERE i = least(n - 1, greatest(0, near - 1))""")
+SELECT event_type, p AS percentile, value FROM r WHERE i = least(n - 1, greatest(0, near - 1))"""
+
+
+@query("latency_percentiles", _PERCENTILES)
+def latency_percentiles(spark, sf_dir):
+    """Places in each type by ranges of values: no type is sorted in one task."""
+    rows = with_group_ordinal(read(spark, sf_dir, "events").where("value is not null").select("event_type", "value", "event_id"), ["event_type"], ["value", "event_id"])
+    wanted = F.array(*(F.struct(F.lit(p).alias("percentile"), nearest_rank(p, F.col("ordinal_of")).alias("at")) for p in (50, 95, 99)))
+    return rows.withColumn("w", F.explode(F.filter(wanted, lambda w: w["at"] == F.col("ordinal")))).select("event_type", "w.percentile", "value")
+
+
 shared("paired_ab", """WITH d AS (SELECT user_id, avg(CASE WHEN event_type = 'click' THEN value END) - avg(CASE WHEN event_type = 'view' THEN value END) AS delta FROM events GROUP BY user_id),
 s AS (SELECT count(*) AS n, median(delta) AS median_delta, avg(delta) AS mean_delta, stddev_samp(delta) AS stdev, avg(CASE WHEN delta < 0 THEN 1e0 ELSE 0e0 END) AS win_share FROM d WHERE delta IS NOT NULL)
 SELECT n, round(median_delta, 6) AS median_delta, round(mean_delta, 6) AS mean_delta, round(stdev, 6) AS stdev, round(win_share, 9) AS win_share,
 CASE WHEN n > 0 THEN CASE WHEN win_share > 0.6e0 THEN 'A' WHEN win_share < 0.4e0 THEN 'B' ELSE 'TIED' END END AS verdict FROM s""")
-shared("config_sweep", """WITH run AS (SELECT event_type, user_id % 5 AS run, value, row_number() OVER (PARTITION BY event_type, user_id % 5 ORDER BY value, event_id) AS i, count(*) OVER (PARTITION BY event_type, user_id % 5) AS n FROM events),
+
+
+@query("config_sweep", """WITH run AS (SELECT event_type, user_id % 5 AS run, value, row_number() OVER (PARTITION BY event_type, user_id % 5 ORDER BY value, event_id) AS i, count(*) OVER (PARTITION BY event_type, user_id % 5) AS n FROM events),
 p95 AS (SELECT event_type, run, value FROM run WHERE i = greatest(1, <div(95 * n + 50;100)>))
 SELECT event_type, median(value) AS median_p95, min(value) AS min_p95, max(value) AS max_p95 FROM p95 GROUP BY event_type""")
+def config_sweep(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 5).alias("run"), "value", "event_id")
+    rows = with_group_ordinal(e, ["event_type", "run"], ["value", "event_id"])
+    at = F.greatest(F.lit(1), F.floor((95 * F.col("ordinal_of") + 50) / 100))
+    p95 = rows.where(F.col("ordinal") + 1 == at)
+    return p95.groupBy("event_type").agg(F.median("value").alias("median_p95"), F.min("value").alias("min_p95"), F.max("value").alias("max_p95"))
+
+
 # The grid of agreement and lexical weights; lists are made once, then keyed by the cell.
 SWEEP = """a AS (SELECT 0e0 AS a UNION ALL SELECT 0.05e0 UNION ALL SELECT 0.1e0 UNION ALL SELECT 0.15e0 UNION ALL SELECT 0.18e0 UNION ALL SELECT 0.2e0 UNION ALL SELECT 0.25e0 UNION ALL SELECT 0.3e0 UNION ALL SELECT 0.35e0 UNION ALL SELECT 0.5e0),
 w AS (SELECT 0e0 AS w UNION ALL SELECT 0.25e0 UNION ALL SELECT 0.5e0 UNION ALL SELECT 0.75e0 UNION ALL SELECT 1e0 UNION ALL SELECT 1.25e0 UNION ALL SELECT 1.5e0 UNION ALL SELECT 2e0 UNION ALL SELECT 3e0),

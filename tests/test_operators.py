@@ -203,3 +203,98 @@ def test_sidecar_and_upsert(spark):
     assert {r.title: (r.pages, r.visual_only, r.revisions, r.newest) for r in sidecar.report(side).collect()} == {"a": (3, 2, 0, None), "b": (1, 0, 1, "2025-04-10")}
     old, new = (spark.createDataFrame(x, "n long, text string") for x in ([(1, "a"), (2, "b")], [(2, "new"), (3, None)]))
     assert {r.n: r.text for r in sidecar.upsert(old, new, "n").collect()} == {1: "a", 2: "new", 3: None}
+
+
+def test_blocks_of_queries_give_what_a_broadcast_does(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").limit(300)
+    q = e.where("vec_id % 7 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
+    few, many = (V.inner_products(e, q, n) for n in (4096, 10))
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+    plan = many._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_ordinals_in_groups(spark):
+    from quillstack.operators.ordinal import nearest_rank, with_group_ordinal
+
+    rows = spark.range(3000).select((F.col("id") * 7919 % 3001).alias("v"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.when(F.col("id") % 9 == 0, F.lit(None)).otherwise("b")).alias("g"))
+    got = with_group_ordinal(rows, ["g"], ["v"], parts=7).collect()
+    for g in ("hot", "b", None):
+        mine = sorted((r.v, r.ordinal) for r in got if r.g == g)
+        assert [o for _, o in mine] == list(range(len(mine))) and {r.ordinal_of for r in got if r.g == g} == {len(mine)}
+    of = lambda p, n: spark.range(1).select(nearest_rank(p, F.lit(n))).first()[0]
+    assert [of(p, n) for p, n in ((50, 1), (50, 5), (95, 20), (99, 150), (50, 7))] == [max(0, round(p / 100 * n) - 1) for p, n in ((50, 1), (50, 5), (95, 20), (99, 150), (50, 7))]
+
+
+def test_containing(spark):
+    from quillstack.operators.contain import containing
+
+    pages = [(1, "Ala ma kota i psa"), (2, "ma kota"), (3, "bala MA kota"), (4, None), (5, "")]
+    items = [(1, "la ma kota"), (2, "kot"), (3, "ma psa kota"), (4, ""), (5, None), (6, "ala  ma"), (7, "a ma kota i p")]
+    got = containing(spark.createDataFrame(pages, "key long, text string"), spark.createDataFrame(items, "item long, s string"))
+    want = sorted((i, k) for i, s in items for k, t in pages if s is not None and t is not None and s.lower() in t.lower())
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_cache(spark):
+    from quillstack.operators import cache
+
+    schema = "namespace string, entry long, embedding array<double>, created long, last_used long"
+    e = spark.createDataFrame([("a", 1, [1.0, 0.0], 10, None), ("a", 2, [0.0, 1.0], 20, None), ("b", 3, [0.9, 0.436], 5, 30)], schema)
+    p = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "a", [0.8, 0.6]), (3, "c", [1.0, 0.0]), (4, "b", [1.0, 0.0])], "probe long, namespace string, embedding array<double>")
+    for most in (4096, 0):
+        got = {r.probe: (r.entry, r.served) for r in cache.lookup(e, p, max_probes=most).collect()}
+        assert got == {1: (1, True), 2: (1, False), 4: (3, False)}  # a near one of another namespace can't win
+    ties = spark.createDataFrame([("a", i, [1.0, 0.0], 7, None) for i in range(5)], schema)
+    assert sorted(r.entry for r in cache.kept(ties, 3).collect()) == [0, 1, 2]
+    new = spark.createDataFrame([("a", 9, [1.0, 1.0], 40, None), ("a", 10, [0.0, 0.0], 50, None)], schema)
+    assert sorted(r.entry for r in cache.put(e, new, 3).collect()) == [2, 3, 9]
+    wide = spark.createDataFrame([("a", 11, [1.0, 1.0, 0.0], 60, None)], schema)
+    assert [r.entry for r in cache.put(e, wide).collect()] == [11]
+    key = lambda *x: spark.range(1).select(cache.namespace_key(*x)).first()[0]
+    assert key("p", "m", "one", "hybrid", 4, "j", "f") == "p|m|one|ret:hybrid|k4|j|f" != key("p", "m", "one", "visual", 4, "j", "f")
+
+
+def test_router(spark):
+    from quillstack.operators import router as R
+
+    none, full = R.Setting(), R.Setting(has_key=True)
+    assert [R.resolve(m, none) for m in (None, "", " AUTO ", "Xray")] == ["visual", "visual", "visual", "xray"]
+    assert R.default_mode(full) == "jev-page" and R.default_mode(R.Setting(has_key=True, judge="manual")) == "visual" and R.default_mode(R.Setting(hybrid=True)) == "hybrid"
+    with pytest.raises(ValueError):
+        R.resolve("best", full)
+    assert R.blocked("jev", none) == "the judge has no key" and R.blocked("xray", R.Setting(has_key=True, judge=False)) == "the judge is turned off"
+    assert R.blocked("hybrid", none) is None and R.blocked("hybrid", R.Setting(sidecar=False)) == "there is no text sidecar" and R.blocked("jev-page", R.Setting(has_key=True, sidecar=False)) is None
+    assert [x["mode"] for x in R.listing(full) if x["default"]] == ["jev-page"]
+    assert [R.chunk_budget(n) for n in (1, 4, 5, 12)] == [24, 24, 30, 72] and R.chunk_budget(9, 7) == 7
+    pages = lambda n, chunks: spark.range(1, n + 3).selectExpr("1 as q", "cast(id as int) as rank", f"{chunks} as chunks")
+    got = R.run("auto", none, {"visual": pages}, 5).collect()
+    assert [r["rank"] for r in got] == [1, 2, 3, 4, 5] and got[0].chunks == 30
+    with pytest.raises(R.Blocked):
+        R.run("jev", none, {"jev": pages})
+
+
+def test_question_sets_are_read_back(spark, tmp_path):
+    from quillstack.sources import questions
+
+    rows = [('Co to jest "brama"?', "spec", "Cennik\\2025", [1, 2], 1, True), ("line\nbreak: [x]", "price", "b", [], None, False), ("\\n stays", "spec", "c: d", [12], 12, True)]
+    df = spark.createDataFrame(rows, questions.SCHEMA)
+    questions.write(df, f"{tmp_path}/q")
+    assert sorted(map(tuple, questions.read(spark, f"{tmp_path}/q").collect())) == sorted(rows)
+    (tmp_path / "hand.yaml").write_text('# comment\n- q: "one"\n  doc: "d"\n\n- q: "two"\n  kind: price\n  doc: "e"\n  pages: [3]\n  answerable: false\n')
+    assert sorted(map(tuple, questions.read(spark, f"{tmp_path}/hand.yaml").collect())) == [("one", "spec", "d", [], None, True), ("two", "price", "e", [3], None, False)]
+
+
+def test_layout(spark):
+    from quillstack.sources import layout
+
+    paths = spark.createDataFrame([("t/2.png.tiles",), ("t/10.png.tiles",), ("t/x.png.tiles",), ("t/3.json",)], "path string")
+    assert [(r.article_id, r.path) for r in layout.tile_listing(paths).orderBy("article_id").collect()] == [(-1, "t/x.png.tiles"), (2, "t/2.png.tiles"), (10, "t/10.png.tiles")]
+    rows, names = spark.createDataFrame([(0,), (7,)], "article_id int"), spark.createDataFrame([(0, "a")], "article_id int, title string")
+    assert {r.article_id: r.title for r in layout.with_titles(rows, names).collect()} == {0: "a", 7: "?"}
+    urls = spark.createDataFrame([("p\\a.PDF",), ("http://x/y",), (None,)], "u string").select(layout.source_pdf(F.col("u")).alias("p"), layout.page_image(F.lit(3), F.lit(12)).alias("i")).collect()
+    assert [r.p for r in urls] == ["p/a.PDF", None, None] and urls[0].i == "tiles/3.png.tiles/tile_0012.jpg"
+    ink = spark.createDataFrame([(1, 0.0049), (2, 0.005), (3, None)], "i int, ink double")
+    assert [r.i for r in layout.without_blanks(ink).collect()] == [2, 3]
+    v = spark.range(200).selectExpr("id % 2 * id as g")
+    assert {r.g: r.lists for r in layout.index_plan(v, ["g"]).where("g < 2").collect()} == {0: 2, 1: 1}
