@@ -45,7 +45,8 @@ FOLDS = 5
 #: Where documents are filtered, those at or under this score are rejected.  Texts of two languages in
 #: halves stay; tests/llm has the shares of clean, mixed, junk and foreign texts that stay.
 LEAST_SCORE = 0.25
-REMEMBERED = 500_000
+#: Tokens that a task remembers with their scores, about 150 bytes each.
+REMEMBERED = 250_000
 PIECE = 32
 #: A language has a script if this share of its letters is of it.
 SCRIPT_SHARE = 0.02

@@ -137,6 +137,7 @@ def fingerprints(docs: DataFrame, width: int = WORDS, key: str = "doc_id", text:
             if similar:
                 out += [pa.array(list(x), pa.list_(pa.int64())) for x in zip(*map(_sketch, texts))] or [pa.array([], pa.list_(pa.int64()))] * 2
             yield pa.RecordBatch.from_arrays(out, names=names)
+        pa.default_memory_pool().release_unused()
 
     kinds = {key: docs.schema[key].dataType, "h": LongType(), "fp": LongType()} | ({"wide": ArrayType(LongType()), "bands": ArrayType(LongType())} if similar else {})
     names, schema = list(kinds), StructType([StructField(n, t) for n, t in kinds.items()])

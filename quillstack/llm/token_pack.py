@@ -32,7 +32,7 @@ import gc
 import os
 import re
 import zlib
-from itertools import compress, repeat
+from itertools import compress, islice, repeat
 from operator import is_
 
 from pyspark.errors import AnalysisException
@@ -45,8 +45,9 @@ from .common import ASCII_LOWER, folder, move_over, opened, put_whole, scratch,
 VOCABULARY = "word_bpe_49k.json"
 END = 1
 LENGTH = 2048
-#: Words that a worker remembers with their ids, about 200 bytes each: at most 300 MB a worker.
-REMEMBERED = 1_500_000
+#: Words that a task remembers with their ids, about 200 bytes each, and those that its worker keeps for the
+#: next one (the first met, so the frequent ones): a worker that does other stages' work has 40 MB less for it.
+REMEMBERED, KEPT = 700_000, 200_000
 #: Words that are new are encoded in lines of so many, with a mark between them.
 LINE = 256
 MARK = "\x01"
@@ -116,6 +117,11 @@ class Encoder:
         for w in sole:
             self.ids[w] = np.array(self.library.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def forget(self) -> None:
+        """Keep the words that were met first."""
+        if len(self.ids) > KEPT:
+            self.ids = dict(islice(self.ids.items(), KEPT))
+
     def encode(self, texts: list[bytes]):
         """Arrays of the texts' ids, one by one."""
         import numpy as np
@@ -254,7 +260,9 @@ def write_packed(docs: DataFrame, vocabulary: str, to: str | None = None, end: i
                 shard.drop()
             raise
         finally:
+            enc.forget()
             gc.enable()
+            pa.default_memory_pool().release_unused()
         n = np.array(sizes, np.int64)
         rows = pa.table({"key": pa.array(keys, b.schema.field(0).type), "start": np.cumsum(n) - n, "n_tokens": n})
 
