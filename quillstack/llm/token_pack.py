@@ -45,9 +45,9 @@ from .common import ASCII_LOWER, folder, move_over, opened, put_whole, scratch,
 VOCABULARY = "word_bpe_49k.json"
 END = 1
 LENGTH = 2048
-#: Words that a task remembers with their ids, about 200 bytes each, and those that its worker keeps for the
-#: next one (the first met, so the frequent ones): a worker that does other stages' work has 40 MB less for it.
-REMEMBERED, KEPT = 700_000, 200_000
+#: (words that a task remembers with their ids, about 200 bytes each; words that its worker keeps for the next
+#: task, those met first), and the same for a job whose workers do other stages' work, too.
+WORDS, FEW_WORDS = (1_500_000, 1_500_000), (700_000, 200_000)
 #: Words that are new are encoded in lines of so many, with a mark between them.
 LINE = 256
 MARK = "\x01"
@@ -117,12 +117,12 @@ class Encoder:
         for w in sole:
             self.ids[w] = np.array(self.library.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def forget(self) -> None:
+    def forget(self, kept: int) -> None:
         """Keep the words that were met first."""
-        if len(self.ids) > KEPT:
-            self.ids = dict(islice(self.ids.items(), KEPT))
+        if len(self.ids) > kept:
+            self.ids = dict(islice(self.ids.items(), kept))
 
-    def encode(self, texts: list[bytes]):
+    def encode(self, texts: list[bytes], most: int = WORDS[0]):
         """Arrays of the texts' ids, one by one."""
         import numpy as np
 
@@ -138,7 +138,7 @@ class Encoder:
             for w, f in zip(words, found):
                 new.update(compress(w, map(is_, f, repeat(None))))
             if new:
-                if len(self.ids) + len(new) > REMEMBERED:
+                if len(self.ids) + len(new) > most:
                     self.ids = {}
                     new = set().union(*words)
                 self._learn(list(new))
@@ -219,7 +219,7 @@ def stored_place(docs: DataFrame):
     return place
 
 
-def write_packed(docs: DataFrame, vocabulary: str, to: str | None = None, end: int = END, length: int = LENGTH, shards: int | None = None, key: str = "doc_id", text: str = "text", as_stored: bool = False) -> DataFrame:
+def write_packed(docs: DataFrame, vocabulary: str, to: str | None = None, end: int = END, length: int = LENGTH, shards: int | None = None, key: str = "doc_id", text: str = "text", as_stored: bool = False, words: tuple[int, int] = WORDS) -> DataFrame:
     """Write `docs` as packed shards under `to` and return the manifest: (shard, base, n_tokens,
     n_documents, path, index), in corpus order."""
     spark = docs.sparkSession
@@ -244,7 +244,7 @@ def write_packed(docs: DataFrame, vocabulary: str, to: str | None = None, end: i
         gc.disable()  # millions of words, and no cycles among them
         try:
             for b in batches:
-                for k, ids, s in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), b.column(2).to_pylist()):
+                for k, ids, s in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist(), words[0]), b.column(2).to_pylist()):
                     if shard is None:
                         number, data, index = s, f"{to}/{s:05d}.arrow", f"{to}/{s:05d}.index.arrow"
                         shard = _Shard(data, length, enc.dtype)
@@ -260,7 +260,7 @@ def write_packed(docs: DataFrame, vocabulary: str, to: str | None = None, end: i
                 shard.drop()
             raise
         finally:
-            enc.forget()
+            enc.forget(words[1])
             gc.enable()
             pa.default_memory_pool().release_unused()
         n = np.array(sizes, np.int64)
