@@ -43,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of the mix in Arrow files; a row for each document, read from them."""
-    return token_pack.pack(docs, as_stored=True)
+    return token_pack.pack(docs, as_stored=True, words=token_pack.FEW_WORDS)
 
 
 STAGES = [
