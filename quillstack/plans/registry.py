@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read
 
-_kept: dict[tuple, DataFrame] = {}
+_kept: dict[str, tuple[str, DataFrame]] = {}
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -78,13 +78,13 @@ def shared(name: str, text: str, keep: tuple[str, str] | None = None) -> None:
         if not keep:
             return spark_sql(spark, sf_dir, text)
         begin, last = keep
-        made = (spark.sparkContext.applicationId, sf_dir, last)
-        if made not in _kept:
-            # One table is kept at a time for each name: another folder's goes.
-            for k in [k for k in _kept if k[2] == last]:
-                _kept.pop(k).unpersist()
-            _kept[made] = spark_sql(spark, sf_dir, f"WITH {begin} SELECT * FROM {last}").persist(StorageLevel.MEMORY_AND_DISK)
-        _kept[made].createOrReplaceTempView(f"kept_{last}")
+        # Made anew for each query, as the folder's tables may have changed; the one before is let go.
+        app, before = _kept.pop(last, (None, None))
+        if app == spark.sparkContext.applicationId:
+            before.unpersist()
+        df = spark_sql(spark, sf_dir, f"WITH {begin} SELECT * FROM {last}").persist(StorageLevel.MEMORY_AND_DISK)
+        df.createOrReplaceTempView(f"kept_{last}")
+        _kept[last] = spark.sparkContext.applicationId, df
         return spark_sql(spark, sf_dir, text.replace(begin, f"{last} AS (SELECT * FROM kept_{last})"))
 
     run.__name__ = name
