@@ -84,6 +84,24 @@ def if_few(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Rows of one key that one task of a `spread_join` takes, and keys that are dealt over several, at most.
+HOT_ROWS, HOT_KEYS = 512, 10_000
+
+
+def spread_join(rows: DataFrame, small: DataFrame, keys: list[str], by: list[str], total: int, how: str = "inner") -> DataFrame:
+    """`rows` joined with `small` on `keys`, where `small` has in column n how many of the `total` rows have
+    its key.  Keys of many rows are dealt over several tasks by a hash of the columns `by`, and their rows of
+    `small` go to each.  A key is one of many rows above total / `HOT_KEYS`, so the list of them that is broadcast
+    has `HOT_KEYS` entries at most, whatever the size.  The join has no column n; keys are not null."""
+    hot = max(HOT_ROWS, total // HOT_KEYS)
+    salts, salt = fresh(rows, "salts"), fresh(rows, "salt")
+    heavy = small.where(F.col("n") > hot).select(*keys, F.ceil(F.col("n") / hot).cast("int").alias(salts)).dropDuplicates(keys)
+    dealt = rows.join(F.broadcast(heavy), keys, "left")
+    dealt = dealt.withColumn(salt, F.pmod(F.xxhash64(*by), F.coalesce(F.col(salts), F.lit(1))).cast("int")).drop(salts)
+    each = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / hot), F.lit(1)).cast("int") - 1)
+    return dealt.join(small.withColumn(salt, F.explode(each)).drop("n"), [*keys, salt], how).drop(salt)
+
+
 _shipped: set[str] = set()
 
 

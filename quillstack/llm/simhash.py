@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import ASCII_LOWER, discard, fresh, if_few, ship, stored, table
+from .common import ASCII_LOWER, discard, fresh, if_few, ship, spread_join, stored, table
 
 WORDS, DISTANCE, BLOCKS, BUCKET = 4, 4, 7, 2048
 #: The other way's shingles, least similarity, blocks, and bits apart of its 256 that candidates have
@@ -283,7 +283,8 @@ def similar_links(rows: DataFrame, linked: DataFrame, texts: DataFrame | None =
         named = keyed.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         several = named.groupBy("band", "block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
         rest = stored(named.join(several.select("band", "block"), ["band", "block"], "left_semi"), "similar-rest")
-        if not rest.limit(1).count():
+        left = rest.count()
+        if not left:
             discard(rest)
             break
         mine = ["root", "h", "fp", *wide]
@@ -293,13 +294,14 @@ def similar_links(rows: DataFrame, linked: DataFrame, texts: DataFrame | None =
             if r < rounds:
                 # Two members of a block are compared with all others: any one, and one of the last class.
                 by = F.xxhash64("h", F.lit(r))
-                ends = rest.groupBy("band", "block").agg(F.min(F.struct(by.alias("by"), *mine)).alias("one"), F.max(F.struct("root", by.alias("by"), *mine[1:])).alias("two"))
-                other = ends.select("band", "block", F.explode(F.array(*(F.struct(*(F.col(f"{e}.{c}").alias(c) for c in mine)) for e in ("one", "two")))).alias("o"))
+                ends = rest.groupBy("band", "block").agg(F.min(F.struct(by.alias("by"), *mine)).alias("one"), F.max(F.struct("root", by.alias("by"), *mine[1:])).alias("two"), F.count("*").alias("n"))
+                other = ends.select("band", "block", "n", F.explode(F.array(*(F.struct(*(F.col(f"{e}.{c}").alias(c) for c in mine)) for e in ("one", "two")))).alias("o"))
+                met = spread_join(rest, other, ["band", "block"], ["h"], left)
             else:  # bits alone decide: all pairs of two classes
-                other = rest.select("band", "block", F.struct(*mine).alias("o"))
+                met = rest.join(rest.select("band", "block", F.struct(*mine).alias("o")), ["band", "block"])
             apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"o.{w}"))) for w in wide), F.lit(0))
             once = F.lit(True) if r < rounds else F.col("h") < F.col("o.h")
-            met = rest.join(other, ["band", "block"]).where(once & (F.col("root") != F.col("o.root")) & (apart <= distance))
+            met = met.where(once & (F.col("root") != F.col("o.root")) & (apart <= distance))
             ends = F.least("fp", "o.fp").alias("a"), F.greatest("fp", "o.fp").alias("b")
             new = met.select(*ends, F.least("h", "o.h").alias("h"), F.greatest("h", "o.h").alias("other")).distinct()
         if sets is not None:
@@ -365,7 +367,7 @@ def classes(docs: DataFrame, width: int = WORDS, distance: int = DISTANCE, block
     five-word shingles are linked, too."""
     fps = stored(fingerprints(docs, width, key, text, similar), "simhash")
     first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("h").alias("h")))
-    distinct = stored(fps.groupBy("fp").agg(first.alias("low")), "simhash-distinct")
+    distinct = stored(fps.groupBy("fp").agg(first.alias("low"), F.count("*").alias("n")), "simhash-distinct")
     links = close_links(distinct.select("fp"), distance, blocks)
     if similar:
         # Each text once: copies have one sketch, and the text is that of one row (or of rows of one key).
@@ -377,10 +379,13 @@ def classes(docs: DataFrame, width: int = WORDS, distance: int = DISTANCE, block
     # Fingerprints without links are their own class; the rest meet at their root.
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = stored(named, "simhash-named")
-    low = named.groupBy("root").agg(F.min("low").alias("low"))
-    of = stored(named.select("fp", "root").join(low, "root").select("fp", "low"), "simhash-classes")
+    low = named.groupBy("root").agg(F.min("low").alias("low"), F.count("*").alias("n"))
+    of = spread_join(named.select("fp", "root", F.col("n").alias("rows")), low, ["root"], ["fp"], named.count())
+    of = stored(of.select("fp", "low", F.col("rows").alias("n")), "simhash-classes")
     stays = F.col(key).eqNullSafe(F.col("low.key")) & (F.col("h") == F.col("low.h"))
-    return fps.join(of, "fp").select(key, "h", "fp", F.col("low.key").alias("component"), stays.alias("stays"))
+    # One fingerprint's copies, and one class's fingerprints, may be a third of all rows.
+    met = spread_join(fps.select(key, "h", "fp"), of, ["fp"], [key, "h"], fps.count())
+    return met.select(key, "h", "fp", F.col("low.key").alias("component"), stays.alias("stays"))
 
 
 def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:

@@ -901,3 +901,15 @@ def test_sql_agrees(spark, sf, name):
     df = QUERIES[name](spark, sf)
     assert sorted(rel.columns) == sorted(df.columns)
     assert sorted(map(tuple, rel.select(*sorted(rel.columns)).fetchall()), key=repr) == rows_of(df, *sorted(df.columns))
+
+
+def test_spread_join_is_a_join(spark):
+    from quillstack.llm.common import spread_join
+
+    rows = spark.range(6000).select((F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 900)).alias("k"), "id")
+    small = rows.groupBy("k").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("k <> 5")
+    got = spread_join(rows, small, ["k"], ["id"], 6000)
+    assert got.columns == ["k", "id", "low"] and sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(small, "k").select("k", "id", "low").collect()))
+    semi = spread_join(rows, small.select("k", "n"), ["k"], ["id"], 6000, "left_semi")
+    assert sorted(map(tuple, semi.collect())) == sorted(map(tuple, rows.where("k <> 5").collect()))
+    assert spread_join(rows.limit(0), small, ["k"], ["id"], 0).count() == 0
