@@ -31,9 +31,9 @@ from .common import discard, if_few, ship, spread_join, stored, table
 #: Words of a window, and levels of recompression: a symbol stands for (4/3) ** LEVELS words on the average.
 WINDOW, LEVELS = 50, 7
 #: Words of a piece of text, and of the pieces that are compressed at once.
-PIECE, AT_ONCE = 1 << 17, 1 << 18
+PIECE, AT_ONCE = 1 << 15, 1 << 16
 #: Words whose hashes a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Odd multipliers of the two sums that name a window.
 _BASES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
