@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import query_variants, tokenise
+from .contain import overlaps
 
 
 #: Characters of a page that are judged; least score of a facet that is added, and how many are at most.
@@ -29,12 +30,10 @@ class OverlapJudge:
 
     def sweep(self, questions: DataFrame, pages: DataFrame) -> DataFrame:
         """(q, key, raw) of every page of (key, text) for every question of (q, query), those of 0 left out:
-        by a join on terms, so no page is tokenised for each question."""
-        asked = questions.select("q", F.array_distinct(tokenise(F.col("query"))).alias("t"))
-        asked = asked.select("q", F.greatest(F.size("t"), F.lit(1)).alias("of"), F.explode("t").alias("term"))
-        vocab = F.broadcast(asked.select("term").distinct())  # the stated questions' terms
-        has = pages.select("key", F.explode(F.array_distinct(tokenise(F.substring("text", 1, CLIP)))).alias("term")).join(vocab, "term", "left_semi")
-        return has.join(asked, "term").groupBy("q", "key", "of").agg(F.count("*").alias("n")).select("q", "key", (3 * F.col("n") / F.col("of")).alias("raw"))
+        each page is tokenised once, and its tokens looked up among the questions'."""
+        asked = questions.select(F.col("q").alias("item"), F.array_distinct(tokenise(F.col("query"))).alias("words"))
+        pages = pages.select("key", F.array_distinct(tokenise(F.substring("text", 1, CLIP))).alias("words"))
+        return overlaps(pages, asked, 0.0).select(F.col("item").alias("q"), "key", (3 * F.col("n") / F.greatest("of", F.lit(1))).alias("raw"))
 
     def score(self, pairs: DataFrame) -> DataFrame:
         q, t = F.array_distinct(tokenise(F.col("query"))), tokenise(F.substring("text", 1, CLIP))
@@ -103,23 +102,3 @@ def rerank(scored: DataFrame, limit: int, by: str = "q", place: str = "ord") ->
 def verdict(scope, answerable, threshold: float = 0.3):
     """out-of-scope before not-in-corpus; nulls pass."""
     return F.when(scope < 0.5, "out-of-scope").when(answerable < threshold, "not-in-corpus").otherwise("ok")
-
-
-def plan_shards(costs: DataFrame, group: str, order: str, budget: float) -> DataFrame:
-    """(group, order, shard): in order, a new shard where the next cost would pass the budget and the
-    shard isn't empty.  The fold depends on order, so a group (one article's pages) is one task's."""
-    schema = costs.select(group, order, F.lit(0).cast("long").alias("shard")).schema
-
-    def fold(table):
-        import pyarrow as pa
-
-        table = table.sort_by(order)
-        shard, size, out = 0, 0.0, []
-        for c in table["cost"].to_pylist():
-            if size and size + c > budget:
-                shard, size = shard + 1, 0.0
-            size += c
-            out.append(shard)
-        return pa.table({group: table[group], order: table[order], "shard": pa.array(out, pa.int64())})
-
-    return costs.groupBy(group).applyInArrow(fold, schema)

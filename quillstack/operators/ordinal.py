@@ -1,9 +1,9 @@
-"""Places in a global order without sorting all rows in one task."""
+"""Places and running sums in a global order, or in groups, without sorting all rows in one task."""
 
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,23 +27,30 @@ def with_ordinal(rows: DataFrame, order: list[str], name: str = "ordinal", parts
     return dealt.withColumn(name, (inside + begin).cast("long")).drop("__part"), n
 
 
-def with_group_ordinal(rows: DataFrame, group: list[str], order: list[str], name: str = "ordinal", parts: int | None = None) -> DataFrame:
-    """`rows` with their place (from 0) in `order` in their group, and the group's size as `<name>_of`.
+def with_running(rows: DataFrame, group: list[str], order: list[str], sums: dict[str, Column], parts: int | None = None) -> DataFrame:
+    """`rows` with running sums, up to and with each row in `order` in its group, by name, and the group's sums as `<name>_of`.
 
-    Rows are dealt by ranges of both, so a large group is many tasks'; a group's counts in the ranges that
-    it spans, a row for each, say where its part of a range begins."""
+    Rows are dealt by ranges of both, so a large group is many tasks'; a group's sums in the ranges that
+    it spans, a row for each, say what comes before its part of a range.  Nulls count as nothing."""
     parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, *group, *order).withColumn("__part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
-    counts = dealt.groupBy(*group, "__part").agg(F.count("*").alias("n"))
-    before = Window.partitionBy(*group).orderBy("__part")
-    begins = counts.select(*group, "__part", (F.sum("n").over(before) - F.col("n")).alias("__begin"), F.sum("n").over(Window.partitionBy(*group)).alias(f"{name}_of"))
-    inside = F.row_number().over(Window.partitionBy("__part", *group).orderBy(*order)) - 1
-    ranked = dealt.withColumn("__inside", inside)
-    same = ranked["__part"] == begins["__part"]
+    given = rows.withColumns({f"__{n}": F.coalesce(c, F.lit(0)) for n, c in sums.items()})
+    # Kept: the ranges come from a sample that another run would draw anew, and both uses need the same.
+    dealt = given.repartitionByRange(parts, *group, *order).withColumn("__part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    each = dealt.groupBy(*group, "__part").agg(*(F.sum(f"__{n}").alias(n) for n in sums))
+    upto, whole = Window.partitionBy(*group).orderBy("__part"), Window.partitionBy(*group)
+    before = each.select(*group, "__part", *(c for n in sums for c in ((F.sum(n).over(upto) - F.col(n)).alias(f"__before_{n}"), F.sum(n).over(whole).alias(f"{n}_of"))))
+    inside = Window.partitionBy("__part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = dealt.withColumns({f"__inside_{n}": F.sum(f"__{n}").over(inside) for n in sums})
+    same = summed["__part"] == before["__part"]
     for g in group:
-        same = same & ranked[g].eqNullSafe(begins[g])
-    met = ranked.join(begins, same)
-    return met.select(*(ranked[c] for c in rows.columns), (F.col("__inside") + F.col("__begin")).cast("long").alias(name), F.col(f"{name}_of"))
+        same = same & summed[g].eqNullSafe(before[g])
+    met = summed.join(before, same)
+    return met.select(*(summed[c] for c in rows.columns), *(c for n in sums for c in ((F.col(f"__inside_{n}") + F.col(f"__before_{n}")).alias(n), F.col(f"{n}_of"))))
+
+
+def with_group_ordinal(rows: DataFrame, group: list[str], order: list[str], name: str = "ordinal", parts: int | None = None) -> DataFrame:
+    """`rows` with their place (from 0) in `order` in their group, and the group's size as `<name>_of`; as `with_running`."""
+    return with_running(rows, group, order, {name: F.lit(1).cast("long")}, parts).withColumn(name, F.col(name) - 1)
 
 
 def nearest_rank(percent: int, n):

@@ -12,8 +12,8 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def inner_products(vectors: DataFrame, queries: DataFrame, max_queries: int = 4096) -> DataFrame:
-    """(q, vec_id, score) of every query and other vector; the queries (q, qv) are a stated set.
+def _met(vectors: DataFrame, queries: DataFrame, max_queries: int) -> DataFrame:
+    """Every vector (vec_id, embedding) beside every other query (q, qv), which are a stated set.
 
     Up to `max_queries` are broadcast.  More are cut into blocks of so many, and the vectors into parts: a
     part meets a block by an equi-join on both numbers, so no side is copied to all tasks at once."""
@@ -26,7 +26,24 @@ def inner_products(vectors: DataFrame, queries: DataFrame, max_queries: int = 40
         place = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
         asked = queries.select("q", "qv", place("q", blocks).alias("block")).withColumn("part", every(parts))
         met = vectors.withColumn("part", place("vec_id", parts)).withColumn("block", every(blocks)).join(asked, ["block", "part"]).where(F.col("vec_id") != F.col("q"))
-    return met.select("q", "vec_id", F.round(dot(F.col("embedding"), F.col("qv")), 9).alias("score"))
+    return met
+
+
+def inner_products(vectors: DataFrame, queries: DataFrame, max_queries: int = 4096) -> DataFrame:
+    """(q, vec_id, score) of every query and other vector."""
+    return _met(vectors, queries, max_queries).select("q", "vec_id", F.round(dot(F.col("embedding"), F.col("qv")), 9).alias("score"))
+
+
+def prefix_products(vectors: DataFrame, queries: DataFrame, lengths: list[int], max_queries: int = 4096) -> DataFrame:
+    """(q, vec_id, products): for each of the lengths, in rising order, (n, s), the product of the first n dimensions: each
+    goes on from the one before."""
+    met, names = _met(vectors, queries, max_queries).select("q", "vec_id", "embedding", "qv"), []
+    for i, n in enumerate(lengths):
+        begin = lengths[i - 1] if i else 0
+        part = F.zip_with(F.slice("embedding", begin + 1, n - begin), F.slice("qv", begin + 1, n - begin), lambda x, y: x.cast("double") * y.cast("double"))
+        names.append(f"s{n}")
+        met = met.withColumn(f"s{n}", F.aggregate(part, F.col(names[i - 1]) if i else F.lit(0.0), lambda s, x: s + x))
+    return met.select("q", "vec_id", F.array(*(F.struct(F.lit(n).alias("n"), F.col(f"s{n}").alias("s")) for n in lengths)).alias("products"))
 
 
 def hits(scored: DataFrame, n: int) -> DataFrame:

@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Register all queries."""
-    from . import index, judging, mining, pages, retrieval, statistics, tables  # noqa: F401
+    from . import index, judging, mining, modes, pages, retrieval, statistics, stores, sweeps, tables  # noqa: F401

@@ -1,11 +1,10 @@
-"""Index layout, question sets, router and cache queries."""
+"""Index layout, question sets and cache queries."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators import cache as C
-from ..operators import router as R
 from ..sources import layout, questions
 from .registry import query
 from .retrieval import read
@@ -66,14 +65,6 @@ def question_set(spark, sf_dir):
     return questions.records(question_rows(spark, sf_dir))
 
 
-@query("retrieval_modes", """SELECT i AS item, m AS mode, CASE WHEN i % 2 = 0 AND m NOT IN ('visual', 'hybrid') THEN 'the judge has no key' WHEN i % 3 = 0 AND m IN ('hybrid', 'jev+hybrid', 'xray') THEN 'there is no text sidecar' END AS blocked,
-m = CASE WHEN i % 2 = 1 THEN 'jev-page' ELSE 'hybrid' END AS is_default FROM range(6) r(i), (SELECT unnest(['visual', 'hybrid', 'jev-expand', 'jev', 'jev+hybrid', 'jev-page', 'xray']) AS m)""")
-def retrieval_modes(spark, sf_dir):
-    """All modes under six settings: with and without a key, with and without text."""
-    rows = [(i, x["mode"], x["blocked"], x["default"]) for i in range(6) for x in R.listing(R.Setting(has_key=i % 2 == 1, hybrid=True, sidecar=i % 3 != 0))]
-    return spark.createDataFrame(rows, "item long, mode string, blocked string, is_default boolean")
-
-
 @query("namespace_keys", "SELECT label, 'p|m|oneshot|ret:hybrid|k4|j1|' || substr(sha256(CAST(count(*) AS VARCHAR)), 1, 16) AS namespace FROM embeddings GROUP BY label")
 def namespace_keys(spark, sf_dir):
     n = read(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").cast("string").alias("n"))

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import judge as J
 from ..operators import lexical as L
-from .mining import OV, PHRASE, TERMS
-from .registry import query, shared
+from ..operators import shards
+from .mining import PHRASE
+from .registry import query, shared, spark_sql
 from .retrieval import POST, TOPK, bm25, read, tok
-from .statistics import OUT, RK
+from .statistics import OUT, RK, mode_hits
 
 # Facets that a question may ask for.
 FACETS = ["cena koszt cennik price cost pricing", "wymiary szerokość wysokość dimensions width height", "montaż instalacja installation assembly",
@@ -40,12 +41,17 @@ def candidates(spark, sf_dir, k):
 CANDIDATES = f"{POST}{TOPK}, cand AS (SELECT q, doc, rank AS ord, score AS s, b.text AS query, d.text AS page FROM top JOIN benchmark b ON b.item_id = q JOIN documents d ON d.doc_id = doc"
 
 
-@query("facet_expand", f"""WITH {FACET}, ask AS (SELECT item_id AS conv_id, 0 AS turn, {ASKED} AS text FROM benchmark), {PHRASE},
+def expanded(text: str) -> str:
+    """DuckDB: own, base and t, of which the variants of the items' question `text` are made, and ex (item_id, ord, variant)."""
+    return f"""{FACET}, ask AS (SELECT item_id AS conv_id, 0 AS turn, {text} AS text FROM benchmark), {PHRASE},
 s AS (SELECT conv_id, text, phrase, facet, name, {share(tok("name"), tok("text"))} AS score FROM np CROSS JOIN fc),
 t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, facet) AS place FROM s),
 own AS (SELECT conv_id, 0 AS ord, trim(text, chr(32) || chr(10)) AS variant, length(phrase) >= 3 AS more FROM np UNION ALL SELECT conv_id, 1, phrase, true FROM np WHERE length(phrase) >= 3),
-base AS (SELECT conv_id, max(ord) AS last, arg_max(variant, ord) AS base FROM own GROUP BY conv_id)
-SELECT conv_id AS item_id, CAST(ord AS INT) AS ord, variant FROM own UNION ALL SELECT t.conv_id, CAST(last + place AS INT), base || ' ' || name FROM t JOIN base USING (conv_id) WHERE place <= 2 AND score >= 0.7e0""")
+base AS (SELECT conv_id, max(ord) AS last, arg_max(variant, ord) AS base FROM own GROUP BY conv_id),
+ex AS (SELECT conv_id AS item_id, CAST(ord AS INT) AS ord, variant FROM own UNION ALL SELECT t.conv_id, CAST(last + place AS INT), base || ' ' || name FROM t JOIN base USING (conv_id) WHERE place <= 2 AND score >= 0.7e0)"""
+
+
+@query("facet_expand", f"WITH {expanded(ASKED)} SELECT * FROM ex")
 def facet_expand(spark, sf_dir):
     """The question stays first; facets go behind its last local variant."""
     i = F.col("item_id") % 3
@@ -57,12 +63,22 @@ def facet_expand(spark, sf_dir):
 POOL = f"""{OUT}, cand AS (SELECT q, vec_id, s, 64 - n AS list, r FROM rk WHERE r <= 24),
 one AS (SELECT *, row_number() OVER (PARTITION BY q, vec_id ORDER BY list, r) AS pick FROM cand),
 pool AS (SELECT q, vec_id, s, row_number() OVER (PARTITION BY q ORDER BY list, r) AS ord, count(*) OVER (PARTITION BY q) AS candidates FROM one WHERE pick = 1)"""
-LEX = f"""{TERMS}, {OV}, lx AS (SELECT item_id AS q, doc_id * 8 AS vec_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM ov)"""
-HPOOL = f"""{OUT}, {LEX}, cand AS (SELECT q, vec_id, s, 64 - n AS list, r FROM rk WHERE r <= 24 UNION ALL SELECT q, vec_id, 0e0 AS s, 99 AS list, r FROM lx WHERE r <= 20),
+#: The best 20 documents by BM25 come behind the vectors' lists; a document is its page's first crop.
+HPOOL = """, lx AS (SELECT q, doc * 8 AS vec_id, rank AS r FROM lexical_top WHERE rank <= 20), cand AS (SELECT q, vec_id, s, 64 - n AS list, r FROM rk WHERE r <= 24 UNION ALL SELECT q, vec_id, 0e0 AS s, 99 AS list, r FROM lx WHERE r <= 20),
 one AS (SELECT *, row_number() OVER (PARTITION BY q, vec_id ORDER BY list, r) AS pick FROM cand),
 pool AS (SELECT q, vec_id, s, row_number() OVER (PARTITION BY q ORDER BY list, r) AS ord, count(*) OVER (PARTITION BY q) AS candidates FROM one WHERE pick = 1)"""
-shared("candidate_pool", f"WITH {POOL} SELECT q AS query_id, <long(ord)> AS ord, vec_id, round(s, 6) AS score, candidates FROM pool WHERE ord <= 64", keep=(RK, "rk"))
-shared("candidate_pool_hybrid", f"WITH {HPOOL} SELECT q AS query_id, <long(ord)> AS ord, vec_id, round(s, 6) AS score, candidates FROM pool WHERE ord <= 64", keep=(RK, "rk"))
+shared("candidate_pool", f"WITH {POOL} SELECT q AS query_id, <long(ord)> AS ord, vec_id, round(s, 6) AS score, candidates FROM pool WHERE ord <= 64", keep=(RK, "rk", mode_hits))
+shared("candidate_pool_hybrid", f"WITH {HPOOL} SELECT q AS query_id, <long(ord)> AS ord, vec_id, round(s, 6) AS score, candidates FROM pool WHERE ord <= 64", keep=(RK, "rk", mode_hits))
+_POOLED = " SELECT q AS query_id, <long(ord)> AS ord, vec_id, round(s, 6) AS score, candidates FROM pool WHERE ord <= 64"
+
+
+@query("candidate_pool_hybrid", f"WITH {POST}{TOPK}, lexical_top AS (SELECT q, doc, rank FROM top), {OUT.replace('sc AS', 'vsc AS').replace('FROM sc)', 'FROM vsc)')}{HPOOL}{_POOLED}")
+def candidate_pool_hybrid(spark, sf_dir):
+    bm25(spark, sf_dir, 20).select("q", "doc", "rank").createOrReplaceTempView("lexical_top")
+    mode_hits(spark, sf_dir).createOrReplaceTempView("mode_hits")
+    return spark_sql(spark, sf_dir, f"WITH rk AS (SELECT * FROM mode_hits){HPOOL}{_POOLED}")
+
+
 shared("judge_validate", """WITH raw AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'nan' WHEN 1 THEN '-1' WHEN 2 THEN '4' WHEN 3 THEN 'true' WHEN 4 THEN '2' WHEN 5 THEN '2.5' END AS said FROM events),
 v AS (SELECT event_id, said, CASE WHEN <like(said;'^-?[0-9]+(\\.[0-9]+)?$')> THEN try_cast(said AS DOUBLE) END AS x FROM raw)
 SELECT event_id, said, CASE WHEN x >= 0 AND x <= 3 THEN x END AS score FROM v""".replace("\\\\", "\\"))
@@ -95,9 +111,10 @@ def gate_verdict(spark, sf_dir):
     return J.gate(scored, scope).withColumnRenamed("q", "item_id")
 
 
-SHARDS = """o AS (SELECT source, doc_id, least(length(text), 6000) / 1.7e0 + 48 AS cost, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+# Costs in seventeenths of a token, so that they are whole: 1.7 characters are a token, and a page's question 48.
+SHARDS = """o AS (SELECT source, doc_id, least(length(coalesce(text, '')), 6000) * 10 + 816 AS cost, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
 f AS (SELECT source, doc_id, i, CAST(0 AS BIGINT) AS shard, cost AS size FROM o WHERE i = 1 UNION ALL
-SELECT o.source, o.doc_id, o.i, CASE WHEN f.size + o.cost > 48000 THEN f.shard + 1 ELSE f.shard END, CASE WHEN f.size + o.cost > 48000 THEN o.cost ELSE f.size + o.cost END FROM f JOIN o ON o.source = f.source AND o.i = f.i + 1)"""
+SELECT o.source, o.doc_id, o.i, CASE WHEN f.size + o.cost > 816000 THEN f.shard + 1 ELSE f.shard END, CASE WHEN f.size + o.cost > 816000 THEN o.cost ELSE f.size + o.cost END FROM f JOIN o ON o.source = f.source AND o.i = f.i + 1)"""
 SWEPT = f"""it AS (SELECT item_id, list_distinct({tok("text")}) AS t FROM benchmark), qw AS (SELECT item_id, len(t) AS m, unnest(t) AS term FROM it),
 dw AS (SELECT doc_id, unnest(list_distinct({tok(f"substr(text, 1, {J.CLIP})")})) AS term FROM documents), sw AS (SELECT item_id, doc_id, count(*) * 1e0 / max(m) AS score FROM qw JOIN dw USING (term) GROUP BY ALL)"""
 
@@ -109,23 +126,8 @@ def swept(spark, sf_dir):
 
 @query("shard_plan", f"WITH RECURSIVE {SHARDS} SELECT source, doc_id, shard FROM f")
 def shard_plan(spark, sf_dir):
-    cost = F.least(F.char_length("text"), F.lit(J.CLIP)) / 1.7 + 48
-    return J.plan_shards(read(spark, sf_dir, "documents").select("source", "doc_id", cost.alias("cost")), "source", "doc_id", 48_000)
-
-
-@query("xray_sweep", f"""WITH RECURSIVE {SHARDS}, {SWEPT}, c AS (SELECT count(*) AS pages, CAST(count(*) FILTER (trim(text) = '') AS BIGINT) AS blind FROM documents),
-k AS (SELECT count(DISTINCT source || '/' || CAST(shard AS VARCHAR)) AS shards FROM f), b AS (SELECT item_id, count(*) AS touched, round(max(score), 6) AS best FROM sw GROUP BY item_id)
-SELECT item_id, pages, blind, pages - blind AS judged, shards, pages - blind = (SELECT count(*) FROM documents WHERE trim(text) <> '') AS exhaustive, touched, best FROM b, c, k""")
-def xray_sweep(spark, sf_dir):
-    """Every page with a text is judged for every question, in shards; pages without one are blind."""
-    pages = read(spark, sf_dir, "documents")
-    blind = F.coalesce(F.length(F.trim("text")) == 0, F.lit(True))
-    n, n_blind = pages.agg(F.count("*"), F.coalesce(F.sum(blind.cast("long")), F.lit(0))).first()
-    shards = shard_plan(spark, sf_dir).select("source", "shard").distinct().count()
-    judged = n - n_blind
-    each = swept(spark, sf_dir).groupBy("q").agg(F.count("*").alias("touched"), F.round(F.max("raw") / 3, 6).alias("best"))
-    said = {"pages": n, "blind": n_blind, "judged": judged, "shards": shards}
-    return each.select(F.col("q").alias("item_id"), *(F.lit(v).cast("long").alias(c) for c, v in said.items()), F.lit(judged + n_blind == n).alias("exhaustive"), "touched", "best")
+    cost = F.least(F.char_length(F.coalesce("text", F.lit(""))), F.lit(J.CLIP)) * 10 + 816
+    return shards.plan(read(spark, sf_dir, "documents").select("source", "doc_id", cost.alias("cost")), "source", "doc_id", 816_000)
 
 
 @query("xray_rank", f"WITH {SWEPT}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sw) SELECT item_id, CAST(rank AS INT) AS rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 10")
@@ -139,5 +141,5 @@ def xray_rank(spark, sf_dir):
 SELECT item_id, round(max(best), 4) AS answerable, count(*) AS shards FROM e GROUP BY item_id""")
 def facet_fold(spark, sf_dir):
     """Evidence of each shard, folded by the largest."""
-    shards = shard_plan(spark, sf_dir).select(F.col("doc_id").alias("key"), F.struct("source", "shard").alias("shard"))
-    return J.fold_shards(swept(spark, sf_dir), shards).withColumnRenamed("q", "item_id")
+    of = shard_plan(spark, sf_dir).select(F.col("doc_id").alias("key"), F.struct("source", "shard").alias("shard"))
+    return J.fold_shards(swept(spark, sf_dir), of).withColumnRenamed("q", "item_id")

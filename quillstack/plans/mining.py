@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.contain import containing
+from ..operators.contain import containing, overlaps
 from ..operators.ordinal import with_ordinal
-from .registry import query, shared, told, views
+from .registry import query, shared, spark_sql, told, views
 from .retrieval import read
 
 _STRIP = "regexp_replace(regexp_replace(text, '" + T.FILLER + "', ''), '^\\s+|\\s+$', '', 'g')"
@@ -148,7 +148,28 @@ OV = f"""ov AS (SELECT item_id, doc_id, source, round(n / m, 9) AS score FROM (S
 TERMS = "it AS (SELECT item_id, term, count(*) OVER (PARTITION BY item_id) AS m FROM (SELECT DISTINCT item_id, <unnest(<part(lower(text);' ')>)> AS term FROM benchmark) a), dt AS (SELECT DISTINCT doc_id, source, term FROM (SELECT doc_id, source, <unnest(<part(lower(text);' ')>)> AS term FROM documents) z WHERE term IN (SELECT term FROM it))"
 OVERLAP = f"{TERMS}, {OV}"
 GOLD = f"{OVERLAP}, best AS (SELECT item_id, max(score) AS best FROM ov GROUP BY item_id), pick AS (SELECT o.item_id, min(doc_id) AS gold FROM ov o JOIN best b ON o.item_id = b.item_id AND o.score = b.best WHERE best >= 0.66e0 GROUP BY o.item_id), sp AS (SELECT o.item_id, count(*) AS spilled FROM ov o JOIN pick p ON o.item_id = p.item_id JOIN documents d ON d.doc_id = p.gold WHERE o.score >= 0.66e0 AND o.source <> d.source GROUP BY o.item_id)"
-shared("gold_select", f"WITH {GOLD} SELECT b.item_id, gold, round(best, 6) AS best_score, coalesce(spilled, 0) AS spilled FROM best b LEFT JOIN pick ON b.item_id = pick.item_id LEFT JOIN sp ON b.item_id = sp.item_id", keep=(OVERLAP, "ov"))
-shared("oracle_label", f"WITH {GOLD} SELECT item_id, doc_id, round(score, 6) AS score, score >= 0.66e0 AS relevant FROM ov WHERE score >= 0.3e0", keep=(OVERLAP, "ov"))
-shared("oracle_rows", f"""WITH {GOLD}, {GROUND} SELECT b.item_id, CASE WHEN gold IS NOT NULL AND n_pages > 0 AND best >= 0.5e0 THEN 'positive' WHEN gold IS NULL AND best <= 0.3e0 THEN 'negative' ELSE 'dropped' END AS kind
-FROM best b LEFT JOIN pick ON b.item_id = pick.item_id LEFT JOIN nh ON b.item_id = nh.item_id""", keep=(OVERLAP, "ov"))
+
+
+def overlap(spark, sf_dir):
+    """(item_id, doc_id, source, score): what `ov` says of pairs of 0.3 or more, and of each item's best."""
+    words = lambda c: F.array_distinct(F.split(F.lower(c), " ", -1))
+    docs = read(spark, sf_dir, "documents")
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), words("text").alias("words"))
+    got = overlaps(docs.select(F.col("doc_id").alias("key"), words("text").alias("words")), items, 0.3)
+    rows = got.select(F.col("item").alias("item_id"), F.col("key").alias("doc_id"), F.round(F.col("n") / F.col("of"), 9).alias("score"))
+    return rows.join(docs.select("doc_id", "source"), "doc_id").select("item_id", "doc_id", "source", "score")
+
+
+KEEP = OVERLAP, "ov", overlap
+shared("gold_select", f"WITH {GOLD} SELECT b.item_id, gold, round(best, 6) AS best_score, coalesce(spilled, 0) AS spilled FROM best b LEFT JOIN pick ON b.item_id = pick.item_id LEFT JOIN sp ON b.item_id = sp.item_id", keep=KEEP)
+shared("oracle_label", f"WITH {GOLD} SELECT item_id, doc_id, round(score, 6) AS score, score >= 0.66e0 AS relevant FROM ov WHERE score >= 0.3e0", keep=KEEP)
+_ROWS = """SELECT b.item_id, CASE WHEN gold IS NOT NULL AND n_pages > 0 AND best >= 0.5e0 THEN 'positive' WHEN gold IS NULL AND best <= 0.3e0 THEN 'negative' ELSE 'dropped' END AS kind
+FROM best b LEFT JOIN pick ON b.item_id = pick.item_id LEFT JOIN nh ON b.item_id = nh.item_id"""
+
+
+@query("oracle_rows", f"WITH {GOLD}, {GROUND} {_ROWS}")
+def oracle_rows(spark, sf_dir):
+    """Rows of a question set: positive with a gold page that holds the item, negative without any, else dropped."""
+    overlap(spark, sf_dir).createOrReplaceTempView("item_overlaps")
+    held(spark, sf_dir).groupBy(F.col("item").alias("item_id")).agg(F.count("*").alias("n_pages")).createOrReplaceTempView("item_pages")
+    return spark_sql(spark, sf_dir, f"WITH {GOLD.replace(OVERLAP, 'ov AS (SELECT * FROM item_overlaps)')}, nh AS (SELECT * FROM item_pages) {_ROWS}")

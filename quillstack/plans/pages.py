@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cite_tokens
@@ -19,7 +20,7 @@ ln AS (SELECT conv_id, turn, <unnest(<part(block;'~')>)> AS raw FROM body), st A
 cite AS (SELECT conv_id, turn, try_cast(<json(s;page)> AS INT) AS page, <json(s;quote)> AS quote, try_cast(<json(s;article_id)> AS INT) AS article FROM st WHERE s LIKE '{%' AND <json(s;quote)> <> '')"""
 shared("citation_split", f"WITH {SPLIT} SELECT conv_id, turn, page, quote, article FROM cite")
 shared("citation_resolve", f"""WITH {SPLIT}, att AS (SELECT a.conv_id, a.turn, doc_id, doc_id % 3 AS article, doc_id % 10 AS page, row_number() OVER (PARTITION BY a.conv_id, a.turn ORDER BY doc_id) AS rank FROM body a JOIN (SELECT doc_id, doc_id % n AS conv FROM documents CROSS JOIN (SELECT max(conv_id) + 1 AS n FROM conversations) c) d ON d.conv = a.conv_id),
-m AS (SELECT c.conv_id, c.turn, c.page, doc_id, row_number() OVER (PARTITION BY c.conv_id, c.turn ORDER BY CASE WHEN c.article = a.article THEN 0 ELSE 1 END, rank) AS pick, c.article AS want, a.article AS have FROM cite c JOIN att a ON a.conv_id = c.conv_id AND a.turn = c.turn AND a.page = c.page AND (c.article IS NULL OR c.article = a.article OR c.turn % 2 = 0))
+m AS (SELECT c.conv_id, c.turn, c.page, doc_id, row_number() OVER (PARTITION BY c.conv_id, c.turn ORDER BY rank) AS pick FROM cite c JOIN att a ON a.conv_id = c.conv_id AND a.turn = c.turn AND a.page = c.page AND (c.article IS NULL OR c.article = a.article))
 SELECT conv_id, turn, page, doc_id FROM m WHERE pick = 1""")
 
 
@@ -76,17 +77,56 @@ def quoted(spark, sf_dir):
     return p.select("id", "words", F.concat(F.slice("t", 3, 5), F.slice("t", 9, 3)).alias("quote"))
 
 
-@query("quote_match")
+def folded_tokens(text: str) -> str:
+    """DuckDB: the words of a text, folded, as quotes are compared."""
+    return f"regexp_extract_all(lower(translate({text}, '{T.FOLD_FROM}', '{T.FOLD_TO}')), '[0-9a-z]+')"
+
+
+def walked(rows: str) -> str:
+    """DuckDB, recursive: rn (id, ord, run_start, run_end, matched) of a quote's tokens qt among a page's t, for rows (id, ord, t, qt)."""
+    lengths = "list_transform(qt, lambda x: length(x))"
+    return f"""src AS ({rows}), pv AS (SELECT id, ord, t, qt, CASE WHEN list_contains(t, qt[1]) THEN 1 ELSE list_position({lengths}, list_max({lengths})) END AS k FROM src WHERE len(t) > 0 AND len(qt) > 0),
+st AS (SELECT id, ord, unnest(list_filter(range(k, len(t) + 1), lambda i: t[i] = qt[k])) - k AS start FROM pv),
+wk AS (SELECT id, ord, start, start AS pos, 0 AS done, 2 + len(qt) // 4 AS spare, 0 AS step FROM st JOIN pv USING (id, ord) UNION ALL
+SELECT id, ord, start, coalesce(e, pos + 1), done + CASE WHEN e IS NULL THEN 0 ELSE 1 END, spare - CASE WHEN e IS NULL THEN 1 ELSE 0 END, step + 1 FROM
+(SELECT wk.*, list_filter(range(pos + 1, least(len(t), pos + length(qt[done + 1])) + 1), lambda x: array_to_string(list_slice(t, pos + 1, x), '') = qt[done + 1])[1] AS e FROM wk JOIN pv USING (id, ord) WHERE done < len(qt) AND pos < len(t) AND spare >= 0)),
+ed AS (SELECT id, ord, start, arg_max(pos, step) AS pos, max(done) AS done FROM wk GROUP BY ALL),
+pk AS (SELECT *, row_number() OVER (PARTITION BY id, ord ORDER BY done DESC, start) AS pick FROM ed WHERE done > 0),
+rn AS (SELECT id, ord, t, qt, coalesce(start, 0) AS run_start, coalesce(pos, 0) AS run_end, coalesce(done, 0) AS matched FROM src LEFT JOIN (SELECT * FROM pk WHERE pick = 1) USING (id, ord))"""
+
+
+#: DuckDB: the words of the lines that a found run spans, and the rectangle around each line's.
+LINES = """fd AS (SELECT *, round(matched * 1e0 / len(qt), 2) AS coverage FROM rn WHERE matched >= 2 AND matched >= 0.55e0 * len(qt)),
+inn AS (SELECT id, ord, qt, coverage, unnest(range(run_start, run_end)) AS i, unnest(list_slice(t, run_start + 1, run_end)) AS w FROM fd),
+ln AS (SELECT id, ord, i // 8 AS line, coverage, min(i % 8 * 12e0) AS x0, max(i % 8 * 12e0 + length(w)) AS x1, min(i // 8 * 2e0) AS y0 FROM inn WHERE len(list_filter(qt, lambda x: contains(x, w) OR contains(w, x))) > 0 GROUP BY ALL)"""
+_QUOTED = f"SELECT id, 0 AS ord, t, list_concat(list_slice(t, 3, 7), list_slice(t, 9, 11)) AS qt FROM (SELECT conv_id * 100 + turn AS id, {folded_tokens('text')} AS t FROM conversations)"
+
+
+@query("quote_match", f"WITH RECURSIVE {walked(_QUOTED)} SELECT id, CAST(run_start AS BIGINT) AS start, CAST(run_end AS BIGINT) AS end, CAST(matched AS BIGINT) AS matched, matched >= 2 AND matched >= 0.55e0 * len(qt) AS found FROM rn")
 def quote_match(spark, sf_dir):
     return C.match_quotes(quoted(spark, sf_dir))
 
 
-@query("quote_rects")
+@query("quote_rects", f"WITH RECURSIVE {walked(_QUOTED)}, {LINES} SELECT id, CAST(line AS INT) AS line, x0 AS left, y0 AS top, x1 - x0 AS width, 1.5e0 AS height, coverage FROM ln")
 def quote_rects(spark, sf_dir):
     return C.quote_rects(quoted(spark, sf_dir))
 
 
-@query("number_pins")
+def figured(rows: str, line: str) -> str:
+    """DuckDB: fg (id, value, place, spans) of the figures of `said` that stand among a page's tokens t, for rows (id, t, said); `line`
+    is that of a place i."""
+    raw = r"regexp_extract_all(said, '\d[\d\s.,\x{00A0}\x{202F}]{1,12}\d|\d{2,}')"
+    return f"""fr AS ({rows}), fv AS (SELECT id, t, list_filter(list_transform({raw}, lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda x: length(x) BETWEEN 3 AND 6) AS vs FROM fr),
+fu AS (SELECT id, t, unnest(vs) AS value, generate_subscripts(vs, 1) AS i FROM fv), fo AS (SELECT id, any_value(t) AS t, value, row_number() OVER (PARTITION BY id ORDER BY min(i)) AS place FROM fu GROUP BY id, value),
+fs AS (SELECT id, value, place, t, list_filter(range(len(t)), lambda i: regexp_full_match(t[i + 1], '[0-9]+') AND starts_with(value, t[i + 1])) AS begins FROM fo WHERE place <= 8),
+fg AS (SELECT id, value, place, t, list_filter(list_transform(begins, lambda a: {{'a': a, 'b': list_filter(range(a + 1, least(len(t), a + length(value)) + 1), lambda x: array_to_string(list_slice(t, a + 1, x), '') = value)[1]}}), lambda s: s.b IS NOT NULL AND {line.format("s.a")} = {line.format("(s.b - 1)")}) AS spans FROM fs)"""
+
+
+_SAID = "text || ' 3 956 zł 2500 x 2100, 2500 ' || CAST(conv_id * 101 AS VARCHAR)"
+
+
+@query("number_pins", f"""WITH {figured(f"SELECT conv_id * 100 + turn AS id, {folded_tokens(_SAID)} AS t, {_SAID} AS said FROM conversations", "0 * {}")}
+SELECT id, value, CAST(len(spans) AS BIGINT) AS count, CASE WHEN len(spans) = 1 THEN spans[1].a % 8 * 12e0 END AS left, CASE WHEN len(spans) = 1 THEN spans[1].a // 8 * 2e0 END AS top FROM fg WHERE len(spans) > 0""")
 def number_pins(spark, sf_dir):
     c = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("text", F.lit(" 3 956 zł 2500 x 2100, 2500 "), (F.col("conv_id") * 101).cast("string")).alias("text"))
     id_ = (F.col("conv_id") * 100 + F.col("turn")).alias("id")
@@ -94,3 +134,50 @@ def number_pins(spark, sf_dir):
     return C.pin_figures(c.select(id_, "text", F.transform(cite_tokens(F.col("text")), word).alias("words")))
 
 
+
+
+# Answers with four citations: of the first attached page without its article, of it a quote that it doesn't hold, one of an article
+# that has no such page, and of the second attached page.
+_PAGE = "text || ' 2500 ' || CAST(1000 + doc_id AS VARCHAR) || ' 2500'"
+_ATT = f"""nc AS (SELECT max(conv_id) + 1 AS n FROM conversations), pg AS (SELECT doc_id, doc_id % 3 AS article, doc_id % 10 AS page, {folded_tokens(_PAGE)} AS t FROM documents),
+an AS (SELECT conv_id * 100 + turn AS id, conv_id, text FROM conversations WHERE role <> 'user'),
+att AS (SELECT id, an.text, pg.*, row_number() OVER (PARTITION BY id ORDER BY doc_id) AS rank FROM an, nc, pg WHERE pg.doc_id % nc.n = an.conv_id),
+ans AS (SELECT id, any_value(text) || ' 2500 zł, ' || string_agg(CAST(1000 + doc_id AS VARCHAR), ' / ' ORDER BY rank) AS said FROM att GROUP BY id),
+ct AS (SELECT id, 1 AS ord, page, NULL AS article, list_concat(list_slice(t, 3, 7), list_slice(t, 9, 11)) AS qt FROM att WHERE rank = 1 UNION ALL SELECT id, 2, page, article, ['nie', 'ma', 'takiego'] FROM att WHERE rank = 1
+UNION ALL SELECT id, 3, page, article + 3, ['x'] FROM att WHERE rank = 1 UNION ALL SELECT id, 4, page, article, list_slice(t, 5, 8) FROM att WHERE rank = 2),
+met AS (SELECT ct.id, ct.ord, doc_id, att.article, att.page, t, qt, row_number() OVER (PARTITION BY ct.id, ct.ord ORDER BY rank) AS pick FROM ct JOIN att ON att.id = ct.id AND att.page = ct.page AND (ct.article IS NULL OR ct.article = att.article)),
+one AS (SELECT id, ord, doc_id, t, qt, ord = min(ord) OVER (PARTITION BY id, article, page) AS first FROM met WHERE pick = 1)"""
+_FIGURED = figured("SELECT id * 10 + ord AS id, t, said FROM one JOIN ans USING (id) WHERE first", "({} // 8)")
+
+
+@query("citation_report", f"""WITH RECURSIVE {_ATT}, {walked("SELECT id, ord, t, qt FROM one")}, {LINES}, {_FIGURED},
+rc AS (SELECT id, ord, count(*) AS n, sum(x0) AS lefts, sum(y0) AS tops, sum(x1 - x0) AS widths FROM ln GROUP BY ALL), nm AS (SELECT id, string_agg(value || ':' || CAST(spans[1].a AS VARCHAR), ' ' ORDER BY place) FILTER (len(spans) = 1) AS numbers, string_agg(value || ' x ' || CAST(len(spans) AS VARCHAR), ' ' ORDER BY place) FILTER (len(spans) > 1) AS repeated FROM fg WHERE len(spans) > 0 GROUP BY id)
+SELECT one.id, one.ord, one.doc_id AS document, fd.id IS NOT NULL AS verified, coalesce(fd.coverage, 0e0) AS coverage, CAST(coalesce(rc.n, 0) AS INT) AS n_rects, coalesce(lefts, 0e0) AS lefts, coalesce(tops, 0e0) AS tops, coalesce(widths, 0e0) AS widths, coalesce(numbers, '') AS numbers, coalesce(repeated, '') AS repeated
+FROM one LEFT JOIN fd USING (id, ord) LEFT JOIN rc USING (id, ord) LEFT JOIN nm ON nm.id = one.id * 10 + one.ord""")
+def citation_report(spark, sf_dir):
+    """Citations resolved: quotes to rectangles, with those not found kept, and figures at each page's first citation."""
+    c = read(spark, sf_dir, "conversations")
+    n = c.agg(F.max("conv_id") + 1).first()[0] or 1
+    docs = read(spark, sf_dir, "documents")
+    said = F.concat("text", F.lit(" 2500 "), (F.col("doc_id") + 1000).cast("string"), F.lit(" 2500"))
+    pages = docs.select(F.col("doc_id").alias("document"), (F.col("doc_id") % 3).alias("article"), (F.col("doc_id") % 10).alias("page"), cite_tokens(said).alias("t"), (F.col("doc_id") % n).alias("conv_id"))
+    an = c.where("role <> 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "conv_id", "text")
+    attached = an.join(pages.drop("t"), "conv_id").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("document"))).select("id", "text", "article", "page", "rank", "document")
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "document"))), lambda x: (x["document"] + 1000).cast("string")), " / ")
+    answers = attached.groupBy("id").agg(F.concat(F.first("text"), F.lit(" 2500 zł, "), listed).alias("answer"))
+    two = attached.where("rank <= 2").join(pages.select("document", "t"), "document")
+    cite = lambda rank, ord_, article, tokens: F.when(F.col("rank") == rank, F.struct(F.lit(ord_).alias("ord"), F.col("page").alias("page"), article.cast("long").alias("article"), tokens.alias("tokens")))
+    words = lambda *w: F.array(*map(F.lit, w))
+    own = F.col("article")
+    four = F.array_compact(F.array(
+        cite(1, 1, F.lit(None), F.concat(F.slice("t", 3, 5), F.slice("t", 9, 3))), cite(1, 2, own, words("nie", "ma", "takiego")), cite(1, 3, own + 3, words("x")), cite(2, 4, own, F.slice("t", 5, 4)),
+    ))
+    cites = two.select("id", F.explode(four).alias("c")).select("id", "c.*").withColumn("quote", F.array_join("tokens", " "))
+    word = lambda t, i: F.struct((i % 8 * 12.0).alias("x0"), (F.floor(i / 8) * 2.0).alias("y0"), (i % 8 * 12.0 + F.char_length(t)).alias("x1"), (F.floor(i / 8) * 2.0 + 1.5).alias("y1"), t.alias("token"), F.floor(i / 8).cast("int").alias("line"))
+    got = C.resolve(cites, attached.drop("text"), answers, pages.select("document", F.transform("t", word).alias("words")))
+    total = lambda f: F.aggregate("rects", F.lit(0.0), lambda s, r: s + r["box"][f])
+    at = lambda x: F.concat(x["value"], F.lit(":"), (x["box"]["left"] / 12 + x["box"]["top"] * 4).cast("int").cast("string"))
+    return got.select(
+        "id", "ord", "document", "verified", "coverage", F.size("rects").alias("n_rects"), total("left").alias("lefts"), total("top").alias("tops"), total("width").alias("widths"),
+        F.array_join(F.transform("numbers", at), " ").alias("numbers"), F.array_join(F.transform("repeated", lambda x: F.concat(x["value"], F.lit(" x "), x["count"].cast("string"))), " ").alias("repeated"),
+    )

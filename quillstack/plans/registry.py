@@ -70,19 +70,21 @@ def spark_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return spark.sql(said.replace("\\", "\\\\"))
 
 
-def shared(name: str, text: str, keep: tuple[str, str] | None = None) -> None:
+def shared(name: str, text: str, keep: tuple | None = None) -> None:
     """`keep`: (common tables that the text begins with, the last one's name), which several parts
-    of the text read: Spark makes it once and keeps it, for it would be put in each place anew."""
+    of the text read: Spark makes it once and keeps it, for it would be put in each place anew.  With a third, a
+    function of (spark, sf_dir), it is that operator's result and not the text's."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if not keep:
             return spark_sql(spark, sf_dir, text)
-        begin, last = keep
+        begin, last, *made = keep
         # Made anew for each query, as the folder's tables may have changed; the one before is let go.
         app, before = _kept.pop(last, (None, None))
         if app == spark.sparkContext.applicationId:
             before.unpersist()
-        df = spark_sql(spark, sf_dir, f"WITH {begin} SELECT * FROM {last}").persist(StorageLevel.MEMORY_AND_DISK)
+        df = made[0](spark, sf_dir) if made else spark_sql(spark, sf_dir, f"WITH {begin} SELECT * FROM {last}")
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
         df.createOrReplaceTempView(f"kept_{last}")
         _kept[last] = spark.sparkContext.applicationId, df
         return spark_sql(spark, sf_dir, text.replace(begin, f"{last} AS (SELECT * FROM kept_{last})"))
