@@ -32,8 +32,6 @@ from .common import discard, if_few, ship, spread_join, stored, table
 WINDOW, LEVELS = 50, 7
 #: Words of a piece of text, and of the pieces that are compressed at once.
 PIECE, AT_ONCE = 1 << 15, 1 << 16
-#: Words whose hashes a task remembers.
-REMEMBERED = 200_000
 #: Odd multipliers of the two sums that name a window.
 _BASES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
@@ -48,18 +46,6 @@ def _mix(x, seed: int):
     return x ^ (x >> np.uint64(31))
 
 
-class _Hashes(dict):
-    """word -> its 128-bit hash, as bytes; forgotten when there are too many."""
-
-    def __missing__(self, word):
-        from xxhash import xxh3_128_digest
-
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = got = xxh3_128_digest(word)
-        return got
-
-
 class Level:
     """Symbols over words: names, whether one is a border between texts, the words from start to end that a symbol
     stands for, and those from lo to hi that it depends on."""
@@ -162,10 +148,11 @@ def judged(found: list[Level], valid, window: int, known=None):
     return alive
 
 
-def chunks(texts, hashes: _Hashes, window: int):
-    """Texts, as (row, words), in chunks of (words, second hashes, border, valid, rows, offsets): pieces with a border around
+def chunks(texts, window: int):
+    """Texts, as (row, words), in chunks of (first and second halves of words' hashes, border, valid, rows, offsets): pieces with a border around
     each; row and place in its text of every place; valid where a window begins."""
     import numpy as np
+    from xxhash import xxh3_128_digest
 
     def made(pieces):
         size = sum(len(p[2]) + 1 for p in pieces) + 1
@@ -186,7 +173,7 @@ def chunks(texts, hashes: _Hashes, window: int):
             some = words[a : a + PIECE + window - 1]
             if len(some) < window:
                 continue
-            own = np.frombuffer(b"".join(map(hashes.__getitem__, some)), np.uint64).reshape(-1, 2)
+            own = np.frombuffer(b"".join(map(xxh3_128_digest, some)), np.uint64).reshape(-1, 2)
             pieces.append((row, a, own))
             size += len(own)
             if size >= AT_ONCE:
@@ -211,7 +198,6 @@ def symbols(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
         import numpy as np
         import pyarrow as pa
 
-        hashes = _Hashes()
         for b in batches:
             n, sha, names = [], [], [np.zeros(0, np.uint64)] * len(b)
 
@@ -223,7 +209,7 @@ def symbols(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
                     if len(words) >= window:
                         yield row, words
 
-            for words, _, border, valid, rows, _ in chunks(each(), hashes, window):
+            for words, _, border, valid, rows, _ in chunks(each(), window):
                 where, found = judged(levels(words, border, count), valid, window)
                 of = rows[where]
                 order = np.lexsort((found, of))
@@ -254,7 +240,6 @@ def windows(texts: DataFrame, window: int = WINDOW, count: int = LEVELS) -> Data
         import numpy as np
         import pyarrow as pa
 
-        hashes = _Hashes()
         inverse = [np.uint64(pow(m, -1, 1 << 64)) for m in _BASES]
         for b in batches:
             known = b.column(3)
@@ -262,7 +247,7 @@ def windows(texts: DataFrame, window: int = WINDOW, count: int = LEVELS) -> Data
             rows_of = np.repeat(np.arange(len(b)), np.diff(ends))
             # A name in one row: both mixed to one value, as a name that is in another row only is not known here.
             in_row = np.sort(_mix(flat, 7) ^ _mix(rows_of.astype(np.uint64), 8))
-            for words, second, border, valid, rows, offsets in chunks(((i, _split(t.as_py())) for i, t in enumerate(b.column(2))), hashes, window):
+            for words, second, border, valid, rows, offsets in chunks(((i, _split(t.as_py())) for i, t in enumerate(b.column(2))), window):
 
                 def is_known(names, places, rows=rows):
                     x = _mix(names, 7) ^ _mix(rows[places].astype(np.uint64), 8)
