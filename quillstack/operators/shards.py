@@ -45,8 +45,8 @@ def _fold(rows: DataFrame, group: str, order: str, budget: int) -> DataFrame:
 def pointers(placed: DataFrame, budget: int) -> DataFrame:
     """(g, at, to) of rows (g, at, begin, n, total): the row that begins the next shard, if one begins at `at`; none at the end."""
     # The next start is less than a budget away or is the next row: rows are met in stretches of the sums, and in the one before.
-    own = F.floor(F.col("begin") / budget)
-    spread = placed.withColumn("stretch", F.explode(F.array(own - 1, own))).withColumn("own", F.col("stretch") == own)
+    stretch = F.floor(F.col("begin") / budget)
+    spread = placed.withColumn("stretch", F.explode(F.array(stretch - 1, stretch))).withColumn("own", F.col("stretch") == stretch)
     reach = F.max("at").over(Window.partitionBy("g", "stretch").orderBy("begin").rangeBetween(0, budget))
     far = spread.withColumn("reach", reach).where("own")
     to = F.when(F.col("total") - F.col("begin") <= budget, F.col("n")).otherwise(F.greatest("reach", F.col("at") + 1))
@@ -54,19 +54,23 @@ def pointers(placed: DataFrame, budget: int) -> DataFrame:
 
 
 def _jump(rows: DataFrame, group: str, order: str, budget: int) -> DataFrame:
-    placed = with_running(rows, [group], [order], {"end": F.col("cost"), "at": F.lit(1).cast("long")})
-    placed = placed.select(group, order, F.struct(group).alias("g"), (F.col("at") - 1).alias("at"), (F.col("end") - F.col("cost")).alias("begin"), F.col("at_of").alias("n"), F.col("end_of").alias("total"))
+    given = rows.select(F.struct(group).alias("g"), F.col(order).alias("o"), "cost")  # a struct is equal to itself, null or not
+    run = with_running(given, ["g"], ["o"], {"end": F.col("cost"), "place": F.lit(1).cast("long")})
+    placed = run.select("g", "o", (F.col("place") - 1).alias("at"), (F.col("end") - F.col("cost")).alias("begin"), F.col("place_of").alias("n"), F.col("end_of").alias("total"))
     placed = stored(placed, "shard-places")
     hops = [stored(pointers(placed, budget), "shard-hops")]
     while hops[-1].where("at = 0").limit(1).count():
         last = hops[-1]
-        hops.append(stored(last.join(last.select("g", F.col("at").alias("to"), F.col("to").alias("on")), ["g", "to"]).select("g", "at", F.col("on").alias("to")), "shard-hops"))
+        on = last.select("g", F.col("at").alias("to"), F.col("to").alias("on"))
+        hops.append(stored(last.join(on, ["g", "to"]).select("g", "at", F.col("on").alias("to")), "shard-hops"))
     starts = placed.where("at = 0").select("g", "at", F.lit(0).cast("long").alias("shard"))
     for k in range(len(hops) - 1, -1, -1):
-        starts = stored(starts.unionByName(starts.join(hops[k], ["g", "at"]).select("g", F.col("to").alias("at"), (F.col("shard") + 2**k).alias("shard"))), "shard-starts")
+        more = starts.join(hops[k], ["g", "at"]).select("g", F.col("to").alias("at"), (F.col("shard") + 2**k).alias("shard"))
+        starts = stored(starts.unionByName(more), "shard-starts")
     # A row's shard is that of the last start before it, which is in its stretch or in the one before.
-    own = F.floor(F.col("begin") / budget)
+    stretch = F.floor(F.col("begin") / budget)
     marked = placed.join(starts, ["g", "at"], "left")
-    spread = marked.withColumn("stretch", F.explode(F.when(F.col("shard").isNotNull(), F.array(own, own + 1)).otherwise(F.array(own)))).withColumn("own", F.col("stretch") == own)
+    both = F.when(F.col("shard").isNotNull(), F.array(stretch, stretch + 1)).otherwise(F.array(stretch))
+    spread = marked.withColumn("stretch", F.explode(both)).withColumn("own", F.col("stretch") == stretch)
     upto = Window.partitionBy("g", "stretch").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return spread.withColumn("shard", F.max("shard").over(upto)).where("own").select(group, order, "shard")
+    return spread.withColumn("shard", F.max("shard").over(upto)).where("own").select(F.col(f"g.{group}").alias(group), F.col("o").alias(order), "shard")

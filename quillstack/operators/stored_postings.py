@@ -15,7 +15,7 @@ from ..functions.text import tokenise
 from ..sources.shared import few, stored
 from .lexical import B, BROADCAST_TERMS, K1, top
 
-#: Documents of a block, on the average, and blocks of a question that are scored first.
+#: Documents of a block, on the average, and blocks of a question that are scored first (as many as documents are wanted, at least).
 BLOCK_DOCS, FIRST_BLOCKS = 16, 4
 
 
@@ -57,7 +57,7 @@ def search(index: Postings, asked: DataFrame, k: int, first: int = FIRST_BLOCKS,
         return met.select("q", "weight", F.explode("docs").alias("d")).select("q", "d.doc", (F.col("weight") * F.col("d.part")).alias("s"))
 
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("bound"), "block"))
-    best = bounds.withColumn("place", place).where(F.col("place") <= first).select("q", "block")
+    best = bounds.withColumn("place", place).where(F.col("place") <= max(first, k)).select("q", "block")
     found = top(scored(best).groupBy("q", "doc").agg(F.sum("s").alias("score")), k).where(F.col("rank") == k).select("q", (F.col("score") - 1e-8).alias("bar"))
     # Without k documents in the first blocks there is no bar yet: all blocks are read.
     left = bounds.join(few(found, BROADCAST_TERMS), "q", "left").where(F.col("bar").isNull() | (F.col("bound") >= F.col("bar"))).select("q", "block")

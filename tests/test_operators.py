@@ -1,5 +1,6 @@
 """Hand-checked cases of the operators."""
 
+import random
 import time
 
 import pytest
@@ -68,10 +69,52 @@ def test_rrf(spark):
     assert first.page == 11 and first.rrf == pytest.approx(1 / 62 + 1 / 61) and first.sources == ["lexical", "visual"]
 
 
-def test_shard_plan(spark):
-    c = spark.createDataFrame([("a", i, 1000.0) for i in range(10)] + [("b", 0, 99999.0), ("b", 1, 1.0)], "g string, i long, cost double")
-    got = {(r.g, r.i): r.shard for r in J.plan_shards(c, "g", "i", 2000).collect()}
-    assert [got["a", i] for i in range(10)] == [i // 2 for i in range(10)] and got["b", 0] == 0 and got["b", 1] == 1
+def greedy(costs, budget):
+    """Shards of costs in their order, one after the other."""
+    out, shard, size = [], 0, 0
+    for i, c in enumerate(costs):
+        if i and size and size + c > budget:
+            shard, size = shard + 1, 0
+        size += c
+        out.append(shard)
+    return out
+
+
+@pytest.mark.parametrize("fold_rows", [0, 10**6])
+def test_shard_plan(spark, fold_rows):
+    from quillstack.operators import shards
+
+    rng = random.Random(4)
+    costs = {"a": [1000] * 10, "b": [99999, 1, 1, 2000, 1], "hot": [rng.choice([1, 40, 700, 1999, 2000, 2001, 5000]) for _ in range(1500)], None: [600] * 7}
+    rows = [(g, i, c) for g, cs in costs.items() for i, c in enumerate(cs)]
+    rng.shuffle(rows)
+    got = shards.plan(spark.createDataFrame(rows, "g string, i long, cost long"), "g", "i", 2000, fold_rows).collect()
+    for g, cs in costs.items():
+        assert [r.shard for r in sorted((r for r in got if r.g == g), key=lambda r: r.i)] == greedy(cs, 2000)
+    assert shards.plan(spark.createDataFrame([], "g string, i long, cost long"), "g", "i", 2000, fold_rows).count() == 0
+
+
+def test_a_group_that_holds_all_rows_is_cut_in_several_tasks(spark):
+    from quillstack.operators import shards
+    from quillstack.operators.ordinal import with_running
+
+    rows = spark.range(4000).select(F.lit("one").alias("g"), F.col("id").alias("i"), (F.col("id") % 90 + 1).alias("cost"))
+    placed = with_running(rows, ["g"], ["i"], {"end": F.col("cost"), "at": F.lit(1)}, parts=8)
+    tasks = placed.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(tasks) > 1 and max(r["count"] for r in tasks) < 4000
+    got = {r.i: r.shard for r in shards.plan(rows, "g", "i", 1000, fold_rows=0).collect()}
+    assert [got[i] for i in range(4000)] == greedy([i % 90 + 1 for i in range(4000)], 1000)
+
+
+@pytest.mark.parametrize("group", [[], ["g"]])
+def test_running_sums(spark, group):
+    from quillstack.operators.ordinal import with_running
+
+    rows = [(i, i % 2, None if i % 7 == 0 else i) for i in range(500)]
+    got = with_running(spark.createDataFrame(rows, "i long, g int, v long"), group, ["i"], {"s": F.col("v"), "n": F.lit(1)}, parts=5).collect()
+    for r in got:
+        mine = [x for x in rows if not group or x[1] == r.g]
+        assert (r.s, r.s_of) == (sum(x[2] or 0 for x in mine if x[0] <= r.i), sum(x[2] or 0 for x in mine)) and r.n_of == len(mine) and r.n == sum(x[0] <= r.i for x in mine)
 
 
 @pytest.mark.parametrize("bad", [float("nan"), -1.0, 4.0])
@@ -101,9 +144,32 @@ def test_best_run():
 
 def test_figures():
     assert C.figures("3 956 zł, 2500x2100 mm, 2500; 12; 1234567") == ["3956", "2500", "2100"]
-    w = lambda t, line, x: {"token": t, "line": line, "x0": x, "y0": 0.0, "x1": x + 1, "y1": 1.0}
-    words = [w("3", 0, 0.0), w("956", 0, 2.0), w("3", 1, 0.0), w("956", 2, 0.0)]
-    assert C.figure_boxes(words, "3956") == [(0.0, 0.0, 3.0, 1.0)]
+    # The second stands on two lines.
+    assert C.figure_spans(["3", "956", "3", "956"], [0, 0, 1, 2], "3956") == [(0, 2)]
+
+
+def test_best_run_reads_fragments_and_passes_over_some():
+    assert C.best_run("x a wyko nane b".split(), ["a", "wykonane"]) == (1, 4, 2)
+    assert C.best_run("x a wyko na b".split(), ["a", "wykonane"])[2] == 1
+    assert C.best_run("a wyko nane b".split(), ["wykonane"]) == (0, 0, 0)  # no token is the first one's
+    assert C.best_run("x a q q b c".split(), "a b c".split()) == (1, 6, 3)  # two may be passed over
+    assert C.best_run("x a q q q q b c a b".split(), "a b c".split()) == (8, 10, 2)
+    assert C.best_run("najdluzszy b".split(), "a najdluzszy b".split()) == (0, 0, 0)  # it would begin before the page
+
+
+def test_citations_resolve(spark):
+    """A quote that isn't there stays; a named article never falls to another; figures hang on a page's first citation."""
+    words = lambda text: [(float(i % 4 * 10), float(i // 4 * 10), float(i % 4 * 10 + 8), float(i // 4 * 10 + 5), t, i // 4) for i, t in enumerate(text.split())]
+    pages = spark.createDataFrame([("p", words("cena drzwi 3 956 wynosi 2500 albo 2500")), ("q", words("inne drzwi wykonane z drewna")), ("blank", [])], f"document string, words {C.WORDS}")
+    attached = spark.createDataFrame([(1, 0, 61, 1, "p"), (1, 1, 61, 2, "q"), (1, 0, 7, 3, "blank")], "id long, article long, page long, rank int, document string")
+    answers = spark.createDataFrame([(1, "Cena to 3 956 / 2500 / 777")], "id long, answer string")
+    cites = [(1, 1, 61, None, "cena drzwi"), (1, 2, 61, 1, "wykonane z drewna"), (1, 3, 61, 0, "tego nie ma"), (1, 4, 61, 5, "cena drzwi"), (1, 5, 99, None, "x"), (1, 6, 7, 0, "cena drzwi")]
+    cites = spark.createDataFrame([(*c, c[-1].split()) for c in cites], "id long, ord int, page long, article long, quote string, tokens array<string>")
+    got = {r.ord: r for r in C.resolve(cites, attached, answers, pages).collect()}
+    assert {o: (r.document, r.verified, r.coverage, r.text_layer) for o, r in got.items()} == {1: ("p", True, 1.0, True), 2: ("q", True, 1.0, True), 3: ("p", False, 0.0, True), 6: ("blank", False, 0.0, False)}
+    assert [tuple(r.box) for r in got[1].rects] == [(0.0, 0.0, 18.0, 5.0)] and got[3].rects == []
+    assert [(n.value, tuple(n.box)) for n in got[1].numbers] == [("3956", (20.0, 0.0, 18.0, 5.0))] and [(x["value"], x["count"]) for x in got[1].repeated] == [("2500", 2)]
+    assert got[2].numbers == got[3].numbers == []
 
 
 def test_stream_holds_the_marker_back(spark, tmp_path):
@@ -258,20 +324,18 @@ def test_cache(spark):
 def test_router(spark):
     from quillstack.operators import router as R
 
-    none, full = R.Setting(), R.Setting(has_key=True)
-    assert [R.resolve(m, none) for m in (None, "", " AUTO ", "Xray")] == ["visual", "visual", "visual", "xray"]
-    assert R.default_mode(full) == "jev-page" and R.default_mode(R.Setting(has_key=True, judge="manual")) == "visual" and R.default_mode(R.Setting(hybrid=True)) == "hybrid"
-    with pytest.raises(ValueError):
-        R.resolve("best", full)
-    assert R.blocked("jev", none) == "the judge has no key" and R.blocked("xray", R.Setting(has_key=True, judge=False)) == "the judge is turned off"
-    assert R.blocked("hybrid", none) is None and R.blocked("hybrid", R.Setting(sidecar=False)) == "there is no text sidecar" and R.blocked("jev-page", R.Setting(has_key=True, sidecar=False)) is None
-    assert [x["mode"] for x in R.listing(full) if x["default"]] == ["jev-page"]
-    assert [R.chunk_budget(n) for n in (1, 4, 5, 12)] == [24, 24, 30, 72] and R.chunk_budget(9, 7) == 7
-    pages = lambda n, chunks: spark.range(1, n + 3).selectExpr("1 as q", "cast(id as int) as rank", f"{chunks} as chunks")
-    got = R.run("auto", none, {"visual": pages}, 5).collect()
-    assert [r["rank"] for r in got] == [1, 2, 3, 4, 5] and got[0].chunks == 30
-    with pytest.raises(R.Blocked):
-        R.run("jev", none, {"jev": pages})
+    none, full, off, manual = (False, None, False, True), (True, "on", True, True), (True, "off", True, True), (True, "manual", False, False)
+    rows = spark.createDataFrame([(i, w, *s) for i, (w, s) in enumerate([(None, none), (" AUTO ", full), ("Xray", none), ("best", full), ("", off), ("default", manual), ("jev", off), ("xray", manual), ("hybrid", manual)])], f"i int, wish string, {R.SETTING}")
+    got = {r.i: (r.mode, r.hindrance) for r in R.resolved(rows).collect()}
+    assert got == {0: ("visual", None), 1: ("jev-page", None), 2: ("xray", "judge: no key"), 3: ("best", "unknown: best"), 4: ("hybrid", None), 5: ("visual", None), 6: ("jev", "judge: off"), 7: ("xray", "pages: no texts"), 8: ("hybrid", "pages: no texts")}
+    listed = R.offered(spark.createDataFrame([full], R.SETTING)).orderBy("place").collect()
+    assert [r.mode for r in listed] == [m for m, *_ in R.MODES] and [r.mode for r in listed if r.usual] == ["jev-page"] and not any(r.hindrance for r in listed)
+    pages = lambda n, crops: spark.createDataFrame([(1, p, p) for p in range(1, crops + 1)], "q int, page int, rank int")
+    assert [tuple(r) for r in R.run(spark, None, none, {"visual": pages}, 5).orderBy("rank").collect()] == [("visual", 1, p, p) for p in range(1, 6)]
+    assert (R.crops_wanted(2), R.crops_wanted(9), R.crops_wanted(9, 3)) == (24, 54, 3)
+    with pytest.raises(R.Hindered):
+        R.run(spark, "jev", none, {"jev": pages})
+    assert {r.mode for r in R.run_all(spark, none, dict.fromkeys([m for m, *_ in R.MODES], pages)).collect()} == {"visual", "hybrid"}
 
 
 def test_question_sets_are_read_back(spark, tmp_path):
