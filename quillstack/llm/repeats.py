@@ -306,10 +306,12 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     import hashlib
 
     all_ = stored(symbols(docs, key, text, window, count), "repeats-symbols")
+    rows = stored(all_.drop("names"), "repeats-rows")
     long_ = all_.where((F.col("n_words") >= window) & F.col("key").isNotNull())
+    total = all_.agg(F.count("*"), F.sum(F.size("names"))).first()
     # Equal documents: all but the first go whole.
     same = _shared(long_, ["sha"], "repeats-same")
-    gone = spread_join(long_.select("key", "h", "sha"), same, ["sha"], ["key", "h"], all_.count()).where("key > low").select("key", "h").distinct()
+    gone = spread_join(long_.select("key", "h", "sha"), same, ["sha"], ["key", "h"], total[0]).where("key > low").select("key", "h").distinct()
     gone = stored(gone, "repeats-gone")
     once = long_
     if long_.groupBy("key", "h").count().where("count > 1").limit(1).count():
@@ -317,21 +319,23 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     named = once.join(if_few(gone), ["key", "h"], "left_anti").select("key", "h", F.explode("names").alias("name"))
     # Which symbols do several documents have?
     several = _shared(named, ["name"], "repeats-shared")
-    total = all_.agg(F.sum(F.size("names"))).first()[0] or 0
-    known = spread_join(named, several.select("name", "n"), ["name"], ["key", "h"], total)
+    known = spread_join(named, several.select("name", "n"), ["name"], ["key", "h"], total[1] or 0)
     known = stored(known.groupBy("key", "h").agg(F.collect_list("name").alias("known")), "repeats-known")
+    discard(all_, several, same)  # what nothing reads any more makes room for what follows
     # Which windows?
     texts = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.col(text).cast("binary").alias("t"))
     wanted = lambda of: texts.join(if_few(of.select("key", "h").distinct()), ["key", "h"], "left_semi").dropDuplicates(["key", "h"])
     found = stored(windows(wanted(known).join(known, ["key", "h"]), window, count), "repeats-windows")
+    discard(known)
     first = _shared(found, ["a", "b"], "repeats-first")
     hits = spread_join(found, first, ["a", "b"], ["key", "at"], found.count()).where("key > low")
     hits = stored(hits.groupBy("key", "h").agg(F.collect_list("at").alias("places")), "repeats-places")
+    discard(found, first)
     cut = kept_words(wanted(hits).join(hits, ["key", "h"]), window)
-    whole = gone.join(long_.select("key", "h", F.col("n_words").alias("n_removed")), ["key", "h"]).distinct().withColumn("sha", F.lit(hashlib.sha256(b"").hexdigest()))
+    whole = gone.join(rows.select("key", "h", F.col("n_words").alias("n_removed")), ["key", "h"]).distinct().withColumn("sha", F.lit(hashlib.sha256(b"").hexdigest()))
     changed = stored(cut.unionByName(whole).withColumnRenamed("sha", "kept"), "repeats-changed")
-    discard(several, known, found, first, hits, same)
-    out = all_.select("key", "h", "n_words", "sha").join(if_few(changed), ["key", "h"], "left")
+    discard(hits, gone)
+    out = rows.join(if_few(changed), ["key", "h"], "left")
     return out.select(F.col("key").alias(key), "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept", "sha").alias("sha"))
 
 
