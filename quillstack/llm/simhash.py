@@ -21,9 +21,10 @@ of 256-bit SimHashes are candidates; the shingle sets themselves, made of the te
 `ROUNDS` rounds two members of each block are compared with all others and classes are made.  Among the
 members of blocks that then still hold several classes, whatever similar pairs are left is found by prefixes of their sets: with
 shingles in order of how few of these members have them, two sets of `SIMILAR` or more share one among the first n - ceil(0.8 n) + 1
-of each.  So large groups cost rows by their members, and not by their pairs: copies of one text are one
-class after the rounds, and texts with so much of their own that they are in no class share too little behind
-any shingle of their prefix, whatever else they share.  Joins spread the blocks; none is gathered in a task.
+of each, and each can be reached by what the other has behind it.  A set that by a shingle doesn't reach its own size is
+similar by it to longer-reaching ones only, so texts of one template that are not similar, however many, meet
+nobody; and where sets could meet in numbers, the smallest that reaches its size is first compared with all others of its shingle,
+which makes the similar ones one class, and members of one class are not compared.  Joins spread hot keys over several tasks.
 
 Classes are the connected components: stars are contracted (each fingerprint to its smallest
 neighbour) in rounds, each written to the shared folder.
@@ -50,6 +51,8 @@ WORDS, DISTANCE, BLOCKS, BUCKET = 4, 4, 7, 2048
 SIMILAR_WORDS, SIMILAR, BANDS, BAND_ROWS, WIDE_DISTANCE = 5, 0.8, 28, 8, 76
 #: Rounds in which two members of each block are compared with its others, before what is left is.
 ROUNDS = 2
+#: Rounds at most in which a shingle's smallest set is compared with all others of it, where on the average over so many could meet each.
+CENTRES, CROWDED = 3, 4
 #: Texts of more words are hashed in pieces of so many shingles, to bound memory.
 PIECE = 1 << 16
 
@@ -239,28 +242,75 @@ def confirmed(pairs: DataFrame, sets: DataFrame, least: float = SIMILAR) -> Data
     return near.where(both / (F.col("n_h") + F.col("n_other") - both) >= least).select(*pairs.columns)
 
 
-def prefix_pairs(rows: DataFrame, sets: DataFrame, wide: list[str], distance: int, least: float = SIMILAR) -> DataFrame:
-    """(a, b, h, other): pairs of `rows` (h, fp, root, `wide`) of different classes that can have a similarity of
-    `least` or more, for each shares a shingle of the other's prefix."""
-    rows = stored(rows.dropDuplicates(["h"]).join(sets, "h").withColumn("n", F.size("shingles")), "similar-members")
-    each = rows.select("h", "root", "n", F.explode("shingles").alias("s"))
-    often = each.groupBy("s").agg(F.count("*").alias("of"), F.min("root").alias("low"), F.max("root").alias("high")).where("of > 1")
-    met = each.join(often, "s").groupBy("h", "n").agg(F.array_sort(F.collect_list(F.struct("of", "s", (F.col("low") < F.col("high")).alias("mixed")))).alias("known"))
+def prefix_keys(rows: DataFrame, sets: DataFrame, wide: list[str], least: float = SIMILAR) -> DataFrame:
+    """(s, h, fp, size, rest, reach, `wide`): the shingles of the prefixes of `rows` (h, fp, root, `wide`) that members of several classes
+    have; `rest` shingles at most, from s on, are shared by two sets that share none before, and `reach` is the
+    largest size that a set can have which is similar to this one by them."""
+    rows = stored(rows.dropDuplicates(["h"]).join(sets, "h").withColumn("size", F.size("shingles")), "similar-members")
+    each = rows.select("h", "root", "size", F.explode("shingles").alias("s"))
+    often = each.groupBy("s").agg(F.count("*").alias("of"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("of > 1")
+    met = spread_join(each, often, ["s"], ["h"], rows.agg(F.sum("size")).first()[0] or 0)
+    met = met.groupBy("h", "size").agg(F.array_sort(F.collect_list(F.struct("of", "s", (F.col("low") < F.col("high")).alias("mixed")))).alias("known"))
     # A set's shingles that no other has come first in its prefix, and meet nothing.
-    prefix = F.floor((1 - least) * F.col("n") + 1e-6) + 1
-    left = F.greatest(F.lit(0), prefix - (F.col("n") - F.size("known"))).cast("int")
+    prefix = F.floor((1 - least) * F.col("size") + 1e-6) + 1
+    left = F.greatest(F.lit(0), prefix - (F.col("size") - F.size("known"))).cast("int")
     keys = met.select("h", F.size("known").alias("known_n"), F.posexplode(F.slice("known", F.lit(1), left)).alias("at", "x")).where("x.mixed")
-    # What two sets share comes, in both, from the first shingle that they share on: `rest` are so many at most.
     keys = keys.select("h", F.col("x.s").alias("s"), (F.col("known_n") - F.col("at")).alias("rest"))
-    mine = ["h", "rest", "fp", "root", "n", *wide]
-    keyed = stored(keys.join(rows.select("h", "fp", "root", "n", *wide), "h"), "similar-prefixes")
-    other = keyed.select("s", F.struct(*mine).alias("o"))
+    reach = F.col("rest") * (1 + least) / least - F.col("size") + 1e-6
+    keyed = keys.join(rows.select("h", "fp", "size", *wide), "h").select("s", "h", "fp", "size", "rest", reach.alias("reach"), *wide)
+    keyed = stored(keyed, "similar-prefixes")
+    discard(rows)
+    return keyed
+
+
+def prefix_links(keyed: DataFrame, roots: DataFrame, sets: DataFrame, wide: list[str], distance: int, found: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(a, b): links that with `found`, of classes `roots`, connect what similar sets of `keyed` (see `prefix_keys`) do.
+
+    Two sets are similar by a shared shingle only if each is within the other's reach.  One that doesn't reach its own size
+    can't be similar to another such, so pairs need one that does: texts of one template that are not similar make none.
+    Where many could meet, the smallest set that reaches its size is first compared with all others of its
+    shingle, in rounds; what is then of one class is not compared.  Last, classes that a shingle has in common meet, if
+    their members can."""
     apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"o.{w}"))) for w in wide), F.lit(0))
-    fit = (F.col("h") < F.col("o.h")) & (F.col("root") != F.col("o.root")) & (apart <= distance) & (F.least("rest", "o.rest") >= least / (1 + least) * (F.col("n") + F.col("o.n")) - 1e-6)
-    pairs = keyed.join(other, "s").where(fit).select(F.least("fp", "o.fp").alias("a"), F.greatest("fp", "o.fp").alias("b"), "h", F.col("o.h").alias("other"))
-    pairs = stored(pairs.distinct(), "similar-prefix-pairs")
-    discard(rows, keyed)
-    return pairs
+    within = (F.col("size") <= F.col("o.reach")) & (F.col("o.size") <= F.col("reach"))
+    mine, total = ["h", "fp", "root", "size", "reach", *wide], keyed.count()
+    long_ = F.col("reach") >= F.col("size")
+    links = None
+
+    def of_classes():
+        named = keyed.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        several = named.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count_if(long_).alias("longs"), F.count("*").alias("members")).where("low < high AND longs > 0")
+        return stored(named.join(several.select("s"), "s", "left_semi"), "similar-left"), several.agg(F.sum(F.col("longs") * F.col("members")), F.sum("members")).first()
+
+    def kept(met):
+        pairs = met.where((F.col("root") != F.col("o.root")) & within & (apart <= distance)).select(F.least("fp", "o.fp").alias("a"), F.greatest("fp", "o.fp").alias("b"), F.least("h", "o.h").alias("h"), F.greatest("h", "o.h").alias("other")).distinct()
+        pairs = stored(pairs, "similar-prefix-pairs")
+        out = stored(confirmed(pairs, sets).select("a", "b").distinct(), "similar-links")
+        discard(pairs)
+        return out
+
+    left, (could, members) = of_classes()
+    for _ in range(CENTRES):
+        if not could or could <= CROWDED * members:
+            break
+        centre = F.min(F.when(long_, F.struct("size", "h", "fp", "root", "reach", *wide))).alias("o")
+        centres = left.groupBy("s").agg(centre, F.count("*").alias("n")).where("o IS NOT NULL")
+        new = kept(spread_join(left, centres, ["s"], ["h"], total))
+        links = new if links is None else links.unionByName(new)
+        discard(left)
+        roots = components(found.unionByName(links))
+        left, (could, members) = of_classes()
+    if could:
+        side = left.select("s", *mine)
+        groups = side.groupBy("s", "root").agg(F.min("size").alias("small"), F.max("reach").alias("far"), F.max(long_).alias("long"))
+        other = groups.select("s", *(F.col(c).alias(f"o_{c}") for c in ("root", "small", "far")))
+        can = groups.where("long").join(other, "s").where("root <> o_root AND small <= o_far AND o_small <= far").select("s", "root", "o_root")
+        ones = side.where(long_).join(can, ["s", "root"])
+        both = ones.join(side.select("s", F.col("root").alias("o_root"), F.struct(*mine).alias("o")), ["s", "o_root"])
+        new = kept(both.where((F.col("o.reach") < F.col("o.size")) | (F.col("h") < F.col("o.h"))))
+        links = new if links is None else links.unionByName(new)
+    discard(left)
+    return links
 
 
 def similar_links(rows: DataFrame, linked: DataFrame, texts: DataFrame | None = None, distance: int = WIDE_DISTANCE, rounds: int = ROUNDS) -> DataFrame:
@@ -289,21 +339,24 @@ def similar_links(rows: DataFrame, linked: DataFrame, texts: DataFrame | None =
             break
         mine = ["root", "h", "fp", *wide]
         if r == rounds and sets is not None:
-            new = prefix_pairs(rest.select(*mine), sets, wide, distance)
-        else:
-            if r < rounds:
-                # Two members of a block are compared with all others: any one, and one of the last class.
-                by = F.xxhash64("h", F.lit(r))
-                ends = rest.groupBy("band", "block").agg(F.min(F.struct(by.alias("by"), *mine)).alias("one"), F.max(F.struct("root", by.alias("by"), *mine[1:])).alias("two"), F.count("*").alias("n"))
-                other = ends.select("band", "block", "n", F.explode(F.array(*(F.struct(*(F.col(f"{e}.{c}").alias(c) for c in mine)) for e in ("one", "two")))).alias("o"))
-                met = spread_join(rest, other, ["band", "block"], ["h"], left)
-            else:  # bits alone decide: all pairs of two classes
-                met = rest.join(rest.select("band", "block", F.struct(*mine).alias("o")), ["band", "block"])
-            apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"o.{w}"))) for w in wide), F.lit(0))
-            once = F.lit(True) if r < rounds else F.col("h") < F.col("o.h")
-            met = met.where(once & (F.col("root") != F.col("o.root")) & (apart <= distance))
-            ends = F.least("fp", "o.fp").alias("a"), F.greatest("fp", "o.fp").alias("b")
-            new = met.select(*ends, F.least("h", "o.h").alias("h"), F.greatest("h", "o.h").alias("other")).distinct()
+            prefixes = prefix_keys(rest.select(*mine), sets, wide)
+            new = prefix_links(prefixes, roots, sets, wide, distance, found)
+            found = found if new is None else found.unionByName(new)
+            discard(rest, prefixes)
+            break
+        if r < rounds:
+            # Two members of a block are compared with all others: any one, and one of the last class.
+            by = F.xxhash64("h", F.lit(r))
+            ends = rest.groupBy("band", "block").agg(F.min(F.struct(by.alias("by"), *mine)).alias("one"), F.max(F.struct("root", by.alias("by"), *mine[1:])).alias("two"), F.count("*").alias("n"))
+            other = ends.select("band", "block", "n", F.explode(F.array(*(F.struct(*(F.col(f"{e}.{c}").alias(c) for c in mine)) for e in ("one", "two")))).alias("o"))
+            met = spread_join(rest, other, ["band", "block"], ["h"], left)
+        else:  # bits alone decide: all pairs of two classes
+            met = rest.join(rest.select("band", "block", F.struct(*mine).alias("o")), ["band", "block"])
+        apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"o.{w}"))) for w in wide), F.lit(0))
+        once = F.lit(True) if r < rounds else F.col("h") < F.col("o.h")
+        met = met.where(once & (F.col("root") != F.col("o.root")) & (apart <= distance))
+        ends = F.least("fp", "o.fp").alias("a"), F.greatest("fp", "o.fp").alias("b")
+        new = met.select(*ends, F.least("h", "o.h").alias("h"), F.greatest("h", "o.h").alias("other")).distinct()
         if sets is not None:
             new = stored(new if tried is None else new.join(tried, ["h", "other"], "left_anti"), "similar-pairs")
             tried = new.select("h", "other") if tried is None else tried.unionByName(new.select("h", "other"))
