@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import query_variants, tokenise
+from ..sources.shared import few
 from .contain import overlaps
 
 
@@ -77,7 +78,7 @@ def gate(scored: DataFrame, scope: DataFrame, threshold: float = 0.3) -> DataFra
 def corpus_scope(questions: DataFrame, pages: DataFrame) -> DataFrame:
     """(q, scope): share of a question's distinct tokens that any page has."""
     asked = questions.select("q", F.explode_outer(F.array_distinct(tokenise(F.col("query")))).alias("term"))
-    vocab = F.broadcast(asked.select("term").distinct())
+    vocab = few(asked.select("term").distinct(), 100_000)
     known = pages.select(F.explode(F.array_distinct(tokenise(F.col("text")))).alias("term")).join(vocab, "term", "left_semi").distinct().withColumn("known", F.lit(1.0))
     return asked.join(known, "term", "left").groupBy("q").agg(F.avg(F.coalesce("known", F.lit(0.0))).alias("scope"))
 
@@ -102,3 +103,26 @@ def rerank(scored: DataFrame, limit: int, by: str = "q", place: str = "ord") ->
 def verdict(scope, answerable, threshold: float = 0.3):
     """out-of-scope before not-in-corpus; nulls pass."""
     return F.when(scope < 0.5, "out-of-scope").when(answerable < threshold, "not-in-corpus").otherwise("ok")
+
+
+class Mirrored:
+    """A judge that is shown its rubric backwards, so its best is 0, and so much of each text."""
+
+    def __init__(self, judge: Judge, chars: int = CLIP):
+        self.judge, self.chars = judge, chars
+
+    def score(self, pairs: DataFrame) -> DataFrame:
+        return self.judge.score(pairs.withColumn("text", F.substring("text", 1, self.chars))).withColumn("raw", 3 - F.col("raw"))
+
+
+def order_drift(pairs: DataFrame, forward: Judge, backward: Judge) -> DataFrame:
+    """(q, n, mean_drift, max_drift, top1_stable, top3_stable) of pairs (q, query, key, ord, text), a bounded number a question, that
+    are judged twice: how far scores move when the rubric is turned round, and whether the best stay the best.
+    Pairs that a run gives no valid score are left out."""
+    a = forward.score(pairs).select("q", "key", "ord", F.col("raw").alias("fwd"))
+    b = backward.score(pairs).select("q", "key", (3 - F.col("raw")).alias("rev"))
+    both = a.join(b, ["q", "key"]).where(valid(F.col("fwd")) & valid(F.col("rev")))
+    place = lambda c: F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round(c, 9)), "ord"))
+    both = both.withColumn("f", place("fwd")).withColumn("r", place("rev")).withColumn("moved", F.abs(F.col("fwd") - F.col("rev")))
+    top = F.least(F.count("*"), F.lit(3)) == F.count_if((F.col("f") <= 3) & (F.col("r") <= 3))
+    return both.groupBy("q").agg(F.count("*").alias("n"), F.round(F.avg("moved"), 6).alias("mean_drift"), F.round(F.max("moved"), 6).alias("max_drift"), (F.count_if(F.expr("f = 1 AND r = 1")) == 1).alias("top1_stable"), top.alias("top3_stable"))

@@ -22,6 +22,12 @@ def report(sidecar: DataFrame) -> DataFrame:
     return sidecar.groupBy("title").agg(F.count("*").alias("pages"), F.count_if("visual_only").alias("visual_only"), F.count_distinct("revision").alias("revisions"), F.max("revision").alias("newest"))
 
 
+def with_chunks(reported: DataFrame, manifests: DataFrame) -> DataFrame:
+    """A report with the chunks that the manifests (title, num_chunks, blank_skipped) name, and those left out as blank."""
+    sums = manifests.groupBy("title").agg(F.sum(F.coalesce("num_chunks", F.lit(0))).alias("chunks"), F.sum(F.coalesce("blank_skipped", F.lit(0))).alias("blanks"))
+    return reported.join(sums, "title", "left").na.fill(0, ["chunks", "blanks"])
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """`old` with the rows of `new` in place of those of their key."""
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))

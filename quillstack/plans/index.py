@@ -38,11 +38,27 @@ def article_sources(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", layout.source_pdf(url).alias("pdf"))
 
 
-@query("blank_crops", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_tax * l_discount >= 0.005e0")
+@query("blank_crops", r"SELECT page_id FROM (SELECT page_id, length(regexp_replace(html, '<[^>]*>|\s', '', 'g')) * 1e0 / nullif(length(html), 0) AS ink FROM pages) WHERE coalesce(ink, 1e0) >= 0.005e0")
 def blank_crops(spark, sf_dir):
-    """Crops whose ink share (here tax times discount) isn't under half a percent."""
-    crops = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_tax") * F.col("l_discount")).alias("ink"))
-    return layout.without_blanks(crops).select("l_orderkey", "l_linenumber")
+    """Pages that show something: their ink is the share of characters that are neither markup nor blank."""
+    ink = F.char_length(F.regexp_replace("html", r"<[^>]*>|\s", "")) / F.nullif(F.char_length("html"), F.lit(0))
+    return layout.without_blanks(read(spark, sf_dir, "pages").select("page_id", ink.alias("ink"))).select("page_id")
+
+
+@query("existing_sources", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN pdf END AS pdf, coalesce(w, 0) AS page_width, coalesce(h, 0) AS page_height FROM (SELECT page_id, 'docs/' || CAST(page_id AS VARCHAR) || '.pdf' AS pdf FROM pages) LEFT JOIN (SELECT p_partkey, p_size * 40 AS w, p_size * 50 AS h FROM part WHERE p_partkey % 3 <> 0) ON p_partkey = page_id")
+def existing_sources(spark, sf_dir):
+    """Sources that are still there, and sizes of pages where they are known."""
+    i = F.col("page_id")
+    rows = read(spark, sf_dir, "pages").select(i, i.alias("article_id"), F.lit(0).alias("tile"), F.concat(F.lit("docs/"), i.cast("string"), F.lit(".pdf")).alias("pdf"))
+    images = read(spark, sf_dir, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("article_id"), F.lit(0).alias("tile"), (F.col("p_size") * 40).alias("page_width"), (F.col("p_size") * 50).alias("page_height"))
+    got = layout.with_sizes(layout.existing(rows, rows.where("page_id % 2 = 0").select(F.col("pdf").alias("path"))), images)
+    return got.select("page_id", "pdf", "page_width", "page_height")
+
+
+@query("image_fit_keys", "SELECT page_id, substr(sha256(url || '|' || CAST(page_id * 1000 AS VARCHAR) || '|' || CAST(length(html) AS VARCHAR) || '|' || CASE WHEN page_id % 2 = 0 THEN 'gemini|tiles|0|1' ELSE 'anthropic|long_edge|1568|0' END || '|0.85|90'), 1, 20) AS fit_key FROM pages")
+def image_fit_keys(spark, sf_dir):
+    policy = F.when(F.col("page_id") % 2 == 0, layout.fit_policy("gemini", "tiles", chase_tiles=True)).otherwise(layout.fit_policy("anthropic", "long_edge", 1568))
+    return read(spark, sf_dir, "pages").select("page_id", layout.image_fit_key(F.col("url"), F.col("page_id") * 1000, F.char_length("html"), policy).alias("fit_key"))
 
 
 @query("index_plan", "SELECT label, count(*) AS vectors, least(4096, greatest(1, count(*) // 40)) AS lists FROM embeddings GROUP BY label")
@@ -86,3 +102,17 @@ def cache_evict(spark, sf_dir):
     made = F.unix_micros(F.col("ts").cast("timestamp"))
     e = read(spark, sf_dir, "events").select(F.col("event_id").alias("entry"), made.alias("created"), F.when(F.col("event_id") % 3 == 0, made + F.col("event_id") % 100 * F.lit(3600000000)).alias("last_used"))
     return C.kept(e).select(F.col("entry").alias("event_id"))
+
+
+@query("question_provenance", r"""SELECT text AS q, CASE WHEN item_id % 5 = 0 THEN NULL ELSE 'doc "' || CAST(item_id AS VARCHAR) || '"' END AS doc, item_id % 7 / 8e0 AS best, CASE WHEN item_id % 3 <> 0 THEN item_id % 4 / 4e0 END AS answerable, CAST(item_id % 3 AS INT) AS spilled, 'a, best: ' || CAST(item_id AS VARCHAR) AS source, 1 AS scope FROM benchmark""")
+def question_provenance(spark, sf_dir):
+    """A question set with its oracle's block, written as YAML and read back; the header is skipped."""
+    from ..sources.shared import folder
+
+    rows = question_rows(spark, sf_dir)
+    i = F.col("item_id")
+    block = F.struct((i % 7 / 8.0).alias("best"), F.when(i % 3 != 0, i % 4 / 4.0).alias("answerable"), F.lit(1.0).alias("scope"), (i % 3).cast("int").alias("spilled"), F.concat(F.lit("a, best: "), i.cast("string")).alias("from"))
+    path = folder(spark, "questions")
+    questions.write(rows.withColumn("doc", F.when(i % 5 != 0, F.col("doc"))).withColumn("oracle", block).drop("item_id"), path)
+    got = questions.read(spark, path)
+    return got.select("q", "doc", "oracle.best", "oracle.answerable", "oracle.spilled", F.col("oracle.from").alias("source"), F.col("oracle.scope").cast("int").alias("scope"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import judge as J
 from ..operators import lexical as L
 from ..operators import shards
+from ..sources.shared import few, stored
 from .mining import PHRASE
 from .registry import query, shared, spark_sql
 from .retrieval import POST, TOPK, bm25, read, tok
@@ -17,6 +18,8 @@ from .statistics import OUT, RK, mode_hits
 FACETS = ["cena koszt cennik price cost pricing", "wymiary szerokość wysokość dimensions width height", "montaż instalacja installation assembly",
           "parametry techniczne specyfikacja technical specifications", "opcje akcesoria wyposażenie options accessories", "bezpieczeństwo zabezpieczenia safety security"]
 CROP = 1500
+#: Candidates and questions that are broadcast at most.
+FEW = 100_000
 FACET = "fc AS (" + " UNION ALL ".join(f"SELECT {i} AS facet, '{f}' AS name" for i, f in enumerate(FACETS)) + ")"
 # Every third item names a facet, every other third an opening.
 ASKED = f"CASE item_id % 3 WHEN 0 THEN text || ' {FACETS[0]}' WHEN 1 THEN 'Ile kosztuje ' || text || ' {FACETS[2]}' ELSE text END"
@@ -35,7 +38,7 @@ def candidates(spark, sf_dir, k):
     """(q, query, doc, ord, retrieval_score, text) of the k best pages of each question."""
     pool = bm25(spark, sf_dir, k).select("q", "doc", F.col("rank").alias("ord"), F.col("score").alias("retrieval_score"))
     pages = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
-    return pages.join(F.broadcast(pool), "doc").join(F.broadcast(questions(spark, sf_dir)), "q")  # k rows for each stated question
+    return pages.join(few(pool, FEW), "doc").join(few(questions(spark, sf_dir), FEW), "q")
 
 
 CANDIDATES = f"{POST}{TOPK}, cand AS (SELECT q, doc, rank AS ord, score AS s, b.text AS query, d.text AS page FROM top JOIN benchmark b ON b.item_id = q JOIN documents d ON d.doc_id = doc"
@@ -143,3 +146,13 @@ def facet_fold(spark, sf_dir):
     """Evidence of each shard, folded by the largest."""
     of = shard_plan(spark, sf_dir).select(F.col("doc_id").alias("key"), F.struct("source", "shard").alias("shard"))
     return J.fold_shards(swept(spark, sf_dir), of).withColumnRenamed("q", "item_id")
+
+
+@query("order_drift", f"""WITH {CANDIDATES} WHERE rank <= 24), j AS (SELECT q, ord, 3 * {share(tok("query"), tok(f"substr(page, 1, {J.CLIP})"))} AS fwd, 3 * {share(tok("query"), tok(f"substr(page, 1, {CROP})"))} AS rev FROM cand WHERE trim(substr(page, 1, {CROP})) <> ''),
+p AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(fwd, 9) DESC, ord) AS f, row_number() OVER (PARTITION BY q ORDER BY round(rev, 9) DESC, ord) AS r, abs(fwd - rev) AS moved FROM j)
+SELECT q AS query_id, count(*) AS n, round(avg(moved), 6) AS mean_drift, round(max(moved), 6) AS max_drift, count(*) FILTER (f = 1 AND r = 1) = 1 AS top1_stable, least(count(*), 3) = count(*) FILTER (f <= 3 AND r <= 3) AS top3_stable FROM p GROUP BY q""")
+def order_drift(spark, sf_dir):
+    """Each question's candidates judged twice: by their pages, and by their first parts with the rubric turned round."""
+    pairs = stored(candidates(spark, sf_dir, 24).select("q", "query", F.col("doc").alias("key"), "ord", "text"), "drift-pairs")  # read twice
+    judge = J.OverlapJudge()
+    return J.order_drift(pairs, judge, J.Mirrored(judge, CROP)).withColumnRenamed("q", "query_id")

@@ -84,11 +84,6 @@ def auc(spark, sf_dir):
 shared("operating_points", f"""WITH {SIG}, t AS (SELECT 0.1e0 AS t UNION ALL SELECT 0.3e0 AS t UNION ALL SELECT 0.5e0 AS t UNION ALL SELECT 0.7e0 AS t UNION ALL SELECT 0.9e0 AS t)
 SELECT t AS threshold, <long(sum(CASE WHEN signal >= t THEN 1 ELSE 0 END))> AS answered, <long(sum(CASE WHEN signal >= t AND quality = 1 THEN 1 ELSE 0 END))> AS correct,
 <long(sum(CASE WHEN signal < t AND quality = 1 THEN 1 ELSE 0 END))> AS wrongly_refused, count(*) AS n FROM sig CROSS JOIN t GROUP BY t""")
-# A rubric asked forwards and mirrored: 0..3 from the length, and from the length without blanks.
-shared("order_drift", """WITH a AS (SELECT source, doc_id, least(3e0, n_chars / 1e3) AS fwd, 3 - least(3e0, length(replace(text, ' ', '')) / 8.5e2) AS rev FROM documents),
-r AS (SELECT source, fwd, rev, row_number() OVER (PARTITION BY source ORDER BY fwd DESC, doc_id) AS rf, row_number() OVER (PARTITION BY source ORDER BY rev, doc_id) AS rr FROM a)
-SELECT source, round(avg(abs(fwd - (3 - rev))), 9) AS mean_drift, round(max(abs(fwd - (3 - rev))), 9) AS max_drift,
-max(CASE WHEN rf = 1 AND rr = 1 THEN 1 ELSE 0 END) = 1 AS top1_stable, sum(CASE WHEN rf <= 3 AND rr <= 3 THEN 1 ELSE 0 END) = least(3, count(*)) AS top3_stable FROM r GROUP BY source""")
 # Nearest rank round(p/100 * n) - 1, halves to even.
 _PERCENTILES = """WITH v AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL),
 p AS (SELECT 50 AS p UNION ALL SELECT 95 AS p UNION ALL SELECT 99 AS p),

@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sidecar as SIDE
+from ..operators.ordinal import with_ordinal
 from ..streaming import events as S
 from .mining import _REV as DATED
 from .mining import ANY_FAMILY, dated
 from .registry import query, shared
 from .retrieval import read
 
-shared("article_scan", "SELECT <long(row_number() OVER (ORDER BY source) - 1)> AS article_id, source AS title, replace('docs' || chr(92) || source || '.pdf', chr(92), '/') AS url, n_pages FROM (SELECT source, count(*) AS n_pages FROM documents GROUP BY source) s")
+_SCAN = "SELECT <long(row_number() OVER (ORDER BY source) - 1)> AS article_id, source AS title, replace('docs' || chr(92) || source || '.pdf', chr(92), '/') AS url, n_pages FROM (SELECT source, count(*) AS n_pages FROM documents GROUP BY source) s"
+
+
+@query("article_scan", _SCAN)
+def article_scan(spark, sf_dir):
+    """Articles in order of their titles, numbered by ranges and not in one task."""
+    n = read(spark, sf_dir, "documents").groupBy(F.col("source").alias("title")).agg(F.count("*").alias("n_pages"))
+    rows, _ = with_ordinal(n, ["title"])
+    url = F.replace(F.concat(F.lit("docs\\"), "title", F.lit(".pdf")), F.lit("\\"), F.lit("/"))
+    return rows.select(F.col("ordinal").alias("article_id"), "title", url.alias("url"), "n_pages")
+
+
 # The last of duplicate chunks stays; without a scale, crop 0 is the page's; an unknown crop is a region.
 shared("chunk_scale_lookup", """WITH m AS (SELECT label AS article, <div(vec_id;8)> AS tile, vec_id % 8 AS chunk, vec_id, CASE WHEN vec_id % 5 = 0 THEN 'region' WHEN vec_id % 5 = 1 THEN 'page' END AS scale FROM embeddings UNION ALL SELECT label, <div(vec_id;8)>, vec_id % 8, vec_id + 1000000, 'page' FROM embeddings WHERE vec_id % 40 = 0),
 k AS (SELECT tile, chunk, coalesce(scale, CASE WHEN chunk = 0 THEN 'page' ELSE 'region' END) AS scale FROM (SELECT *, row_number() OVER (PARTITION BY tile, chunk ORDER BY vec_id DESC) AS pick FROM m) x WHERE pick = 1)
@@ -30,9 +42,12 @@ def text_sidecar(spark, sf_dir):
     return SIDE.build(d, "source", "doc_id", "text")
 
 
-@query("sidecar_report", f"WITH {_SIDE} SELECT title, count(*) AS pages, count(*) FILTER (visual_only) AS visual_only, count(DISTINCT revision) AS revisions, max(revision) AS newest FROM side GROUP BY title")
+@query("sidecar_report", f"""WITH {_SIDE}, r AS (SELECT title, count(*) AS pages, count(*) FILTER (visual_only) AS visual_only, count(DISTINCT revision) AS revisions, max(revision) AS newest FROM side GROUP BY title),
+k AS (SELECT source AS title, sum(greatest(1, n_chars // 640)) AS chunks, sum(n_chars % 7) AS blanks FROM documents WHERE source <> 'src3' GROUP BY source) SELECT r.*, CAST(coalesce(chunks, 0) AS BIGINT) AS chunks, CAST(coalesce(blanks, 0) AS BIGINT) AS blanks FROM r LEFT JOIN k USING (title)""")
 def sidecar_report(spark, sf_dir):
-    return SIDE.report(text_sidecar(spark, sf_dir))
+    """Pages, revisions and chunks of each title; one title has no manifests."""
+    m = read(spark, sf_dir, "documents").where("source <> 'src3'").select(F.col("source").alias("title"), F.greatest(F.lit(1), F.floor(F.col("n_chars") / 640)).alias("num_chunks"), (F.col("n_chars") % 7).alias("blank_skipped"))
+    return SIDE.with_chunks(SIDE.report(text_sidecar(spark, sf_dir)), m)
 
 
 @query("answers_upsert", """SELECT conv_id AS n, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id""")

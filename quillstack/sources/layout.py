@@ -35,6 +35,27 @@ def source_pdf(url: Column) -> Column:
     return F.when(F.lower(path).endswith(".pdf"), path)
 
 
+def existing(rows: DataFrame, files: DataFrame, path: str = "pdf") -> DataFrame:
+    """`rows` with their source set to null where it is none of `files` (path): a source that is gone has no text."""
+    there = files.select(F.col("path").alias("__there")).distinct()
+    return rows.join(there, F.col(path) == F.col("__there"), "left").withColumn(path, F.col("__there")).drop("__there")
+
+
+def with_sizes(rows: DataFrame, images: DataFrame) -> DataFrame:
+    """`rows` (article_id, tile, ..) with the size of (article_id, tile, page_width, page_height); 0 by 0 where it isn't known."""
+    return rows.join(images, ["article_id", "tile"], "left").na.fill(0, ["page_width", "page_height"])
+
+
+def image_fit_key(path: Column, modified: Column, size: Column, policy: Column, floor: float = 0.85, quality: int = 90) -> Column:
+    """What names a fitted image: its file, and all that changes what the fit makes of it."""
+    parts = [path, modified.cast("string"), size.cast("string"), policy, F.lit(str(floor)), F.lit(str(quality))]
+    return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 20)
+
+
+def fit_policy(name: str, kind: str, long_edge: int = 0, chase_tiles: bool = False) -> str:
+    return f"{name}|{kind}|{long_edge}|{int(chase_tiles)}"
+
+
 def without_blanks(crops: DataFrame, ink: str = "ink") -> DataFrame:
     """Crops of which the share of dark pixels (grey under 200) isn't too small; unknown shares stay."""
     return crops.where(F.coalesce(F.col(ink), F.lit(1.0)) >= LEAST_INK)

@@ -344,9 +344,9 @@ def test_question_sets_are_read_back(spark, tmp_path):
     rows = [('Co to jest "brama"?', "spec", "Cennik\\2025", [1, 2], 1, True), ("line\nbreak: [x]", "price", "b", [], None, False), ("\\n stays", "spec", "c: d", [12], 12, True)]
     df = spark.createDataFrame(rows, questions.SCHEMA)
     questions.write(df, f"{tmp_path}/q")
-    assert sorted(map(tuple, questions.read(spark, f"{tmp_path}/q").collect())) == sorted(rows)
+    assert sorted(map(tuple, questions.read(spark, f"{tmp_path}/q").drop("oracle").collect())) == sorted(rows)
     (tmp_path / "hand.yaml").write_text('# comment\n- q: "one"\n  doc: "d"\n\n- q: "two"\n  kind: price\n  doc: "e"\n  pages: [3]\n  answerable: false\n')
-    assert sorted(map(tuple, questions.read(spark, f"{tmp_path}/hand.yaml").collect())) == [("one", "spec", "d", [], None, True), ("two", "price", "e", [3], None, False)]
+    assert sorted(map(tuple, questions.read(spark, f"{tmp_path}/hand.yaml").drop("oracle").collect())) == [("one", "spec", "d", [], None, True), ("two", "price", "e", [3], None, False)]
 
 
 def test_layout(spark):
@@ -362,3 +362,45 @@ def test_layout(spark):
     assert [r.i for r in layout.without_blanks(ink).collect()] == [2, 3]
     v = spark.range(200).selectExpr("id % 2 * id as g")
     assert {r.g: r.lists for r in layout.index_plan(v, ["g"]).where("g < 2").collect()} == {0: 2, 1: 1}
+
+
+def test_question_provenance_is_read_back(spark, tmp_path):
+    from quillstack.sources import questions
+
+    rows = [("a", "spec", None, [1], 1, True, (0.75, None, 1.0, 2, 'x, best: "9" from: y')), (None, "price", "", [], None, False, None), ("b", "spec", "d", [], None, True, (None, 0.5, None, None, None))]
+    df = spark.createDataFrame(rows, f"{questions.SCHEMA}, oracle {questions.ORACLE}")
+    questions.write(df, f"{tmp_path}/q")
+    assert sorted(map(tuple, questions.read(spark, f"{tmp_path}/q").collect()), key=repr) == sorted(rows, key=repr)
+    said = "".join(r.value + "\n" for r in spark.read.text(f"{tmp_path}/q").collect())
+    assert said.count(questions.HEADER) == 1 and '  doc: null\n' in said
+
+
+def test_sources_sizes_and_keys(spark):
+    from quillstack.operators import sidecar
+    from quillstack.sources import layout
+
+    rows = spark.createDataFrame([(0, 0, "a.pdf"), (1, 0, "b.pdf"), (2, 1, None)], "article_id int, tile int, pdf string")
+    there = layout.existing(rows, spark.createDataFrame([("a.pdf",), ("a.pdf",)], "path string"))
+    assert sorted(map(tuple, there.select("article_id", "pdf").collect())) == [(0, "a.pdf"), (1, None), (2, None)]
+    sizes = spark.createDataFrame([(0, 0, 1654, 2339)], "article_id int, tile int, page_width int, page_height int")
+    assert sorted((r.article_id, r.page_width, r.page_height) for r in layout.with_sizes(rows, sizes).collect()) == [(0, 1654, 2339), (1, 0, 0), (2, 0, 0)]
+    key = lambda q: spark.range(1).select(layout.image_fit_key(F.lit("p"), F.lit(5), F.lit(7), F.lit(layout.fit_policy("n", "tiles", 0, True)), quality=q)).first()[0]
+    import hashlib
+
+    assert key(90) == hashlib.sha256(b"p|5|7|n|tiles|0|1|0.85|90").hexdigest()[:20] and key(80) != key(90)
+    report = spark.createDataFrame([("a", 2), ("b", 1)], "title string, pages long")
+    chunks = spark.createDataFrame([("a", 3, None), ("a", 4, 2)], "title string, num_chunks long, blank_skipped long")
+    assert sorted((r.title, r.chunks, r.blanks) for r in sidecar.with_chunks(report, chunks).collect()) == [("a", 7, 2), ("b", 0, 0)]
+
+
+def test_drift_of_a_rubric_turned_round(spark):
+    class Fixed:
+        def __init__(self, scores):
+            self.scores = F.create_map(*(F.lit(x) for kv in scores.items() for x in kv))
+
+        def score(self, pairs):
+            return pairs.withColumn("raw", self.scores[F.col("key")])
+
+    pairs = spark.createDataFrame([(1, "x", k, k, "t") for k in range(5)], "q long, query string, key long, ord long, text string")
+    got = J.order_drift(pairs, Fixed({0: 3.0, 1: 2.0, 2: 1.0, 3: 0.5, 4: float("nan")}), Fixed({0: 0.0, 1: 0.5, 2: 2.5, 3: 2.0, 4: 0.0})).first()
+    assert (got.n, got.mean_drift, got.max_drift, got.top1_stable, got.top3_stable) == (4, 0.375, 0.5, True, False)
