@@ -34,6 +34,8 @@ WEIGHTS = (3, 1, 2)
 TOTAL, REPEATS = 1.5, 2
 BLOCK, LEAST_BLOCKS = 1024, 512
 BUCKET_DOCS, CHUNK = 4096, 1 << 14
+#: Equal rows that one task makes of a stretch.
+COPIES = 1024
 #: Sources of one range; up to so many sources (or cells) are broadcast, about 100 bytes each.
 RANGE_SOURCES, BROADCAST_SOURCES = 50_000, 10_000
 #: Cells of the unit interval: four for each source, but no more than this.
@@ -143,6 +145,20 @@ def row_hash(key: str, text: str, seed: int = 11) -> Column:
     return F.xxhash64(F.lit(seed), F.col(key), F.octet_length(F.col(text)), F.col(text))
 
 
+def copies(rows: DataFrame, piece: int | None = None) -> DataFrame:
+    """Each of `rows` (.., size, times, start) as often as it is, one copy behind the other; many copies are dealt to several tasks."""
+    piece, none = piece or COPIES, F.array(F.lit(0).cast("long"))
+    pieces = F.when(F.col("times") > piece, F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / piece))).otherwise(none)
+    rows = rows.withColumn("piece", F.explode(pieces))
+    often = rows.where(F.col("times") > piece)
+    dealt = often.repartition(F.col("h"), F.col("piece")) if often.limit(1).count() else None
+    rows = rows.where(F.col("times") <= piece)
+    rows = rows if dealt is None else rows.unionByName(dealt)
+    last = F.least(F.col("times") - F.col("piece") * piece, F.lit(piece)) - 1
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return rows.withColumn("start", F.col("start") + (F.col("copy") + F.col("piece") * piece) * F.col("size")).drop("piece", "copy", "times")
+
+
 def mix_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, total: float = TOTAL, repeats: int = REPEATS, seed: int = 11, points=golden) -> DataFrame:
     """(k, h, size, source_size, target, taken, at) of every row: its key, its `row_hash` and its part in the mix;
     at has the first slot that takes it in each pass (nulls behind the last)."""
@@ -150,14 +166,16 @@ def mix_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     light = stored(light, "mix-sizes")
     plans = source_plans(light.groupBy("src").agg(F.sum("size").alias("size"), F.count("*").alias("docs")), weights, total, repeats)
     few = (F.broadcast if plans.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else lambda df: df)(plans)
-    rows = light.join(few, light["src"].eqNullSafe(plans["src"])).drop("src")
+    # Equal rows are one stretch of the stream, as often as they are: a row that is a third of all is in no task whole.
+    once = light.groupBy("src", "k", "h", "size").agg(F.count("*").alias("times"))
+    rows = once.join(few, once["src"].eqNullSafe(plans["src"])).drop("src")
     # Place of each document in its source's stream: buckets by hash, a running sum in each.
     rows = rows.withColumn("bucket", F.pmod("h", "buckets"))
     before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.groupBy("s", "bucket").agg(F.sum("size").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("s", "bucket", "base")
+    base = rows.groupBy("s", "bucket").agg(F.sum(F.col("size") * F.col("times")).alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("s", "bucket", "base")
     running = Window.partitionBy("s", "bucket").orderBy("h", "k").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("own", F.coalesce(F.sum("size").over(running), F.lit(0))).join(base, ["s", "bucket"])
-    rows = rows.withColumn("start", F.col("base") + F.col("own")).withColumn("end", F.col("start") + F.col("size"))
+    rows = rows.withColumn("own", F.coalesce(F.sum(F.col("size") * F.col("times")).over(running), F.lit(0))).join(base, ["s", "bucket"])
+    rows = copies(rows.withColumn("start", F.col("base") + F.col("own"))).withColumn("end", F.col("start") + F.col("size"))
     rows = stored(rows.select("k", "s", "size", "source_size", "target", "block", "h", "start", "end"), "mix-places")
     # Uses of each block, from the schedule: `repeats` slots at most.
     uses = schedule(plans, points, repeats).withColumn("b", shuffled(F.col("rank"), F.col("blocks"), seed))
