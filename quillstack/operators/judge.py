@@ -20,6 +20,10 @@ from .contain import overlaps
 CLIP, FACET_THRESHOLD, MAX_FACETS = 6000, 0.7, 2
 
 
+#: Words of a crop (1,024 pixels of lines of 40, eight words a line), and from one crop's first to the next one's (640 pixels).
+STRIP, STEP = 205, 128
+
+
 class Judge(Protocol):
     def score(self, pairs: DataFrame) -> DataFrame: ...
 
@@ -90,6 +94,22 @@ def fold_shards(scored: DataFrame, shards: DataFrame) -> DataFrame:
     return each.groupBy("q").agg(F.round(F.max("best"), 4).alias("answerable"), F.count("*").alias("shards"))
 
 
+def crop_texts(pages: DataFrame, text: str = "text", crop: str = "crop", strip: int = STRIP, step: int = STEP) -> DataFrame:
+    """`pages` with a row for each crop: words of a page stand in lines, and a crop is a strip of `strip` words, `step` behind the
+    one before it; the last reaches the end.  `text` is the crop's, up to what is judged of one."""
+    words = F.split(F.coalesce(F.col(text), F.lit("")), " ", -1)
+    last = F.greatest(F.lit(0), F.ceil((F.size("__words") - strip) / step)).cast("int")
+    rows = pages.withColumn("__words", words).withColumn(crop, F.explode(F.sequence(F.lit(0), last)))
+    return rows.withColumn(text, F.substring(F.array_join(F.slice("__words", F.col(crop) * step + 1, strip), " "), 1, CLIP)).drop("__words")
+
+
+def best_crops(scored: DataFrame, by: list[str], crop: str = "crop") -> DataFrame:
+    """The crop of each page that the judge scores highest, the first of equals; an invalid score is kept, for `rerank` to see."""
+    bad = F.col("raw").isNotNull() & ~F.coalesce(valid(F.col("raw")), F.lit(False))
+    order = Window.partitionBy(*by).orderBy(bad.desc(), F.desc_nulls_last(F.round("raw", 9)), crop)
+    return scored.withColumn("__place", F.row_number().over(order)).where("__place = 1").drop("__place")
+
+
 def rerank(scored: DataFrame, limit: int, by: str = "q", place: str = "ord") -> DataFrame:
     """Candidates with raw scores in the judge's order; one invalid score of a query puts the
     search's order back for all of it.  Candidates without a text go."""

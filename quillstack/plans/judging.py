@@ -87,13 +87,15 @@ v AS (SELECT event_id, said, CASE WHEN <like(said;'^-?[0-9]+(\\.[0-9]+)?$')> THE
 SELECT event_id, said, CASE WHEN x >= 0 AND x <= 3 THEN x END AS score FROM v""".replace("\\\\", "\\"))
 
 
-@query("judge_rerank", f"""WITH {CANDIDATES} WHERE rank <= 24), j AS (SELECT *, {share(tok("query"), tok(f"substr(page, 1, {CROP})"))} AS score FROM cand)
-SELECT q AS query_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, ord) AS INT) AS rank, doc AS doc_id, round(score, 6) AS score, round(s, 6) AS retrieval_score, false AS fell FROM j""")
+@query("judge_rerank", f"""WITH {CANDIDATES} WHERE rank <= 24), w AS (SELECT *, string_split(coalesce(page, ''), ' ') AS w FROM cand), k AS (SELECT *, unnest(range(0, CAST(greatest(0, ceil((len(w) - {J.STRIP}) / {J.STEP}e0)) AS BIGINT) + 1)) AS crop FROM w),
+c AS (SELECT q, doc, ord, s, crop, query, substr(array_to_string(list_slice(w, crop * {J.STEP} + 1, crop * {J.STEP} + {J.STRIP}), ' '), 1, {J.CLIP}) AS text FROM k),
+j AS (SELECT *, CASE WHEN trim(text) <> '' THEN {share(tok("query"), tok("text"))} END AS score FROM c), b AS (SELECT *, row_number() OVER (PARTITION BY q, doc ORDER BY round(3 * score, 9) DESC NULLS LAST, crop) AS pick FROM j)
+SELECT q AS query_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, ord) AS INT) AS rank, doc AS doc_id, CAST(crop AS INT) AS crop, round(score, 6) AS score, round(s, 6) AS retrieval_score, false AS fell FROM b WHERE pick = 1 AND score IS NOT NULL""")
 def judge_rerank(spark, sf_dir):
-    """The first part of each candidate page, judged; an invalid score would put the search's order back."""
-    crops = candidates(spark, sf_dir, 24).withColumn("text", F.substring("text", 1, CROP))
-    got = J.rerank(J.OverlapJudge().score(crops), 24)
-    return got.select(F.col("q").alias("query_id"), "rank", F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), F.round("retrieval_score", 6).alias("retrieval_score"), "fell")
+    """Each candidate page by its best crop; an invalid score would put the search's order back."""
+    scored = J.OverlapJudge().score(J.crop_texts(candidates(spark, sf_dir, 24)))
+    got = J.rerank(J.best_crops(scored, ["q", "doc"]), 24)
+    return got.select(F.col("q").alias("query_id"), "rank", F.col("doc").alias("doc_id"), "crop", F.round("score", 6).alias("score"), F.round("retrieval_score", 6).alias("retrieval_score"), "fell")
 
 
 @query("page_rerank", f"""WITH {CANDIDATES} WHERE rank <= 16), j AS (SELECT *, CASE WHEN trim(page) <> '' THEN {share(tok("query"), tok(f"substr(page, 1, {J.CLIP})"))} END AS score FROM cand)

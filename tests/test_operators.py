@@ -404,3 +404,14 @@ def test_drift_of_a_rubric_turned_round(spark):
     pairs = spark.createDataFrame([(1, "x", k, k, "t") for k in range(5)], "q long, query string, key long, ord long, text string")
     got = J.order_drift(pairs, Fixed({0: 3.0, 1: 2.0, 2: 1.0, 3: 0.5, 4: float("nan")}), Fixed({0: 0.0, 1: 0.5, 2: 2.5, 3: 2.0, 4: 0.0})).first()
     assert (got.n, got.mean_drift, got.max_drift, got.top1_stable, got.top3_stable) == (4, 0.375, 0.5, True, False)
+
+
+def test_crops_of_a_page(spark):
+    text = " ".join(f"w{i}" for i in range(500))
+    pages = spark.createDataFrame([(1, text), (2, "short page"), (3, None), (4, "x" * 9000)], "key long, text string")
+    got = {(r.key, r.crop): r.text for r in J.crop_texts(pages).collect()}
+    words = text.split(" ")
+    assert {c: t.split(" ") for (k, c), t in got.items() if k == 1} == {i: words[128 * i : 128 * i + 205] for i in range(4)} and got[1, 3].endswith("w499")
+    assert got[2, 0] == "short page" and got[3, 0] == "" and got[4, 0] == "x" * 6000
+    scored = spark.createDataFrame([(1, 0, 1.0), (1, 1, 2.0), (1, 2, 2.0), (2, 0, None), (2, 1, 0.5), (3, 0, 3.0), (3, 1, float("nan"))], "key long, crop int, raw double")
+    assert {r.key: r.crop for r in J.best_crops(scored, ["key"]).collect()} == {1: 1, 2: 1, 3: 1}
