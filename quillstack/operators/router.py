@@ -24,9 +24,14 @@ SETTING = "key boolean, judge string, fuse boolean, texts boolean"
 #: Crops asked for a page that is wanted, and at least.
 CROPS_A_PAGE, LEAST_CROPS = 6, 24
 
-_able = F.col("key") & (F.coalesce("judge", F.lit("on")) != "off")
-#: What a request without a mode gets.
-_usual = F.when(_able & (F.coalesce("judge", F.lit("on")) != "manual"), "jev-page").when(F.col("fuse"), "hybrid").otherwise("visual")
+
+def _able() -> Column:
+    return F.col("key") & (F.coalesce("judge", F.lit("on")) != "off")
+
+
+def _usual() -> Column:
+    """What a request without a mode gets."""
+    return F.when(_able() & (F.coalesce("judge", F.lit("on")) != "manual"), "jev-page").when(F.col("fuse"), "hybrid").otherwise("visual")
 
 
 def modes(spark: SparkSession) -> DataFrame:
@@ -34,20 +39,20 @@ def modes(spark: SparkSession) -> DataFrame:
 
 
 def _hindrance(asks: Column, reads: Column) -> Column:
-    return F.when(asks & ~F.col("key"), "judge: no key").when(asks & ~_able, "judge: off").when(reads & ~F.col("texts"), "pages: no texts")
+    return F.when(asks & ~F.col("key"), "judge: no key").when(asks & ~_able(), "judge: off").when(reads & ~F.col("texts"), "pages: no texts")
 
 
 def offered(settings: DataFrame) -> DataFrame:
     """Each row of `settings` with each mode: place, mode, hindrance (null: it can run) and usual."""
     every = settings.join(F.broadcast(modes(settings.sparkSession)), how="cross")  # seven rows
-    return every.select(*settings.columns, "place", "mode", _hindrance(F.col("asks"), F.col("reads")).alias("hindrance"), (F.col("mode") == _usual).alias("usual"))
+    return every.select(*settings.columns, "place", "mode", _hindrance(F.col("asks"), F.col("reads")).alias("hindrance"), (F.col("mode") == _usual()).alias("usual"))
 
 
 def resolved(requests: DataFrame, wish: str = "wish") -> DataFrame:
     """Requests, a setting each, with the mode that their wish stands for and what hinders it; a wish of nothing, `auto` or `default`
     is the usual mode, and one that no mode is called hinders itself."""
     said = F.lower(F.trim(F.coalesce(F.col(wish), F.lit(""))))
-    named = requests.withColumn("mode", F.when(said.isin("", "auto", "default"), _usual).otherwise(said))
+    named = requests.withColumn("mode", F.when(said.isin("", "auto", "default"), _usual()).otherwise(said))
     met = named.join(F.broadcast(modes(requests.sparkSession).drop("place")), "mode", "left")
     why = F.when(F.col("asks").isNull(), F.concat(F.lit("unknown: "), "mode")).otherwise(_hindrance(F.col("asks"), F.col("reads")))
     return met.select(*requests.columns, "mode", why.alias("hindrance"))
