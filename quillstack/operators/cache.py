@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vector import dot
+from .vector import dot, nearest
 
 THRESHOLD, MOST = 0.95, 2000
 
@@ -29,18 +29,11 @@ def lookup(entries: DataFrame, probes: DataFrame, threshold: float = THRESHOLD,
     """(probe, entry, similarity, served) of (probe, namespace, embedding): the nearest entry of the probe's
     namespace, the earlier of two as near; a probe without one in its namespace has no row.
 
-    Probes are broadcast up to `max_probes`, or else met by namespace and a part of its entries: each part
-    gives one row a probe, so a namespace that holds a third of the entries is many tasks'."""
-    asked = probes.select("probe", "namespace", F.col("embedding").alias("pe")).where(F.col("pe").isNotNull())
-    if asked.count() <= max_probes:
-        met = entries.join(F.broadcast(asked), "namespace")
-    else:
-        parts = max(1, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-        met = entries.withColumn("part", F.pmod(F.xxhash64("entry"), F.lit(parts)).cast("int")).join(asked.withColumn("part", part), ["namespace", "part"])
-    sim = F.round(dot(F.col("pe"), F.col("embedding")), 9)
-    best = met.groupBy("probe").agg(F.max(F.struct(sim.alias("similarity"), (-F.col("entry")).alias("entry"))).alias("b"))
-    return best.select("probe", (-F.col("b.entry")).alias("entry"), F.col("b.similarity").alias("similarity"), (F.col("b.similarity") >= threshold).alias("served"))
+    Probes are broadcast up to `max_probes`, or else met by namespace and a part of its entries.  Entries that are no
+    nearer than the nearest of a sample are dropped where they are made (`nearest`)."""
+    asked = probes.select(F.col("probe").alias("q"), "namespace", F.col("embedding").alias("qv")).where(F.col("qv").isNotNull())
+    found = nearest(entries.select(F.col("entry").alias("vec_id"), "namespace", "embedding"), asked, 1, by="namespace", max_queries=max_probes)
+    return found.select(F.col("q").alias("probe"), F.col("vec_id").alias("entry"), F.col("score").alias("similarity"), (F.col("score") >= threshold).alias("served"))
 
 
 def kept(entries: DataFrame, most: int = MOST) -> DataFrame:

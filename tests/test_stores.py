@@ -218,3 +218,31 @@ def test_an_answer_without_an_end_shows_its_tail_after_a_while(spark, tmp_path):
         assert {k: sorted(x for x in v if x) for k, v in shown.items()} == {1: ["---CY", "abc"], 2: ["--", "x"], 3: ["---", "late", "r"], 4: []}
     finally:
         spark.conf.set(provider, before)
+
+
+def test_nearest_is_brute_force(spark):
+    """Bounds from samples drop no row: ties, nulls and other lengths rank as they do when all pairs are sorted."""
+    import random
+
+    from quillstack.operators import vector as V
+
+    rng = random.Random(3)
+    rows = [(i, [round(rng.uniform(-1, 1), 1) for _ in range(19)]) for i in range(3000)]
+    rows[5], rows[6], rows[7], rows[50] = (5, None), (6, [1.0, None] + [0.5] * 17), (7, [2.0] * 20), (50, None)
+    rows[8] = (8, [float("nan")] + [0.0] * 18)
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = e.where("vec_id % 50 = 0 and vec_id < 400").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
+    told = lambda df: sorted((r.q, r.rank, r.vec_id, str(r.score)) for r in df.collect())
+    v, w = F.col("embedding"), F.col("qv")
+    for n in (7, 19):
+        cut = lambda c, n=n: F.slice(c, 1, n)
+        every = e.join(F.broadcast(asked), F.col("vec_id") != F.col("q")).select("q", "vec_id", F.round(V.dot(cut(v), cut(w)), 9).alias("score"))
+        assert told(V.nearest(e, asked, 24, [7, 19]).where(F.col("n") == n)) == told(V.hits(every, 24))
+    assert told(V.nearest(e, asked, 24, max_queries=3)) == told(V.nearest(e, asked, 24))
+    sorted_rows = []
+    plain, V.hits = V.hits, lambda df, *a: sorted_rows.append(df.count()) or plain(df, *a)
+    try:
+        V.nearest(e.where("vec_id > 8 and vec_id <> 50"), asked.where("q > 50"), 24).count()
+    finally:
+        V.hits = plain
+    assert sorted_rows[-1] < 6 * 2990 / 2  # most of the pairs are not sorted
