@@ -261,3 +261,20 @@ def test_symbols_follow_from_the_words_they_depend_on(letters):
     for one, two, three in zip(*seen):
         assert {(s, n) for *_, s, n in one} and one == two == three
     assert all(len(x) < len(y) for x, y in zip(seen[0], seen[0][1:]))
+
+
+def test_field_of_hashes_is_written_by_tasks(spark):
+    """The field of op12 does not come to the driver: it is files, and holds each word's bit and no other."""
+    rng = np.random.default_rng(7)
+    words = sorted({"".join(rng.choice(list("abcdé"), rng.integers(6, 12))) for _ in range(4000)})
+    df = spark.createDataFrame([(w, 9) for w in words], "word string, n long").repartition(7)
+    bits, (to, parts) = spelling.hash_field(df, len(words))
+    assert parts == list(range(spelling.FIELD_PARTS))
+    letters, want = spelling._letters_of(), set()
+    for w in words:
+        codes = np.frombuffer(w.encode("latin-1"), np.uint8)
+        h = (letters[codes] * spelling._powers(len(codes))[: len(codes)]).sum(dtype=np.uint64)
+        want.add(int(spelling._slots(np.array([h]), bits)[0]))
+    field = spelling._field(bits, to, parts)
+    got = np.flatnonzero(np.unpackbits(field.view(np.uint8), bitorder="little"))
+    assert set(got.tolist()) == want
