@@ -33,6 +33,7 @@ from .common import folder, opened, put_whole, ship, table
 WIDTH = 10
 SHARD_BYTES = 24 << 20
 BLOCK_BYTES = 4 << 20  # about 80 MB of windows
+PIECE_BYTES = 2 << 20
 SAMPLED = 16
 #: Words are runs of ASCII letters and digits (lower-cased) and of all bytes of other characters.
 WORD_BYTES = bytes((c + 32 if 65 <= c <= 90 else c) if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
@@ -176,20 +177,29 @@ class FMIndex:
         return out
 
 
-def find(texts: list[bytes | None], phrases: Phrases):
-    """(n_words of each text, array of hit (text, word), pairs of (text, window))."""
+def _pieces(texts: list[bytes | None]):
+    """(from, to) of texts of about `PIECE_BYTES`."""
+    a, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t) if t else 0
+        if size >= PIECE_BYTES or i == len(texts) - 1:
+            yield a, i + 1
+            a, size = i + 1, 0
+
+
+def _runs(texts: list[bytes | None], phrases: Phrases, sizes):
+    """(numbers of the texts' words with a 0 behind each text, first and last places of runs that a window may be in); the
+    numbers of words are put into `sizes`."""
     import numpy as np
 
     get = phrases.vocabulary.get
     ids: list[int] = []
-    sizes = np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
         w = words(t)
         sizes[i] = len(w)
         ids += [get(x, 0) for x in w]
         ids.append(0)
     text = np.array(ids, np.int64)
-    begins = np.cumsum(sizes + 1) - sizes - 1
     pair = text[:-1] * phrases.size + text[1:]
     at = np.searchsorted(phrases.pairs, pair)
     linked = np.zeros(len(text) + 1, bool)
@@ -206,14 +216,30 @@ def find(texts: list[bytes | None], phrases: Phrases):
         first, last = np.concatenate([first, alone]), np.concatenate([last, alone])
         o = np.argsort(first)
         first, last = first[o], last[o]
+    return text, first, last
+
+
+def find(texts: list[bytes | None], phrases: Phrases):
+    """(n_words of each text, array of hit (text, word), pairs of (text, window))."""
+    import numpy as np
+
+    sizes, firsts, lasts, runs, begin = np.zeros(len(texts), np.int64), [], [], [], 0
+    # Piece after piece, and of each what is in runs: numbers of a whole shard's words would take ten times its text's room.
+    for a, b in _pieces(texts):
+        text, first, last = _runs(texts[a:b], phrases, sizes[a:b])
+        runs += [np.append(text[i : j + 1], 0) for i, j in zip(first.tolist(), last.tolist())]
+        firsts.append(first + begin)
+        lasts.append(last + begin)
+        begin += len(text)
+    begins = np.cumsum(sizes + 1) - sizes - 1
+    first, last = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (firsts, lasts))
     none = (sizes, np.zeros((0, 2), np.int64), np.zeros((0, 2), np.int64))
     if not len(first):
         return none
     n = last - first + 2  # a 0 behind each run
     ends = np.cumsum(n)
     place = np.repeat(first - (ends - n), n) + np.arange(ends[-1])
-    run = text[np.minimum(place, len(text) - 1)]
-    run[ends - 1] = 0
+    run = np.concatenate(runs)
     index = FMIndex(run, phrases.size)
     covered, met = np.zeros(len(run) + 1, np.int64), []
     for length, (windows, patterns) in phrases.by_length.items():
@@ -287,8 +313,8 @@ def _shards(batches, at: int):
     for b in batches:
         if b.num_rows:
             held.append(b)
-            got = b.column(at).to_pylist()
-            texts += [t.encode() if isinstance(t, str) else t for t in got]
+            got = b.column(at).cast("binary").to_pylist()
+            texts += got
             size += sum(len(t) for t in got if t)
         if size >= SHARD_BYTES or len(texts) > 200_000:
             yield held, texts

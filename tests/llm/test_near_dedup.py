@@ -77,3 +77,28 @@ def test_template_classes(spark, monkeypatch, own, centres):
     rows = family(70, own) + [(1000 + i, t) for i, t in family(20, (1, 3), 5)] + [(2000, ""), (2001, None), (2002, family(70, own)[3][1])]
     kept = sorted(r.doc_id for r in simhash.without_copies(spark.createDataFrame(rows, "doc_id long, text string"), similar=True).collect())
     assert kept == brute([(i, t or "") for i, t in rows])
+
+
+def test_decontamination_takes_texts_in_pieces(monkeypatch):
+    """What `find` needs beside a shard's texts does not grow with the shard, and pieces change nothing."""
+    import random
+    import tracemalloc
+
+    from quillstack.llm import decontam
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    item = " ".join(rng.choices(words, k=30))
+    phrases = decontam.Phrases([("a", item.encode()), ("b", b"alone"), ("c", b"w1 w2 w3")])
+    texts = [" ".join(rng.choices(words, k=20_000)).encode() for _ in range(100)] + [None, b""]
+    texts[17] += b" " + item.encode()
+    texts[42] = b"alone " + texts[42] + b" " + " ".join(item.split()[3:17]).encode()
+    tracemalloc.start()
+    some = decontam.find(texts, phrases)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * sum(len(t) for t in texts if t)
+    monkeypatch.setattr(decontam, "PIECE_BYTES", 1 << 60)
+    for a, b in zip(some, decontam.find(texts, phrases)):
+        assert (a == b).all()
+    assert len(set(some[1][:, 0].tolist())) >= 2
