@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..sources.layout import LIST_ROWS, MOST_LISTS
 from ..sources.shared import few, manifest, publish
-from .vector import dot, inner_products
+from .vector import dot, nearest
 
 #: Rows that the lists' centres are fitted on, at most (those of the smallest hashes), and generations that are kept.
 SAMPLE, MOST_GENERATIONS = 1 << 16, 16
@@ -85,14 +85,13 @@ def search(queries: DataFrame, path: str, k: int, probes: int | None = None, sha
     spark = queries.sparkSession
     centres = [c.tolist() for c in KMeansModel.load(f"{path}/centres").clusterCenters()]
     if probes is None or probes >= len(centres):
-        scored = inner_products(rows(spark, path, shard).withColumnRenamed(key, "vec_id"), queries).withColumnRenamed("vec_id", key)
-    else:
-        of = spark.createDataFrame(list(enumerate(centres)), "list int, centre array<double>")
-        near = queries.join(F.broadcast(of), how="cross").withColumn("near", dot(F.col("qv"), F.col("centre")))  # centres are MOST_LISTS at most
-        place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("near"), "list"))
-        asked = near.withColumn("place", place).where(F.col("place") <= probes).select("q", "qv", "list").cache()
-        wanted = sorted(r["list"] for r in asked.select("list").distinct().collect())
-        met = rows(spark, path, shard, wanted).join(few(asked, BROADCAST_ROWS), "list").where(F.col(key) != F.col("q"))
-        scored = met.select("q", key, F.round(dot(F.col("embedding"), F.col("qv")), 9).alias("score"))
+        return nearest(rows(spark, path, shard).withColumnRenamed(key, "vec_id"), queries, k).drop("n").withColumnRenamed("vec_id", key)
+    of = spark.createDataFrame(list(enumerate(centres)), "list int, centre array<double>")
+    near = queries.join(F.broadcast(of), how="cross").withColumn("near", dot(F.col("qv"), F.col("centre")))  # centres are MOST_LISTS at most
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("near"), "list"))
+    asked = near.withColumn("place", place).where(F.col("place") <= probes).select("q", "qv", "list").cache()
+    wanted = sorted(r["list"] for r in asked.select("list").distinct().collect())
+    met = rows(spark, path, shard, wanted).join(few(asked, BROADCAST_ROWS), "list").where(F.col(key) != F.col("q"))
+    scored = met.select("q", key, F.round(dot(F.col("embedding"), F.col("qv")), 9).alias("score"))
     order = Window.partitionBy("q").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
