@@ -183,6 +183,31 @@ def test_prefix_products(spark):
         assert [x.n for x in r.products] == [2, 5, 6] and [x.s for x in r.products] == pytest.approx([sum(a * b for a, b in zip(of[r.q][:n], of[r.vec_id][:n])) for n in (2, 5, 6)])
 
 
+def test_sketches_leave_no_near_vector_out(spark, monkeypatch):
+    rng = random.Random(5)
+    own = lambda i: [rng.gauss(0, 1) * 10 ** (i % 5 - 2) for _ in range(70)]
+    rows = [(i, own(i)) for i in range(400)]
+    rows += [(400, [0.0] * 70), (401, None), (402, [1.0] * 3), (403, [float("inf")] + [1.0] * 69), (404, [1e-300] * 70), (405, [None] + [5.0] * 69), (406, rows[7][1]), (407, rows[7][1])]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = e.where("vec_id % 4 = 0 OR vec_id > 398").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
+    found = lambda: sorted(map(repr, V.nearest(e, q, 3, [16, 70]).collect()))
+    plain = found()
+    monkeypatch.setattr(V, "SAMPLE_ROWS", 40)
+    monkeypatch.setattr(V, "SKETCH_PAIRS", 0)
+    assert found() == plain
+
+
+def test_few_pairs_are_multiplied(spark):
+    rng = random.Random(6)
+    e = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(64)]) for i in range(1000)], "vec_id long, embedding array<double>").cache()
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
+    best = V.hits(V.inner_products(e, q), 10)
+    bars = best.where("rank = 10").select("q", (F.col("score") - 1e-8).alias("bar0"))
+    v, asked = V._sketched(e, "embedding", [64], 64, "v"), V._sketched(q, "qv", [64], 64, "q").join(bars, "q")
+    met = v.join(asked, F.col("vec_id") != F.col("q")).where(V._reached([64], 64)).select("q", "vec_id").cache()
+    assert best.join(met, ["q", "vec_id"]).count() == 200 and met.count() < 3000  # of 19,980
+
+
 # --- streams ---
 def test_an_answer_without_an_end_shows_its_tail_after_a_while(spark, tmp_path):
     provider = "spark.sql.streaming.stateStore.providerClass"
