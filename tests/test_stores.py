@@ -208,6 +208,26 @@ def test_few_pairs_are_multiplied(spark):
     assert best.join(met, ["q", "vec_id"]).count() == 200 and met.count() < 3000  # of 19,980
 
 
+def test_products_of_blocks(spark, monkeypatch):
+    """Copies, own rows and repeated ids rank as when all pairs are sorted, over several parts and blocks; of a part no more than the k best go on."""
+    rng = random.Random(7)
+    rows = [(i, [round(rng.uniform(-1, 1), 1) for _ in range(20)]) for i in range(600)] + [(i, [0.5] * 20) for i in range(600, 1600)]
+    rows += [(50, [0.9] * 20), (1600, [1e40] + [0.0] * 19), (1601, [0.0] * 20)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>").cache()
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
+    parts = 2 * spark.sparkContext.defaultParallelism
+    # Sums of one value that were rounded in several ways go on, too.
+    assert V._block_hits(e, q.where("q <> 50"), 5, [20], 20, 4096).groupBy("q").count().agg(F.max("count")).first()[0] <= 2 * 5 * parts  # of 1,602
+    monkeypatch.setattr(V, "SKETCH_PAIRS", 0)
+    monkeypatch.setattr(V, "PART_ROWS", 100)
+    monkeypatch.setattr(V, "HEAD", 8)
+    told = lambda df: sorted((r.q, r.rank, r.vec_id, r.score) for r in df.collect())
+    for n in (7, 20):
+        cut = lambda c, n=n: F.slice(c, 1, n)
+        every = e.join(F.broadcast(q), F.col("vec_id") != F.col("q")).select("q", "vec_id", F.round(V.dot(cut("embedding"), cut("qv")), 9).alias("score"))
+        assert told(V.nearest(e, q, 5, [7, 20], max_queries=10).where(F.col("n") == n)) == told(V.hits(every, 5))
+
+
 def test_postings_are_built_without_a_shuffle_of_tokens(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
