@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from .common import ship, table
+from .common import give_back, ship, table
 
 #: Every label is a language that is learned; each takes 128 KB of the model.
 TRAIN_DOCS = 400
@@ -363,6 +363,8 @@ def with_language(docs: DataFrame, model: Model, text: str = "text", least: floa
         for b in batches:
             got = [g[:2] for g in reader.read_all(b.column(at).to_pylist())]
             yield b.filter(pa.array([l != "und" and s > least and (langs is None or l in langs) for l, s in got], pa.bool_()))
+        reader = b = got = None
+        give_back()
 
     return docs.mapInArrow(work, docs.schema)
 

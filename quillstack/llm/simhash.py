@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import ASCII_LOWER, discard, fresh, if_few, ship, spread_join, stored, table
+from .common import ASCII_LOWER, discard, fresh, give_back, if_few, ship, spread_join, stored, table
 
 WORDS, DISTANCE, BLOCKS, BUCKET = 4, 4, 7, 2048
 #: The other way's shingles, least similarity, blocks, and bits apart of its 256 that candidates have
@@ -140,7 +140,8 @@ def fingerprints(docs: DataFrame, width: int = WORDS, key: str = "doc_id", text:
             if similar:
                 out += [pa.array(list(x), pa.list_(pa.int64())) for x in zip(*map(_sketch, texts))] or [pa.array([], pa.list_(pa.int64()))] * 2
             yield pa.RecordBatch.from_arrays(out, names=names)
-        pa.default_memory_pool().release_unused()
+        texts = b = out = None
+        give_back()
 
     kinds = {key: docs.schema[key].dataType, "h": LongType(), "fp": LongType()} | ({"wide": ArrayType(LongType()), "bands": ArrayType(LongType())} if similar else {})
     names, schema = list(kinds), StructType([StructField(n, t) for n, t in kinds.items()])
@@ -230,6 +231,8 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
         for b in batches:
             sets = [np.sort(_shingles(t)).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["h", "shingles"])
+        sets = b = None
+        give_back()
 
     return texts.select("h", "t").mapInArrow(work, StructType([StructField("h", LongType()), StructField("shingles", ArrayType(LongType()))]))
 

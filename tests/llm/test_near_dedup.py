@@ -102,3 +102,23 @@ def test_decontamination_takes_texts_in_pieces(monkeypatch):
     for a, b in zip(some, decontam.find(texts, phrases)):
         assert (a == b).all()
     assert len(set(some[1][:, 0].tolist())) >= 2
+
+
+def test_freed_memory_goes_back():
+    """What a task has freed is not kept by its worker, for tasks of the stages behind it run beside it."""
+    import subprocess
+    import sys
+
+    code = """
+from quillstack.llm.common import give_back
+import ctypes
+def mb(): return int(open("/proc/self/statm").read().split()[1]) * 4 // 1024
+give_back()
+base, held = mb(), [bytes(2000) for _ in range(150_000)]
+last, top = bytes(2000), mb()
+del held
+give_back()
+print(top - base, mb() - base)
+"""
+    top, left = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert top > 200 and left < 60
