@@ -415,3 +415,49 @@ def test_crops_of_a_page(spark):
     assert got[2, 0] == "short page" and got[3, 0] == "" and got[4, 0] == "x" * 6000
     scored = spark.createDataFrame([(1, 0, 1.0), (1, 1, 2.0), (1, 2, 2.0), (2, 0, None), (2, 1, 0.5), (3, 0, 3.0), (3, 1, float("nan"))], "key long, crop int, raw double")
     assert {r.key: r.crop for r in J.best_crops(scored, ["key"]).collect()} == {1: 1, 2: 1, 3: 1}
+
+
+def test_best_documents_are_those_of_all_scores(spark, monkeypatch):
+    from quillstack.operators import lexical as L
+
+    texts = ["brama rolety", "bramy stalowe bramami rolet", "okno", "", None, "Łódź, żółte okna 2500 i okno", "co to jest brama", "ab a brama brama brama"]
+    docs = spark.createDataFrame([(i, texts[i % len(texts)]) for i in range(100)] + [(None, "bramy"), (200, "stalowej bramy")], "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([((1, 0), "bramy stalowe brama"), ((1, 1), "lodz okno 2500"), ((2, 0), "nic"), ((3, 0), None)], "k struct<q:long,variant:int>, text string")
+    terms = L.query_terms(asked, "k", "text")
+    rows = lambda df: sorted(((tuple(r.q), r["rank"], r.doc, round(r.score, 7)) for r in df.collect()), key=str)
+    want = rows(L.top(L.score_queries(docs, terms), 5))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert rows(L.best(docs, terms, 5)) == want and len(want) == 10
+        hit = L.counted(docs, terms.select("term").union(spark.createDataFrame([("zolt",), ("nikogo",)], "term string")))
+        assert rows(L.best(docs, terms, 5, hit=hit)) == want
+        assert {r.term for r in hit.known().collect()} >= {"zolt", "bram"} and not {r.term for r in hit.known().collect()} & {"nikogo", "nic"}
+        for limit in ("FORM_TERMS", "TOLD_PAIRS"):
+            with monkeypatch.context() as m:
+                m.setattr(L, limit, 2)
+                assert rows(L.best(docs, terms, 5)) == want
+        assert not L.best(docs, terms.limit(0), 5).count() and not L.best(docs.limit(0), terms, 5).count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_task_hands_on_a_few_documents_of_each_query(spark):
+    import pyarrow as pa
+    from types import SimpleNamespace
+
+    from quillstack.operators import lexical as L
+
+    n = 3000  # copies that all hold the term
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n, 0, -1)), pa.array([5] * n), pa.array([[0]] * n, pa.list_(pa.int32())), pa.array([[2]] * n, pa.list_(pa.int32()))], names=["doc", "dl", "ids", "tfs"])
+    (out,) = L._scorer(SimpleNamespace(value=[(0, 0, 1.5), (1, 0, 3.0)]), 2, 5.0, 4)(iter([batch]))
+    assert sorted(zip(out["no"].to_pylist(), out["doc"].to_pylist())) == [(q, d) for q in (0, 1) for d in (1, 2, 3, 4)]
+
+
+def test_words_that_a_term_is_the_stem_of(spark):
+    from quillstack.functions import text as T
+
+    words = spark.createDataFrame([(w,) for w in "bramy bramami brama bram okno okna iach 2500 domowego stalowymi stalowa abce abcdee zyciach".split()], "w string")
+    got = words.select("w", T.stem(F.col("w")).alias("t")).select("w", "t", T.stem_sources(F.col("t")).alias("all")).collect()
+    assert all(r.w in r["all"] and len(set(r["all"])) == len(r["all"]) for r in got)
+    back = words.select(F.explode(T.stem_sources(F.col("w"))).alias("s"), "w").where(T.stem(F.col("s")) != F.col("w"))
+    assert not back.count()
