@@ -173,6 +173,35 @@ def test_overlaps(spark, least):
         assert best is None or min(k for (j, k), (n, _) in all_.items() if j == i and n == best) in {k for (j, k), (n, _) in got.items() if j == i and n == best}
 
 
+@pytest.mark.parametrize("most", [1, 3])
+def test_overlaps_of_the_best(spark, most):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(12)]
+    pages = [(i if i != 50 else None, sorted(set(rng.choices(words, k=rng.randrange(12))))) for i in range(200)]
+    rng.shuffle(pages)
+    items = {i: sorted(set(rng.choices(words, k=rng.randrange(1, 8)))) for i in range(15)} | {99: ["nowhere"]}
+    p = spark.createDataFrame(pages, "key long, words array<string>").coalesce(1)
+    got = {(r.item, r.key): (r.n, r.of) for r in overlaps(p, spark.createDataFrame(list(items.items()), "item long, words array<string>"), 0.0, most).collect()}
+    want = {}
+    for i, w in items.items():
+        met = sorted((-len(set(w) & set(x)), k is not None, k or 0, k) for k, x in pages if set(w) & set(x))
+        want |= {(i, k): (-n, len(w)) for n, _, _, k in met[:most]}
+    assert got == want
+
+
+def test_modes_count_the_texts_once(spark, sf, monkeypatch):
+    from quillstack.operators import lexical as L
+    from quillstack.plans import load, registry
+
+    load()
+    made = []
+    real, late = L.counted, L.score_queries
+    monkeypatch.setattr(L, "counted", lambda *a, **k: made.append("counted") or real(*a, **k))
+    monkeypatch.setattr(L, "score_queries", lambda *a, **k: made.append("scores") or late(*a, **k))
+    assert registry.QUERIES["mode_pages"](spark, sf).select("mode").distinct().count() == 7
+    assert made == ["counted"]
+
+
 def test_prefix_products(spark):
     rng = random.Random(3)
     rows = [(i, [rng.random() for _ in range(6)]) for i in range(20)]
